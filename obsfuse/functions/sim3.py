@@ -1,0 +1,229 @@
+"""Similarity transforms: small NumPy helpers for edge- and window-sized tables.
+
+A transform maps x to s R x + t and has the 7-vector [log s, rotation vector, t].
+Row-sized work never goes through here: :func:`jacobian_basis` turns the transform
+Jacobian into an affine function of the point, so per-row covariance and factor
+projections become column arithmetic on per-window coefficients.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+Transform = tuple[float, np.ndarray, np.ndarray]
+
+ROT = [f"r{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3)]
+GAUGE_COLUMNS = ["scale", *ROT, "tx", "ty", "tz"]
+GAUGE_SCHEMA = ", ".join(f"{c} double" for c in GAUGE_COLUMNS)
+IDENTITY: Transform = (1.0, np.eye(3), np.zeros(3))
+
+
+def skew(v: np.ndarray) -> np.ndarray:
+    return np.array([[0.0, -v[2], v[1]], [v[2], 0.0, -v[0]], [-v[1], v[0], 0.0]])
+
+
+def so3_exp(w: np.ndarray) -> np.ndarray:
+    angle = float(np.linalg.norm(w))
+    k = skew(w)
+    if angle < 1e-8:
+        return np.eye(3) + k + 0.5 * k @ k
+    return np.eye(3) + np.sin(angle) / angle * k + (1.0 - np.cos(angle)) / angle**2 * k @ k
+
+
+def so3_log(r: np.ndarray) -> np.ndarray:
+    angle = float(np.arccos(np.clip((np.trace(r) - 1.0) / 2.0, -1.0, 1.0)))
+    vee = np.array([r[2, 1] - r[1, 2], r[0, 2] - r[2, 0], r[1, 0] - r[0, 1]])
+    if angle < 1e-8:
+        return 0.5 * vee
+    if np.pi - angle < 1e-5:
+        # near a half turn the axis comes from the symmetric part, the sign from vee
+        outer = (r + np.eye(3)) / 2.0
+        k = int(np.argmax(np.diag(outer)))
+        axis = outer[:, k] / np.sqrt(max(outer[k, k], 1e-300))
+        axis = axis / np.linalg.norm(axis)
+        return angle * (axis if vee @ axis >= 0.0 else -axis)
+    return angle / (2.0 * np.sin(angle)) * vee
+
+
+def right_jacobian(w: np.ndarray) -> np.ndarray:
+    angle = float(np.linalg.norm(w))
+    k = skew(w)
+    if angle < 1e-8:
+        return np.eye(3) - 0.5 * k + k @ k / 6.0
+    a2 = angle * angle
+    return np.eye(3) - (1.0 - np.cos(angle)) / a2 * k + (angle - np.sin(angle)) / (a2 * angle) * k @ k
+
+
+def right_jacobian_inverse(w: np.ndarray) -> np.ndarray:
+    return np.linalg.inv(right_jacobian(w))
+
+
+def to_vector(t: Transform) -> np.ndarray:
+    return np.concatenate(([np.log(t[0])], so3_log(t[1]), t[2]))
+
+
+def from_vector(v: np.ndarray) -> Transform:
+    return float(np.exp(v[0])), so3_exp(v[1:4]), np.asarray(v[4:7], dtype=float)
+
+
+def compose(a: Transform, b: Transform) -> Transform:
+    return a[0] * b[0], a[1] @ b[1], a[0] * (a[1] @ b[2]) + a[2]
+
+
+def invert(a: Transform) -> Transform:
+    rt = a[1].T
+    return 1.0 / a[0], rt, -(rt @ a[2]) / a[0]
+
+
+def relative(a: Transform, b: Transform) -> Transform:
+    """a^-1 b: expresses b's frame in a's."""
+    return compose(invert(a), b)
+
+
+def transform_points(t: Transform, p: np.ndarray) -> np.ndarray:
+    return t[0] * p @ t[1].T + t[2]
+
+
+def compose_jacobians(a: Transform, b: Transform) -> tuple[np.ndarray, np.ndarray]:
+    """Derivatives of vector(a b) with respect to vector(a) and vector(b)."""
+    wa, wb, wc = so3_log(a[1]), so3_log(b[1]), so3_log(a[1] @ b[1])
+    back = right_jacobian_inverse(wc)
+    ja, jb = np.zeros((7, 7)), np.zeros((7, 7))
+    ja[0, 0] = jb[0, 0] = 1.0
+    ja[1:4, 1:4] = back @ b[1].T @ right_jacobian(wa)
+    jb[1:4, 1:4] = back @ right_jacobian(wb)
+    moved = a[0] * (a[1] @ b[2])
+    ja[4:7, 0] = moved
+    ja[4:7, 1:4] = -a[0] * a[1] @ skew(b[2]) @ right_jacobian(wa)
+    ja[4:7, 4:7] = np.eye(3)
+    jb[4:7, 4:7] = a[0] * a[1]
+    return ja, jb
+
+
+def inverse_jacobian(a: Transform) -> np.ndarray:
+    """Derivative of vector(a^-1) with respect to vector(a)."""
+    inv = invert(a)
+    w = so3_log(a[1])
+    j = np.zeros((7, 7))
+    j[0, 0] = -1.0
+    j[1:4, 1:4] = -np.eye(3)  # log(R^T) = -log(R)
+    j[4:7, 0] = -inv[2]
+    j[4:7, 1:4] = -skew(a[1].T @ a[2]) @ right_jacobian(w) / a[0]
+    j[4:7, 4:7] = -a[1].T / a[0]
+    return j
+
+
+def numeric_jacobian(f: Callable[[np.ndarray], np.ndarray], x: np.ndarray, h: float = 1e-6) -> np.ndarray:
+    cols = []
+    for i in range(len(x)):
+        step = np.zeros(len(x))
+        step[i] = h * max(1.0, abs(x[i]))
+        cols.append((f(x + step) - f(x - step)) / (2.0 * step[i]))
+    return np.array(cols).T
+
+
+def compose_cov(a: Transform, ca: np.ndarray, b: Transform, cb: np.ndarray) -> tuple[Transform, np.ndarray]:
+    ja, jb = compose_jacobians(a, b)
+    c = ja @ ca @ ja.T + jb @ cb @ jb.T
+    return compose(a, b), 0.5 * (c + c.T)
+
+
+def invert_cov(a: Transform, ca: np.ndarray) -> tuple[Transform, np.ndarray]:
+    j = inverse_jacobian(a)
+    c = j @ ca @ j.T
+    return invert(a), 0.5 * (c + c.T)
+
+
+def jacobian_basis(t: Transform, translation: bool = True) -> np.ndarray:
+    """(4, 3, 7) array B with J(x) = B[0] + x B[1] + y B[2] + z B[3]."""
+    s, r, _ = t
+    jr = right_jacobian(so3_log(r))
+    out = np.zeros((4, 3, 7))
+    if translation:
+        out[0, :, 4:7] = np.eye(3)
+    for k in range(3):
+        e = np.zeros(3)
+        e[k] = 1.0
+        out[k + 1, :, 0] = s * (r @ e)
+        out[k + 1, :, 1:4] = -s * r @ skew(e) @ jr
+    return out
+
+
+_PAIRS = [(a, b) for a in range(4) for b in range(a, 4)]
+_SYM = [(0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)]
+
+
+def covariance_polynomial(t: Transform, cov: np.ndarray, translation: bool = True) -> np.ndarray:
+    """60 coefficients: J(x) cov J(x)^T as a quadratic in (1, x, y, z), six entries."""
+    basis = jacobian_basis(t, translation)
+    out = []
+    for a, b in _PAIRS:
+        m = basis[a] @ cov @ basis[b].T
+        if a != b:
+            m = m + m.T
+        else:
+            m = 0.5 * (m + m.T)
+        out.append([m[i, j] for i, j in _SYM])
+    return np.array(out).ravel()
+
+
+def gauge_covariance_columns(poly: Column, p: tuple[Column, Column, Column]) -> tuple[Column, ...]:
+    """Evaluate :func:`covariance_polynomial` coefficients at a point column."""
+    one = F.lit(1.0)
+    mono = [one, *p]
+    terms = [mono[a] * mono[b] for a, b in _PAIRS]
+    out = []
+    for k in range(6):
+        acc = poly[k] * terms[0]
+        for m in range(1, 10):
+            acc = acc + poly[6 * m + k] * terms[m]
+        out.append(acc)
+    return tuple(out)
+
+
+def affine_columns(coeff: Column, size: int, p: tuple[Column, Column, Column]) -> list[Column]:
+    """Evaluate ``size`` values stored as 4 stacked blocks (1, x, y, z)."""
+    return [
+        coeff[i] + coeff[size + i] * p[0] + coeff[2 * size + i] * p[1] + coeff[3 * size + i] * p[2]
+        for i in range(size)
+    ]
+
+
+def unpack(row) -> Transform:  # noqa: ANN001 - pandas row or namedtuple
+    get = row.get if hasattr(row, "get") else lambda n: getattr(row, n)
+    r = np.array([float(get(c)) for c in ROT]).reshape(3, 3)
+    return float(get("scale")), r, np.array([float(get("tx")), float(get("ty")), float(get("tz"))])
+
+
+def pack(t: Transform) -> dict[str, float]:
+    out = {"scale": float(t[0]), "tx": float(t[2][0]), "ty": float(t[2][1]), "tz": float(t[2][2])}
+    out.update({c: float(v) for c, v in zip(ROT, np.ravel(t[1]), strict=True)})
+    return out
+
+
+def rot_columns(prefix: str = "") -> list[Column]:
+    return [F.col(f"{prefix}{c}") for c in ROT]
+
+
+def t_columns(prefix: str = "") -> tuple[Column, Column, Column]:
+    return F.col(f"{prefix}tx"), F.col(f"{prefix}ty"), F.col(f"{prefix}tz")
+
+
+def square(values) -> np.ndarray:  # noqa: ANN001
+    a = np.asarray(values, dtype=float)
+    n = int(round(len(a) ** 0.5))
+    return a.reshape(n, n)
+
+
+def floor_eigenvalues(m: np.ndarray, floor: float = 1e-12) -> np.ndarray:
+    w, v = np.linalg.eigh(0.5 * (m + m.T))
+    return (v * np.maximum(w, floor)) @ v.T
+
+
+def floored_inverse(m: np.ndarray, floor: float = 1e-12) -> np.ndarray:
+    w, v = np.linalg.eigh(0.5 * (m + np.swapaxes(m, -1, -2)))
+    return (v / np.maximum(w, floor)[..., None, :]) @ np.swapaxes(v, -1, -2)
