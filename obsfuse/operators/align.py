@@ -163,8 +163,8 @@ def fit_edges(pairs: DataFrame, keys: Sequence[str], **options) -> DataFrame:  #
     clustered = "cluster" in pairs.columns
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["tx", "ty", "tz", "sx", "sy", "sz"])
-        src, dst = pdf[["sx", "sy", "sz"]].to_numpy(float), pdf[["tx", "ty", "tz"]].to_numpy(float)
+        pdf = pdf.sort_values(["px", "py", "pz", "sx", "sy", "sz"])
+        src, dst = pdf[["sx", "sy", "sz"]].to_numpy(float), pdf[["px", "py", "pz"]].to_numpy(float)
         try:
             row = fit_points(src, dst, clusters=pdf["cluster"].to_numpy() if clustered else None, **options)
         except (ValueError, np.linalg.LinAlgError) as error:
@@ -172,7 +172,7 @@ def fit_edges(pairs: DataFrame, keys: Sequence[str], **options) -> DataFrame:  #
         head = {k: pdf[k].iloc[0] for k in keys}
         return pd.DataFrame([{**head, **row}])[[*keys, *names]]
 
-    need = [*keys, "sx", "sy", "sz", "tx", "ty", "tz", *(["cluster"] if clustered else [])]
+    need = [*keys, "sx", "sy", "sz", "px", "py", "pz", *(["cluster"] if clustered else [])]
     return pairs.select(*dict.fromkeys(need)).groupBy(*keys).applyInPandas(run, schema)
 
 
@@ -233,14 +233,14 @@ def fit_edges_distributed(
     so no per-row state is carried.
     """
     keys = list(keys)
-    src, dst = v3.vec("s"), v3.vec("t")
+    src, dst = v3.vec("s"), v3.vec("p")
     centres = pairs.groupBy(*keys).agg(
         *[F.avg(c).alias(f"cs{a}") for c, a in zip(src, "xyz", strict=True)],
         *[F.avg(c).alias(f"ct{a}") for c, a in zip(dst, "xyz", strict=True)],
         F.count(F.lit(1)).alias("n"),
     )
     rows = attach(
-        pairs.select(*keys, "sx", "sy", "sz", "tx", "ty", "tz").withColumnsRenamed({"tx": "px", "ty": "py", "tz": "pz"}),
+        pairs.select(*keys, "sx", "sy", "sz", "px", "py", "pz"),
         centres.where("n >= 4"), keys, how="inner",
     ).select(
         "*",
@@ -315,7 +315,7 @@ def metric_anchor(samples: DataFrame, truth: DataFrame, fit_end: int, size: int
     from obsfuse.operators.ranking import subsample
 
     key = ["case_id", "frame", "row", "col"]
-    t = truth.where("valid").where(F.col("frame") < fit_end).select(*key, *[F.col(c).alias(f"t{c}") for c in "xyz"])
+    t = truth.where("valid").where(F.col("frame") < fit_end).select(*key, *[F.col(c).alias(f"p{c}") for c in "xyz"])
     p = samples.where("valid").select(*key, "window_id", *[F.col(c).alias(f"s{c}") for c in "xyz"])
     pairs = subsample(p.join(t, key), ["case_id", "window_id"], ["frame", "row", "col"], size, seed)
     return fit_edges(pairs, ["case_id", "window_id"])

@@ -46,12 +46,12 @@ def with_rays(samples: DataFrame) -> DataFrame:
 def pair_disagreement(pairs: DataFrame) -> DataFrame:
     """Add ``par`` and ``lat`` to correspondences joined with their transform.
 
-    ``t*`` is the reference point, ``s*`` the moving point; ``tr*``/``sr*`` are stored
+    ``p*`` is the reference point, ``s*`` the moving point; ``pr*``/``sr*`` are stored
     rays when present, otherwise the point directions.
     """
     rot, s, t = sim3.rot_columns(), F.col("scale"), sim3.t_columns()
-    target, source = v3.vec("t", "xyz"), v3.vec("s", "xyz")
-    ref_ray = v3.vec("tr") if "trx" in pairs.columns else v3.unit(target)
+    target, source = v3.vec("p"), v3.vec("s")
+    ref_ray = v3.vec("pr") if "prx" in pairs.columns else v3.unit(target)
     mov_ray = v3.mat_vec(rot, v3.vec("sr") if "srx" in pairs.columns else v3.unit(source))
     res = v3.sub(target, v3.apply_similarity(s, rot, t, source))
     total = v3.add(ref_ray, mov_ray)

@@ -33,13 +33,13 @@ def overlap_correspondences(
 ) -> DataFrame:
     """Same-frame same-pixel valid pairs of two windows of a case.
 
-    Reference is the smaller window id.  Target columns are the reference point,
-    source columns the moving point.  The equi-join key is the full cell, so a busy
+    Reference is the smaller window id.  ``p*`` is the reference point, ``s*`` the
+    moving point.  The equi-join key is the full cell, so a busy
     case or frame is spread by row and column.  ``max_correspondences`` is the
     seeded sample per edge; None keeps every pair.
     """
     v = samples.where("valid")
-    a = v.select(*CELL, F.col("window_id").alias("reference_id"), *[F.col(c).alias(f"t{c}") for c in "xyz"])
+    a = v.select(*CELL, F.col("window_id").alias("reference_id"), *[F.col(c).alias(f"p{c}") for c in "xyz"])
     b = v.select(*CELL, F.col("window_id").alias("moving_id"), *[F.col(c).alias(f"s{c}") for c in "xyz"])
     pairs = a.join(b, CELL).where(F.col("reference_id") < F.col("moving_id"))
     tile = (

@@ -42,23 +42,23 @@ def estimates(spark: SparkSession, sf: str) -> DataFrame:
     return g.select(
         "cell",
         "contributor",
-        F.col("q").alias("x"),
-        (F.col("p") / 1000.0).alias("y"),
-        (F.col("s") * 100.0).alias("z"),
-        (_d(1) + F.col("t") * 100.0).alias("c_xx"),
-        _d(0.5).alias("c_xy"),
+        (F.col("q") / 7.0).alias("x"),
+        (F.col("p") / 997.0).alias("y"),
+        (F.col("s") * 100.0 / 3.0).alias("z"),
+        (_d(1.01371) + F.col("t") * 100.0 / 3.0).alias("c_xx"),
+        _d(0.48713).alias("c_xy"),
         _d(0).alias("c_xz"),
-        (_d(2) + F.col("s") * 50.0).alias("c_yy"),
+        (_d(2.02291) + F.col("s") * 50.0 / 3.0).alias("c_yy"),
         _d(0).alias("c_yz"),
-        (_d(1.5) + F.col("q") / 50.0).alias("c_zz"),
+        (_d(1.51733) + F.col("q") / 70.0).alias("c_zz"),
     )
 
 
 EST_SQL = """v_est AS (
   SELECT l_orderkey AS cell, l_linenumber AS contributor,
-         min(l_quantity) AS x, min(l_extendedprice) / 1000.0 AS y, min(l_discount) * 100.0 AS z,
-         1.0 + min(l_tax) * 100.0 AS a, CAST(0.5 AS DOUBLE) AS b, 2.0 + min(l_discount) * 50.0 AS c,
-         1.5 + min(l_quantity) / 50.0 AS e
+         min(l_quantity) / 7.0 AS x, min(l_extendedprice) / 997.0 AS y, min(l_discount) * 100.0 / 3.0 AS z,
+         1.01371 + min(l_tax) * 100.0 / 3.0 AS a, CAST(0.48713 AS DOUBLE) AS b, 2.02291 + min(l_discount) * 50.0 / 3.0 AS c,
+         1.51733 + min(l_quantity) / 70.0 AS e
   FROM lineitem GROUP BY 1, 2)"""
 
 
@@ -92,18 +92,18 @@ def samples(spark: SparkSession, sf: str) -> DataFrame:
         "frame",
         "row",
         "col",
-        (k_ * F.col("col") + w + F.col("q") * 0.02).alias("x"),
-        (k_ * F.col("row") - w + F.col("s") * 5.0).alias("y"),
-        (k_ * (_d(10) + F.col("frame") * 2.0) + F.col("t") * 5.0).alias("z"),
+        (k_ * F.col("col") + w + F.col("q") / 47.0).alias("x"),
+        (k_ * F.col("row") - w + F.col("s") * 31.0 / 7.0).alias("y"),
+        (k_ * (_d(10) + F.col("frame") * 2.0) + F.col("t") * 29.0 / 7.0).alias("z"),
         (F.col("f") != "N").alias("valid"),
     )
 
 
 SAMPLES_SQL = f"""v_samples AS (
   SELECT case_id, window_id, frame, "row", col,
-         (1.0 + w * 0.1) * col + w + q * 0.02 AS x,
-         (1.0 + w * 0.1) * "row" - w + s * 5.0 AS y,
-         (1.0 + w * 0.1) * (10.0 + frame * 2.0) + t * 5.0 AS z,
+         (1.0 + w * 0.1) * col + w + q / 47.0 AS x,
+         (1.0 + w * 0.1) * "row" - w + s * 31.0 / 7.0 AS y,
+         (1.0 + w * 0.1) * (10.0 + frame * 2.0) + t * 29.0 / 7.0 AS z,
          f <> 'N' AS valid
   FROM (SELECT 'c' || CAST(l_orderkey // {CASE_SPAN} AS VARCHAR) AS case_id,
                'w' || CAST(l_suppkey % 4 AS VARCHAR) AS window_id,
