@@ -45,20 +45,20 @@ def estimates(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("q") / 7.0).alias("x"),
         (F.col("p") / 997.0).alias("y"),
         (F.col("s") * 100.0 / 3.0).alias("z"),
-        (_d(1.01371) + F.col("t") * 100.0 / 3.0).alias("c_xx"),
-        _d(0.48713).alias("c_xy"),
+        (_d(1.0137137) + F.col("t") * 100.0 / 3.0).alias("c_xx"),
+        _d(0.4871371).alias("c_xy"),
         _d(0).alias("c_xz"),
-        (_d(2.02291) + F.col("s") * 50.0 / 3.0).alias("c_yy"),
+        (_d(2.0229137) + F.col("s") * 50.0 / 3.0).alias("c_yy"),
         _d(0).alias("c_yz"),
-        (_d(1.51733) + F.col("q") / 70.0).alias("c_zz"),
+        (_d(1.5173371) + F.col("q") / 70.0).alias("c_zz"),
     )
 
 
 EST_SQL = """v_est AS (
   SELECT l_orderkey AS cell, l_linenumber AS contributor,
          min(l_quantity) / 7.0 AS x, min(l_extendedprice) / 997.0 AS y, min(l_discount) * 100.0 / 3.0 AS z,
-         1.01371 + min(l_tax) * 100.0 / 3.0 AS a, CAST(0.48713 AS DOUBLE) AS b, 2.02291 + min(l_discount) * 50.0 / 3.0 AS c,
-         1.51733 + min(l_quantity) / 70.0 AS e
+         1.0137137 + min(l_tax) * 100.0 / 3.0 AS a, CAST(0.4871371 AS DOUBLE) AS b, 2.0229137 + min(l_discount) * 50.0 / 3.0 AS c,
+         1.5173371 + min(l_quantity) / 70.0 AS e
   FROM lineitem GROUP BY 1, 2)"""
 
 

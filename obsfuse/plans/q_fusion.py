@@ -140,7 +140,7 @@ s AS (SELECT *, ((ex * qx + ey * qy + ez * qz) ** 2) / (qx * qx + qy * qy + qz *
 t AS (SELECT *, 0.5 * greatest(ex * ex + ey * ey + ez * ez - par, 0) AS lat FROM s),
 b AS (SELECT case_id, reference_id AS window_id, frame, "row", col, par, lat FROM t
       UNION ALL SELECT case_id, moving_id, frame, "row", col, par, lat FROM t),
-v_evidence AS (SELECT case_id, window_id, frame, "row", col, sum(par) AS par_sum, sum(lat) AS lat_sum, count(*) AS overlaps
+v_evidence AS (SELECT case_id, window_id, frame, "row", col, sum(par) AS par_sum, sum(lat) AS lat_sum, count(*) AS "overlaps"
                FROM b GROUP BY 1, 2, 3, 4, 5)"""
 )
 
@@ -165,8 +165,8 @@ def _(spark, sf):
 
 
 _VAR = _DIS + """, v AS (
-  SELECT s.*, coalesce(par_sum / overlaps, 0) AS par_mean, coalesce(lat_sum / overlaps, 0) AS lat_mean,
-         coalesce(overlaps, 0) AS overlaps
+  SELECT s.*, coalesce(par_sum / "overlaps", 0) AS par_mean, coalesce(lat_sum / "overlaps", 0) AS lat_mean,
+         coalesce("overlaps", 0) AS "overlaps"
   FROM v_samples s LEFT JOIN v_evidence USING (case_id, window_id, frame, "row", col)),
 w AS (SELECT *, 2.5e-4 + 2.5e-5 * (x * x + y * y + z * z) + 0.25 * par_mean AS var_par,
              2.5e-4 + 2.5e-5 * (x * x + y * y + z * z) + 0.25 * lat_mean AS var_lat FROM v)"""
@@ -184,7 +184,7 @@ def _variances(spark, sf):
     _VAR + """ SELECT *, var_lat + (var_par - var_lat) * x * x / (x * x + y * y + z * z) AS c_xx,
   (var_par - var_lat) * x * y / (x * x + y * y + z * z) AS c_xy,
   var_lat + (var_par - var_lat) * z * z / (x * x + y * y + z * z) AS c_zz,
-  CASE WHEN overlaps > 0 THEN least(greatest(exp(-0.5 * least(par_mean / var_par + lat_mean / var_lat, 50)), 0.05), 1) ELSE 1 END AS reliability
+  CASE WHEN "overlaps" > 0 THEN least(greatest(exp(-0.5 * least(par_mean / var_par + lat_mean / var_lat, 50)), 0.05), 1) ELSE 1 END AS reliability
 FROM w""",
 )
 def _(spark, sf):
@@ -206,8 +206,8 @@ nb AS (SELECT a.case_id, a.window_id, a.frame, a."row", a.col, count(*) AS n FRO
        ON a.case_id = b.case_id AND a.window_id = b.window_id AND a.frame = b.frame
        AND b."row" BETWEEN a."row" - 1 AND a."row" + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1 GROUP BY 1, 2, 3, 4, 5)
 SELECT k.case_id, k.window_id, k.frame, k."row", k.col,
-  CASE WHEN overlaps > 0 THEN 1.0 ELSE 0.0 END AS has_overlap,
-  CASE WHEN overlaps > 0 THEN ln(1 + par_mean / var_par + lat_mean / var_lat) ELSE 0.0 END AS log_disagreement,
+  CASE WHEN "overlaps" > 0 THEN 1.0 ELSE 0.0 END AS has_overlap,
+  CASE WHEN "overlaps" > 0 THEN ln(1 + par_mean / var_par + lat_mean / var_lat) ELSE 0.0 END AS log_disagreement,
   CASE WHEN t = 1 THEN 1.0 ELSE 1.0 - least(i, t - 1 - i) / greatest((t - 1) / 2.0, 1.0) END AS temporal_edge,
   ln(tot / m) AS log_relative_variance, 0.0 AS has_flow, 1.0 - nb.n / 9.0 AS validity_deficit
 FROM k JOIN md USING (case_id, window_id) JOIN fr USING (case_id, window_id, frame)
@@ -222,7 +222,7 @@ def _(spark, sf):
     "W4",
     "case_id:str window_id:str frame:long row:long col:long score:d",
     _VAR + """, k AS (SELECT *, sqrt(x * x + y * y + z * z) AS depth, var_par + 2 * var_lat AS tot,
-   CASE WHEN overlaps > 0 THEN least(greatest(exp(-0.5 * least(par_mean / var_par + lat_mean / var_lat, 50)), 0.05), 1) ELSE 1 END AS rel
+   CASE WHEN "overlaps" > 0 THEN least(greatest(exp(-0.5 * least(par_mean / var_par + lat_mean / var_lat, 50)), 0.05), 1) ELSE 1 END AS rel
    FROM w WHERE valid),
 md AS (SELECT case_id, window_id, frame, median(depth) AS md, median(tot) AS mt FROM k GROUP BY 1, 2, 3),
 sc AS (SELECT k.*, rel * (1 + (depth / md) ** 2) * mt / tot AS score FROM k JOIN md USING (case_id, window_id, frame)),
