@@ -25,6 +25,10 @@ def draw_index(seed: int, b: Column, i: Column, n: Column) -> Column:
     return x % n
 
 
+def _replicates(count: int) -> Column:
+    return F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint"))
+
+
 def group_bootstrap(
     values: DataFrame,
     keys: Sequence[str],
@@ -45,7 +49,7 @@ def group_bootstrap(
         *keys,
         F.col("__i_total").alias("__n"),
         (F.col("__i") - 1).alias("__slot"),
-        F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).cast("bigint").alias("__b"),
+        F.explode(_replicates(resamples)).alias("__b"),
     )
     drawn = slots.select(
         *keys, "__b", "__n", draw_index(seed, F.col("__b"), F.col("__slot"), F.col("__n")).alias("__pick")
@@ -97,7 +101,7 @@ def block_bootstrap(
     p = F.col("__i") - 1
     slots = numbered.select(
         *keys, F.col("__i_total").alias("__n"), p.alias("__p"),
-        F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).cast("bigint").alias("__b"),
+        F.explode(_replicates(resamples)).alias("__b"),
     )
     start = draw_index(seed, F.col("__b"), F.floor(F.col("__p") / block).cast("bigint"), F.col("__n"))
     drawn = slots.select(

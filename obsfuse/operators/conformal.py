@@ -147,9 +147,20 @@ def difference_covariance(a: v3.Sym, b: v3.Sym, cross_sum: v3.Sym | None = None)
 
 def row_scores(pairs: DataFrame) -> DataFrame:
     """sqrt(m2 / 3) of a - b for pairs with columns a_*, b_*, a_c_*, b_c_*."""
-    e = v3.sub(v3.vec("a_"), v3.vec("b_"))
-    cov = unknown_dependence_covariance(v3.sym("a_c_"), v3.sym("b_c_"))
-    return pairs.where("valid").withColumn("row_score", F.sqrt(v3.mahalanobis2(cov, e) / 3.0))  # type: ignore[arg-type]
+    # Staged in columns: each later expression reads every entry several times.
+    a, b = v3.sym("a_c_"), v3.sym("b_c_")
+    staged = pairs.where("valid").withColumns(
+        {
+            "__beta": F.sqrt(v3.trace(b) / v3.trace(a)),
+            **dict(zip(("__ex", "__ey", "__ez"), v3.sub(v3.vec("a_"), v3.vec("b_")), strict=True)),
+        }
+    )
+    beta = F.col("__beta")
+    staged = staged.withColumns(
+        {f"__s_{n}": (1 + beta) * p + (1 + 1 / beta) * q for n, p, q in zip(v3.SYM, a, b, strict=True)}
+    )
+    score = F.sqrt(v3.mahalanobis2(v3.sym("__s_"), v3.vec("__e")) / 3.0)
+    return staged.select(*pairs.columns, score.alias("row_score"))
 
 
 def case_scores(pairs: DataFrame, q: float = 0.9, keys: Sequence[str] = ("case_id",)) -> DataFrame:

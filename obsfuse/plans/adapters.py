@@ -212,7 +212,7 @@ def arms(spark: SparkSession, sf: str) -> DataFrame:
         F.substring("o_orderpriority", 1, 1).cast("int").alias("seed"),
         F.col("o_orderstatus").alias("arm_id"),
         F.col("o_orderkey").alias("record_id"),
-        (F.col("o_totalprice") / 1000.0).alias("metric"),
+        (F.col("o_totalprice") / 997.0).alias("metric"),
         (F.col("o_orderkey") % 10).cast("bigint").alias("correct"),
         F.lit(10).cast("bigint").alias("predicted"),
     )
@@ -222,7 +222,7 @@ ARMS_SQL = """v_arms AS (
   SELECT CAST(c_nationkey AS BIGINT) AS group_id, o_custkey AS case_id,
          CAST(year(o_orderdate) AS BIGINT) AS frame,
          CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS seed, o_orderstatus AS arm_id,
-         o_orderkey AS record_id, o_totalprice / 1000.0 AS metric,
+         o_orderkey AS record_id, o_totalprice / 997.0 AS metric,
          o_orderkey % 10 AS correct, CAST(10 AS BIGINT) AS predicted
   FROM orders JOIN customer ON o_custkey = c_custkey)"""
 
