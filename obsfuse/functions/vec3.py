@@ -133,7 +133,17 @@ def quad(m: Sym, v: Vec) -> Column:
 
 
 def mahalanobis2(m: Sym, v: Vec) -> Column:
-    return quad(inverse(m), v)
+    """v^T M^-1 v as one quotient: adjugate form over the determinant."""
+    xx, xy, xz, yy, yz, zz = m
+    a, b, c = v
+    form = (
+        (yy * zz - yz * yz) * a * a
+        + (xx * zz - xz * xz) * b * b
+        + (xx * yy - xy * xy) * c * c
+        + d(2.0)
+        * ((xz * yz - xy * zz) * a * b + (xy * yz - xz * yy) * a * c + (xy * xz - xx * yz) * b * c)
+    )
+    return form / det(m)
 
 
 def gaussian_nll(m: Sym, v: Vec) -> Column:

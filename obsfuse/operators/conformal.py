@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from obsfuse.functions import vec3 as v3
 from obsfuse.operators import ranking as rk
 from obsfuse.operators.joins import assert_disjoint
+from obsfuse.runtime import durable
 
 
 def upper_threshold(
@@ -166,7 +167,7 @@ def row_scores(pairs: DataFrame) -> DataFrame:
 def case_scores(pairs: DataFrame, q: float = 0.9, keys: Sequence[str] = ("case_id",)) -> DataFrame:
     """Per case: 'higher' quantile of row scores, mean, median, max, support fraction."""
     keys = list(keys)
-    rows = row_scores(pairs)
+    rows = durable(row_scores(pairs).select(*keys, "row_score"))  # scored once, ranked twice
     sums = rows.groupBy(*keys).agg(
         F.avg("row_score").alias("mean_score"), F.max("row_score").alias("max_score"), F.count(F.lit(1)).alias("supported")
     )
