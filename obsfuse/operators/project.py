@@ -226,24 +226,42 @@ def first_camera(samples: DataFrame, poses: DataFrame, keys: Sequence[str] = ("c
     return j.withColumns(dict(zip("xyz", v3.mat_vec(rt, off), strict=True))).select(*samples.columns)  # type: ignore[arg-type]
 
 
-def error_basis(df: DataFrame, reference: tuple[float, float, float] = (0.0, 1.0, 0.0)) -> DataFrame:
-    """Residual components along ray, tangent of the reference direction, and their cross.
+def error_basis(df: DataFrame, reference: str = "q") -> DataFrame:
+    """Residual components along the ray, the tangent of a reference direction, and
+    their cross product.
 
-    The tangent falls back to the x axis when the reference is parallel to the ray.
+    The reference direction is in columns ``<reference>x/y/z``; where it is parallel to
+    the ray the coordinate axis with the smallest ray component takes its place.
     """
     ray = v3.unit(v3.vec("r"))
+    staged = df.withColumns(dict(zip(("__rx", "__ry", "__rz"), ray, strict=True)))
+    r, q = v3.vec("__r"), v3.vec(reference)
 
     def tangent(v: v3.Vec) -> v3.Vec:
-        k = v3.dot(v, ray)
-        return tuple(a - k * b for a, b in zip(v, ray, strict=True))  # type: ignore[return-value]
-
-    t1 = tangent(tuple(v3.d(c) for c in reference))  # type: ignore[arg-type]
-    t2 = tangent((v3.d(1.0), v3.d(0.0), v3.d(0.0)))
-    use = v3.norm(t1) > 1e-6
-    t = v3.unit(tuple(F.when(use, a).otherwise(b) for a, b in zip(t1, t2, strict=True)))  # type: ignore[arg-type]
-    b = v3.cross(ray, t)
-    e = v3.vec("e")
-    return df.withColumns({"e_ray": v3.dot(e, ray), "e_tangent": v3.dot(e, t), "e_normal": v3.dot(e, b)})
+        k = v3.dot(v, r)
+        return tuple(a - k * b for a, b in zip(v, r, strict=True))  # type: ignore[return-value]
+
+    ax, ay, az = (F.abs(c) for c in r)
+    first = (ax <= ay) & (ax <= az)
+    second = ~first & (ay <= az)
+    axis = (
+        F.when(first, 1.0).otherwise(0.0),
+        F.when(second, 1.0).otherwise(0.0),
+        F.when(~first & ~second, 1.0).otherwise(0.0),
+    )
+    t1, t2 = tangent(q), tangent(axis)
+    use = v3.norm(t1) > 1e-10
+    raw = tuple(F.when(use, a).otherwise(b) for a, b in zip(t1, t2, strict=True))
+    staged = staged.withColumns(dict(zip(("__tx", "__ty", "__tz"), raw, strict=True)))
+    t = v3.unit(v3.vec("__t"))
+    staged = staged.withColumns(dict(zip(("__ux", "__uy", "__uz"), t, strict=True)))
+    u, e = v3.vec("__u"), v3.vec("e")
+    return staged.select(
+        *df.columns,
+        v3.dot(e, r).alias("e_ray"),
+        v3.dot(e, u).alias("e_tangent"),
+        v3.dot(e, v3.cross(r, u)).alias("e_normal"),
+    )
 
 
 def unproject_depth(depth: DataFrame, poses: DataFrame, keys: Sequence[str] = ("case_id", "frame"), confidence: float = 1.5) -> DataFrame:
