@@ -147,8 +147,13 @@ TYPE_VARIANCE = {"click": 0.9, "error": 1.6, "purchase": 0.6, "signup": 1.1, "vi
 
 
 def residuals(spark: SparkSession, sf: str) -> DataFrame:
-    """group, trajectory, step, frame, 3-D error, covariance, target norm, rays."""
-    e = read(spark, sf, "events").select(
+    """group, trajectory, step, frame, 3-D error, covariance, target norm."""
+    return residual_columns(read(spark, sf, "events"))
+
+
+def residual_columns(events: DataFrame) -> DataFrame:
+    """The residual view over any event table or stream (row-local)."""
+    e = events.select(
         F.col("user_id").alias("group_id"),
         F.col("event_type").alias("trajectory_id"),
         F.col("event_id").alias("step"),
