@@ -171,18 +171,25 @@ def covariance_polynomial(t: Transform, cov: np.ndarray, translation: bool = Tru
     return np.array(out).ravel()
 
 
-def gauge_covariance_columns(poly: Column, p: tuple[Column, Column, Column]) -> tuple[Column, ...]:
-    """Evaluate :func:`covariance_polynomial` coefficients at a point column."""
-    one = F.lit(1.0)
-    mono = [one, *p]
-    terms = [mono[a] * mono[b] for a, b in _PAIRS]
-    out = []
-    for k in range(6):
-        acc = poly[k] * terms[0]
-        for m in range(1, 10):
-            acc = acc + poly[6 * m + k] * terms[m]
-        out.append(acc)
-    return tuple(out)
+#: column names of the 60 coefficients; scalar non-null columns keep generated code small.
+POLY = [f"p{i:02d}" for i in range(60)]
+
+
+def gauge_covariance_columns(p: tuple[Column, Column, Column]) -> tuple[Column, ...]:
+    """Evaluate the ``POLY`` coefficient columns at a point column (Horner in x, y, z)."""
+    x, y, z = p
+
+    def c(m: int, k: int) -> Column:
+        return F.col(POLY[6 * m + k])
+
+    # monomials in _PAIRS order: 1, x, y, z, xx, xy, xz, yy, yz, zz
+    return tuple(
+        c(0, k)
+        + x * (c(1, k) + x * c(4, k) + y * c(5, k) + z * c(6, k))
+        + y * (c(2, k) + y * c(7, k) + z * c(8, k))
+        + z * (c(3, k) + z * c(9, k))
+        for k in range(6)
+    )
 
 
 def affine_columns(coeff: Column, size: int, p: tuple[Column, Column, Column]) -> list[Column]:

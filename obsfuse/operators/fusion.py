@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from obsfuse.functions import sim3
 from obsfuse.functions import vec3 as v3
@@ -282,23 +283,31 @@ def fuse(est: DataFrame, keys: Sequence[str], method: str, **options) -> DataFra
 # --- windows to estimates -----------------------------------------------------------
 
 
-def with_polynomials(gauges: DataFrame) -> DataFrame:
-    """Per-window coefficients of the gauge-induced covariance (points and flows)."""
-    schema = gauges.schema.simpleString()[7:-1] + ",poly:array<double>,flow_poly:array<double>"
+def with_polynomials(gauges: DataFrame, keys: Sequence[str], translation: bool = True) -> DataFrame:
+    """Transform and gauge-covariance coefficients per window as non-null scalar columns."""
+    names = [*sim3.GAUGE_COLUMNS, *sim3.POLY]
+    schema = T.StructType(
+        [T.StructField(k, gauges.schema[k].dataType, False) for k in keys] + [T.StructField(n, T.DoubleType(), False) for n in names]
+    )
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            point, flow = [], []
+            rows = []
             for row in b.to_dict("records"):
                 t = sim3.unpack(row)
                 cov = np.zeros((7, 7)) if row.get("cov") is None else sim3.square(row["cov"])
-                point.append(sim3.covariance_polynomial(t, cov).tolist())
-                flow.append(sim3.covariance_polynomial(t, cov, False).tolist())
-            yield b.assign(poly=point, flow_poly=flow)
+                coef = sim3.covariance_polynomial(t, cov, translation)
+                rows.append((*[row[k] for k in keys], *[row[c] for c in sim3.GAUGE_COLUMNS], *coef))
+            yield pd.DataFrame(rows, columns=[*keys, *names])
 
     return gauges.mapInPandas(build, schema)
 
 
+def _solid(*names: str) -> list[Column]:
+    """Nulls become NaN: non-nullable inputs keep the generated code of long formulas small."""
+    return [F.coalesce(F.col(n).cast("double"), F.lit(float("nan"))).alias(n) for n in names]
+
+
 def world_estimates(
     samples: DataFrame, gauges: DataFrame, keys: Sequence[str] = ("case_id",), flow: bool = False
 ) -> DataFrame:
@@ -307,19 +316,27 @@ def world_estimates(
     Samples carry ``ray`` columns rx, ry, rz and variances ``var_par``/``var_lat``;
     gauges carry scale, rotation, translation and a 7x7 ``cov``.
     """
-    g = with_polynomials(gauges).select(*keys, "window_id", *sim3.GAUGE_COLUMNS, "poly", "flow_poly")
-    j = attach(samples, g, [*keys, "window_id"], how="inner", salt_by=[c for c in ("frame", "row", "col") if c in samples.columns])
+    cell = [c for c in ("case_id", "frame", "row", "col") if c in samples.columns]
+    value = ["fx", "fy", "fz"] if flow else ["x", "y", "z"]
+    need = samples.select(*cell, "window_id", *_solid(*value, "rx", "ry", "rz", "var_par", "var_lat"))
+    g = with_polynomials(gauges, [*keys, "window_id"], not flow)
+    j = attach(need, g, [*keys, "window_id"], how="inner", salt_by=cell[1:])
     rot, s = sim3.rot_columns(), F.col("scale")
-    local = v3.vec("f") if flow else v3.vec()
+    local: v3.Vec = tuple(F.col(c) for c in value)  # type: ignore[assignment]
     world = v3.scale(s, v3.mat_vec(rot, local)) if flow else v3.apply_similarity(s, rot, sim3.t_columns(), local)
-    ray = v3.mat_vec(rot, v3.vec("r"))
-    base = v3.structured(s * s * F.col("var_par"), s * s * F.col("var_lat"), ray)
-    gauge = sim3.gauge_covariance_columns(F.col("flow_poly" if flow else "poly"), local)
-    return j.select(
-        *[c for c in ("case_id", "frame", "row", "col") if c in samples.columns],
-        F.col("window_id").alias("contributor"),
-        *v3.named(world, MEAN),
-        *v3.named_sym(v3.add(base, gauge)),  # type: ignore[arg-type]
+    ray = tuple(F.col(c) for c in ("rx", "ry", "rz"))
+    turned = v3.mat_vec(rot, ray)  # type: ignore[arg-type]
+    staged = j.select(
+        *cell, F.col("window_id").alias("contributor"), *v3.named(world, ["wx", "wy", "wz"]), *v3.named(turned, ["ux", "uy", "uz"]),
+        (s * s * F.col("var_par")).alias("vp"), (s * s * F.col("var_lat")).alias("vl"),
+        *[c.alias(f"g_{n}") for n, c in zip(v3.SYM, sim3.gauge_covariance_columns(local), strict=True)],
+    )
+    u = tuple(F.col(f"u{a}") for a in "xyz")
+    base = v3.structured(F.col("vp"), F.col("vl"), u)  # type: ignore[arg-type]
+    return staged.select(
+        *cell, "contributor",
+        *[F.col(f"w{a}").alias(a) for a in "xyz"],
+        *[(c + F.col(f"g_{n}")).alias(f"c_{n}") for n, c in zip(v3.SYM, base, strict=True)],
     )
 
 

@@ -330,30 +330,26 @@ def track_factors(tracks: DataFrame, effective: float = 64.0, cells: tuple[int,
 
 
 def gauge_coefficients(gauges: DataFrame, keys: Sequence[str], factor: bool = False) -> DataFrame:
-    """Per-gauge affine coefficients: ``poly`` (covariance), ``jac`` (3x7) and, when a
+    """Per-gauge affine coefficients: covariance polynomial, ``jac`` (3x7) and, when a
     column ``block`` (7 x R row-major) is present and ``factor`` is set, ``fac`` (3 x R)."""
-    extra = ", poly array<double>, jac array<double>" + (", fac array<double>, rank int" if factor else "")
+    extra = ", jac array<double>" + (", fac array<double>, rank int" if factor else "")
     base = [*keys, *sim3.GAUGE_COLUMNS]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in gauges.select(*base).schema.fields) + extra
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in gauges.select(*base).schema.fields)
+    schema += ", " + ", ".join(f"{c} double" for c in sim3.POLY) + extra
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = b[base].copy()
-            poly, jac, fac, rank = [], [], [], []
+            rows = []
             for row in b.to_dict("records"):
                 t = sim3.unpack(row)
                 cov = np.zeros((7, 7)) if row.get("cov") is None else sim3.square(row["cov"])
                 basis = sim3.jacobian_basis(t)
-                poly.append(sim3.covariance_polynomial(t, cov).tolist())
-                jac.append(basis.ravel().tolist())
+                out = [*[row[c] for c in base], *sim3.covariance_polynomial(t, cov), basis.ravel().tolist()]
                 if factor:
                     block = np.asarray(row["block"], dtype=float).reshape(7, -1)
-                    fac.append((basis @ block).ravel().tolist())
-                    rank.append(block.shape[1])
-            out["poly"], out["jac"] = poly, jac
-            if factor:
-                out["fac"], out["rank"] = fac, rank
-            yield out
+                    out += [(basis @ block).ravel().tolist(), block.shape[1]]
+                rows.append(out)
+            yield pd.DataFrame(rows, columns=[*base, *sim3.POLY, "jac", *(["fac", "rank"] if factor else [])])
 
     return gauges.mapInPandas(run, schema)
 
@@ -378,7 +374,7 @@ def stack_factors(rows: DataFrame, gauges: DataFrame, keys: Sequence[str], facto
     p, rot, s = v3.vec(), sim3.rot_columns(), F.col("scale")
     world = v3.apply_similarity(s, rot, sim3.t_columns(), p)
     cond = tuple(s * s * c for c in v3.congruence(rot, v3.sym()))
-    marg = v3.add(cond, sim3.gauge_covariance_columns(F.col("poly"), p))
+    marg = v3.add(cond, sim3.gauge_covariance_columns(p))
     cols = [
         *[F.col(c) for c in rows.columns],
         *v3.named(world, ["wx", "wy", "wz"]),

@@ -1,7 +1,7 @@
 """Group-balanced regressions fitted by Newton steps over Spark aggregations.
 
-Each iteration is one aggregation for gradient and Hessian (d^2 numbers) and one for the
-objective at all step fractions; only those sums reach the driver.
+Each iteration is one aggregation for objective, gradient and Hessian (d^2 numbers); only
+those sums reach the driver.
 """
 
 from __future__ import annotations
@@ -51,8 +51,11 @@ def standardise(df: DataFrame, size: int, features: str = "features", weight: st
     return Standardiser(center, [s if s > 1e-12 else 1.0 for s in scale])
 
 
+Evaluation = tuple[float, np.ndarray, np.ndarray]
+
+
 def newton(
-    derivatives: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]],
+    evaluate: Callable[[np.ndarray], Evaluation],
     objectives: Callable[[list[np.ndarray]], list[float]],
     start: np.ndarray,
     iterations: int,
@@ -61,23 +64,27 @@ def newton(
 ) -> tuple[np.ndarray, int, bool]:
     """Damped Newton: the first step fraction 1, 1/2, 1/4 ... that lowers the objective.
 
-    All fractions are evaluated in one aggregation.
+    ``evaluate`` returns objective, gradient and Hessian from one pass, so an accepted full
+    step costs one pass; shorter fractions are tried together in one more.
     """
     theta = start
+    value, grad, hess = evaluate(theta)
     for it in range(1, iterations + 1):
-        grad, hess = derivatives(theta)
         step = np.linalg.solve(hess + 1e-12 * np.eye(len(theta)), grad)
         if np.linalg.norm(step) <= tolerance * (1.0 + np.linalg.norm(theta)):
             return theta, it, True
-        fractions = [0.5**k for k in range(halvings)]
-        values = objectives([theta, *[theta - f * step for f in fractions]])
-        for f, v in zip(fractions, values[1:], strict=True):
-            if v < values[0] - 1e-14:
-                theta = theta - f * step
-                break
-        else:
-            return theta, it, False
-        if np.linalg.norm(f * step) <= tolerance * (1.0 + np.linalg.norm(theta)):
+        fraction, trial = 1.0, evaluate(theta - step)
+        if not trial[0] < value - 1e-14:
+            fractions = [0.5**k for k in range(1, halvings)]
+            found = objectives([theta - f * step for f in fractions])
+            good = [f for f, v in zip(fractions, found, strict=True) if v < value - 1e-14]
+            if not good:
+                return theta, it, bool(abs(trial[0] - value) <= 1e-12 * (1.0 + abs(value)))
+            fraction = good[0]
+            trial = evaluate(theta - fraction * step)
+        theta = theta - fraction * step
+        value, grad, hess = trial
+        if np.linalg.norm(fraction * step) <= tolerance * (1.0 + np.linalg.norm(theta)):
             return theta, it, True
     return theta, iterations, False
 
@@ -117,23 +124,24 @@ def fit_logistic(
     w, y = F.col("w"), F.col("label")
     d = size + 1
 
-    def derivatives(theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def loss(t: np.ndarray) -> Column:
+        z = _linear(cols[1:], t)
+        return F.sum(w * (F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - y * z))
+
+    def evaluate(theta: np.ndarray) -> Evaluation:
         p = data.withColumn("p", sigmoid(_linear(cols[1:], theta)))
         r = w * (F.col("p") - y)
         k = w * F.col("p") * (1 - F.col("p"))
         row = p.agg(
+            loss(theta).alias("o"),
             *[F.sum(r * cols[i]).alias(f"g{i}") for i in range(d)],
             *[F.sum(k * cols[i] * cols[j]).alias(f"h{i}_{j}") for i in range(d) for j in range(i, d)],
         ).collect()[0]
         grad = np.array([row[f"g{i}"] for i in range(d)]) + reg @ theta
         hess = np.array([[row[f"h{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)]) + reg
-        return grad, hess
+        return float(row["o"]) + 0.5 * float(theta @ reg @ theta), grad, hess
 
     def objectives(thetas: list[np.ndarray]) -> list[float]:
-        def loss(t: np.ndarray) -> Column:
-            z = _linear(cols[1:], t)
-            return F.sum(w * (F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - y * z))
-
         row = data.agg(*[loss(t).alias(f"o{i}") for i, t in enumerate(thetas)]).collect()[0]
         return [float(row[f"o{i}"]) + 0.5 * float(t @ reg @ t) for i, t in enumerate(thetas)]
 
@@ -141,7 +149,7 @@ def fit_logistic(
     start = np.zeros(d)
     clipped = min(max(rate, 1e-6), 1 - 1e-6)
     start[0] = np.log(clipped / (1 - clipped))
-    theta, n, ok = newton(derivatives, objectives, start, iterations, tolerance)
+    theta, n, ok = newton(evaluate, objectives, start, iterations, tolerance)
     model = LogisticModel(std, theta, n, ok)
     scored = rows.withColumn("p", model.probability())
     p = F.col("p")
@@ -185,58 +193,49 @@ def fit_choice(
 ) -> ChoiceModel:
     """Conditional logit over the candidates of each example (one is true).
 
-    Gradient and Hessian come from per-example sums of exp-weighted moments (two
-    aggregations), so an example of any size is combined on the map side.
+    Gradient and Hessian come from per-example sums of exp-weighted moments, so an example
+    of any size is combined on the map side.  An overflowing trial step has an infinite
+    objective and is halved.
     """
     rows = durable(example_weights(df))
     linked = rows.where(F.col("kind") != "null")
     std = standardise(linked, size)
     null = F.when(F.col("kind") == "null", 1.0).otherwise(0.0)
-    x = [F.when(F.col("kind") == "null", 0.0).otherwise(c) for c in std.columns()]
-    data = durable(
-        rows.select("example_id", "w", F.col("is_true").alias("t"), null.alias("x0"), *[c.alias(f"x{i + 1}") for i, c in enumerate(x)])
-    )
     d = size + 1
-    cols = [F.col(f"x{i}") for i in range(d)]
+    x = [null, *[F.when(F.col("kind") == "null", 0.0).otherwise(c) for c in std.columns()]]
+    wide = rows.select("example_id", "w", "is_true", *[c.alias(f"x{i}") for i, c in enumerate(x)])
+    true = wide.where("is_true").select("example_id", *[F.col(f"x{i}").alias(f"t{i}") for i in range(d)])
+    # candidates relative to the true one: the softmax and all moments only need these
+    data = durable(attach(wide, true, ["example_id"], how="inner").select("example_id", "w", *[(F.col(f"x{i}") - F.col(f"t{i}")).alias(f"d{i}") for i in range(d)]))
+    cols = [F.col(f"d{i}") for i in range(d)]
+    tri = [(i, j) for i in range(d) for j in range(i, d)]
 
     def logit(theta: np.ndarray) -> Column:
         return sum((F.lit(float(t)) * c for t, c in zip(theta, cols, strict=True)), F.lit(0.0))
 
-    def derivatives(theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        l = data.withColumn("l", logit(theta))  # noqa: E741
-        top = l.groupBy("example_id").agg(F.max("l").alias("top"))
-        e = attach(l, top, ["example_id"]).withColumn("e", F.exp(F.col("l") - F.col("top")))
-        tri = [(i, j) for i in range(d) for j in range(i, d)]
+    def evaluate(theta: np.ndarray) -> Evaluation:
+        e = data.withColumn("e", F.exp(logit(theta)))
         per = e.groupBy("example_id").agg(
             F.max("w").alias("w"), F.sum("e").alias("s"),
             *[F.sum(F.col("e") * cols[i]).alias(f"a{i}") for i in range(d)],
-            *[F.sum(F.when(F.col("t"), cols[i])).alias(f"t{i}") for i in range(d)],
             *[F.sum(F.col("e") * cols[i] * cols[j]).alias(f"b{i}_{j}") for i, j in tri],
         )
         m = [F.col(f"a{i}") / F.col("s") for i in range(d)]
         row = per.agg(
-            *[F.sum(F.col("w") * (m[i] - F.col(f"t{i}"))).alias(f"g{i}") for i in range(d)],
+            F.sum(F.col("w") * F.log("s")).alias("o"),
+            *[F.sum(F.col("w") * m[i]).alias(f"g{i}") for i in range(d)],
             *[F.sum(F.col("w") * (F.col(f"b{i}_{j}") / F.col("s") - m[i] * m[j])).alias(f"h{i}_{j}") for i, j in tri],
         ).collect()[0]
         grad = np.array([row[f"g{i}"] for i in range(d)]) + ridge * theta
         hess = np.array([[row[f"h{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)]) + ridge * np.eye(d)
-        return grad, hess
+        return float(row["o"]) + 0.5 * ridge * float(theta @ theta), grad, hess
 
     def objectives(thetas: list[np.ndarray]) -> list[float]:
-        l = data.withColumns({f"l{k}": logit(t) for k, t in enumerate(thetas)})  # noqa: E741
-        top = l.groupBy("example_id").agg(*[F.max(f"l{k}").alias(f"m{k}") for k in range(len(thetas))])
-        j = attach(l, top, ["example_id"])
-        per = j.groupBy("example_id").agg(
-            F.max("w").alias("w"),
-            *[
-                (F.log(F.sum(F.exp(F.col(f"l{k}") - F.col(f"m{k}")))) + F.max(f"m{k}") - F.sum(F.when(F.col("t"), F.col(f"l{k}")))).alias(f"o{k}")
-                for k in range(len(thetas))
-            ],
-        )
-        row = per.agg(*[F.sum(F.col("w") * F.col(f"o{k}")).alias(f"o{k}") for k in range(len(thetas))]).collect()[0]
+        per = data.groupBy("example_id").agg(F.max("w").alias("w"), *[F.sum(F.exp(logit(t))).alias(f"s{k}") for k, t in enumerate(thetas)])
+        row = per.agg(*[F.sum(F.col("w") * F.log(f"s{k}")).alias(f"o{k}") for k in range(len(thetas))]).collect()[0]
         return [float(row[f"o{k}"]) + 0.5 * ridge * float(t @ t) for k, t in enumerate(thetas)]
 
-    theta, n, ok = newton(derivatives, objectives, np.zeros(d), iterations, tolerance, 24)
+    theta, n, ok = newton(evaluate, objectives, np.zeros(d), iterations, tolerance, 24)
     return ChoiceModel(std, theta, n, ok)
 
 
@@ -347,9 +346,14 @@ def fit_variance_regression(
     def eta(t: np.ndarray) -> Column:
         return F.least(F.greatest(_linear(cols[1:], t), F.lit(base.lower)), F.lit(base.upper))
 
-    def derivatives(theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def loss(t: np.ndarray) -> Column:
+        parts = [eta(t[k * d : k * d + d]) for k in range(3)]
+        return F.sum(w * sum((0.5 * (p + F.col(f"r{k}") * F.exp(-p)) for k, p in enumerate(parts)), F.lit(0.0)))
+
+    def evaluate(theta: np.ndarray) -> Evaluation:
         q = data.withColumns({f"q{k}": F.col(f"r{k}") * F.exp(-eta(theta[k * d : k * d + d])) for k in range(3)})
         row = q.agg(
+            loss(theta).alias("o"),
             *[F.sum(0.5 * w * (1 - F.col(f"q{k}")) * cols[i]).alias(f"g{k}_{i}") for k in range(3) for i in range(d)],
             *[F.sum(0.5 * w * F.col(f"q{k}") * cols[i] * cols[j]).alias(f"h{k}_{i}_{j}") for k in range(3) for i in range(d) for j in range(i, d)],
         ).collect()[0]
@@ -357,21 +361,17 @@ def fit_variance_regression(
         hess = penalty.copy()
         for k in range(3):
             hess[k * d : k * d + d, k * d : k * d + d] += np.array([[row[f"h{k}_{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)])
-        return grad, hess
+        return float(row["o"]) + 0.5 * float(theta @ penalty @ theta), grad, hess
 
     def objectives(thetas: list[np.ndarray]) -> list[float]:
-        def value(t: np.ndarray) -> Column:
-            parts = [eta(t[k * d : k * d + d]) for k in range(3)]
-            return F.sum(w * sum((0.5 * (p + F.col(f"r{k}") * F.exp(-p)) for k, p in enumerate(parts)), F.lit(0.0)))
-
-        row = data.agg(*[value(t).alias(f"o{i}") for i, t in enumerate(thetas)]).collect()[0]
+        row = data.agg(*[loss(t).alias(f"o{i}") for i, t in enumerate(thetas)]).collect()[0]
         return [float(row[f"o{i}"]) + 0.5 * float(t @ penalty @ t) for i, t in enumerate(thetas)]
 
     mean = data.agg(*[F.sum(w * F.col(f"r{k}")).alias(f"m{k}") for k in range(3)]).collect()[0]
     start = np.zeros(3 * d)
     for k in range(3):
         start[k * d] = np.log(max(float(mean[f"m{k}"]), base.floor))
-    theta, n, ok = newton(derivatives, objectives, start, iterations, tolerance)
+    theta, n, ok = newton(evaluate, objectives, start, iterations, tolerance)
     return VarianceRegression(std, theta.reshape(3, d), n, ok)
 
 

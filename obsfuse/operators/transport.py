@@ -40,7 +40,8 @@ def robust_scale(embeddings: DataFrame, absolute_floor: float = 1e-6, relative_f
     )
     item = F.array_sort(F.collect_list(F.struct("i", F.col("med").alias("c"), scale.alias("s"), "lo", "hi")))
     p = j.agg(item.alias("p"))
-    return p.select(*[F.transform("p", lambda e, n=n: e[n]).alias(a) for n, a in (("c", "center"), ("s", "scale"), ("lo", "lo"), ("hi", "hi"))])
+    # arrays of structs expose their fields as arrays
+    return p.select(F.col("p.c").alias("center"), F.col("p.s").alias("scale"), F.col("p.lo").alias("lo"), F.col("p.hi").alias("hi"))
 
 
 def nearest_units(

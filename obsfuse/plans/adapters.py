@@ -170,7 +170,7 @@ def residual_columns(events: DataFrame) -> DataFrame:
         "trajectory_id",
         "step",
         "frame",
-        ((F.col("value") - 50.0) / 40.0).alias("ex"),
+        ((F.col("value") - 50.0) / 39.7).alias("ex"),
         ((F.col("k") - 49.5) / 30.0).alias("ey"),
         ((j - 50) / 30.0).alias("ez"),
         var.alias("c_xx"),
@@ -188,7 +188,7 @@ _CASE = "CASE event_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in TYPE_VA
 RESID_SQL = f"""v_resid AS (
   SELECT user_id AS group_id, event_type AS trajectory_id, event_id AS step,
          epoch_us(ts) // 86400000000 AS frame,
-         (value - 50.0) / 40.0 AS ex, (k - 49.5) / 30.0 AS ey,
+         (value - 50.0) / 39.7 AS ex, (k - 49.5) / 30.0 AS ey,
          ((event_id * 7919) % 101 - 50) / 30.0 AS ez,
          v AS a, CAST(0.2 AS DOUBLE) AS b, v + 0.3 AS c, 0.5 + k / 100.0 AS e,
          1.0 + k / 10.0 AS target_norm, k % 10 <> 3 AS valid
