@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Vec = tuple[Column, Column, Column]
@@ -113,6 +113,32 @@ def inverse(m: Sym) -> Sym:
     )
 
 
+def inverse_scaled(m: Sym, k: Column) -> Sym:
+    """Adjugate times ``k`` (a staged 1 / det column)."""
+    xx, xy, xz, yy, yz, zz = m
+    return (
+        (yy * zz - yz * yz) * k,
+        (xz * yz - xy * zz) * k,
+        (xy * yz - xz * yy) * k,
+        (xx * zz - xz * xz) * k,
+        (xy * xz - xx * yz) * k,
+        (xx * yy - xy * xy) * k,
+    )
+
+
+def with_inverse(df: DataFrame, source: str, target: str) -> DataFrame:
+    """Add the inverse of the packed columns ``source*`` as ``target*``.
+
+    The determinant is staged in its own projection, so it is evaluated once per row and
+    later formulas see plain columns instead of nested copies.
+    """
+    m = sym(source)
+    staged = df.withColumn("__k", d(1.0) / det(m))
+    return staged.withColumns(
+        {f"{target}{s}": c for s, c in zip(SYM, inverse_scaled(m, F.col("__k")), strict=True)}
+    ).drop("__k")
+
+
 def ill_conditioned(m: Sym, ratio: float = 1e-9) -> Column:
     """Rows whose closed-form inverse is unsafe and need the eigenvalue floor."""
     t = trace(m) / 3.0

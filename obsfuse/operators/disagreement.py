@@ -33,14 +33,14 @@ class VarianceModel:
 
 def with_rays(samples: DataFrame) -> DataFrame:
     """Unit ray from the stored direction, else from the point (zero at the origin)."""
-    own = v3.unit(v3.vec())
     if "rx" in samples.columns:
-        stored = v3.unit(v3.vec("r"))
         has = F.col("rx").isNotNull()
-        rays = tuple(F.when(has, s).otherwise(o) for s, o in zip(stored, own, strict=True))
+        raw = tuple(F.when(has, F.col(f"r{c}")).otherwise(F.col(c)).cast("double") for c in "xyz")
     else:
-        rays = own
-    return samples.withColumns(dict(zip(("rx", "ry", "rz"), rays, strict=True)))
+        raw = v3.vec()
+    staged = samples.withColumns(dict(zip(("__ux", "__uy", "__uz"), raw, strict=True))).withColumn("__un", v3.norm(v3.vec("__u")))
+    unit = {f"r{c}": F.when(F.col("__un") > 1e-12, F.col(f"__u{c}") / F.col("__un")).otherwise(F.lit(0.0)) for c in "xyz"}
+    return staged.withColumns(unit).drop("__ux", "__uy", "__uz", "__un")
 
 
 def pair_disagreement(pairs: DataFrame) -> DataFrame:
@@ -53,13 +53,19 @@ def pair_disagreement(pairs: DataFrame) -> DataFrame:
     target, source = v3.vec("p"), v3.vec("s")
     ref_ray = v3.vec("pr") if "prx" in pairs.columns else v3.unit(target)
     mov_ray = v3.mat_vec(rot, v3.vec("sr") if "srx" in pairs.columns else v3.unit(source))
+    # staged: residual and rays, then their sum, then the split (each is read repeatedly)
     res = v3.sub(target, v3.apply_similarity(s, rot, t, source))
-    total = v3.add(ref_ray, mov_ray)
-    n = v3.norm(total)  # type: ignore[arg-type]
-    ray = tuple(F.when(n > 1e-12, a / n).otherwise(r) for a, r in zip(total, ref_ray, strict=True))
-    par = v3.dot(res, ray) ** 2  # type: ignore[arg-type]
-    sq = v3.dot(res, res)  # type: ignore[arg-type]
-    return pairs.select("*", par.alias("par"), (F.lit(0.5) * F.greatest(sq - par, F.lit(0.0))).alias("lat"))
+    one = pairs.select(
+        *[c for c in pairs.columns if c not in {*sim3.GAUGE_COLUMNS}],
+        *v3.named(res, ["__ex", "__ey", "__ez"]), *v3.named(ref_ray, ["__ax", "__ay", "__az"]), *v3.named(mov_ray, ["__bx", "__by", "__bz"]),
+    )
+    two = one.withColumns({f"__q{c}": F.col(f"__a{c}") + F.col(f"__b{c}") for c in "xyz"})
+    two = two.withColumn("__n", v3.norm(v3.vec("__q")))
+    ray = tuple(F.when(F.col("__n") > 1e-12, F.col(f"__q{c}") / F.col("__n")).otherwise(F.col(f"__a{c}")) for c in "xyz")
+    e = v3.vec("__e")
+    three = two.withColumns({"par": v3.dot(e, ray) ** 2, "__sq": v3.dot(e, e)})  # type: ignore[arg-type]
+    kept = [c for c in pairs.columns if c not in {*sim3.GAUGE_COLUMNS}]
+    return three.select(*kept, "par", (F.lit(0.5) * F.greatest(F.col("__sq") - F.col("par"), F.lit(0.0))).alias("lat"))
 
 
 def accumulate(scored: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from obsfuse.functions import sim3
 from obsfuse.functions import vec3 as v3
 from obsfuse.operators.ranking import representative_positions
-from obsfuse.runtime import attach
+from obsfuse.runtime import attach, durable
 
 INFO = [f"i_{s}" for s in v3.SYM]
 MEAN = ["x", "y", "z"]
@@ -46,7 +46,7 @@ def information(df: DataFrame) -> DataFrame:
             inv = sim3.floored_inverse(full) if len(full) else full
             yield b.assign(**{n: inv[:, i, j] for n, (i, j) in zip(INFO, sim3._SYM, strict=True)})
 
-    regular = df.where(~bad).select("*", *v3.named(v3.inverse(v3.sym()), INFO))
+    regular = v3.with_inverse(df.where(~bad), "c_", "i_")
     return regular.unionByName(df.where(bad).mapInPandas(floored, out))
 
 
@@ -55,12 +55,10 @@ def _finish(info_sums: DataFrame, keys: Sequence[str], extra: Sequence[str] = ()
 
     Cells with one contributor keep their own mean and covariance unchanged.
     """
-    m = tuple(F.col(f"s_{s}") for s in v3.SYM)
-    vec = tuple(F.col(f"q_{c}") for c in "xyz")
-    cov = v3.inverse(m)
-    mean = v3.sym_vec(cov, vec)
+    cov = v3.sym("v_")
+    mean = v3.sym_vec(cov, v3.vec("q_"))
     single = F.col("contributors") == 1
-    return info_sums.select(
+    return v3.with_inverse(info_sums, "s_", "v_").select(
         *keys,
         *[F.when(single, F.col(f"only_{n}")).otherwise(c).alias(n) for n, c in zip(MEAN, mean, strict=True)],
         *[F.when(single, F.col(f"only_{n}")).otherwise(c).alias(n) for n, c in zip(COV, cov, strict=True)],
@@ -110,9 +108,15 @@ def _with_pattern(est: DataFrame, keys: Sequence[str]) -> DataFrame:
     return cells.withColumn("pattern", F.transform("members", lambda m: m["contributor"].cast("string")))
 
 
-def _pair_log_det(w: Column, a: Column, b: Column) -> Column:
-    mixed = tuple(w * a[i] + (F.lit(1.0) - w) * b[i] for i in INFO)
-    return -F.log(v3.det(mixed))  # type: ignore[arg-type]
+def _split_pair(cells: DataFrame) -> DataFrame:
+    """Information of both members as scalar columns a_i_*, b_i_*."""
+    return cells.withColumns({f"{s}_{i}": F.col("members")[k][i] for k, s in enumerate("ab") for i in INFO})
+
+
+def _mixed_log_det(df: DataFrame, w: Column, name: str) -> DataFrame:
+    """Add -log det(w A + (1 - w) B); the mix is staged before its determinant."""
+    mixed = {f"__m_{s}": w * F.col(f"a_i_{s}") + (F.lit(1.0) - w) * F.col(f"b_i_{s}") for s in v3.SYM}
+    return df.withColumns(mixed).withColumn(name, -F.log(v3.det(v3.sym("__m_")))).drop(*mixed)
 
 
 def _first_improvement(entries: Column) -> Column:
@@ -137,9 +141,8 @@ def pair_weights(sample: DataFrame, groups: Sequence[str], grid_size: int = 21,
             for i, w in enumerate(ci_weight_grid(grid_size, minimum))
         ]
     )
-    scored = sample.withColumn("g", F.explode(grid)).withColumn(
-        "score", _pair_log_det(F.col("g.weight"), F.col("members")[0], F.col("members")[1])
-    )
+    pairs = _split_pair(sample).select(*groups, *[f"{s}_{i}" for s in "ab" for i in INFO], F.explode(grid).alias("g"))
+    scored = _mixed_log_det(pairs, F.col("g.weight"), "score")
     means = scored.groupBy(*groups, F.col("g.visit").alias("visit"), F.col("g.weight").alias("weight")).agg(
         F.avg("score").alias("score")
     )
@@ -223,7 +226,7 @@ def fuse_covariance_intersection(
     scan order; every row of the pattern is then fused with them.
     """
     frame_keys, order = list(frame_keys), list(order or keys)
-    cells = _with_pattern(est, keys)
+    cells = durable(_with_pattern(est, keys))  # read by the sample and by the final pass
     groups = [*frame_keys, "pattern"]
     multi = cells.where(F.size("members") > 1)
     sample = representative_positions(multi, groups, order, sample_size)
@@ -244,30 +247,24 @@ def fuse_covariance_intersection(
 
 
 def fuse_ci_pointwise(est: DataFrame, keys: Sequence[str], grid_size: int = 21) -> DataFrame:
-    """Two-contributor CI with the weight chosen per row (diagnostic alternative)."""
-    cells = _with_pattern(est, keys)
-    grid = ci_weight_grid(grid_size)
-    a, b = F.col("members")[0], F.col("members")[1]
-    scored = cells.where(F.size("members") == 2).withColumn(
-        "w",
-        _first_improvement(
-            F.array(
-                *[
-                    F.struct(F.lit(i).alias("visit"), _pair_log_det(F.lit(w), a, b).alias("score"), F.lit(w).alias("weight"))
-                    for i, w in enumerate(grid)
-                ]
-            )
-        ),
+    """Two-contributor CI with the weight chosen per row (diagnostic alternative).
+
+    The grid is exploded per cell and folded back per cell, so one row carries one
+    determinant instead of twenty-one nested ones.
+    """
+    cells = _split_pair(_with_pattern(est, keys).where(F.size("members") == 2))
+    entries = F.array(
+        *[F.struct(F.lit(i).alias("visit"), F.lit(w).alias("weight")) for i, w in enumerate(ci_weight_grid(grid_size))]
     )
-    w = F.col("w")
-    info = tuple(w * a[i] + (1 - w) * b[i] for i in INFO)
-    iva = v3.sym_vec(tuple(a[i] for i in INFO), tuple(a[c] for c in MEAN))
-    ivb = v3.sym_vec(tuple(b[i] for i in INFO), tuple(b[c] for c in MEAN))
-    vec = tuple(w * p + (1 - w) * q for p, q in zip(iva, ivb, strict=True))
-    cov = v3.inverse(info)  # type: ignore[arg-type]
-    return scored.select(
-        *keys, *v3.named(v3.sym_vec(cov, vec), MEAN), *v3.named_sym(cov), F.lit(2).alias("contributors"), "w"
+    tried = cells.select(*keys, *[f"{s}_{i}" for s in "ab" for i in INFO], F.explode(entries).alias("g"))
+    scored = _mixed_log_det(tried, F.col("g.weight"), "score")
+    best = scored.groupBy(*keys).agg(
+        _first_improvement(F.collect_list(F.struct(F.col("g.visit").alias("visit"), "score", F.col("g.weight").alias("weight")))).alias("w")
     )
+    rows = cells.select(*keys, F.inline(F.arrays_zip(F.col("members"), F.array(F.lit(0), F.lit(1)).alias("k")))).select(*keys, "members.*", "k")
+    w = F.when(F.col("k") == 0, F.col("w")).otherwise(1 - F.col("w"))
+    sums = rows.join(best, list(keys)).groupBy(*keys).agg(*_information_sums(w), F.max("w").alias("w"))
+    return _finish(sums, keys, ["w"])
 
 
 def fuse(est: DataFrame, keys: Sequence[str], method: str, **options) -> DataFrame:  # noqa: ANN003

@@ -73,7 +73,7 @@ def _apply(weights: str) -> str:
     "fuse_ci_pointwise",
     "A7",
     _FUSED + " w:d",
-    f"WITH {_PAIRS}, best AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY score, visit) AS k FROM sc) "
+    f"WITH {_PAIRS}, best AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY round(score, 10), visit) AS k FROM sc) "
     + _apply("SELECT * FROM best WHERE k = 1"),
 )
 def _(spark, sf):

@@ -496,7 +496,7 @@ def _(spark, sf):
 
 # --- units ---------------------------------------------------------------------------------------
 
-_EMB = """r AS (SELECT label AS unit_id, unnest(range(0, 8)) AS f, unnest(list_transform(embedding[1:8], x -> CAST(x AS DOUBLE))) AS v FROM embeddings),
+_EMB = """r AS (SELECT label AS unit_id, unnest(range(0, 8)) AS f, unnest(CAST(embedding[1:8] AS DOUBLE[])) AS v FROM embeddings),
 q AS (SELECT unit_id, f, count(*) AS n, quantile_cont(v, 0.1) AS q0, quantile_cont(v, 0.5) AS q1, quantile_cont(v, 0.9) AS q2 FROM r GROUP BY 1, 2),
 l AS (SELECT unit_id, 3 * f AS i, q0 AS v, n FROM q UNION ALL SELECT unit_id, 3 * f + 1, q1, n FROM q UNION ALL SELECT unit_id, 3 * f + 2, q2, n FROM q),
 c AS (SELECT i, median(v) AS med, quantile_cont(v, 0.25) AS a, quantile_cont(v, 0.75) AS b, max(abs(v)) AS pk FROM l GROUP BY 1),

@@ -140,8 +140,8 @@ def batch_preflight(payloads: DataFrame, cutoff: int | None = None) -> DataFrame
         bad(F.col("dtype") != F.col("ref.dtype"), "point-dtype-mismatch", F.col("ref.dtype"), F.col("dtype")),
         bad(opt != ropt, "optional-field-mismatch", ropt, opt),
     )
-    rows = j.select(F.col("ref.payload_id").alias("reference_payload_id"), "payload_id", F.explode(F.filter(found, lambda v: v.isNotNull())).alias("v"))
-    rows = rows.select("reference_payload_id", "payload_id", "v.code", "v.expected", "v.observed")
+    rows = j.select(F.col("ref.payload_id").alias("reference_payload_id"), "payload_id", F.explode(found).alias("v"))
+    rows = rows.where("v IS NOT NULL").select("reference_payload_id", "payload_id", "v.code", "v.expected", "v.observed")
     empty = kept.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(
         F.lit(None).cast("string").alias("reference_payload_id"), F.lit(None).cast("string").alias("payload_id"),
         F.lit("no-causally-admitted-payloads").alias("code"), F.lit("at least one").alias("expected"), F.lit("0").alias("observed"),
