@@ -347,7 +347,8 @@ def fuse_windows(
     """
     keys = ["case_id", "frame", "row", "col"]
     options = {"frame_keys": ["case_id", "frame"], "order": ["row", "col"]} if method == "covariance_intersection" else {}
-    points = fuse(world_estimates(samples.where("valid"), gauges), keys, method, **options).drop("weights")
+    world = durable(world_estimates(samples.where("valid"), gauges))  # scanned once per conditioning branch
+    points = fuse(world, keys, method, **options).drop("weights")
     if "fx" not in samples.columns:
         return points
     flows = fuse(world_estimates(samples.where("deform"), gauges, flow=True), keys, method, **options).drop("weights")
