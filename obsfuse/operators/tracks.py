@@ -74,7 +74,8 @@ def spatial_seeds(
             for c in anchors(int(cb[j]), int(cb[j + 1])):
                 if not free.any() or (maximum_per_cell is not None and len(out) >= maximum_per_cell):
                     break
-                d = np.where(free, (pts[:, 0] - r) ** 2 + (pts[:, 1] - c) ** 2, np.iinfo(np.int64).max)
+                d = ((pts[:, 0] - r) ** 2 + (pts[:, 1] - c) ** 2).astype(float)
+                d[~free] = np.inf
                 k = int(np.argmin(d))  # rows are in scan order, so the first minimum is the tie rule
                 free[k] = False
                 out.append(pts[k])

@@ -29,7 +29,7 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def bundle_windows(spark: SparkSession, path: str) -> DataFrame:
     """Windows and baselines of every bundle manifest, with absolute member paths."""
     m = _read(spark, path, BUNDLE)
-    root = F.regexp_replace("manifest_path", r"[^/]*$", "")
+    root = F.regexp_replace(F.regexp_replace("manifest_path", r"[^/]*$", ""), "^file:/+", "file:/")
     base = F.array(
         F.struct(F.lit("baseline_disjoint").alias("window_id"), F.col("disjoint_baseline").alias("path"), F.lit(0).cast("bigint").alias("start_frame"), F.lit(None).cast("bigint").alias("stop_frame")),
         F.struct(F.lit("baseline_latent_linear").alias("window_id"), F.col("latent_linear_baseline").alias("path"), F.lit(0).cast("bigint").alias("start_frame"), F.lit(None).cast("bigint").alias("stop_frame")),
@@ -47,6 +47,7 @@ def read_bundle(spark: SparkSession, path: str, case_id: str, schema_name: str |
     listed = bundle_windows(spark, path)
     roots = [r[0] for r in listed.select(F.regexp_replace("path", r"[^/]*$", "")).distinct().collect()]  # folders of one bundle
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(roots)
+    files = files.withColumn("path", F.regexp_replace("path", "^file:/+", "file:/"))
     violations(listed.join(files.select("path"), "path", "left_anti"), "listed archive is missing")
     j = files.select("path", "content").join(listed, "path")
     return decode_archives(j.withColumn("case_id", F.lit(case_id)), schema_name)

@@ -84,7 +84,7 @@ def test_causal_tracklets_follow_flow_and_ignore_the_future(spark, folder):
     out, report = tracks.causal_tracklets(df, 3, seeds, cfg)
     rows = out.toPandas()
     assert rows.groupby("track_id").frame.count().eq(3).all() and rows.groupby("track_id").row.nunique().eq(1).all()
-    assert report.count() == 0
+    assert {r.reason: r.tracks for r in report.collect()} == {}
     short, _ = tracks.causal_tracklets(df, 2, seeds, cfg)
     a = rows[rows.frame < 2].sort_values(["track_id", "frame"]).association_probability
     b = short.toPandas().sort_values(["track_id", "frame"]).association_probability
