@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from obsfuse.llm import jaccard_join
+from obsfuse.llm import jaccard_join, line_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: DuckDB SQL for the rows of a query, where SQL can express it.
@@ -30,3 +30,8 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 @_query("op1_jaccard_join")
 def op1(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_join.near_duplicates(_table(spark, sf, "documents"))
+
+
+@_query("op9_line_dedup")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return line_dedup.dedup_lines(_table(spark, sf, "documents").select("doc_id", "text"))
