@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from obsfuse.llm import jaccard_join, line_dedup
+from obsfuse.llm import jaccard_join, line_dedup, pii, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: DuckDB SQL for the rows of a query, where SQL can express it.
@@ -35,3 +36,28 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
 @_query("op9_line_dedup")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return line_dedup.dedup_lines(_table(spark, sf, "documents").select("doc_id", "text"))
+
+
+def _held_out(modulus: int, rest: int) -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus)) == rest
+
+
+def toxicity_machine(spark: SparkSession, docs: DataFrame, sf: str) -> toxicity.Machine:
+    """The machine of ``op4`` and of the pipeline, fitted on labels that are not held out."""
+    return toxicity.fit_toxicity(docs, _table(spark, sf, "labels").where(~_held_out(4, 2)))
+
+
+@_query("op4_toxicity")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents")
+    scored = toxicity.score_toxicity(docs, toxicity_machine(spark, docs, sf))
+    return scored.select("doc_id", _held_out(4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@_query("op8_pii")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents")
+    found = pii.find_pii(docs, pii.fit_finder(docs))
+    counts = [F.expr(f"size(filter(base, s -> s.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    said = {c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",") for c in ("base", "spans")}
+    return found.select("doc_id", *counts, F.sha2(said["base"], 256).alias("base_sha256"), said["spans"].alias("spans"))
