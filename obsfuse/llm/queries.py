@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsfuse.llm import jaccard_join, line_dedup, packing, pii, toxicity
+from obsfuse.llm import jaccard_join, line_dedup, packing, pii, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: DuckDB SQL for the rows of a query, where SQL can express it.
@@ -67,3 +67,8 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
 @_query("op5_packing")
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@_query("op6_token_counts")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
