@@ -14,6 +14,7 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -22,36 +23,58 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from obsfuse.llm.bpe import Merges, word_pattern
 from obsfuse.llm.store import texts
 
 #: Pieces of a class that are numbered in one task.
 SHARE = 50_000
-#: Words that a task remembers; more are encoded again (this changes speed only).
-REMEMBERED = 400_000
+#: Words that a worker remembers; more are encoded again (this changes speed only).
+REMEMBERED = 600_000
 
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
+#: Words that the library itself encodes: special strings, odd spaces, letters beyond Latin (their normal forms).
+_RARE = re.compile("[^!-~\xa1-\u024f]|<\\|")
 
 
 class WordIds:
-    """Token ids of texts, word by word, for tokenizers that never cross white space."""
+    """Token ids of texts, word by word, for tokenizer files that never cross white space."""
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges, self.split = Merges(path), word_pattern().findall
         self.known: dict[str, bytes] = {}
 
-    def ids(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
-        words = _SPACE.split(text) if _ODD_SPACE.search(text) else text.split()
-        new = set(words).difference(self.known)
-        if new:
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known = {}
-                new = set(words)
-            listed = list(new)
-            for word, got in zip(listed, self.tokenizer.encode_batch(listed, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(got.ids, "<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, words))
+    def _encoded(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        rare = [w for w in words if _RARE.search(w)]
+        if rare:
+            for word, got in zip(rare, self.tokenizer.encode_batch(rare, add_special_tokens=False), strict=True):
+                yield word, np.array(got.ids, "<u4").tobytes()
+            words = list(set(words).difference(rare))
+        parts = [self.split(w.lower()) for w in words]
+        flat, count = self.merges.encode([p.encode() for part in parts for p in part])
+        raw = flat.astype("<u4").tobytes()
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        ends = 4 * np.concatenate([[0], np.cumsum(count)])[np.cumsum(size)]
+        start = 0
+        for word, end in zip(words, ends.tolist(), strict=True):
+            yield word, raw[start:end]
+            start = end
+
+    def ids(self, batch: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit numbers."""
+        listed = [_SPACE.split(t) if _ODD_SPACE.search(t) else t.split() for t in batch]
+        new = set().union(*listed).difference(self.known)
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known = {}
+            new = set().union(*listed)
+        self.known.update(self._encoded(list(new)))
+        return [b"".join(map(self.known.__getitem__, words)) for words in listed]
+
+
+@lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    return WordIds(path)
 
 
 def cuts(length: int, capacity: int, slack: float) -> Iterator[tuple[int, int]]:
@@ -90,13 +113,13 @@ def pack_documents(
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "k"] + ["ids"] * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = WordIds(tokenizer), np.array([end_id], "<u4").tobytes()
+        words, end = word_ids(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 of, rows, pieces = [], [], []
-                for i, text in enumerate(part.column(1).to_pylist()):
-                    ids = words.ids(text) + end
+                for i, ids in enumerate(words.ids(part.column(1).to_pylist())):
+                    ids += end
                     total, start = len(ids) // 4, 0
                     for length, k in cuts(total, capacity, slack):
                         piece = ids[4 * start : 4 * (start + length)]
