@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsfuse.llm import jaccard_join, line_dedup, packing, pii, token_counts, toxicity
+from obsfuse.llm import fingerprints, jaccard_join, line_dedup, packing, pii, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: DuckDB SQL for the rows of a query, where SQL can express it.
@@ -72,3 +72,11 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
 @_query("op6_token_counts")
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@_query("op2_fingerprints")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    made = fingerprints.fingerprint_edits(_table(spark, sf, "documents"))
+    named = {"fingerprint": "sketch", "edited_fingerprint": "edited_sketch"}
+    shown = [fingerprints.shown(F.col(c)).alias(name) for name, c in named.items()]
+    return made.select("doc_id", "n_chars", "edited_sha256", *shown, "near_edited", "near_next", "n_shingles")
