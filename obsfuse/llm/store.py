@@ -35,6 +35,41 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
+#: Bits of the filter of `likely`: 65,536 numbers, whatever the size of the table.
+FILTER_BITS = 1 << 22
+
+
+def likely(rows: DataFrame, chosen: DataFrame, key: str) -> DataFrame:
+    """``rows`` with a boolean ``__likely``: false where ``key`` is surely not among the keys of ``chosen``.
+
+    A bit filter of fixed size is broadcast; rows that it lets through still need an exact join.
+    """
+    at = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    bits = chosen.where(F.col(key).isNotNull()).select(at.alias("__at")).groupBy(F.expr("__at div 64").alias("__word"))
+    bits = bits.agg(F.expr("bit_or(shiftleft(1L, cast(__at % 64 AS int)))").alias("__bits"))
+    out = rows.withColumn("__at", at).withColumn("__word", F.expr("__at div 64")).join(F.broadcast(bits), "__word", "left")
+    hit = F.expr("coalesce(shiftright(__bits, cast(__at % 64 AS int)) & 1L, 0L) = 1L")
+    out = out.withColumn("__likely", F.col(key).isNotNull() & hit)
+    return out.select(*[f"`{c}`" for c in rows.columns], "__likely")
+
+
+def split_likely(docs: DataFrame, chosen: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """``docs`` in two: rows that may be among ``chosen``, and those that surely are not.
+
+    Only the first ones need to meet ``chosen`` in a join, so most texts are not shuffled.
+    """
+    marked = likely(docs, chosen, key)
+    return marked.where("__likely").drop("__likely"), marked.where("NOT __likely").drop("__likely")
+
+
+def text_batches(batches: Iterator[pa.RecordBatch], column: str, rows: int = 256) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Slices of ``rows`` rows, each with its column of texts, a null text as the empty one."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            part = batch.slice(at, rows)
+            yield part, part.column(part.schema.get_field_index(column)).fill_null("")
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column as one array, and the offsets of its rows (n + 1)."""
     if isinstance(column, pa.ChunkedArray):

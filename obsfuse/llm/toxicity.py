@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from obsfuse.llm.shingles import word_hashes
-from obsfuse.llm.store import kept, long_list, slices, texts, utf8
+from obsfuse.llm.store import kept, long_list, slices, text_batches, texts, utf8
 
 #: Numbers that terms are hashed to.
 SPACE = 1 << 22
@@ -182,6 +182,15 @@ def _train(machine: Machine, lists: list[np.ndarray], label: np.ndarray, epochs:
             machine.bias -= rate * d / np.sqrt(gb)
 
 
+def _scores(at: np.ndarray, machine: Machine, column: pa.Array) -> np.ndarray:
+    out = np.zeros(len(column))
+    for a, b, row, term in term_numbers(*utf8(column)):
+        hit = at[term] >= 0
+        row, term = _distinct(row[hit], at[term[hit]])
+        out[a:b] = machine.odds(row, term, b - a)
+    return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
+
+
 def score_toxicity(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, score)`` for every row: the probability of the label for the whole text.
 
@@ -192,13 +201,19 @@ def score_toxicity(docs: DataFrame, machine: Machine, id_col: str = "doc_id", te
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = machine.lookup()
         for batch in batches:
-            out = np.zeros(batch.num_rows)
-            for a, b, row, term in term_numbers(*utf8(batch.column(1))):
-                hit = at[term] >= 0
-                row, term = _distinct(row[hit], at[term[hit]])
-                out[a:b] = machine.odds(row, term, b - a)
-            score = 1 / (1 + np.exp(-np.clip(out, -30, 30)))
+            score = _scores(at, machine, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["doc_id", "score"])
 
     out = texts(docs, id_col, text_col).mapInArrow(scored, "doc_id bigint, score double")
     return out.withColumnRenamed("doc_id", id_col)
+
+
+def drop_toxic(docs: DataFrame, machine: Machine, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, unchanged, whose text scores below ``threshold``; nothing is shuffled."""
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = machine.lookup()
+        for batch, column in text_batches(batches, text_col):
+            yield batch.filter(pa.array(_scores(at, machine, column) < threshold))
+
+    return docs.mapInArrow(clean, docs.schema)
