@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsfuse.llm import fingerprints, jaccard_join, line_dedup, packing, pii, token_counts, toxicity
+from obsfuse.llm import fingerprints, jaccard_join, language_id, line_dedup, packing, pii, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: DuckDB SQL for the rows of a query, where SQL can express it.
@@ -80,3 +80,10 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     named = {"fingerprint": "sketch", "edited_fingerprint": "edited_sketch"}
     shown = [fingerprints.shown(F.col(c)).alias(name) for name, c in named.items()]
     return made.select("doc_id", "n_chars", "edited_sha256", *shown, "near_edited", "near_next", "n_shingles")
+
+
+@_query("op10_language_id")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents")
+    trees = language_id.fit_languages(docs.where(~_held_out(5, 0)))
+    return language_id.identify(docs, trees).select("doc_id", _held_out(5, 0).alias("held_out"), "lang_pred", "score", "bits_per_byte")
