@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsfuse.llm import fingerprints, jaccard_join, language_id, line_dedup, packing, pii, token_counts, toxicity
+from obsfuse.llm import fingerprints, jaccard_join, language_id, line_dedup, packing, pii, token_counts, toxicity, vector_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: DuckDB SQL for the rows of a query, where SQL can express it.
@@ -87,3 +87,30 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents")
     trees = language_id.fit_languages(docs.where(~_held_out(5, 0)))
     return language_id.identify(docs, trees).select("doc_id", _held_out(5, 0).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+@_query(
+    "op7_vector_search",
+    """
+    WITH v AS (
+        SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+        FROM embeddings
+        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    ), scored AS (
+        SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+               CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+        FROM v AS q JOIN v AS c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+    ), ranked AS (
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM scored
+    )
+    SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+    """,
+)
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    table = _table(spark, sf, "embeddings").select("vec_id", "embedding")
+    good = vector_search.usable(F.col("embedding"))
+    whole = F.transform("embedding", lambda x: F.floor(64 * x.cast("double")).cast("double"))
+    vectors = table.where(good).select("vec_id", whole.alias("embedding"))
+    return vector_search.top_k(vectors, vectors.where("vec_id % 20 = 0"))
