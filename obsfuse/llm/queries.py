@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsfuse.llm import fingerprints, jaccard_join, language_id, line_dedup, packing, pii, token_counts, toxicity, vector_search
+from obsfuse.llm import fingerprints, jaccard_join, language_id, line_dedup, packing, pii, sentence_pieces, token_counts, toxicity, vector_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: DuckDB SQL for the rows of a query, where SQL can express it.
@@ -114,3 +114,8 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
     whole = F.transform("embedding", lambda x: F.floor(64 * x.cast("double")).cast("double"))
     vectors = table.where(good).select("vec_id", whole.alias("embedding"))
     return vector_search.top_k(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+@_query("op3_sentence_pieces")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return sentence_pieces.digests(_table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
