@@ -127,11 +127,10 @@ class Trees:
             hit = row >= 0
             bits[ends[hit]] += self.cost[size - 1][row[hit]]
             todo[ends[hit]] = False
-            if size > 1:
-                ends, packed = ends[~hit], packed[~hit]
-                row = self.contexts[size - 1].find(packed >> np.uint64(8))
-                known = row >= 0
-                bits[ends[known]] += self.escape[size - 1][row[known]]
+            ends, packed = ends[~hit], packed[~hit]
+            row = self.contexts[size - 1].find(packed >> np.uint64(8))
+            known = row >= 0
+            bits[ends[known]] += self.escape[size - 1][row[known]]
         bits[todo] += 8.0
         bits[offsets[:-1][np.diff(offsets) > 0]] = 0
         sums = np.concatenate([np.zeros((1, bits.shape[1])), np.cumsum(bits, axis=0, dtype=np.float64)])
