@@ -68,13 +68,23 @@ class Merges:
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, one after the other, and the number of ids of each."""
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        data = np.frombuffer(b"".join(words), np.uint8)
+        return self.encode_bytes(np.frombuffer(b"".join(words), np.uint8), np.fromiter(map(len, words), np.int64, len(words)))
+
+    def encode_lines(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As `encode`, for words without line feeds."""
+        if not words:
+            return self.encode([])
+        data = np.frombuffer(("\n".join(words) + "\n").encode(), np.uint8)
+        ends = np.flatnonzero(data == 10)
+        return self.encode_bytes(data[data != 10], np.diff(ends, prepend=-1) - 1)
+
+    def encode_bytes(self, data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As `encode`, for words of ``size`` bytes each, one after the other in ``data``."""
         symbol = self.first[data]
         ends = np.cumsum(size)
         full = size > 0
         symbol[ends[full] - 1] = self.last[data[ends[full] - 1]]
-        word = np.repeat(np.arange(len(words)), size)
+        word = np.repeat(np.arange(len(size)), size)
         rank = np.full(len(symbol), _NONE)
         inner = np.flatnonzero(word[:-1] == word[1:]) if len(word) else np.zeros(0, np.int64)
         rank[inner] = self.ranks(symbol[inner], symbol[inner + 1])
@@ -109,7 +119,7 @@ class Merges:
         word = np.concatenate(done_word or [np.zeros(0, np.int64)])
         symbol = np.concatenate(done_symbol or [np.zeros(0, np.int32)])
         order = np.argsort(word, kind="stable")
-        return symbol[order], np.bincount(word, minlength=len(words))
+        return symbol[order], np.bincount(word, minlength=len(size))
 
 
 def byte_pattern() -> regex.Pattern:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from obsfuse.llm.bpe import Merges, word_pattern
-from obsfuse.llm.store import texts
+from obsfuse.llm.store import kept, texts
 
 #: Pieces of a class that are numbered in one task.
 SHARE = 50_000
@@ -45,21 +45,21 @@ class WordIds:
         self.merges, self.split = Merges(path), word_pattern().findall
         self.known: dict[str, bytes] = {}
 
-    def _encoded(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        rare = [w for w in words if _RARE.search(w)]
+    def _learn(self, words: list[str]) -> None:
+        rare = [w for w in words if _RARE.search(w)] if _RARE.search("".join(words)) else []
         if rare:
             for word, got in zip(rare, self.tokenizer.encode_batch(rare, add_special_tokens=False), strict=True):
-                yield word, np.array(got.ids, "<u4").tobytes()
+                self.known[word] = np.array(got.ids, "<u4").tobytes()
             words = list(set(words).difference(rare))
-        parts = [self.split(w.lower()) for w in words]
-        flat, count = self.merges.encode([p.encode() for part in parts for p in part])
+        if not words:
+            return
+        small = "\n".join(words).lower().split("\n")
+        parts = [[w] if w.isalpha() else self.split(w) for w in small]
+        flat, count = self.merges.encode_lines([p for part in parts for p in part])
         raw = flat.astype("<u4").tobytes()
         size = np.fromiter(map(len, parts), np.int64, len(parts))
-        ends = 4 * np.concatenate([[0], np.cumsum(count)])[np.cumsum(size)]
-        start = 0
-        for word, end in zip(words, ends.tolist(), strict=True):
-            yield word, raw[start:end]
-            start = end
+        ends = (4 * np.concatenate([[0], np.cumsum(count)])[np.cumsum(size)]).tolist()
+        self.known.update(zip(words, [raw[i:j] for i, j in zip([0, *ends], ends, strict=False)], strict=True))
 
     def ids(self, batch: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
@@ -68,7 +68,7 @@ class WordIds:
         if len(self.known) + len(new) > REMEMBERED:
             self.known = {}
             new = set().union(*listed)
-        self.known.update(self._encoded(list(new)))
+        self._learn(list(new))
         return [b"".join(map(self.known.__getitem__, words)) for words in listed]
 
 
@@ -134,7 +134,7 @@ def pack_documents(
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, k bigint"
-    pieces = texts(docs, id_col, text_col).mapInArrow(cut, schema + ", ids array<int>" * with_ids)
+    pieces = kept(texts(docs, id_col, text_col).mapInArrow(cut, schema + ", ids array<int>" * with_ids))  # encoded once
     # full sequences need no company; the others are numbered inside the shares of their class
     share = F.pmod(F.xxhash64("doc_id", "start", "doc_tokens", "ids_crc32"), F.lit(1 << 20))
     pieces = pieces.withColumn("share", share)
