@@ -1,12 +1,13 @@
-"""Robust grouped similarity fits and their cluster-robust covariance.
+"""Robust similarity fits and their covariance, from weighted sums.
 
-Two physical forms of the same fit:
+With z = (1, x, y, z) of a source point and r its residual, everything a fit needs is a sum over
+rows: the Gram matrix of (z, target) gives the transform, the Gram matrix of z the information, and
+the sums of z r by cluster the score covariance. The two forms share these sums:
 
-* ``fit_edges``: edges whose correspondence count is bounded (by the seeded sample of
-  the correspondence join) run one edge per group in Arrow batches.
-* ``fit_edges_distributed``: edges of any size; every iteration is one aggregation of
-  sufficient statistics per edge plus two exact medians, and only 3x3 problems leave
-  the row pass.
+* ``fit_edges``: one edge per group, for edges whose size the caller bounds;
+* ``fit_edges_distributed``: edges of any size; each iteration is one aggregation per edge and two
+  exact medians, the covariance one more aggregation by cluster. Only 3x3 to 7x7 problems leave
+  the row pass, and every edge that enters comes out with a status.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from obsfuse.functions import sim3
@@ -24,142 +25,163 @@ from obsfuse.operators.ranking import exact_quantiles
 from obsfuse.runtime import attach, durable
 
 EPS = np.finfo(float).eps
+# Added to every covariance, in the order of the seven parameters.
 COV_FLOOR = np.diag([1e-10] * 4 + [1e-12] * 3)
+#: Weights at or below this one do not count as active.
+ACTIVE = 1e-3
 FIT_COLUMNS = (
     sim3.GAUGE_SCHEMA
     + ", cov array<double>, rms double, inlier_fraction double, n bigint, clusters bigint,"
     " covariance_method string, iterations int, status string"
 )
+FIT_NAMES = [c.strip().split()[0] for c in FIT_COLUMNS.split(",")]
 
 
-def solve_similarity(
-    ms: np.ndarray, mt: np.ndarray, cross: np.ndarray, spread: float
-) -> sim3.Transform:
-    """Closed-form fit from weighted means, target-source cross moment and source spread."""
-    u, sv, vt = np.linalg.svd(cross)
-    sign = np.array([1.0, 1.0, np.sign(np.linalg.det(u @ vt))])
-    if spread <= EPS:
-        raise ValueError("source correspondences have no spatial extent")
-    scale = float((sv * sign).sum() / spread)
-    if not np.isfinite(scale) or scale <= 0:
-        raise ValueError("fitted scale is not positive")
-    r = (u * sign) @ vt
-    return scale, r, mt - scale * (r @ ms)
-
-
-def _weighted_fit(src: np.ndarray, dst: np.ndarray, w: np.ndarray) -> sim3.Transform:
-    total = w.sum()
-    if total <= EPS:
-        raise ValueError("weights have zero total mass")
-    p = w / total
-    ms, mt = p @ src, p @ dst
-    a, b = src - ms, dst - mt
-    return solve_similarity(ms, mt, (p[:, None] * b).T @ a, float(p @ (a * a).sum(axis=1)))
-
-
-def _cloud_motion(src: np.ndarray, w: np.ndarray, old: sim3.Transform, new: sim3.Transform) -> float:
-    p = w / w.sum()
-    a, b = sim3.transform_points(old, src), sim3.transform_points(new, src)
-    centre = p @ a
-    size = np.sqrt(p @ ((a - centre) ** 2).sum(axis=1))
-    return float(np.sqrt(p @ ((b - a) ** 2).sum(axis=1)) / max(size, EPS))
-
-
-def _score_matrices(src: np.ndarray, t: sim3.Transform) -> np.ndarray:
-    basis = sim3.jacobian_basis(t)
-    return basis[0] + np.einsum("nk,kij->nij", src, basis[1:])
-
-
-def finish_covariance(
-    info: np.ndarray, meat: np.ndarray | None, clusters: int, active: int, weighted_sq: float
-) -> np.ndarray:
-    """Sandwich (or iid) covariance from the 7x7 information and score sums."""
-    sv = np.linalg.svd(info, compute_uv=False)
-    if int((sv > max(sv[0] * 1e-10, EPS)).sum()) < 7:
-        raise ValueError("rank-deficient geometry")
-    inv = np.linalg.inv(info)
+class FitError(ValueError):
+    """A point set that has no fit; the message becomes the status of its row."""
+
+
+def similarity(gram: np.ndarray) -> sim3.Transform:
+    """The similarity of least squares from the 7x7 Gram matrix of (1, source, target).
+
+    The rotation is the largest eigenvector of the quaternion form of the cross moments.
+    """
+    total = gram[0, 0]
+    if not total > EPS:
+        raise FitError("no weight is left")
+    mean = gram[0, 1:] / total
+    central = gram[1:, 1:] / total - np.outer(mean, mean)
+    spread, m = np.trace(central[:3, :3]), central[:3, 3:]
+    if not spread > EPS:
+        raise FitError("the source points coincide")
+    twist = np.array([m[1, 2] - m[2, 1], m[2, 0] - m[0, 2], m[0, 1] - m[1, 0]])
+    form = np.zeros((4, 4))
+    form[0, 0], form[0, 1:], form[1:, 0] = np.trace(m), twist, twist
+    form[1:, 1:] = m + m.T - np.trace(m) * np.eye(3)
+    w, x, y, z = np.linalg.eigh(form)[1][:, -1]
+    cross = np.array([[0, -z, y], [z, 0, -x], [-y, x, 0]])
+    r = np.eye(3) + 2 * (w * cross + cross @ cross)
+    scale = float((r * m.T).sum() / spread)
+    if not (np.isfinite(scale) and scale > 0):
+        raise FitError("no positive scale fits")
+    return scale, r, mean[3:] - scale * (r @ mean[:3])
+
+
+def _affine(t: sim3.Transform) -> np.ndarray:
+    """The transform as a 3x4 matrix on (1, x, y, z)."""
+    return np.column_stack([t[2], t[0] * t[1]])
+
+
+def relative_motion(gram: np.ndarray, old: sim3.Transform, new: sim3.Transform) -> float:
+    """RMS motion of a cloud between two transforms over its transformed size, from the Gram matrix of (1, source)."""
+    n, before, change = gram[0, 0], _affine(old), _affine(new) - _affine(old)
+    centre = before @ gram[:, 0] / n
+    size = np.trace(before @ gram @ before.T) / n - centre @ centre
+    return float(np.sqrt(max(np.trace(change @ gram @ change.T), 0.0) / n) / max(np.sqrt(max(size, 0.0)), EPS))
+
+
+def cutoff(median: float, deviation: float, huber: float) -> float:
+    return max(median + huber * max(1.4826 * deviation, EPS), EPS)
+
+
+def finished(t: sim3.Transform, centre: np.ndarray, sums: dict) -> dict:
+    """Covariance and statistics of a fit from its sums over rows (source points less ``centre``).
+
+    ``gram`` (4x4): sum of w z z'; ``points`` (4,3,4,3): sum of w^2 z r z r over active rows;
+    ``meat`` (7x7) and ``clusters``: summed by cluster, None and 0 without clusters; ``square``: sum of
+    w |r|^2; ``weight``, ``active``, ``inliers``, ``n``.
+    """
+    basis = _centred_basis(t, centre)
+    info = np.einsum("ab,aik,bil->kl", sums["gram"], basis, basis)
+    size = np.linalg.svd(info, compute_uv=False)
+    if (size > max(size[0] * 1e-10, EPS)).sum() < 7:
+        raise FitError("the points do not fix all seven parameters")
+    active, clusters, meat, method = int(sums["active"]), int(sums["clusters"]), sums["meat"], "cluster_robust"
+    if meat is None:
+        method, clusters = "iid", active
+    elif clusters <= 7:
+        method, clusters, meat = "iid_fallback", active, None
+        if active > 7:
+            method, meat = "pointwise_fallback", np.einsum("aibj,aik,bjl->kl", sums["points"], basis, basis)
+    inverse = np.linalg.inv(info)
     if meat is None:
-        cov = weighted_sq / max(1, 3 * active - 7) * inv
+        cov = inverse * (sums["square"] / max(1, 3 * active - 7))
     else:
-        cov = clusters / (clusters - 1) * (active - 1) / max(active - 7, 1) * (inv @ meat @ inv.T)
-    return 0.5 * (cov + cov.T) + COV_FLOOR
+        cov = inverse @ meat @ inverse * (clusters / (clusters - 1) * (active - 1) / max(active - 7, 1))
+    return {
+        **sim3.pack(t),
+        "cov": (0.5 * (cov + cov.T) + COV_FLOOR).ravel().tolist(),
+        "rms": float(np.sqrt(sums["square"] / max(sums["weight"], EPS))),
+        "inlier_fraction": float(sums["inliers"] / sums["n"]),
+        "n": int(sums["n"]),
+        "clusters": clusters,
+        "covariance_method": method,
+        "status": "ok",
+    }
+
+
+def _centred_basis(t: sim3.Transform, centre: np.ndarray) -> np.ndarray:
+    basis = sim3.jacobian_basis(t).copy()
+    basis[0] += np.einsum("k,kij->ij", centre, basis[1:])
+    return basis
 
 
 def fit_points(
-    src: np.ndarray,
-    dst: np.ndarray,
-    weights: np.ndarray | None = None,
-    clusters: np.ndarray | None = None,
-    max_iterations: int = 64,
-    huber: float = 2.5,
-    tolerance: float = 1e-8,
-    fallback: str = "pointwise",
-) -> dict:
-    """Huber IRLS similarity fit of one bounded point set; raises when it fails."""
+    src: np.ndarray, dst: np.ndarray, weights: np.ndarray | None = None, clusters: np.ndarray | None = None,
+    max_iterations: int = 64, huber: float = 2.5, tolerance: float = 1e-8, fallback: str = "pointwise",
+) -> dict:
+    """Reweighted Huber fit of one bounded point set; raises `FitError` when there is none."""
     ok = np.isfinite(src).all(axis=1) & np.isfinite(dst).all(axis=1)
     src, dst = src[ok], dst[ok]
     if len(src) < 4:
-        raise ValueError("fewer than four correspondences")
+        raise FitError("less than four pairs of points")
     base = np.ones(len(src)) if weights is None else weights[ok]
-    w, previous, done = base.copy(), None, False
+    centre = src.mean(axis=0)
+    z = np.column_stack([np.ones(len(src)), src - centre])
+    both = np.column_stack([z, dst])
+    cloud, w, last = (z.T * base) @ z, base, None
     for iteration in range(1, max_iterations + 1):
-        t = _weighted_fit(src, dst, w)
-        norms = np.linalg.norm(dst - sim3.transform_points(t, src), axis=1)
-        med = np.median(norms)
-        mad = np.median(np.abs(norms - med))
-        cut = max(med + huber * max(1.4826 * mad, EPS), EPS)
-        if previous is not None and _cloud_motion(src, base, previous, t) < tolerance:
-            done = True
+        local = similarity((both.T * w) @ both)
+        r = dst - z @ _affine(local).T
+        norm = np.sqrt((r * r).sum(axis=1))
+        cut = cutoff(np.median(norm), np.median(np.abs(norm - np.median(norm))), huber)
+        if last is not None and relative_motion(cloud, last, local) < tolerance:
             break
-        previous, w = t, base * np.minimum(1.0, cut / np.maximum(norms, cut))
-    if not done:
-        raise ValueError("did not converge")
-    active = w > 1e-3
-    method, ids = "cluster_robust", None
-    if clusters is not None:
-        _, ids = np.unique(clusters[ok][active], return_inverse=True)
-        if ids.max(initial=-1) + 1 <= 7:
-            if fallback == "error":
-                raise ValueError("fewer than eight clusters")
-            ids = np.arange(int(active.sum())) if active.sum() > 7 else None
-            method = "pointwise_fallback" if ids is not None else "iid_fallback"
+        last, w = local, base * np.minimum(1.0, cut / np.maximum(norm, cut))
     else:
-        method = "iid"
-    jac = _score_matrices(src, t)
-    info = np.einsum("n,nki,nkj->ij", w, jac, jac)
-    res = dst - sim3.transform_points(t, src)
-    meat = None
-    n_clusters = int(active.sum())
-    if ids is not None:
-        n_clusters = int(ids.max() + 1)
-        s = np.zeros((n_clusters, 7))
-        np.add.at(s, ids, np.einsum("n,nki,nk->ni", w, jac, res)[active])
-        meat = s.T @ s
-    sq = float(w @ (res * res).sum(axis=1))
-    cov = finish_covariance(info, meat, n_clusters, int(active.sum()), sq)
-    return {
-        **sim3.pack(t),
-        "cov": cov.ravel().tolist(),
-        "rms": float(np.sqrt(sq / max(w.sum(), EPS))),
-        "inlier_fraction": float(np.mean(np.linalg.norm(res, axis=1) <= cut)),
-        "n": len(src),
-        "clusters": n_clusters,
-        "covariance_method": method,
-        "iterations": iteration,
-        "status": "ok",
-    }
-
-
-def fit_edges(pairs: DataFrame, keys: Sequence[str], **options) -> DataFrame:  # noqa: ANN003
-    """One robust fit per key.  Failures become a ``status`` row, never a silent fit.
-
-    The caller bounds a group with the seeded sample of the correspondence join; use
-    :func:`fit_edges_distributed` for groups without such a bound.
+        raise FitError("the iteration limit was reached")
+    active = w > ACTIVE
+    t = (local[0], local[1], local[2] - local[0] * (local[1] @ centre))
+    pull = np.einsum("n,na,ni->nai", w, z, r)[active]
+    meat, count = None, 0
+    if clusters is not None:
+        names, of = np.unique(clusters[ok][active], return_inverse=True)
+        count = len(names)
+        if count <= 7 and fallback == "error":
+            raise FitError("less than eight clusters")
+        each = np.zeros((count, 4, 3))
+        np.add.at(each, of, pull)
+        score = np.einsum("cai,aik->ck", each, _centred_basis(t, centre))
+        meat = score.T @ score
+    sums = {
+        "gram": (z.T * w) @ z, "points": np.einsum("nai,nbj->aibj", pull, pull), "meat": meat, "clusters": count,
+        "square": float(w @ norm**2), "weight": w.sum(), "active": active.sum(), "inliers": (norm <= cut).sum(), "n": len(src),
+    }
+    return finished(t, centre, sums) | {"iterations": iteration}
+
+
+def fit_edges(pairs: DataFrame, keys: Sequence[str], most: int | None = None, seed: int = 0, **options) -> DataFrame:  # noqa: ANN003
+    """One robust fit per key, a key in one group.  Failures become a ``status`` row, never a silent fit.
+
+    ``most`` is the number of pairs that a fit uses (a seeded sample of each key; the pairs
+    themselves stay whole for whatever else reads them). Without it the caller vouches for the
+    size of the groups; :func:`fit_edges_distributed` needs no bound.
     """
+    from obsfuse.operators.ranking import subsample
+
     keys = list(keys)
     types = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", " + FIT_COLUMNS
-    names = [c.strip().split()[0] for c in FIT_COLUMNS.split(",")]
     clustered = "cluster" in pairs.columns
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -167,133 +189,127 @@ def fit_edges(pairs: DataFrame, keys: Sequence[str], **options) -> DataFrame:  #
         src, dst = pdf[["sx", "sy", "sz"]].to_numpy(float), pdf[["px", "py", "pz"]].to_numpy(float)
         try:
             row = fit_points(src, dst, clusters=pdf["cluster"].to_numpy() if clustered else None, **options)
-        except (ValueError, np.linalg.LinAlgError) as error:
-            row = {c: None for c in names} | {"n": len(pdf), "status": str(error)}
-        head = {k: pdf[k].iloc[0] for k in keys}
-        return pd.DataFrame([{**head, **row}])[[*keys, *names]]
+        except (FitError, np.linalg.LinAlgError) as error:
+            row = dict.fromkeys(FIT_NAMES) | {"n": len(pdf), "status": str(error)}
+        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, **row}])[[*keys, *FIT_NAMES]]
 
+    if most is not None:
+        pairs = subsample(pairs, keys, [c for c in ("frame", "row", "col") if c in pairs.columns], most, seed)
     need = [*keys, "sx", "sy", "sz", "px", "py", "pz", *(["cluster"] if clustered else [])]
     return pairs.select(*dict.fromkeys(need)).groupBy(*keys).applyInPandas(run, schema)
 
 
-_CROSS = [f"m{i}{j}" for i in "xyz" for j in "xyz"]
+def _z() -> list[Column]:
+    return [F.lit(1.0), *(F.col(f"u{a}") for a in "xyz")]
 
 
-def _moments(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Weighted means, centred cross moments and spread per key, in two aggregations.
+_GRAM = [(a, b) for a in range(7) for b in range(a, 7)]
 
-    Centring uses the unweighted key mean (attached first), so the one-pass sums keep
-    their precision for clouds far from the origin.
-    """
-    s, t, w = v3.vec("u"), v3.vec("v"), F.col("w")
-    return df.groupBy(*keys).agg(
-        F.sum(w).alias("sw"),
-        *[F.sum(w * c).alias(f"su{a}") for c, a in zip(s, "xyz", strict=True)],
-        *[F.sum(w * c).alias(f"sv{a}") for c, a in zip(t, "xyz", strict=True)],
-        F.sum(w * v3.dot(s, s)).alias("suu"),
-        *[F.sum(w * b * a).alias(f"m{i}{j}") for i, b in zip("xyz", t, strict=True) for j, a in zip("xyz", s, strict=True)],
-    )
+
+def _types(df: DataFrame, keys: Sequence[str]) -> str:
+    return ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
 
 
-def _solve_moments(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
-    types = {f.name: f.dataType.simpleString() for f in sums.schema.fields}
-    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", " + sim3.GAUGE_SCHEMA
+def _solved(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Transforms on centred source points from Gram sums; ``trouble`` says why there is none."""
+    schema = f"{_types(sums, keys)}, {sim3.GAUGE_SCHEMA}, trouble string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for r in b.to_dict("records"):
-                ms = np.array([r[f"su{a}"] for a in "xyz"]) / r["sw"]
-                mt = np.array([r[f"sv{a}"] for a in "xyz"]) / r["sw"]
-                cross = np.array([r[c] for c in _CROSS]).reshape(3, 3) / r["sw"] - np.outer(mt, ms)
+                gram = np.zeros((7, 7))
+                for i, j in _GRAM:
+                    gram[i, j] = gram[j, i] = r[f"g{i}{j}"]
                 try:
-                    scale, rot, t = solve_similarity(ms, mt, cross, r["suu"] / r["sw"] - ms @ ms)
-                except (ValueError, np.linalg.LinAlgError):
-                    continue
-                cs = np.array([r[f"cs{a}"] for a in "xyz"])
-                ct = np.array([r[f"ct{a}"] for a in "xyz"])
-                t = t + ct - scale * (rot @ cs)
-                rows.append({**{k: r[k] for k in keys}, **sim3.pack((scale, rot, t))})
-            yield pd.DataFrame(rows, columns=[*keys, *sim3.GAUGE_COLUMNS])
+                    row = {**sim3.pack(similarity(gram)), "trouble": None}
+                except (FitError, np.linalg.LinAlgError) as error:
+                    row = {**dict.fromkeys(sim3.GAUGE_COLUMNS), "trouble": str(error)}
+                rows.append({**{k: r[k] for k in keys}, **row})
+            yield pd.DataFrame(rows, columns=[*keys, *sim3.GAUGE_COLUMNS, "trouble"])
 
     return sums.mapInPandas(run, schema)
 
 
+def _distance(prefix: str = "") -> Column:
+    moved = v3.apply_similarity(F.col(f"{prefix}scale"), sim3.rot_columns(prefix), sim3.t_columns(prefix), v3.vec("u"))
+    return v3.norm(v3.sub(v3.vec("p"), moved))  # type: ignore[arg-type]
+
+
 def fit_edges_distributed(
-    pairs: DataFrame,
-    keys: Sequence[str],
-    max_iterations: int = 64,
-    huber: float = 2.5,
-    tolerance: float = 1e-8,
+    pairs: DataFrame, keys: Sequence[str], max_iterations: int = 64, huber: float = 2.5, tolerance: float = 1e-8
 ) -> DataFrame:
-    """The same IRLS fit for edges of any size; returns transform, cut, status per key.
+    """The fit of :func:`fit_edges`, with its covariance, for edges of any size; one row per key.
 
-    Converged edges leave the loop.  State between iterations is one row per edge in
-    reliable storage; weights are recomputed from the previous transform and cut-off,
-    so no per-row state is carried.
+    Edges leave the loop when they have converged or failed. Between iterations only one row per
+    edge is kept, in reliable storage: weights follow from the previous transform and cut-off.
     """
     keys = list(keys)
-    src, dst = v3.vec("s"), v3.vec("p")
-    centres = pairs.groupBy(*keys).agg(
-        *[F.avg(c).alias(f"cs{a}") for c, a in zip(src, "xyz", strict=True)],
-        *[F.avg(c).alias(f"ct{a}") for c, a in zip(dst, "xyz", strict=True)],
-        F.count(F.lit(1)).alias("n"),
-    )
-    rows = attach(
-        pairs.select(*keys, "sx", "sy", "sz", "px", "py", "pz"),
-        centres.where("n >= 4"), keys, how="inner",
-    ).select(
-        "*",
-        *[(F.col(f"s{a}") - F.col(f"cs{a}")).alias(f"u{a}") for a in "xyz"],
-        *[(F.col(f"p{a}") - F.col(f"ct{a}")).alias(f"v{a}") for a in "xyz"],
-    )
-    rows = durable(rows)
-    centre_cols = [f"c{k}{a}" for k in "st" for a in "xyz"]
+    clustered = "cluster" in pairs.columns
+    finite = " AND ".join(f"NOT isnan({s}{a}) AND abs({s}{a}) < double('inf')" for s in "sp" for a in "xyz")
+    good = pairs.where(finite)
+    centres = durable(good.groupBy(*keys).agg(*[F.avg(f"s{a}").alias(f"c{a}") for a in "xyz"], F.count(F.lit(1)).alias("n")))
+    few = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("all")).join(centres, keys, "left").where("coalesce(n, 0) < 4")
+    lost = [few.select(*keys, F.coalesce("n", F.lit(0)).alias("n"), F.lit("less than four pairs of points").alias("status"), F.lit(0).alias("iterations"))]
+    columns = [*keys, "px", "py", "pz", *(["cluster"] if clustered else [])]
+    rows = attach(good.select(*columns, "sx", "sy", "sz"), centres.where("n >= 4"), keys, how="inner")
+    rows = durable(rows.select(*columns, *[(F.col(f"s{a}") - F.col(f"c{a}")).alias(f"u{a}") for a in "xyz"]))
+    both = [*_z(), *(F.col(f"p{a}") for a in "xyz")]
+    grams = [F.sum(F.col("w") * both[i] * both[j]).alias(f"g{i}{j}") for i, j in _GRAM]
     state: DataFrame | None = None
-    finished: DataFrame | None = None
+    done: list[DataFrame] = []
     for iteration in range(1, max_iterations + 1):
         if state is None:
             weighted = rows.withColumn("w", F.lit(1.0))
         else:
             weighted = attach(rows, state.select(*keys, *sim3.GAUGE_COLUMNS, "cut"), keys, how="inner")
-            weighted = weighted.withColumn("w", F.least(F.lit(1.0), F.col("cut") / F.greatest(_residual(), F.col("cut"))))
-            weighted = weighted.drop(*sim3.GAUGE_COLUMNS, "cut")
-        sums = _moments(weighted, keys).join(centres.select(*keys, *centre_cols, "n"), keys)
-        fit = _solve_moments(sums, keys)
-        res = attach(rows, fit, keys, how="inner").select(*keys, _residual().alias("r"), F.col("ux"), F.col("uy"), F.col("uz"))
+            weighted = weighted.withColumn("w", F.least(F.lit(1.0), F.col("cut") / F.greatest(_distance(), F.col("cut"))))
+        solved = durable(_solved(weighted.groupBy(*keys).agg(*grams), keys))
+        bad = solved.where("trouble IS NOT NULL").join(centres, keys)
+        lost.append(bad.select(*keys, "n", F.col("trouble").alias("status"), F.lit(iteration).alias("iterations")))
+        fit = solved.where("trouble IS NULL").drop("trouble")
+        res = attach(rows, fit, keys, how="inner").select(*keys, _distance().alias("r"))
         med = exact_quantiles(res, keys, "r", {"med": 0.5}).drop("n")
         dev = attach(res, med, keys).withColumn("a", F.abs(F.col("r") - F.col("med")))
         mad = exact_quantiles(dev, keys, "a", {"mad": 0.5}).drop("n")
         cut = F.greatest(F.col("med") + huber * F.greatest(1.4826 * F.col("mad"), F.lit(EPS)), F.lit(EPS))
-        now = fit.join(med, keys).join(mad, keys).withColumn("cut", cut).drop("med", "mad")
-        now = now.withColumn("iterations", F.lit(iteration))
-        if state is not None:
-            now = now.join(_motion(rows, state, now, keys), keys)
-        else:
+        now = fit.join(med, keys).join(mad, keys).withColumn("cut", cut).drop("med", "mad").withColumn("iterations", F.lit(iteration))
+        if state is None:
             now = now.withColumn("motion", F.lit(float("inf")))
+        else:
+            old = state.select(*keys, *[F.col(c).alias(f"o_{c}") for c in sim3.GAUGE_COLUMNS], F.col("cut").alias("o_cut"))
+            now = now.join(old, keys).join(_motion(rows, old, now, keys), keys)
         now = durable(now)
-        ready = now.where(F.col("motion") < tolerance).withColumn("status", F.lit("ok"))
-        finished = ready if finished is None else finished.unionByName(ready)
+        done += [now.where(F.col("motion") < tolerance)] if state is not None else []
         state = now.where(F.col("motion") >= tolerance)
         if state.isEmpty():
             break
-    assert finished is not None and state is not None
-    late = state.withColumn("status", F.lit("did not converge"))
-    return finished.unionByName(late).join(centres.select(*keys, "n"), keys)
+    if state is not None:
+        late = state.join(centres, keys)
+        lost.append(late.select(*keys, "n", F.lit("the iteration limit was reached").alias("status"), "iterations"))
+    failed = lost[0]
+    for part in lost[1:]:
+        failed = failed.unionByName(part)
+    out = failed.select(*keys, *[F.col(c) if c in ("n", "status", "iterations") else F.lit(None).alias(c) for c in FIT_NAMES])
+    schema = f"{_types(pairs, keys)}, {FIT_COLUMNS}"
+    out = out.select(*[F.col(c).cast(kind) for c, kind in _pairs_of(schema)])
+    if not done:
+        return out
+    final = done[0]
+    for part in done[1:]:
+        final = final.unionByName(part)
+    return _with_covariance(rows, durable(final), centres, keys, clustered, schema).unionByName(out)
 
 
-def _residual():  # noqa: ANN202
-    moved = v3.apply_similarity(F.col("scale"), sim3.rot_columns(), sim3.t_columns(), v3.vec("s"))
-    return v3.norm(v3.sub(v3.vec("p"), moved))  # type: ignore[arg-type]
+def _pairs_of(schema: str) -> list[tuple[str, str]]:
+    return [tuple(part.strip().replace("`", "").split(" ", 1)) for part in schema.split(", ")]  # type: ignore[misc]
 
 
 def _motion(rows: DataFrame, old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """RMS motion of the transformed cloud divided by its size, from one aggregation."""
-    o = old.select(*keys, *[F.col(c).alias(f"o_{c}") for c in sim3.GAUGE_COLUMNS])
-    both = o.join(new.select(*keys, *sim3.GAUGE_COLUMNS), keys)
-    j = attach(rows, both, keys, how="inner")
-    a = v3.apply_similarity(F.col("o_scale"), sim3.rot_columns("o_"), sim3.t_columns("o_"), v3.vec("s"))
-    b = v3.apply_similarity(F.col("scale"), sim3.rot_columns(), sim3.t_columns(), v3.vec("s"))
+    j = attach(rows, old.join(new.select(*keys, *sim3.GAUGE_COLUMNS), list(keys)), keys, how="inner")
+    a = v3.apply_similarity(F.col("o_scale"), sim3.rot_columns("o_"), sim3.t_columns("o_"), v3.vec("u"))
+    b = v3.apply_similarity(F.col("scale"), sim3.rot_columns(), sim3.t_columns(), v3.vec("u"))
     d = v3.sub(b, a)
     agg = j.groupBy(*keys).agg(
         F.avg(v3.dot(d, d)).alias("d2"), *[F.var_pop(c).alias(f"v{n}") for c, n in zip(a, "xyz", strict=True)]  # type: ignore[arg-type]
@@ -302,23 +318,97 @@ def _motion(rows: DataFrame, old: DataFrame, new: DataFrame, keys: Sequence[str]
     return agg.select(*keys, (F.sqrt("d2") / F.greatest(size, F.lit(EPS))).alias("motion"))
 
 
+_ZZ = [(a, b) for a in range(4) for b in range(a, 4)]
+_RR = [(i, j) for i in range(3) for j in range(i, 3)]
+
+
+def _with_covariance(
+    rows: DataFrame, final: DataFrame, centres: DataFrame, keys: list[str], clustered: bool, schema: str
+) -> DataFrame:
+    """Sums by (edge, cluster), score products by edge, then one 7x7 problem for each edge."""
+    j = attach(rows, final.drop("motion"), keys, how="inner")
+    moved = v3.apply_similarity(F.col("scale"), sim3.rot_columns(), sim3.t_columns(), v3.vec("u"))
+    weight = F.least(F.lit(1.0), F.col("o_cut") / F.greatest(_distance("o_"), F.col("o_cut")))
+    j = j.select(
+        *keys, "cut", *(["cluster"] if clustered else []), "ux", "uy", "uz", weight.alias("w"),
+        *[(F.col(f"p{a}") - m).alias(f"r{i}") for i, (a, m) in enumerate(zip("xyz", moved, strict=True))],
+    )
+    z = _z()
+    on, r = (F.col("w") > ACTIVE).cast("double"), [F.col(f"r{i}") for i in range(3)]
+    square = sum((c * c for c in r[1:]), r[0] * r[0])
+    sums = {f"G{a}{b}": F.col("w") * z[a] * z[b] for a, b in _ZZ}
+    sums |= {f"H{a}{i}": on * F.col("w") * z[a] * r[i] for a in range(4) for i in range(3)}
+    sums |= {f"P{a}{b}{i}{k}": on * F.col("w") * F.col("w") * z[a] * z[b] * r[i] * r[k] for a, b in _ZZ for i, k in _RR}
+    sums |= {"square": F.col("w") * square, "weight": F.col("w"), "active": on, "inliers": (F.sqrt(square) <= F.col("cut")).cast("double")}
+    by_cluster = j.groupBy(*keys, *(["cluster"] if clustered else [])).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    small = final.select(*keys, *sim3.GAUGE_COLUMNS, "iterations").join(centres, keys)
+    by_cluster = attach(by_cluster, small, keys, how="inner", salt_by=["cluster"] if clustered else keys)
+    names = [n for n in sums if n[0] != "H"]
+    meat = [f"m{a}{b}" for a in range(7) for b in range(a, 7)]
+    heads = [*sim3.GAUGE_COLUMNS, "iterations", "cx", "cy", "cz", "n"]
+
+    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = b[[*keys, *heads, *names]].copy()
+            products = np.zeros((len(b), 7, 7))
+            for k, row in enumerate(b.to_dict("records")):
+                pull = np.array([[row[f"H{a}{i}"] for i in range(3)] for a in range(4)])
+                score = np.einsum("ai,aik->k", pull, _centred_basis(*_global(row)))
+                products[k] = np.outer(score, score)
+            out["clusters"] = (b["active"] > 0).astype(float)
+            for name in meat:
+                out[name] = products[:, int(name[1]), int(name[2])]
+            yield out
+
+    kinds = _types(final, keys) + ", " + sim3.GAUGE_SCHEMA + ", iterations int, cx double, cy double, cz double, n bigint"
+    extra = "".join(f", {n} double" for n in [*names, "clusters", *meat])
+    edges = by_cluster.mapInPandas(scored, kinds + extra)
+    edges = edges.groupBy(*keys, *heads).agg(*[F.sum(n).alias(n) for n in [*names, "clusters", *meat]])
+
+    def closed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows_ = []
+            for row in b.to_dict("records"):
+                gram, points, product = np.zeros((4, 4)), np.zeros((4, 3, 4, 3)), np.zeros((7, 7))
+                for a, c in _ZZ:
+                    gram[a, c] = gram[c, a] = row[f"G{a}{c}"]
+                    for i, k in _RR:
+                        points[a, i, c, k] = points[c, i, a, k] = points[a, k, c, i] = points[c, k, a, i] = row[f"P{a}{c}{i}{k}"]
+                for name in meat:
+                    product[int(name[1]), int(name[2])] = product[int(name[2]), int(name[1])] = row[name]
+                t, centre = _global(row)
+                have = {**row, "gram": gram, "points": points, "meat": product if clustered else None}
+                try:
+                    fit = finished(t, centre, have)
+                except (FitError, np.linalg.LinAlgError) as error:
+                    fit = dict.fromkeys(FIT_NAMES) | {"n": row["n"], "status": str(error)}
+                rows_.append({**{k: row[k] for k in keys}, **fit, "iterations": row["iterations"]})
+            yield pd.DataFrame(rows_, columns=[*keys, *FIT_NAMES])
+
+    return edges.mapInPandas(closed, schema)
+
+
+def _global(row: dict) -> tuple[sim3.Transform, np.ndarray]:
+    """The transform for source points as given, and the centre that was taken off them."""
+    scale, r, t = sim3.unpack(row)
+    centre = np.array([row["cx"], row["cy"], row["cz"]])
+    return (scale, r, t - scale * (r @ centre)), centre
+
+
 def align_windows(samples: DataFrame, **options) -> DataFrame:  # noqa: ANN003
-    """Correspondence join plus one robust fit per window pair of every case."""
+    """Correspondence join plus one robust fit on all pairs of every two windows of a case."""
     from obsfuse.operators.joins import overlap_correspondences
 
-    pairs = overlap_correspondences(samples, options.pop("cluster_size", 32), options.pop("max_correspondences", 100_000))
-    return fit_edges(pairs, ["case_id", "reference_id", "moving_id"], **options)
-
+    pairs = overlap_correspondences(samples, options.pop("cluster_size", 32))
+    return fit_edges_distributed(pairs, ["case_id", "reference_id", "moving_id"], **options)
 
-def metric_anchor(samples: DataFrame, truth: DataFrame, fit_end: int, size: int = 100_000, seed: int = 0) -> DataFrame:
-    """Fit each case to metric truth with frames before ``fit_end`` only."""
-    from obsfuse.operators.ranking import subsample
 
+def metric_anchor(samples: DataFrame, truth: DataFrame, fit_end: int, **options) -> DataFrame:  # noqa: ANN003
+    """Fit each case to metric truth with all frames before ``fit_end``."""
     key = ["case_id", "frame", "row", "col"]
     t = truth.where("valid").where(F.col("frame") < fit_end).select(*key, *[F.col(c).alias(f"p{c}") for c in "xyz"])
     p = samples.where("valid").select(*key, "window_id", *[F.col(c).alias(f"s{c}") for c in "xyz"])
-    pairs = subsample(p.join(t, key), ["case_id", "window_id"], ["frame", "row", "col"], size, seed)
-    return fit_edges(pairs, ["case_id", "window_id"])
+    return fit_edges_distributed(p.join(t, key), ["case_id", "window_id"], **options)
 
 
 def two_point_scale(anchors: DataFrame, keys: Sequence[str] = ("case_id", "window_id")) -> DataFrame:

@@ -16,7 +16,6 @@ from pyspark.sql import types as T
 
 from obsfuse.functions import sim3
 from obsfuse.functions import vec3 as v3
-from obsfuse.operators.ranking import representative_positions
 from obsfuse.runtime import attach, durable
 
 INFO = [f"i_{s}" for s in v3.SYM]
@@ -133,7 +132,7 @@ def _first_improvement(entries: Column) -> Column:
     return F.aggregate(F.array_sort(entries), start, step, lambda acc: acc["weight"])
 
 
-def pair_weights(sample: DataFrame, groups: Sequence[str], grid_size: int = 21, minimum: float = 0.0) -> DataFrame:
+def pair_weights(cells: DataFrame, groups: Sequence[str], grid_size: int = 21, minimum: float = 0.0) -> DataFrame:
     """Global two-contributor weight per group: minimise the mean log determinant."""
     grid = F.array(
         *[
@@ -141,7 +140,7 @@ def pair_weights(sample: DataFrame, groups: Sequence[str], grid_size: int = 21,
             for i, w in enumerate(ci_weight_grid(grid_size, minimum))
         ]
     )
-    pairs = _split_pair(sample).select(*groups, *[f"{s}_{i}" for s in "ab" for i in INFO], F.explode(grid).alias("g"))
+    pairs = _split_pair(cells).select(*groups, *[f"{s}_{i}" for s in "ab" for i in INFO], F.explode(grid).alias("g"))
     scored = _mixed_log_det(pairs, F.col("g.weight"), "score")
     means = scored.groupBy(*groups, F.col("g.visit").alias("visit"), F.col("g.weight").alias("weight")).agg(
         F.avg("score").alias("score")
@@ -151,87 +150,108 @@ def pair_weights(sample: DataFrame, groups: Sequence[str], grid_size: int = 21,
     return best.select(*groups, F.array(F.col("w"), F.lit(1.0) - F.col("w")).alias("weights"))
 
 
-def project_simplex(v: np.ndarray) -> np.ndarray:
-    u = np.sort(v)[::-1]
-    excess = np.cumsum(u) - 1.0
-    k = int(np.max(np.nonzero(u * np.arange(1, v.size + 1) > excess)[0])) if v.size else 0
-    out = np.maximum(v - excess[k] / (k + 1), 0.0)
-    return out / out.sum()
+def quadratic_step(weights: np.ndarray, gain: np.ndarray, curve: np.ndarray) -> np.ndarray:
+    """The point of the simplex where the quadratic model of the mean log determinant is largest.
 
-
-def simplex_weights(
-    info: np.ndarray, minimum: float = 0.0, iterations: int = 100, tolerance: float = 1e-10
-) -> np.ndarray:
-    """Projected gradient with back-tracking on mean log det of (sum_k w_k I_k)^-1.
-
-    ``info`` is (rows, K, d, d); the start is the equal weight vector.
+    ``gain`` and ``curve`` are the mean traces of M^-1 I_k and of M^-1 I_k M^-1 I_l. Contributors
+    that the model pushes below zero are taken out one after the other.
     """
-    k = info.shape[1]
-    free = 1.0 - k * minimum
-
-    def value(simplex: np.ndarray) -> tuple[float, np.ndarray]:
-        mix = np.einsum("k,nkij->nij", minimum + free * simplex, info)
-        cov = np.linalg.inv(mix)
-        score = -float(np.mean(np.linalg.slogdet(mix)[1]))
-        return score, -np.mean(np.einsum("nij,nkji->nk", cov, info), axis=0)
-
-    s = np.full(k, 1.0 / k)
-    score, grad = value(s)
-    hint = 1.0
+    free = np.arange(len(weights))
+    pull = gain + curve @ weights
+    while True:
+        n = len(free)
+        system = np.zeros((n + 1, n + 1))
+        system[:n, :n] = curve[np.ix_(free, free)]
+        system[:n, n] = system[n, :n] = 1.0
+        found = np.linalg.lstsq(system, np.append(pull[free], 1.0), rcond=None)[0][:n]
+        if n == 1 or found.min() >= 0:
+            out = np.zeros(len(weights))
+            out[free] = np.maximum(found, 0.0) if n > 1 else 1.0
+            return out / out.sum()
+        free = np.delete(free, found.argmin())
+
+
+def _curvature(cells: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Per group the number of rows, and sums of log det M, of all tr(M^-1 I_k) and tr(M^-1 I_k M^-1 I_l)."""
+    types = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
+    schema = ", ".join(f"`{g}` {types[g]}" for g in groups) + ", at int, part double"
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for _, rows in b.groupby(b["spot"], sort=False):
+                w = np.asarray(rows["weights"].iloc[0], float)
+                packed = np.array(rows["i"].tolist(), float).reshape(len(rows), len(w), 6)
+                info = packed[:, :, [0, 1, 2, 1, 3, 4, 2, 4, 5]].reshape(len(rows), len(w), 3, 3)
+                mix = np.einsum("k,nkij->nij", w, info)
+                ratio = np.linalg.solve(mix[:, None], info)
+                curve = np.einsum("nkij,nlji->kl", ratio, ratio)
+                parts = np.concatenate([[len(rows), np.linalg.slogdet(mix)[1].sum()], np.einsum("nkii->k", ratio), curve.ravel()])
+                out = pd.DataFrame({"at": np.arange(len(parts), dtype=np.int32), "part": parts})
+                for g in groups:
+                    out[g] = [rows[g].iloc[0]] * len(out)
+                yield out[[*groups, "at", "part"]]
+
+    flat = F.flatten(F.transform("members", lambda m: F.array(*[m[i] for i in INFO]))).alias("i")
+    spot = F.xxhash64(*groups).alias("spot")
+    parts = cells.select(*groups, "weights", spot, flat).mapInPandas(partial, schema)
+    sums = parts.groupBy(*groups, "at").agg(F.sum("part").alias("part"))
+    return sums.groupBy(*groups).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda s: s["part"]).alias("sums"))
+
+
+def nway_weights(cells: DataFrame, groups: Sequence[str], iterations: int = 40, tolerance: float = 1e-9) -> DataFrame:
+    """Generalised CI weights for three or more contributors, from all rows of each group.
+
+    Every round is one aggregation of value, gradient and curvature over the rows and one small
+    problem for each group; a step that does not raise the mean log determinant is halved. Groups
+    whose gradient shows an optimum leave the loop.
+    """
+    groups = list(groups)
+    types = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
+    keys = ", ".join(f"`{g}` {types[g]}" for g in groups)
+    schema = f"{keys}, weights array<double>, base array<double>, value double, settled boolean"
+
+    def advance(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for r in b.to_dict("records"):
+                w, base, sums = np.asarray(r["weights"], float), np.asarray(r["base"], float), np.asarray(r["sums"], float)
+                k = len(w)
+                value, gain, curve = sums[1] / sums[0], sums[2 : 2 + k] / sums[0], sums[2 + k :].reshape(k, k) / sums[0]
+                head = {g: r[g] for g in groups}
+                if value < r["value"] - 1e-13:
+                    close = np.abs(w - base).max() <= tolerance
+                    rows.append({**head, "weights": base if close else (w + base) / 2, "base": base, "value": r["value"], "settled": close})
+                    continue
+                # at the optimum no contributor's gain is above the dimension
+                settled = gain.max() <= 3.0 + tolerance
+                rows.append({**head, "weights": w if settled else quadratic_step(w, gain, curve), "base": w, "value": value, "settled": settled})
+            yield pd.DataFrame(rows, columns=[*groups, "weights", "base", "value", "settled"])
+
+    start = F.expr("array_repeat(1D / size(pattern), size(pattern))")
+    state = cells.select(*groups).distinct().withColumn("weights", start).withColumn("base", start)
+    state = durable(state.withColumn("value", F.lit(float("-inf"))))
+    found = state.select(*groups, "weights").limit(0)
     for _ in range(iterations):
-        g = free * (grad - grad.mean())
-        if np.max(np.abs(project_simplex(s - g) - s)) <= tolerance:
-            break
-        step, moved = hint, None
-        for _ in range(40):
-            trial = project_simplex(s - step * g)
-            trial_score, trial_grad = value(trial)
-            if trial_score <= score + 1e-4 * float(g @ (trial - s)) + 1e-14:
-                moved = trial - s
-                s, score, grad = trial, trial_score, trial_grad
-                hint = min(1.5 * step, 64.0)
-                break
-            step *= 0.5
-        if moved is None or np.linalg.norm(moved) <= tolerance * max(1.0, np.linalg.norm(s)):
-            break
-    return minimum + free * s
-
-
-def nway_weights(sample: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """Generalised CI weights for K >= 3 from the bounded sample of each group."""
-    types = {f.name: f.dataType.simpleString() for f in sample.schema.fields}
-    schema = ", ".join(f"`{g}` {types[g]}" for g in groups) + ", weights array<double>"
-    flat = sample.select(*groups, F.flatten(F.transform("members", lambda m: F.array(*[m[i] for i in INFO]))).alias("i"))
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        packed = np.array(pdf["i"].tolist(), dtype=float)
-        packed = packed.reshape(len(pdf), -1, 6)[:, :, [0, 1, 2, 1, 3, 4, 2, 4, 5]]
-        info = packed.reshape(len(pdf), packed.shape[1], 3, 3)
-        first = {g: [pdf[g].iloc[0]] for g in groups}
-        return pd.DataFrame({**first, "weights": [simplex_weights(info).tolist()]})
-
-    return flat.groupBy(*groups).applyInPandas(solve, schema)
+        if state.isEmpty():
+            return found
+        sums = _curvature(attach(cells, state.select(*groups, "weights"), groups, how="inner"), groups)
+        moved = durable(state.select(*groups, "weights", "base", "value").join(sums, groups).mapInPandas(advance, schema))
+        found = found.unionByName(moved.where("settled").select(*groups, "weights"))
+        state = moved.where("NOT settled")
+    return found.unionByName(state.select(*groups, F.col("base").alias("weights")))
 
 
 def fuse_covariance_intersection(
     est: DataFrame,
     keys: Sequence[str],
     frame_keys: Sequence[str] = (),
-    order: Sequence[str] | None = None,
-    sample_size: int = 4096,
 ) -> DataFrame:
-    """CI with one weight vector per (frame, contributor pattern).
-
-    Weights come from at most ``sample_size`` evenly spaced rows of the pattern in
-    scan order; every row of the pattern is then fused with them.
-    """
-    frame_keys, order = list(frame_keys), list(order or keys)
-    cells = durable(_with_pattern(est, keys))  # read by the sample and by the final pass
+    """CI with one weight vector per (frame, contributor pattern), from all rows of the pattern."""
+    frame_keys = list(frame_keys)
+    cells = durable(_with_pattern(est, keys))  # read by the weights and by the final pass
     groups = [*frame_keys, "pattern"]
-    multi = cells.where(F.size("members") > 1)
-    sample = representative_positions(multi, groups, order, sample_size)
-    two = pair_weights(sample.where(F.size("members") == 2), groups)
-    many = nway_weights(sample.where(F.size("members") > 2), groups)
+    two = pair_weights(cells.where(F.size("members") == 2), groups)
+    many = nway_weights(cells.where(F.size("members") > 2), groups)
     weights = two.unionByName(many)
     joined = attach(cells, weights, groups, salt_by=list(keys))
     one = F.array(F.lit(1.0))
@@ -346,7 +366,7 @@ def fuse_windows(
     ``flow_contributors`` are null where no window carries flow.
     """
     keys = ["case_id", "frame", "row", "col"]
-    options = {"frame_keys": ["case_id", "frame"], "order": ["row", "col"]} if method == "covariance_intersection" else {}
+    options = {"frame_keys": ["case_id", "frame"]} if method == "covariance_intersection" else {}
     world = durable(world_estimates(samples.where("valid"), gauges))  # scanned once per conditioning branch
     points = fuse(world, keys, method, **options).drop("weights")
     if "fx" not in samples.columns:

@@ -470,22 +470,24 @@ def compress_factor(
     w, v = np.linalg.eigh(score)
     w, v = w[::-1], v[:, ::-1]
     v = v * np.sign(v[np.argmax(np.abs(v), axis=0), np.arange(rank)])
-    edges = [k for k in range(1, rank) if w[k - 1] - w[k] > eigenspace_tolerance * max(w[0], 0.0)] + [rank]
-    for k in [0, *edges]:
-        p = v[:, :k]
-        kept = float(np.trace(p.T @ gram @ p) / total) if total > 0 else 1.0
-        fine = kept >= minimum_trace - 1e-12
-        for b in factors.values():
-            full, part = b @ b.T, (b @ p) @ (b @ p).T
-            size = np.trace(full)
-            loss = 1 - np.trace(part) / size if size > 0 else 0.0
-            top = np.linalg.eigvalsh(full)[-1]
-            spec = np.linalg.norm(full - part, 2) / top if top > 0 else 0.0
-            fine = fine and loss <= maximum_trace_loss + 1e-12 and spec <= maximum_spectral_loss + 1e-12
-        if fine and k < rank:
-            new = F.array(*[sum((u(i, r) * F.lit(float(p[r, c])) for r in range(rank)), F.lit(0.0)) for i in range(3) for c in range(k)])
-            return rows.withColumn("factor", new.cast("array<double>")), {"rank": k, "applied": True, "trace": kept}
-    return rows, {"rank": rank, "applied": False, "trace": 1.0}
+    # what each number of leading columns keeps, as running sums over the columns
+    whole = np.append(-np.diff(w) > eigenspace_tolerance * max(w[0], 0.0), True)  # no eigenspace is cut
+    shares = np.cumsum(np.einsum("ac,ab,bc->c", v, gram, v)) / total if total > 0 else np.ones(rank)
+    fine = whole & (shares >= minimum_trace - 1e-12)
+    for b in factors.values():
+        turned = b @ v
+        power = (turned**2).sum(axis=0)
+        if power.sum() <= 0:
+            continue
+        lost = 1 - np.cumsum(power) / power.sum()
+        left_over = np.array([np.linalg.norm(turned[:, c:], 2) ** 2 if c < rank else 0.0 for c in range(1, rank + 1)])
+        fine &= (lost <= maximum_trace_loss + 1e-12) & (left_over / np.linalg.norm(turned, 2) ** 2 <= maximum_spectral_loss + 1e-12)
+    none_needed = total <= 0 and not any((b * b).sum() > 0 for b in factors.values())
+    k = 0 if none_needed else int(np.flatnonzero(np.append(fine[:-1], True))[0]) + 1
+    if k == rank:
+        return rows, {"rank": rank, "applied": False, "trace": 1.0}
+    new = F.array(*[sum((u(i, r) * F.lit(float(v[r, c])) for r in range(rank)), F.lit(0.0)) for i in range(3) for c in range(k)])
+    return rows.withColumn("factor", new.cast("array<double>")), {"rank": k, "applied": True, "trace": float(shares[k - 1]) if k else 1.0}
 
 
 # --- coherent bias ---------------------------------------------------------------------------

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from obsfuse.operators.ranking import subsample
-from obsfuse.runtime import violations
+from obsfuse.runtime import attach, violations
 
 CELL = ["case_id", "frame", "row", "col"]
 
@@ -25,23 +25,29 @@ def window_order(samples: DataFrame) -> DataFrame:
     return spans.withColumn("position", F.row_number().over(w) - 1)
 
 
+def _placed(samples: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` with the canonical ``position`` of their window."""
+    order = window_order(samples).select("case_id", "window_id", "position")
+    return attach(rows, order, ["case_id", "window_id"], how="inner")
+
+
 def overlap_correspondences(
     samples: DataFrame,
     cluster_size: int = 32,
-    max_correspondences: int | None = 100_000,
+    max_correspondences: int | None = None,
     seed: int = 0,
 ) -> DataFrame:
     """Same-frame same-pixel valid pairs of two windows of a case.
 
-    Reference is the smaller window id.  ``p*`` is the reference point, ``s*`` the
-    moving point.  The equi-join key is the full cell, so a busy
-    case or frame is spread by row and column.  ``max_correspondences`` is the
-    seeded sample per edge; None keeps every pair.
+    The reference is the window that comes first in the canonical order (start, stop, id).
+    ``p*`` is the reference point, ``s*`` the moving point.  The equi-join key is the full
+    cell, so a busy case or frame is spread by row and column.  All pairs are kept unless
+    ``max_correspondences`` asks for a seeded sample per edge.
     """
-    v = samples.where("valid")
-    a = v.select(*CELL, F.col("window_id").alias("reference_id"), *[F.col(c).alias(f"p{c}") for c in "xyz"])
-    b = v.select(*CELL, F.col("window_id").alias("moving_id"), *[F.col(c).alias(f"s{c}") for c in "xyz"])
-    pairs = a.join(b, CELL).where(F.col("reference_id") < F.col("moving_id"))
+    v = _placed(samples, samples.where("valid"))
+    a = v.select(*CELL, F.col("window_id").alias("reference_id"), F.col("position").alias("__rp"), *[F.col(c).alias(f"p{c}") for c in "xyz"])
+    b = v.select(*CELL, F.col("window_id").alias("moving_id"), F.col("position").alias("__mp"), *[F.col(c).alias(f"s{c}") for c in "xyz"])
+    pairs = a.join(b, CELL).where("__rp < __mp").drop("__rp", "__mp")
     tile = (
         F.col("frame") * F.lit(1 << 32)
         + F.floor(F.col("row") / cluster_size) * F.lit(1 << 16)
@@ -55,13 +61,13 @@ def overlap_correspondences(
 
 
 def all_edges(samples: DataFrame) -> DataFrame:
-    """Every ordered window pair of a case with at least one common frame."""
-    wf = samples.select("case_id", "window_id", "frame").distinct()
-    a = wf.withColumnRenamed("window_id", "reference_id")
-    b = wf.withColumnRenamed("window_id", "moving_id")
+    """Every pair of windows of a case, in canonical order, with at least one common frame."""
+    wf = _placed(samples, samples.select("case_id", "window_id", "frame").distinct())
+    a = wf.withColumnsRenamed({"window_id": "reference_id", "position": "__rp"})
+    b = wf.withColumnsRenamed({"window_id": "moving_id", "position": "__mp"})
     return (
         a.join(b, ["case_id", "frame"])
-        .where("reference_id < moving_id")
+        .where("__rp < __mp")
         .groupBy("case_id", "reference_id", "moving_id")
         .agg(F.count(F.lit(1)).alias("common_frames"))
     )

@@ -34,6 +34,8 @@ class ExportConfig:
     effective_samples: float = 64.0
     cluster_size: int = 32
     model: dis.VarianceModel = dis.VarianceModel()
+    #: Pairs that the transform fit of an edge uses; evidence is always summed over all pairs.
+    fit_pairs: int | None = 100_000
 
 
 def export_observations(
@@ -51,7 +53,7 @@ def export_observations(
     admitted = project.causal_windows(order.withColumn("stop_frame", F.col("stop_frame") + 1), config.causal_stop)
     live = samples.join(admitted.select("case_id", "window_id"), ["case_id", "window_id"], "left_semi")
     pairs = joins.overlap_correspondences(live, config.cluster_size)
-    edges = align.fit_edges(pairs, ["case_id", "reference_id", "moving_id"])
+    edges = align.fit_edges(pairs, ["case_id", "reference_id", "moving_id"], config.fit_pairs)
     edges = durable(gauges.with_positions(edges, order))
     if inflation is not None:
         edges = inflation.apply(edges)
@@ -140,28 +142,33 @@ def evaluate_methods(
     return out
 
 
+# What a payload's coordinates may come with: a transform per window, one for all, and whether that must be rigid.
+_COORDINATES = {
+    "window-local-sim3": {"per_window": True, "shared": False},
+    "sequence-local-sim3": {"per_window": False, "shared": True},
+    "metric-world": {"per_window": False, "shared": False},
+    "camera-local-metric": {"per_window": False, "shared": True, "rigid": True, "one_view": True},
+}
+
+
 def resolve_gauges(payloads: DataFrame, semantics: str, per_window: DataFrame | None = None, shared: Mapping[str, float] | None = None) -> DataFrame:
     """Coordinate semantics -> one transform per window; other combinations are refused."""
+    if semantics not in _COORDINATES:
+        raise ValueError(f"{semantics!r} is none of {sorted(_COORDINATES)}")
+    rule = _COORDINATES[semantics]
+    given = {"per_window": per_window is not None, "shared": shared is not None}
+    wrong = [name for name, has in given.items() if has != rule[name]]
+    if wrong:
+        raise ValueError(f"{semantics}: " + ", ".join(f"{name} is {'needed' if rule[name] else 'not allowed'}" for name in wrong))
+    if rule.get("rigid") and abs(float(shared["scale"]) - 1.0) > 1e-12:
+        raise ValueError(f"{semantics}: the shared transform must have scale 1")
+    if rule.get("one_view") and "view_id" in payloads.columns and payloads.select("view_id").distinct().limit(2).count() > 1:
+        raise ValueError(f"{semantics}: the payloads must share one view")
     windows = payloads.select("case_id", "window_id").distinct()
-    fixed = shared or {**sim3.pack(sim3.IDENTITY)}
-    if semantics == "window-local-sim3":
-        if per_window is None or shared is not None:
-            raise ValueError("window-local payloads need one gauge per window only")
-        violations(joins.missing_extra(windows, per_window, ["case_id", "window_id"]), "gauge ids changed")
+    if rule["per_window"]:
+        violations(joins.missing_extra(windows, per_window, ["case_id", "window_id"]), "windows and gauges differ")
         return windows.join(per_window, ["case_id", "window_id"])
-    if per_window is not None:
-        raise ValueError("per-window gauges conflict with the coordinate semantics")
-    if semantics == "metric-world" and shared is not None:
-        raise ValueError("metric-world payloads must not be transformed again")
-    if semantics == "sequence-local-sim3" and shared is None:
-        raise ValueError("sequence-local payloads need one shared gauge")
-    if semantics == "camera-local-metric":
-        if shared is None or abs(float(shared["scale"]) - 1.0) > 1e-12:
-            raise ValueError("camera-local payloads need a rigid camera-to-world transform")
-        if "view_id" in payloads.columns and payloads.select("view_id").distinct().limit(2).count() > 1:
-            raise ValueError("camera-local payloads need exactly one view")
-    elif semantics not in {"metric-world", "sequence-local-sim3"}:
-        raise ValueError(f"unknown coordinate semantics {semantics!r}")
+    fixed = shared or sim3.pack(sim3.IDENTITY)
     return windows.select("case_id", "window_id", *[F.lit(float(v)).alias(k) for k, v in fixed.items()])
 
 
@@ -203,7 +210,7 @@ def held_out_study(
     def prepare(part: DataFrame) -> tuple[DataFrame, DataFrame]:
         order = joins.window_order(part)
         pairs = joins.overlap_correspondences(part)
-        edges = durable(gauges.with_positions(align.fit_edges(pairs, ["case_id", "reference_id", "moving_id"]), order))
+        edges = durable(gauges.with_positions(align.fit_edges(pairs, ["case_id", "reference_id", "moving_id"], 100_000), order))
         ev = dis.accumulate_disagreement(pairs, edges.where("status = 'ok'"))
         return durable(dis.with_rays(dis.point_variances(part, ev, model))), gauges.sequential_gauges(edges)
 

@@ -92,14 +92,14 @@ b AS (SELECT *, row_number() OVER (PARTITION BY c1, c2 ORDER BY s, visit) AS k F
 def _(spark, sf):
     est = ad.estimates(spark, sf)
     pairs = est.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("cell")
-    out = fusion.fuse_covariance_intersection(est.join(pairs, "cell", "left_semi"), ["cell"], [], ["cell"])
+    out = fusion.fuse_covariance_intersection(est.join(pairs, "cell", "left_semi"), ["cell"], [])
     return out.withColumn("w", F.col("weights")[0])
 
 
 @query("fuse_ci_all", "A8 A7", "cell:long x:d y:d z:d c_xx:d c_xy:d c_yy:d c_zz:d contributors:long")
 def _(spark, sf):
     est = ad.estimates(spark, sf)
-    return fusion.fuse_covariance_intersection(est, ["cell"], [], ["cell"])
+    return fusion.fuse_covariance_intersection(est, ["cell"], [])
 
 
 _CORR = f"""WITH {SAMPLES_SQL}, p AS (

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from obsfuse.functions import sim3
-from obsfuse.operators import align, fusion, gauges
+from obsfuse.operators import align, fusion, gauges, joins
 
 RNG = np.random.default_rng(11)
 SYM = ["xx", "xy", "xz", "yy", "yz", "zz"]
@@ -80,8 +80,27 @@ def test_robust_fit_both_forms(spark):
         assert a[m]["scale"] == pytest.approx(t[0], rel=2e-2)
         for c in sim3.GAUGE_COLUMNS:
             assert a[m][c] == pytest.approx(b[m][c], abs=1e-5)
-        cov = sim3.square(a[m]["cov"])
-        assert np.linalg.eigvalsh(cov).min() > 0 and a[m]["clusters"] == 25
+        cov, other = sim3.square(a[m]["cov"]), sim3.square(b[m]["cov"])
+        assert np.linalg.eigvalsh(cov).min() > 0 and a[m]["clusters"] == b[m]["clusters"] == 25
+        assert np.allclose(cov, other, rtol=1e-3, atol=1e-9)
+        for c in ("rms", "inlier_fraction", "n", "covariance_method", "iterations"):
+            assert a[m][c] == pytest.approx(b[m][c], rel=1e-4) if c != "covariance_method" else a[m][c] == b[m][c]
+
+
+def test_distributed_fit_loses_no_edge(spark):
+    """A small edge, one without extent and one with few clusters come out with a status or a fallback."""
+    df, _ = pairs_frame(spark, edges=1)
+    three = df.limit(3).withColumn("moving_id", F.lit("few"))
+    flat = df.limit(40).withColumn("moving_id", F.lit("flat")).withColumns({c: F.lit(1.0) for c in ("sx", "sy", "sz")})
+    lone = df.withColumn("moving_id", F.lit("lone")).withColumn("cluster", F.col("cluster") % 3)
+    keys = ["case_id", "reference_id", "moving_id"]
+    both = df.union(three).union(flat.select(df.columns)).union(lone.select(df.columns)).repartition(7)
+    got = {r.moving_id: r for r in align.fit_edges_distributed(both, keys, tolerance=1e-2).collect()}
+    want = {r.moving_id: r for r in align.fit_edges(both, keys, tolerance=1e-2).collect()}
+    assert set(got) == set(want) == {"m0", "few", "flat", "lone"}
+    assert {k: r.status for k, r in got.items()} == {k: r.status for k, r in want.items()}
+    assert got["lone"].covariance_method == want["lone"].covariance_method == "pointwise_fallback"
+    assert np.allclose(got["lone"].cov, want["lone"].cov, rtol=1e-3, atol=1e-9)
 
 
 def test_failed_fit_is_a_status_row(spark):
@@ -190,3 +209,45 @@ def test_near_singular_rows_use_the_floor(spark):
     est = spark.createDataFrame([(1, "a", 0.0, 0.0, 0.0, 1.0, 1.0, 0.0, 1.0, 0.0, 1.0)], "cell int, contributor string, x double, y double, z double, " + ", ".join(f"c_{s} double" for s in SYM))
     r = fusion.information(est).collect()[0]
     assert np.isfinite(r.i_xx) and r.i_xx > 1e10
+
+
+def test_mixing_weights_are_stationary():
+    """At the optimum no contributor's gain exceeds the dimension, and those with weight reach it."""
+    rng = np.random.default_rng(5)
+    for k in (2, 3, 5):
+        p = np.array([(lambda a: a @ a.T + 0.1 * np.eye(7))(rng.normal(size=(7, 7)) * rng.uniform(0.2, 3)) for _ in range(k)])
+        w = gauges.mixing_weights(p)
+        gain = np.trace(np.linalg.solve(np.tensordot(w, p, 1), p), axis1=1, axis2=2)
+        assert w.sum() == pytest.approx(1) and w.min() >= 0
+        assert gain.max() <= 7 + 1e-6 and np.allclose(gain[w > 1e-6], 7, atol=1e-5)
+        assert gauges.mixing_weights(p, 0.05).min() >= 0.05 - 1e-12
+
+
+def test_many_contributor_weights_use_all_rows(spark):
+    """Weights of the distributed rounds are stationary for the mean over every row."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for cell in range(300):
+        for c in range(4):
+            a = rng.normal(size=(3, 3)) * rng.uniform(0.3, 2)
+            m = a @ a.T + 0.05 * np.eye(3)
+            rows.append((cell, f"w{c}", *rng.normal(size=3).tolist(), *m[np.triu_indices(3)].tolist()))
+    est = spark.createDataFrame(rows, "cell long, contributor string, x double, y double, z double, c_xx double, c_xy double, c_xz double, c_yy double, c_yz double, c_zz double")
+    cells = fusion._with_pattern(est, ["cell"])
+    (got,) = fusion.nway_weights(cells, ["pattern"]).collect()
+    w = np.array(got.weights)
+    info = np.array([[[m[i] for i in fusion.INFO] for m in r.members] for r in cells.collect()])[:, :, [0, 1, 2, 1, 3, 4, 2, 4, 5]].reshape(300, 4, 3, 3)
+    gain = np.trace(np.linalg.solve(np.einsum("k,nkij->nij", w, info)[:, None], info), axis1=2, axis2=3).mean(axis=0)
+    assert w.sum() == pytest.approx(1) and gain.max() <= 3 + 1e-6
+    assert np.allclose(gain[w > 1e-6], 3, atol=1e-5)
+
+
+def test_window_order_is_canonical_not_alphabetic(spark):
+    """Twelve windows w0..w11: w10 comes after w9, and the tree takes every case."""
+    cols = "case_id string, window_id string, frame long, row int, col int, x double, y double, z double, valid boolean"
+    rng = np.random.default_rng(3)
+    rows = [("c", f"w{w}", f, 0, c, *rng.normal(size=3).tolist(), True) for w in range(12) for f in (w, w + 1) for c in range(6)]
+    samples = spark.createDataFrame(rows, cols)
+    got = {(r.reference_id, r.moving_id) for r in joins.overlap_correspondences(samples).collect()}
+    assert got == {(f"w{i}", f"w{i + 1}") for i in range(11)}
+    assert {(r.reference_id, r.moving_id) for r in joins.all_edges(samples).collect()} == got
