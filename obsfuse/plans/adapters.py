@@ -298,12 +298,12 @@ TRACKS_SQL = """v_tracks AS (
 # --- embedding units ------------------------------------------------------------------------
 
 
-def unit_rows(spark: SparkSession, sf: str, dims: int = 8) -> DataFrame:
+def unit_rows(spark: SparkSession, sf: str) -> DataFrame:
     e = read(spark, sf, "embeddings")
     return e.select(
         F.col("label").cast("bigint").alias("unit_id"),
         F.col("vec_id").alias("row_id"),
-        F.transform(F.slice("embedding", 1, dims), lambda v: v.cast("double")).alias("features"),
+        F.transform("embedding", lambda v: v.cast("double")).alias("features"),
     )
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 
 from pyspark.sql import functions as F
 
@@ -16,7 +14,7 @@ from obsfuse.plans import adapters as ad
 from obsfuse.plans import pipelines
 from obsfuse.plans.adapters import ARMS_SQL, EDGES_SQL, RESID_SQL, SAMPLES_SQL, TRACKS_SQL
 from obsfuse.plans.registry import query
-from obsfuse.runtime import durable, ensure_checkpoint_dir
+from obsfuse.runtime import durable, fresh_folder
 from obsfuse.sources import tables
 from obsfuse.streaming import admission, incremental
 
@@ -496,7 +494,7 @@ def _(spark, sf):
 
 # --- units ---------------------------------------------------------------------------------------
 
-_EMB = """r AS (SELECT label AS unit_id, unnest(range(0, 8)) AS f, unnest(CAST(embedding[1:8] AS DOUBLE[])) AS v FROM embeddings),
+_EMB = """r AS (SELECT label AS unit_id, unnest(range(0, 64)) AS f, unnest(CAST(embedding[1:64] AS DOUBLE[])) AS v FROM embeddings),
 q AS (SELECT unit_id, f, count(*) AS n, quantile_cont(v, 0.1) AS q0, quantile_cont(v, 0.5) AS q1, quantile_cont(v, 0.9) AS q2 FROM r GROUP BY 1, 2),
 l AS (SELECT unit_id, 3 * f AS i, q0 AS v, n FROM q UNION ALL SELECT unit_id, 3 * f + 1, q1, n FROM q UNION ALL SELECT unit_id, 3 * f + 2, q2, n FROM q),
 c AS (SELECT i, median(v) AS med, quantile_cont(v, 0.25) AS a, quantile_cont(v, 0.75) AS b, max(abs(v)) AS pk FROM l GROUP BY 1),
@@ -507,7 +505,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY distance, sourc
 
 
 def _embeddings(spark, sf):
-    return durable(transport.unit_embeddings(ad.unit_rows(spark, sf), 8))
+    return durable(transport.unit_embeddings(ad.unit_rows(spark, sf), 64))
 
 
 @query("nearest_units", "J9", "unit_id:long source_id:long distance:d rank:long", f"WITH {_EMB} SELECT * FROM k WHERE rank <= 3")
@@ -738,12 +736,7 @@ def _event_stream(spark, sf):
 
 
 def _sink(spark, name):
-    base = ensure_checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[5:]
-    if os.path.isdir(base):
-        return tempfile.mkdtemp(prefix=f"stream-{name}-", dir=base)
-    return f"{base}/stream-{name}-{spark.sparkContext.startTime}"
+    return fresh_folder(spark, f"stream-{name}")
 
 
 @query(

@@ -5,11 +5,16 @@ from __future__ import annotations
 import functools
 import operator
 import tempfile
+import uuid
+import zipfile
 from collections.abc import Iterable, Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_SHIPPED: dict[str, str] = {}
+
 #: Largest row count that may be handed to a broadcast join or to the driver.
 BROADCAST_ROW_LIMIT = 200_000
 
@@ -38,18 +43,41 @@ def session(app: str = "obsfuse", cores: int | str = "*", **conf: object) -> Spa
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the shared folder the cluster names; fall back to a local one in tests."""
+    """The shared folder that ``spark.checkpoint.dir`` names.
+
+    A local master may do without one and gets a temporary folder; a cluster must name one,
+    since a folder of one machine is not seen by the others.
+    """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
-    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
-        "spark.checkpoint.dir", None
-    )
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    if not shared and not context.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp"))
     return context.getCheckpointDir()
 
 
+def ship(spark: SparkSession) -> None:
+    """Give executors this package, once per application, wherever they run."""
+    context = spark.sparkContext
+    if _SHIPPED.get("application") == context.applicationId:
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="obsfuse-")) / "obsfuse.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(target))
+    _SHIPPED["application"] = context.applicationId
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own for one run, below the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in reliable storage and cut its lineage.
 

@@ -34,7 +34,10 @@ _DENSE = ["x", "y", "z", *[f"c_{s}" for s in SYM], "fx", "fy", "fz", *[f"f_{s}"
 
 
 def write_fused(df: DataFrame, path: str, method_id: str, fusion_method: str, include_covariance: bool = True) -> None:
-    """Float32 at rest, packed covariance, and the dependence semantics as columns."""
+    """Float32 at rest, packed covariance, and the dependence semantics as columns.
+
+    A second run replaces the (case, method) partitions that it writes and leaves the others.
+    """
     if fusion_method not in SEMANTICS:
         raise ValueError(f"unknown fusion method {fusion_method!r}")
     meaning, assumption = SEMANTICS[fusion_method]
@@ -50,7 +53,7 @@ def write_fused(df: DataFrame, path: str, method_id: str, fusion_method: str, in
     out = out.withColumns({c: F.col(c).cast("float") for c in _DENSE})
     out.withColumns(
         {"fusion_method": F.lit(fusion_method), "covariance_semantics": F.lit(meaning), "correlation_assumption": F.lit(assumption)}
-    ).write.mode("append").partitionBy("case_id", "method_id").parquet(path)
+    ).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("case_id", "method_id").parquet(path)
 
 
 def read_fused(spark: SparkSession, path: str, methods: Sequence[str] | None = None) -> DataFrame:

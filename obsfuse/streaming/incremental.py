@@ -114,12 +114,9 @@ def append_ledger(path: str) -> Callable[[DataFrame, int], None]:
     def sink(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         new = batch.dropDuplicates(["group_id"])
-        try:
-            old = spark.read.parquet(path)
-        except Exception:  # noqa: BLE001 - first batch: no ledger yet
-            old = None
-        if old is not None:
-            new = new.join(old.select("group_id"), "group_id", "left_anti")
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+            new = new.join(spark.read.parquet(path).select("group_id"), "group_id", "left_anti")
         new.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(path)
 
     return sink
