@@ -216,7 +216,8 @@ class AssociationConfig:
     maximum_rms: float = 0.05
     minimum_score: float = 0.05
     minimum_margin: float = 0.05
-    maximum_pairs: int | None = 1_000_000
+    #: Refuse more gated pairs than this; None takes any number.
+    maximum_pairs: int | None = None
 
 
 def candidate_scores(left: DataFrame, right: DataFrame, config: AssociationConfig = AssociationConfig()) -> DataFrame:  # noqa: B008

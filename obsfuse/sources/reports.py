@@ -30,13 +30,10 @@ def nested_report(aggregate: DataFrame, comparisons: DataFrame, decision: DataFr
     return out if decision is None else out.crossJoin(decision.agg(F.collect_list(F.struct("*")).alias("decision")))
 
 
-def markdown_table(df: DataFrame, title: str, limit: int = 200) -> str:
-    """Render a summary table (methods x metrics); refuses anything larger than ``limit``."""
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError("summary table is too large for a Markdown report")
+def markdown_table(df: DataFrame, title: str) -> str:
+    """Render a summary table (methods x metrics), row by row as it arrives."""
     head = df.columns
     lines = [f"## {title}", "", "| " + " | ".join(head) + " |", "| " + " | ".join("---" for _ in head) + " |"]
-    for r in rows:
+    for r in df.toLocalIterator():
         lines.append("| " + " | ".join(f"{v:.6g}" if isinstance(v, float) else str(v) for v in r) + " |")
     return "\n".join([*lines, ""])
