@@ -6,14 +6,16 @@ The join is exact (up to collisions of 64-bit hashes) and runs in these steps:
 2. two sets of similarity s or more share all but a part (1 - s) of each other's tokens, so
    a class with more than that many tokens that no other class has is without partner. Tokens
    are counted on a fixed share of the hash range, which is enough to see that;
-3. the classes left over are put into blocks by their smallest hash and each block is joined by
-   a signature tree (`signature_tree.py`);
+3. the classes left over are put into blocks by their smallest hash, under three orders one after
+   the other, and each block that still has several components is joined by a signature tree
+   (`signature_tree.py`);
 4. with the components of step 3, blocks are formed again by the tokens of each class's prefix
-   (rarest first: linked classes have a common one), those with a single component go, and the
-   rest is joined by the same trees. This makes the result whole.
+   (rarest first: linked classes have a common one), those with a single component go, and trees
+   over the bitmaps alone list the pairs in different components that may be similar; these are
+   compared exactly. This makes the result whole.
 
-No step emits the pairs of a group: a block returns at most one link for each of its members.
-Blocks are cut by the number of tokens that they hold, and all cuts of a block meet in pairs.
+Step 3 returns at most one link for each member of a block, and step 4 lists no pair within a
+component, so large groups of copies stay linear. Blocks are cut by the number of tokens that they hold, and all cuts of a block meet in pairs.
 """
 
 from __future__ import annotations
@@ -28,11 +30,15 @@ from pyspark.sql import functions as F
 
 from obsfuse.llm.components import components
 from obsfuse.llm.shingles import shingle_sets
-from obsfuse.llm.signature_tree import tree_links
-from obsfuse.llm.store import kept, long_list, mixed, texts, utf8
+from obsfuse.llm.signature_tree import Groups, bitmap, bitmap_bits, similar, tree_candidates, tree_links
+from obsfuse.llm.store import kept, likely, long_list, mixed, split_likely, texts, utf8
 
 #: Tokens that one tree may hold; larger blocks are cut and their cuts meet in pairs.
 BLOCK_TOKENS = 2_000_000
+#: Rows of a group of blocks that are not cut.
+BUCKET_ROWS = 4096
+#: Orders of the hashes whose smallest ones form blocks in step 3.
+_SEEDS = np.array([0, 0x5555_0F0F_3333_00FF, 0xFFFF_FFFF_FFFF_FFFF], np.uint64)
 #: Low bits of a hash that are compared when tokens are counted.
 _LOW = np.uint64((1 << 48) - 1)
 
@@ -113,27 +119,31 @@ def near_duplicates(
     )
     left = kept(left)
 
-    # the sets of the classes left over; one text stands for each class
+    # the sets of the classes left over; a fixed-size bit filter keeps most other texts from being
+    # read again, the join behind it is exact
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(shingle_sets(*utf8(batch.column(0)), width))
-            fits = np.array([set_key(s) == k for s, k in zip(sets, batch.column(1).to_pylist(), strict=True)], bool)
-            part = batch.filter(pa.array(fits))
-            chosen = [s for s, ok in zip(sets, fits, strict=True) if ok]
-            columns = [part.column(1), part.column(2), part.column(3), long_list(chosen)]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "n", "own", "tokens"])
-
-    members = kept(
-        rows.join(left, "doc_id")
-        .select("text", "key", "n", "own")
-        .mapInArrow(listed, "key bigint, n bigint, own bigint, tokens array<bigint>")
-        .dropDuplicates(["key"])
-    )
+            sets = list(shingle_sets(*utf8(batch.column(1)), width))
+            keys = pa.array([set_key(s) for s in sets], pa.int64())
+            lows = [np.array([int((s ^ x).min()) if len(s) else 0 for x in _SEEDS], np.uint64) for s in sets]
+            maps = [bitmap(s, bitmap_bits(len(s), 2)) for s in sets]
+            columns = [batch.column(0), keys, long_list(lows), long_list(maps), long_list(sets)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "lows", "map", "tokens"])
+
+    again = likely(rows.where("doc_id IS NOT NULL"), left, "doc_id").where("__likely").select("doc_id", "text")
+    again = again.mapInArrow(listed, "doc_id bigint, key bigint, lows array<bigint>, map array<bigint>, tokens array<bigint>")
+    members = kept(again.join(left, ["key", "doc_id"]).drop("doc_id"))  # the texts of a repeated id fall out by their keys
 
-    # step 3: blocks by the smallest hash
-    first = members.select("key", "n", F.array_min("tokens").alias("block"), F.col("key").alias("root"))
-    links = kept(_block_links(first, members, num, den))
-    known = components(links)
+    # step 3: blocks by the smallest hash, under several orders
+    links = known = None
+    for k in range(len(_SEEDS)):
+        narrow = members.select("key", "n", F.col("lows")[k].alias("block"))
+        if known is not None:
+            narrow = narrow.join(known.withColumnRenamed("node", "key"), "key", "left")
+        root = F.lit(None) if known is None else F.col("root")
+        found = kept(_block_links(narrow.withColumn("root", F.coalesce(root, "key")), members, num, den))
+        links = found if links is None else kept(links.union(found))
+        known = components(links)
 
     # step 4: blocks by the prefix tokens, for what step 3 has not connected
     low_token = F.expr(f"transform(tokens, t -> t & {low}L)")
@@ -146,18 +156,23 @@ def near_duplicates(
     prefix = (
         seen.union(unseen.where(f"token >= {limit}L"))
         .groupBy("key", "n", "own")
-        .agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("rest"))
-        .select("key", "n", F.expr(f"explode(slice(rest.token, 1, greatest(0, cast({spare} - own AS int))))").alias("block"))
+        .agg(F.sort_array(F.collect_set(F.struct("c", "token"))).alias("rest"))
+        .select("key", "n", F.expr(f"sort_array(slice(rest.token, 1, greatest(0, cast({spare} - own AS int))))").alias("posts"))
+        .where("size(posts) > 0")
     )
-    dealt = prefix.join(known.withColumnRenamed("node", "key"), "key", "left")
-    dealt = kept(dealt.select("key", "n", "block", F.coalesce("root", "key").alias("root")))
+    prefix = prefix.join(known.withColumnRenamed("node", "key"), "key", "left")
+    prefix = kept(prefix.select("key", "n", "posts", F.coalesce("root", "key").alias("root")))
+    dealt = prefix.select("key", "n", F.explode("posts").alias("block"), "root")
     # blocks with one component go; of blocks with the same members one stays
     kinds = dealt.groupBy("block").agg(
         F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m"), F.expr("bit_xor(key)").alias("mark"), F.min("key").alias("least")
     )
     kinds = kinds.where("lo <> hi").groupBy("m", "mark", "least").agg(F.min("block").alias("block")).select("block")
-    more = kept(_block_links(dealt.join(kinds, "block"), members, num, den))
-    roots = components(links.union(more)) if not more.isEmpty() else known
+    # the first few posts are enough to see most pairs again that an earlier block has listed
+    posted = members.select("key", "map").join(prefix.select("key", F.slice("posts", 1, 8).alias("posts")), "key")
+    near = kept(_block_candidates(dealt.join(kinds, "block"), posted, num, den))
+    more = kept(_verified(near, members, num, den))
+    roots = known if more.isEmpty() else components(links.union(more))
 
     named = classes.join(roots.withColumnRenamed("node", "key"), "key", "left")
     named = named.select("key", "doc_id", F.coalesce("root", "key").alias("root"))
@@ -168,27 +183,164 @@ def near_duplicates(
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), root.alias("component_id"))
 
 
-def _block_links(narrow: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
-    """Links ``(a, b)`` inside the blocks of ``narrow(block, key, n, root)``, by size steps and cuts.
+def drop_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: tuple[int, int] = (3, 4)
+) -> DataFrame:
+    """The rows of ``docs``, unchanged, but of each group of near-duplicates only the smallest id's.
+
+    Rows with a null id or without words stay. Of rows that repeat the smallest id all stay.
+    """
+    groups = near_duplicates(docs, id_col, text_col, width, similarity)
+    gone = kept(groups.where(F.col("component_id") < F.col(f"`{id_col}`")).select(F.col(f"`{id_col}`")).distinct())
+    maybe, stay = split_likely(docs, gone, id_col)
+    return stay.union(maybe.join(gone, id_col, "left_anti").select(docs.columns))
+
+
+_GROUP = ["bucket", "i", "j"]
+
+
+def _dealt(narrow: DataFrame, num: int, den: int) -> DataFrame:
+    """``narrow(block, key, n, root)`` by block, size step and pair of cuts; blocks of one root go.
 
     A set meets others of its size step and of the next one; a step is as wide as the ratio of
-    sizes that similar sets can have.
+    sizes that similar sets can have. Blocks that are not cut share groups (``bucket``) of some
+    thousand rows, so that small ones cost little.
     """
-    rows = narrow.select("block", "key", "n", "root", F.col("n").alias("step"))
+    rows = narrow.select("block", "key", "n", "root", F.col("n").alias("own_step"), F.col("n").alias("step"))
     if num < den:
         step = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(den / num))))
-        rows = rows.withColumn("step", F.explode(F.array(step, step + 1)))
-    whole = rows.groupBy("block", "step").agg(F.sum("n").alias("total"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    whole = whole.where("lo <> hi").select("block", "step", F.ceil(F.col("total") / BLOCK_TOKENS).cast("int").alias("cuts"))
+        rows = rows.withColumn("own_step", step).withColumn("step", F.explode(F.array(step, step + 1)))
+    whole = rows.groupBy("block", "step").agg(
+        F.sum("n").alias("total"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("own_step").alias("top")
+    )
+    # sets that are all of the step below have met there
+    whole = whole.where("lo <> hi AND top = step").select("block", "step", F.ceil(F.col("total") / BLOCK_TOKENS).cast("int").alias("cuts"))
     dealt = rows.join(whole, ["block", "step"]).withColumn("cut", F.pmod(F.xxhash64("key"), F.col("cuts")).cast("int"))
     dealt = dealt.withColumn("other", F.expr("explode(sequence(0, cuts - 1))"))
-    dealt = dealt.select("block", "step", F.least("cut", "other").alias("i"), F.greatest("cut", "other").alias("j"), "key", "root")
-    dealt = dealt.join(members.select("key", "tokens"), "key")
+    dealt = kept(
+        dealt.select("block", "step", "cuts", F.least("cut", "other").alias("i"), F.greatest("cut", "other").alias("j"), "key", "n", "root", "own_step")
+    )
+    buckets = dealt.count() // BUCKET_ROWS + 1
+    mark = F.xxhash64("block", "step")
+    return dealt.withColumn("bucket", F.when(F.col("cuts") == 1, F.pmod(mark, F.lit(buckets))).otherwise(mark)).drop("cuts")
+
+
+def _needed(members: DataFrame, dealt: DataFrame, columns: list[str]) -> DataFrame:
+    """The members whose key may be in ``dealt``; the others' tokens are not shuffled."""
+    return likely(members, dealt, "key").where("__likely").select("key", *columns)
+
+
+def _blocks(part: pd.DataFrame) -> Iterator[np.ndarray]:
+    """Row numbers of each block and size step of a group."""
+    block, step = part["block"].to_numpy(), part["step"].to_numpy()
+    order = np.lexsort((step, block))
+    edge = np.flatnonzero((np.diff(block[order]) != 0) | (np.diff(step[order]) != 0)) + 1
+    yield from np.split(order, edge)
+
+
+def _star(keys: np.ndarray, pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The components of ``pairs`` (positions in ``keys``) with every member linked to the smallest key: short paths."""
+    if not pairs:
+        return []
+    ends = np.unique(pairs)
+    ends = ends[np.argsort(keys[ends], kind="stable")]
+    place = {p: i for i, p in enumerate(ends.tolist())}
+    groups = Groups(np.arange(len(ends)))
+    for i, j in pairs:
+        groups.join(place[i], place[j])
+    roots = groups.roots()
+    return [(int(keys[ends[r]]), int(keys[e])) for r, e in zip(roots.tolist(), ends.tolist(), strict=True) if ends[r] != e]
+
+
+def _block_links(narrow: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
+    """Links ``(a, b)`` that connect all similar sets of each block; at most one for a member."""
 
     def linked(part: pd.DataFrame) -> pd.DataFrame:
         sets = [np.asarray(t, np.int64).view(np.uint64) for t in part["tokens"]]
-        keys = part["key"].to_numpy()
-        pairs = tree_links(sets, part["root"].to_numpy(), num, den)
-        return pd.DataFrame({"a": [keys[i] for i, _ in pairs], "b": [keys[j] for _, j in pairs]}, dtype="int64")
+        keys, roots, found = part["key"].to_numpy(), part["root"].to_numpy(), []
+        for rows in _blocks(part):
+            found += _star(keys[rows], tree_links([sets[r] for r in rows], roots[rows], num, den))
+        return pd.DataFrame({"a": [x for x, _ in found], "b": [x for _, x in found]}, dtype="int64")
+
+    dealt = _dealt(narrow, num, den)
+    return dealt.join(_needed(members, dealt, ["tokens"]), "key").groupBy(*_GROUP).applyInPandas(linked, "a bigint, b bigint")
+
+
+def _block_candidates(narrow: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs ``(a, b)`` of a block in different components that their bitmaps allow, in the first size
+    step that both are in, with their roots and their group. Pairs that share one of their
+    ``posts`` below the block are left to that block; a pair may still come more than once.
+    """
+    names = ["a", "b", "ra", "rb", *_GROUP]
+
+    def walked(part: pd.DataFrame) -> pd.DataFrame:
+        maps = [np.asarray(m, np.int64).view(np.uint64) for m in part["map"]]
+        posts = [np.asarray(p) for p in part["posts"]]
+        keys, roots, own = part["key"].to_numpy(), part["root"].to_numpy(), part["own_step"].to_numpy()
+        size, blocks, steps, out = part["n"].to_numpy(), part["block"].to_numpy(), part["step"].to_numpy(), []
+        for rows in _blocks(part):
+            block, step = blocks[rows[0]], steps[rows[0]]
+            earlier = None
+            for i, j in tree_candidates([maps[r] for r in rows], size[rows], roots[rows], num, den):
+                if earlier is None:
+                    earlier = _membership([posts[r][: np.searchsorted(posts[r], block)] for r in rows])
+                first = (np.maximum(own[rows[i]], own[rows[j]]) == step) & ~(earlier[i] & earlier[j]).any(axis=1)
+                out.append(np.stack([rows[i[first]], rows[j[first]]]))
+        i, j = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+        columns = [keys[i], keys[j], roots[i], roots[j], *(np.full(len(i), part[c].iloc[0]) for c in _GROUP)]
+        return pd.DataFrame(dict(zip(names, columns, strict=True)))
+
+    dealt = _dealt(narrow, num, den)
+    schema = "a bigint, b bigint, ra bigint, rb bigint, bucket bigint, i int, j int"
+    return dealt.join(_needed(members, dealt, ["map", "posts"]), "key").groupBy(*_GROUP).applyInPandas(walked, schema)
+
+
+def _verified(near: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
+    """Links ``(a, b)`` that connect what the similar ones of the pairs ``near`` connect.
+
+    The sets of a group's pairs come together once, whatever the number of pairs.
+    """
+    sides = near.select(*_GROUP, F.explode(F.array("a", "b")).alias("key")).distinct()
+    sets = sides.join(_needed(members, sides, ["tokens"]), "key")
+
+    def tested(pairs: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+        tokens = {k: np.asarray(t, np.int64).view(np.uint64) for k, t in zip(part["key"], part["tokens"], strict=True)}
+        names = np.unique(pairs[["ra", "rb"]].to_numpy())
+        groups, found = Groups(names), []
+        ends = np.searchsorted(names, pairs["ra"]).tolist(), np.searchsorted(names, pairs["rb"]).tolist()
+        for a, b, x, y in zip(pairs["a"], pairs["b"], *ends, strict=True):
+            if groups.root(x) != groups.root(y) and similar(tokens[a], tokens[b], num, den):
+                groups.join(x, y)
+                found.append((a, b))
+        return pd.DataFrame({"a": [x for x, _ in found], "b": [x for _, x in found]}, dtype="int64")
+
+    both = near.groupBy(*_GROUP).cogroup(sets.groupBy(*_GROUP))
+    return both.applyInPandas(tested, "a bigint, b bigint")
+
+
+def _membership(lists: list[np.ndarray]) -> np.ndarray:
+    """A row of bits for each list: which of the numbers that several lists hold it has."""
+    of = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+    number, count = np.unique(flat, return_inverse=True, return_counts=True)[1:]
+    rank = np.cumsum(count > 1) - 1
+    shared = count[number] > 1
+    at = rank[number[shared]]
+    out = np.zeros((len(lists), int((count > 1).sum()) // 64 + 1), np.uint64)
+    np.bitwise_or.at(out, (of[shared], at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+    return out
+
+
+def _verified(pairs: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs ``(a, b)`` whose sets are similar enough."""
+    left = members.select(F.col("key").alias("a"), F.col("tokens").alias("ta"))
+    right = members.select(F.col("key").alias("b"), F.col("tokens").alias("tb"))
+
+    def tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [(np.asarray(x.values, np.int64).view(np.uint64) for x in batch.column(c)) for c in (2, 3)]
+            keep = [similar(x, y, num, den) for x, y in zip(*sets, strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return dealt.groupBy("block", "step", "i", "j").applyInPandas(linked, "a bigint, b bigint")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
+    return both.mapInArrow(tested, "a bigint, b bigint")

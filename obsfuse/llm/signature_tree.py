@@ -9,6 +9,8 @@ are known to be connected. What is left at the leaves is compared exactly.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 #: Children of a node.
@@ -39,6 +41,14 @@ class Groups:
         return np.fromiter((self.root(i) for i in range(len(self.up))), np.int64, len(self.up))
 
 
+def similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
+    """Whether intersection / union of two ascending arrays is num / den or more."""
+    n, m = len(a), len(b)
+    if not min(n, m) or (num + den) * min(n, m) < num * (n + m):
+        return False
+    return (num + den) * overlap(a, b) >= num * (n + m)
+
+
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
     """Common elements of two ascending arrays without repeats."""
     if len(a) > len(b):
@@ -48,17 +58,25 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum()) if len(b) else 0
 
 
-def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
-    """One row of 64-bit words per set; about four bits for each token of the largest set."""
-    most = max(len(s) for s in sets)
-    bits = 1 << max(8, min(16, int(4 * most).bit_length()))
-    out = np.zeros((len(sets), bits // 64), np.uint64)
-    for i, s in enumerate(sets):
-        at = (s >> np.uint64(20)) & np.uint64(bits - 1)
-        np.bitwise_or.at(out[i], (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+def bitmap_bits(n: int, per_token: int) -> int:
+    """A power of two of at least ``per_token`` bits for each of ``n`` tokens, 256 at least."""
+    return 1 << max(8, int(per_token * n - 1).bit_length())
+
+
+def bitmap(tokens: np.ndarray, bits: int) -> np.ndarray:
+    """64-bit words with a bit for each token; half the bits of it are its two halves ORed."""
+    out = np.zeros(bits // 64, np.uint64)
+    at = (tokens >> np.uint64(20)) & np.uint64(bits - 1)
+    np.bitwise_or.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
     return out
 
 
+def stacked(maps: list[np.ndarray]) -> np.ndarray:
+    """Bitmaps of different length as one matrix, folded to the shortest."""
+    width = min(len(m) for m in maps)
+    return np.stack([np.bitwise_or.reduce(m.reshape(-1, width), axis=0) for m in maps])
+
+
 def _levels(bits: np.ndarray, size: np.ndarray, extra: np.ndarray, group: np.ndarray) -> list[tuple]:
     levels = [(bits, size, size, extra, group)]
     while len(levels[-1][0]) > 1:
@@ -88,6 +106,56 @@ def _possible(level: tuple, i: np.ndarray, j: np.ndarray, num: int, den: int) ->
     return keep
 
 
+def walk(levels: list[tuple], num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Batches of member pairs ``i < j`` that no bound excludes."""
+    stack = [(len(levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    step = np.arange(FAN)
+    while stack:
+        depth, i, j = stack.pop()
+        if len(i) > AT_ONCE:
+            stack.append((depth, i[AT_ONCE:], j[AT_ONCE:]))
+            i, j = i[:AT_ONCE], j[:AT_ONCE]
+        keep = _possible(levels[depth], i, j, num, den)
+        if depth == 0:
+            keep &= i != j
+        i, j = i[keep], j[keep]
+        if not len(i):
+            continue
+        if depth == 0:
+            yield i, j
+            continue
+        n = len(levels[depth - 1][0])
+        a = (i[:, None, None] * FAN + step[None, :, None]).repeat(FAN, axis=2).ravel()
+        b = (j[:, None, None] * FAN + step[None, None, :]).repeat(FAN, axis=1).ravel()
+        fits = (a < n) & (b < n) & (a <= b)
+        stack.append((depth - 1, a[fits], b[fits]))
+
+
+def tree_candidates(maps: list[np.ndarray], size: np.ndarray, labels: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of positions with different labels that may reach the similarity by their bitmaps."""
+    if len(size) < 2:
+        return
+    if len(size) <= FAN:  # one node holds all: its members are compared at once
+        i, j = np.triu_indices(len(size), 1)
+        fits = (labels[i] != labels[j]) & (den * size[i] >= num * size[j]) & (den * size[j] >= num * size[i])
+        i, j = i[fits], j[fits]
+        if len(i):
+            bits = stacked(maps)
+            extra = size - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+            bound = np.bitwise_count(bits[i] & bits[j]).sum(axis=1, dtype=np.int64) + np.minimum(extra[i], extra[j])
+            fits = (num + den) * bound >= num * (size[i] + size[j])
+            if fits.any():
+                yield i[fits], j[fits]
+        return
+    order = np.lexsort((size, labels))
+    bits = stacked([maps[k] for k in order])
+    size = size[order]
+    extra = size - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+    groups = np.unique(labels[order], return_inverse=True)[1]
+    for i, j in walk(_levels(bits, size, extra, groups), num, den):
+        yield order[i], order[j]
+
+
 def tree_links(sets: list[np.ndarray], labels: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
     """Pairs of positions that join components: after them, all sets of a similarity of num / den or
     more are connected. Members of one label count as connected beforehand.
@@ -100,42 +168,15 @@ def tree_links(sets: list[np.ndarray], labels: np.ndarray, num: int, den: int) -
     groups, found = Groups(labels), []
 
     def test(i: int, j: int) -> None:
-        if groups.root(i) == groups.root(j):
-            return
-        n, m = len(sets[i]), len(sets[j])
-        if (num + den) * min(n, m) < num * (n + m) or not min(n, m):
-            return
-        if (num + den) * overlap(sets[i], sets[j]) >= num * (n + m):
+        if groups.root(i) != groups.root(j) and similar(sets[i], sets[j], num, den):
             groups.join(i, j)
             found.append((int(order[i]), int(order[j])))
 
-    bits = bitmaps(sets)
+    bits = stacked([bitmap(s, bitmap_bits(len(s), 4)) for s in sets])
     extra = size - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
     for i in range(len(sets) - 1):  # neighbours in the order are the likeliest links
         test(i, i + 1)
-    levels = _levels(bits, size, extra, groups.roots())
-    top = len(levels) - 1
-    stack = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
-    while stack:
-        depth, i, j = stack.pop()
-        if len(i) > AT_ONCE:
-            stack += [(depth, i[AT_ONCE:], j[AT_ONCE:])]
-            i, j = i[:AT_ONCE], j[:AT_ONCE]
-        keep = _possible(levels[depth], i, j, num, den) if depth else _possible(levels[0], i, j, num, den) & (i != j)
-        i, j = i[keep], j[keep]
-        if not len(i):
-            continue
-        if depth == 0:
-            before = len(found)
-            for a, b in zip(i.tolist(), j.tolist(), strict=True):
-                test(a, b)
-            if len(found) > before:
-                levels = _levels(bits, size, extra, groups.roots())
-            continue
-        n = len(levels[depth - 1][0])
-        step = np.arange(FAN)
-        a = (i[:, None, None] * FAN + step[None, :, None]).repeat(FAN, axis=2).ravel()
-        b = (j[:, None, None] * FAN + step[None, None, :]).repeat(FAN, axis=1).ravel()
-        fits = (a < n) & (b < n) & (a <= b)
-        stack.append((depth - 1, a[fits], b[fits]))
+    for i, j in walk(_levels(bits, size, extra, groups.roots()), num, den):
+        for a, b in zip(i.tolist(), j.tolist(), strict=True):
+            test(a, b)
     return found
