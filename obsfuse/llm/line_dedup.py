@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from obsfuse.llm.store import kept
+from obsfuse.llm.store import kept, split_likely
 
 KEY = ["doc", "mark"]
 
@@ -115,15 +115,19 @@ def dedup_lines(docs: DataFrame, words: int = 25, id_col: str = "doc_id", text_c
     """
     text, key = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
     gone = repeated_lines(docs, words, id_col, text_col)
-    gone = gone.select(F.col("doc").alias("__doc"), F.col("mark").alias("__mark"), F.col("gone").alias("__gone"))
-    out = docs.withColumn("__own", F.xxhash64(text))
-    out = out.join(gone, (key == F.col("__doc")) & (F.col("__own") == F.col("__mark")), "left")
+    gone = kept(gone.select(F.col("doc").alias("__doc"), F.col("mark").alias("__mark"), F.col("gone").alias("__gone")))
+    rows = docs.select(*[f"`{c}`" for c in docs.columns if c not in ("n_lines", "n_removed")])
+    maybe, same = split_likely(rows.withColumn("__doc", key), gone, "__doc")
+    counted = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines")
+    none = F.when(text.isNotNull(), F.lit(0)).cast("long").alias("n_removed")
+    same = same.select(*[f"`{c}`" for c in rows.columns], counted, none)
+    maybe = maybe.withColumn("__mark", F.xxhash64(text)).join(gone, ["__doc", "__mark"], "left")
     lines = F.split(text, "\n", -1)
     cleaned = F.expr(
         f"""CASE WHEN __gone IS NULL THEN `{text_col}` ELSE array_join(transform(
             array_except(sequence(0, size(__lines) - 1), __gone), i -> __lines[i]), '\n') END"""
     )
-    out = out.withColumn("__lines", lines)
-    result = {c: F.col(f"`{c}`") for c in docs.columns} | {text_col: cleaned.alias(text_col)}
-    counts = [F.expr("size(__lines)").cast("long").alias("n_lines"), F.when(text.isNotNull(), F.coalesce(F.size("__gone"), F.lit(0))).cast("long").alias("n_removed")]
-    return out.select(*[c for name, c in result.items() if name not in ("n_lines", "n_removed")], *counts)
+    number = F.when(text.isNotNull(), F.coalesce(F.size("__gone"), F.lit(0))).cast("long").alias("n_removed")
+    maybe = maybe.withColumn("__lines", lines)
+    result = [cleaned.alias(c) if c == text_col else F.col(f"`{c}`") for c in rows.columns]
+    return same.union(maybe.select(*result, counted, number))
