@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -96,6 +97,10 @@ class Pieces:
         keys, ids = np.concatenate(hashed), np.array([reached[p] for same in by_length.values() for p in same])
         order = np.argsort(keys)
         self.keys, self.key_ids = keys[order], ids[order]
+        # most probes find nothing: a bit for each leading part of a hash tells that at once
+        self.key_bits, self.pair_bits = np.zeros(1 << 20, bool), np.zeros(1 << 20, bool)
+        self.key_bits[self.keys >> np.uint64(44)] = True
+        self.pair_bits[self._pair_part(self.pair_keys >> 32, self.pair_keys & 0xFFFFFFFF)] = True
         self.gain = np.zeros(n + 1) if self.merging else np.append(self.score, self.score.min() - 10.0)
 
     def merge(self, unit: str) -> tuple[list[int], tuple[int, int]]:
@@ -127,12 +132,18 @@ class Pieces:
 
     def joined(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of the piece that each two pieces make, or a number above all ranks."""
-        none = np.int64(1 << 40)
-        if not len(self.pair_keys):
-            return np.full(len(a), none)
-        key = (a << 32) | b
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == key, self.rank[self.pair_ids[at]], none)
+        out = np.full(len(a), np.int64(1 << 40))
+        maybe = np.flatnonzero(self.pair_bits[self._pair_part(a, b)])
+        if len(maybe):
+            key = (a[maybe] << 32) | b[maybe]
+            at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+            hit = self.pair_keys[at] == key
+            out[maybe[hit]] = self.rank[self.pair_ids[at[hit]]]
+        return out
+
+    @staticmethod
+    def _pair_part(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (a * 40503 ^ b * 1000003) & ((1 << 20) - 1)
 
     def may_meet(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging leaves pieces ``a`` and ``b`` side by side: their last merges are undone one by
@@ -165,8 +176,11 @@ class Pieces:
             for length in range(1, min(end, self.longest) + 1):
                 start = end - length
                 key = prefix[:, end] - prefix[:, start] * power[length]
-                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                found = np.where(self.keys[at] == key, self.key_ids[at], -1)
+                found = np.full(count, -1, np.int64)
+                maybe = np.flatnonzero(self.key_bits[key >> np.uint64(44)])
+                if len(maybe):
+                    at = np.minimum(np.searchsorted(self.keys, key[maybe]), len(self.keys) - 1)
+                    found[maybe] = np.where(self.keys[at] == key[maybe], self.key_ids[at], -1)
                 if length == 1:
                     found[found < 0] = nobody
                 rows = np.flatnonzero((found >= 0) & (value[:, start] > -np.inf))
@@ -205,6 +219,8 @@ class Coder:
 
     def _ids(self, unit: str, path: list[int]) -> bytes:
         nobody, out, at = len(self.pieces.piece), [], 0
+        if nobody not in path:
+            return struct.pack(f"<{len(path)}I", *path)
         for p in path:
             if p == nobody:
                 out += [self.pieces.byte.get(b, self.pieces.unknown) for b in unit[at].encode()] if self.pieces.byte else [self.pieces.unknown]
