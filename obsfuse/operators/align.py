@@ -8,6 +8,8 @@ the sums of z r by cluster the score covariance. The two forms share these sums:
 * ``fit_edges_distributed``: edges of any size; each iteration is one aggregation per edge and two
   exact medians, the covariance one more aggregation by cluster. Only 3x3 to 7x7 problems leave
   the row pass, and every edge that enters comes out with a status.
+
+``fit_whole_edges`` takes each edge by the form that its size allows, always with all its pairs.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ EPS = np.finfo(float).eps
 COV_FLOOR = np.diag([1e-10] * 4 + [1e-12] * 3)
 #: Weights at or below this one do not count as active.
 ACTIVE = 1e-3
+#: Pairs of the largest edge that `fit_whole_edges` puts into one group; larger ones are fitted by sums.
+GROUP_PAIRS = 100_000
 FIT_COLUMNS = (
     sim3.GAUGE_SCHEMA
     + ", cov array<double>, rms double, inlier_fraction double, n bigint, clusters bigint,"
@@ -301,6 +305,19 @@ def fit_edges_distributed(
     return _with_covariance(rows, durable(final), centres, keys, clustered, schema).unionByName(out)
 
 
+def fit_whole_edges(pairs: DataFrame, keys: Sequence[str], **options) -> DataFrame:  # noqa: ANN003
+    """One robust fit per key on all its pairs: in one group up to ``GROUP_PAIRS``, by sums above."""
+    keys = list(keys)
+    sizes = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    large = durable(sizes.where(F.col("n") > GROUP_PAIRS).select(*keys))
+    if large.isEmpty():
+        return fit_edges(pairs, keys, **options)
+    # one row for each large edge: few beside the pairs
+    small = pairs.join(F.broadcast(large), keys, "left_anti")
+    rest = pairs.join(F.broadcast(large), keys, "left_semi")
+    return fit_edges(small, keys, **options).unionByName(fit_edges_distributed(rest, keys, **options))
+
+
 def _pairs_of(schema: str) -> list[tuple[str, str]]:
     return [tuple(part.strip().replace("`", "").split(" ", 1)) for part in schema.split(", ")]  # type: ignore[misc]
 

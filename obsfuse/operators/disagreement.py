@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from obsfuse.functions import sim3
 from obsfuse.functions import vec3 as v3
 from obsfuse.operators.ranking import exact_quantiles
-from obsfuse.runtime import attach
+from obsfuse.runtime import attach, durable
 
 CELL = ["case_id", "frame", "row", "col"]
 EDGE = ["case_id", "reference_id", "moving_id"]
@@ -108,23 +108,20 @@ def cross_fitted_disagreement(
     pairs: DataFrame,
     folds: int = 4,
     seed: int = 0,
-    max_correspondences: int = 100_000,
 ) -> tuple[DataFrame, DataFrame]:
     """Score each cluster with a transform fitted on the other folds only.
 
     Returns (evidence, report).  A fold whose training set cannot be fitted is skipped;
     its cells simply receive no evidence.
     """
-    from obsfuse.operators.align import fit_edges
-    from obsfuse.operators.ranking import subsample
+    from obsfuse.operators.align import fit_whole_edges
 
     plan = fold_assignment(pairs, folds, seed)
     tagged = attach(pairs, plan, [*EDGE, "cluster"], how="inner", salt_by=["frame", "row", "col"])
     usable = tagged.where("fold_count >= 2")
     held = F.explode(F.sequence(F.lit(0), F.col("fold_count").cast("int") - 1)).alias("held_fold")
     training = usable.select("*", held).where("fold != held_fold")
-    training = subsample(training, [*EDGE, "held_fold"], ["frame", "row", "col"], max_correspondences, seed)
-    fits = fit_edges(training, [*EDGE, "held_fold"])
+    fits = durable(fit_whole_edges(training, [*EDGE, "held_fold"]))
     good = fits.where("status = 'ok'").select(*EDGE, F.col("held_fold").alias("fold"), *sim3.GAUGE_COLUMNS)
     scored = attach(usable, good, [*EDGE, "fold"], how="inner", salt_by=["frame", "row", "col"])
     evidence = accumulate(pair_disagreement(scored))

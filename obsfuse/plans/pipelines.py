@@ -34,8 +34,6 @@ class ExportConfig:
     effective_samples: float = 64.0
     cluster_size: int = 32
     model: dis.VarianceModel = dis.VarianceModel()
-    #: Pairs that the transform fit of an edge uses; evidence is always summed over all pairs.
-    fit_pairs: int | None = 100_000
 
 
 def export_observations(
@@ -53,7 +51,7 @@ def export_observations(
     admitted = project.causal_windows(order.withColumn("stop_frame", F.col("stop_frame") + 1), config.causal_stop)
     live = samples.join(admitted.select("case_id", "window_id"), ["case_id", "window_id"], "left_semi")
     pairs = joins.overlap_correspondences(live, config.cluster_size)
-    edges = align.fit_edges(pairs, ["case_id", "reference_id", "moving_id"], config.fit_pairs)
+    edges = align.fit_whole_edges(pairs, ["case_id", "reference_id", "moving_id"])
     edges = durable(gauges.with_positions(edges, order))
     if inflation is not None:
         edges = inflation.apply(edges)
@@ -210,7 +208,7 @@ def held_out_study(
     def prepare(part: DataFrame) -> tuple[DataFrame, DataFrame]:
         order = joins.window_order(part)
         pairs = joins.overlap_correspondences(part)
-        edges = durable(gauges.with_positions(align.fit_edges(pairs, ["case_id", "reference_id", "moving_id"], 100_000), order))
+        edges = durable(gauges.with_positions(align.fit_whole_edges(pairs, ["case_id", "reference_id", "moving_id"]), order))
         ev = dis.accumulate_disagreement(pairs, edges.where("status = 'ok'"))
         return durable(dis.with_rays(dis.point_variances(part, ev, model))), gauges.sequential_gauges(edges)
 

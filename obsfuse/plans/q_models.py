@@ -224,7 +224,7 @@ def _(spark, sf):
 def _edges(spark, sf):
     s = ad.samples(spark, sf)
     pairs = joins.overlap_correspondences(s, cluster_size=4)
-    fits = align.fit_edges(pairs, ["case_id", "reference_id", "moving_id"], 100_000)
+    fits = align.fit_whole_edges(pairs, ["case_id", "reference_id", "moving_id"])
     return s, pairs, durable(gauges.with_positions(fits, joins.window_order(s)))
 
 
