@@ -301,7 +301,8 @@ def _verified(near: DataFrame, members: DataFrame, num: int, den: int) -> DataFr
     The sets of a group's pairs come together once, whatever the number of pairs.
     """
     sides = near.select(*_GROUP, F.explode(F.array("a", "b")).alias("key")).distinct()
-    sets = sides.join(_needed(members, sides, ["tokens"]), "key")
+    of = {c: f"of_{c}" for c in _GROUP}  # names of their own: both sides come from ``near``
+    sets = sides.join(_needed(members, sides, ["tokens"]), "key").withColumnsRenamed(of)
 
     def tested(pairs: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
         tokens = {k: np.asarray(t, np.int64).view(np.uint64) for k, t in zip(part["key"], part["tokens"], strict=True)}
@@ -314,7 +315,7 @@ def _verified(near: DataFrame, members: DataFrame, num: int, den: int) -> DataFr
                 found.append((a, b))
         return pd.DataFrame({"a": [x for x, _ in found], "b": [x for _, x in found]}, dtype="int64")
 
-    both = near.groupBy(*_GROUP).cogroup(sets.groupBy(*_GROUP))
+    both = near.groupBy(*_GROUP).cogroup(sets.groupBy(*of.values()))
     return both.applyInPandas(tested, "a bigint, b bigint")
 
 
@@ -329,18 +330,3 @@ def _membership(lists: list[np.ndarray]) -> np.ndarray:
     out = np.zeros((len(lists), int((count > 1).sum()) // 64 + 1), np.uint64)
     np.bitwise_or.at(out, (of[shared], at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
     return out
-
-
-def _verified(pairs: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets are similar enough."""
-    left = members.select(F.col("key").alias("a"), F.col("tokens").alias("ta"))
-    right = members.select(F.col("key").alias("b"), F.col("tokens").alias("tb"))
-
-    def tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [(np.asarray(x.values, np.int64).view(np.uint64) for x in batch.column(c)) for c in (2, 3)]
-            keep = [similar(x, y, num, den) for x, y in zip(*sets, strict=True)]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
-    return both.mapInArrow(tested, "a bigint, b bigint")
