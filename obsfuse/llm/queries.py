@@ -8,7 +8,24 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsfuse.llm import fingerprints, jaccard_join, language_id, line_dedup, packing, pii, sentence_pieces, token_counts, toxicity, vector_search
+from obsfuse.llm import (
+    conversation_repair,
+    fingerprints,
+    jaccard_join,
+    language_id,
+    line_dedup,
+    packing,
+    pii,
+    secret_scan,
+    sentence_pieces,
+    source_divergence,
+    token_counts,
+    toxicity,
+    vector_search,
+)
+from obsfuse.llm.queries_sql import DIVERGENCE_SQL, REPAIR_SQL, SECRETS_SQL
+from obsfuse.llm.store import kept
+from obsfuse.runtime import fresh_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: DuckDB SQL for the rows of a query, where SQL can express it.
@@ -119,3 +136,33 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 @_query("op3_sentence_pieces")
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     return sentence_pieces.digests(_table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@_query("op11_source_divergence", DIVERGENCE_SQL)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return source_divergence.divergence(_table(spark, sf, "documents"))
+
+
+@_query("op12_secret_scan", SECRETS_SQL)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    found = secret_scan.scan_versions(_table(spark, sf, "documents"), fresh_folder(spark, "ledger"))
+    counts = [F.expr(f"size(filter(spans, s -> s.kind = '{r.kind}'))").cast("long").alias(f"n_{r.kind}") for r in secret_scan.BASE]
+
+    def said(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
+
+    base = F.filter("spans", lambda s: s["kind"].isin([r.kind for r in secret_scan.BASE]))
+    return found.select("doc_id", *counts, F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+
+
+@_query("op13_conversation_repair", REPAIR_SQL)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    table = _table(spark, sf, "conversations")
+    turns = conversation_repair.damage(table)
+    plans = kept(conversation_repair.edit_plans(turns))
+    hashes = conversation_repair.digests(conversation_repair.repaired_turns(turns, plans)).withColumnRenamed("conv_id", "hashed")
+    convs = table.select(F.col("conv_id").alias("conv")).distinct()
+    out = convs.join(plans, F.col("conv").eqNullSafe(F.col("conv_id")), "left").join(hashes, F.col("conv").eqNullSafe(F.col("hashed")), "left")
+    numbers = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    nothing = F.sha2(F.lit(""), 256)
+    return out.select(F.col("conv").alias("conv_id"), *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", nothing).alias("repaired_sha256"))
