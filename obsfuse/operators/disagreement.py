@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -157,47 +159,60 @@ def point_variances(
     return j.withColumns({"var_par": F.greatest(par, tiny), "var_lat": F.greatest(lat, tiny)})
 
 
-def camera_centres(samples: DataFrame, keys: Sequence[str] = ("case_id", "window_id", "frame")) -> DataFrame:
-    """Least-squares ray intersection per frame from mergeable sums.
+def camera_centres(samples: DataFrame, keys: Sequence[str] = ("case_id", "window_id", "frame"), maximum_condition: float = 1e12) -> DataFrame:
+    """Least-squares ray intersection per frame from mergeable sums, with a ``status`` for each frame.
 
-    Solves (n I - sum r r^T)(c - mean) = sum (I - r r^T)(p - mean).  Needs three rays;
-    frames with fewer get a null centre.
+    Solves (n I - sum r r^T)(c - mean) = sum (I - r r^T)(p - mean), many frames at once.  Needs three valid rays (else
+    ``too-few-rays``) and a matrix whose condition, the ratio of its eigenvalues, is at most
+    ``maximum_condition`` (else ``ill-conditioned``); such frames have a null centre.
     """
     keys = list(keys)
-    v = samples.where("valid")
+    on = F.coalesce(F.col("valid"), F.lit(False))
     p, r = v3.vec(), v3.vec("r")
     o = v3.outer_sym(r)
     along = v3.dot(r, p)
     b = tuple(pc - rc * along for pc, rc in zip(p, r, strict=True))
-    sums = v.groupBy(*keys).agg(
-        F.count(F.lit(1)).cast("double").alias("n"),
-        *[F.sum(c).alias(f"o_{s}") for c, s in zip(o, v3.SYM, strict=True)],
-        *[F.sum(c).alias(f"b{a}") for c, a in zip(b, "xyz", strict=True)],
-        *[F.avg(c).alias(f"m{a}") for c, a in zip(p, "xyz", strict=True)],
-    )
-    n = F.col("n")
-    a = tuple((n if s in {"xx", "yy", "zz"} else F.lit(0.0)) - F.col(f"o_{s}") for s in v3.SYM)
-    mean = tuple(F.col(f"m{x}") for x in "xyz")
-    rhs = v3.sub(tuple(F.col(f"b{x}") for x in "xyz"), v3.sym_vec(a, mean))  # type: ignore[arg-type]
-    delta = v3.solve3(a, rhs)  # type: ignore[arg-type]
-    ok = (n >= 3) & (v3.det(a) > F.lit(1e-12) * F.pow(v3.trace(a) / 3.0, F.lit(3.0)))  # type: ignore[arg-type]
-    return sums.select(
-        *keys, F.col("n").cast("bigint").alias("rays"),
-        *[F.when(ok, m + dlt).alias(f"c{x}") for m, dlt, x in zip(mean, delta, "xyz", strict=True)],
+    sums = samples.groupBy(*keys).agg(
+        F.sum(on.cast("double")).alias("n"),
+        *[F.sum(F.when(on, c)).alias(f"o_{s}") for c, s in zip(o, v3.SYM, strict=True)],
+        *[F.sum(F.when(on, c)).alias(f"b{a}") for c, a in zip(b, "xyz", strict=True)],
+        *[F.avg(F.when(on, c)).alias(f"m{a}") for c, a in zip(p, "xyz", strict=True)],
     )
+    types = {f.name: f.dataType.simpleString() for f in sums.schema.fields}
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", rays bigint, status string, cx double, cy double, cz double"
+
+    def solved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            n = b["n"].to_numpy(float)
+            outer = b[[f"o_{s}" for s in v3.SYM]].fillna(0.0).to_numpy(float)[:, [0, 1, 2, 1, 3, 4, 2, 4, 5]].reshape(-1, 3, 3)
+            matrix = n[:, None, None] * np.eye(3) - outer
+            mean, right = b[["mx", "my", "mz"]].to_numpy(float), b[["bx", "by", "bz"]].to_numpy(float)
+            values = np.linalg.eigvalsh(matrix)
+            enough = n >= 3
+            good = enough & (values[:, 0] > 0) & (values[:, 2] <= maximum_condition * values[:, 0])
+            centre = np.full((len(b), 3), np.nan)
+            shift = right[good] - np.einsum("nij,nj->ni", matrix[good], mean[good])
+            centre[good] = mean[good] + np.linalg.solve(matrix[good], shift[:, :, None])[:, :, 0]
+            out = b[keys].assign(rays=n.astype("int64"), status=np.select([~enough, ~good], ["too-few-rays", "ill-conditioned"], "ok"))
+            yield out.assign(**dict(zip(("cx", "cy", "cz"), centre.T, strict=True)))
+
+    found = sums.mapInPandas(solved, schema)
+    return found.withColumns({c: F.when(F.col("status") == "ok", F.col(c)) for c in ("cx", "cy", "cz")})
 
 
 def ray_ranges(samples: DataFrame, centres: DataFrame, keys: Sequence[str] = ("case_id", "window_id", "frame")) -> DataFrame:
     """Range along the ray from the camera centre, with the residual tolerance check.
 
     ``range_ok`` is false where the range is negative or the perpendicular residual
-    exceeds 1e-5 + 1e-5 max range of the frame.
+    exceeds 1e-5 + 1e-5 max range of the frame.  Frames without a centre have no rows.
     """
     keys = list(keys)
-    j = attach(samples.where("valid"), centres.select(*keys, "cx", "cy", "cz"), keys, how="inner", salt_by=["row", "col"])
+    known = centres.where("status = 'ok'").select(*keys, "cx", "cy", "cz")
+    j = attach(samples.where("valid"), known, keys, how="inner", salt_by=["row", "col"])
     off = v3.sub(v3.vec(), v3.vec("c"))
     along = v3.dot(off, v3.vec("r"))  # type: ignore[arg-type]
-    perp = F.sqrt(F.greatest(v3.dot(off, off) - along * along, F.lit(0.0)))  # type: ignore[arg-type]
+    # squares of nearly equal lengths would cancel, so the residual is the length of the difference
+    perp = v3.norm(tuple(o - along * r for o, r in zip(off, v3.vec("r"), strict=True)))  # type: ignore[arg-type]
     r = j.select(*samples.columns, along.alias("range"), perp.alias("perp"))
     peak = r.groupBy(*keys).agg(F.max("range").alias("__peak"))
     out = attach(r, peak, keys, salt_by=["row", "col"])
@@ -205,9 +220,20 @@ def ray_ranges(samples: DataFrame, centres: DataFrame, keys: Sequence[str] = ("c
     return out.withColumn("range_ok", ok).drop("__peak")
 
 
+def range_status(samples: DataFrame, keys: Sequence[str] = ("case_id", "window_id", "frame")) -> DataFrame:
+    """One row per frame: its rays and ``ok``, ``too-few-rays``, ``ill-conditioned`` or ``inconsistent-rays``."""
+    keys = list(keys)
+    centres = camera_centres(samples, keys)
+    bad = ray_ranges(samples, centres, keys).groupBy(*keys).agg(F.count_if(~F.col("range_ok")).alias("bad"))
+    j = centres.join(bad, keys, "left")
+    status = F.when((F.col("status") == "ok") & (F.col("bad") > 0), "inconsistent-rays").otherwise(F.col("status"))
+    return j.select(*keys, "rays", F.coalesce("bad", F.lit(0)).alias("inconsistent"), status.alias("status"), "cx", "cy", "cz")
+
+
 def range_variances(samples: DataFrame, evidence: DataFrame | None, model: VarianceModel = VarianceModel()) -> DataFrame:  # noqa: B008
-    """Variance model with range^2 in place of the squared point norm."""
-    ranged = ray_ranges(samples, camera_centres(samples))
+    """Variance model with range^2 in place of the squared point norm, for the frames whose status is ``ok``."""
+    good = range_status(samples).where("status = 'ok'").drop("inconsistent")
+    ranged = ray_ranges(samples, good)
     return point_variances(ranged, evidence, model, F.col("range") * F.col("range"))
 
 

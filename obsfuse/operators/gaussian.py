@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from obsfuse.functions import vec3 as v3
 from obsfuse.functions.scalars import log_add_exp
 from obsfuse.operators.bootstrap import group_bootstrap
-from obsfuse.runtime import attach
+from obsfuse.runtime import attach, durable
 
 LOG_2PI = v3.LOG_2PI
 
@@ -349,6 +349,48 @@ def quadratic_forms(acted: DataFrame, keys: Sequence[str] = ("case_id",)) -> Dat
     )
 
 
+def gauge_query(rows: DataFrame, blocks: DataFrame, q: int, keys: Sequence[str] = ("case_id",), gauge: str = "window_id") -> DataFrame:
+    """A Sigma A^T of a linear query over all rows of a key, by component; nothing of size rows or 7 K is formed.
+
+    Rows carry the query ``query`` (Q x 3), the conditional covariance k_* and the gauge ``jacobian`` (3 x 7).  Rows are
+    summed to A D A^T per key and to J^T A^T (7 x Q) per gauge; one join with the covariance blocks, one row for each
+    ordered pair of gauges, takes these sums to the Q x Q gauge part.
+    """
+    keys = list(keys)
+    a = [[F.col("query")[3 * n + i] for i in range(3)] for n in range(q)]
+    staged = rows.withColumns({f"__d{n}_{i}": c for n in range(q) for i, c in enumerate(v3.sym_vec(v3.sym("k_"), tuple(a[n])))})  # type: ignore[arg-type]
+    pairs = [(m, n) for m in range(q) for n in range(m, q)]
+    names = [f"s{k}_{n}" for k in range(7) for n in range(q)]
+
+    def part(k: int, n: int) -> Column:
+        return sum((F.col("jacobian")[7 * i + k] * a[n][i] for i in range(3)), F.lit(0.0))
+
+    local = staged.groupBy(*keys, gauge).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.sum(sum((a[m][i] * F.col(f"__d{n}_{i}") for i in range(3)), F.lit(0.0))).alias(f"c{m}_{n}") for m, n in pairs],
+        *[F.sum(part(k, n)).alias(f"s{k}_{n}") for k in range(7) for n in range(q)],
+    )
+    local = durable(local)  # one row per gauge, met from both sides below
+    far = local.select(*keys, F.col(gauge).alias("window_j"), *[F.col(c).alias(f"f{c}") for c in names])
+    met = blocks.select(*keys, F.col("window_i").alias(gauge), "window_j", "block").join(far, [*keys, "window_j"])
+    response = met.groupBy(*keys, gauge).agg(
+        *[F.sum(sum((F.col("block")[7 * k + m] * F.col(f"fs{m}_{n}") for m in range(7)), F.lit(0.0))).alias(f"p{k}_{n}") for k in range(7) for n in range(q)]
+    )
+    joined = local.join(response, [*keys, gauge], "left")
+
+    def gauged(m: int, n: int) -> Column:
+        return sum((F.col(f"s{k}_{m}") * F.coalesce(F.col(f"p{k}_{n}"), F.lit(0.0)) for k in range(7)), F.lit(0.0))
+
+    sums = joined.groupBy(*keys).agg(
+        F.sum("n").alias("n"), *[F.sum(f"c{m}_{n}").alias(f"c{m}_{n}") for m, n in pairs], *[F.sum((gauged(m, n) + gauged(n, m)) / 2.0).alias(f"g{m}_{n}") for m, n in pairs]
+    )
+
+    def square(*names: str) -> Column:
+        return F.array(*[sum((F.col(f"{c}{min(m, n)}_{max(m, n)}") for c in names), F.lit(0.0)) for m in range(q) for n in range(q)])
+
+    return sums.select(*keys, "n", square("c").alias("conditional"), square("g").alias("gauge"), square("c", "g").alias("marginal"))
+
+
 def woodbury_summary(stats: DataFrame, keys: Sequence[str]) -> DataFrame:
     """NLL, log det and quadratic of v = residual under blockdiag(D) + U U^T."""
     return group_scores(stats, keys).select(*keys, "log_det", "m2", "nll")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from obsfuse.functions import sim3
 from obsfuse.functions import vec3 as v3
 from obsfuse.operators.ranking import exact_quantiles
-from obsfuse.runtime import attach, violations
+from obsfuse.runtime import attach, durable, violations
 
 TINY = 2.2250738585072014e-308
 
@@ -162,41 +162,40 @@ def map_pixels(df: DataFrame, source: tuple[int, int], target: tuple[int, int])
 
 
 def resample_grid(
-    df: DataFrame, source: tuple[int, int], target: tuple[int, int], values: Sequence[str], keys: Sequence[str]
+    df: DataFrame, source: tuple[int, int], target: tuple[int, int], values: Sequence[str], keys: Sequence[str], minimum_support: float = 0.5
 ) -> DataFrame:
-    """Mask-aware bilinear resampling: bilinear(mask value) / bilinear(mask).
+    """Mask-aware bilinear resampling: bilinear(mask value) / bilinear(mask), for every cell of the target grid.
 
-    Works from the source side: each valid source pixel is exploded to the target pixels
-    whose bilinear footprint holds it, then summed, so the target grid is never
-    materialised for empty areas.  Output is valid where the support is at least 0.5.
+    Each target cell of each key gathers its four weighted neighbours in one equi-join.  A cell is valid where the
+    support is at least ``minimum_support``; the values of the others are 0.
     """
-    (sh, sw), (th, tw) = source, target
+    keys = list(keys)
 
-    def footprint(coord: str, n: int, m: int) -> Column:
-        """Target indices (with weight) whose sample point touches source index ``coord``."""
+    def sides(name: str, n: int, m: int) -> Column:
+        """Target indices of one axis, each with its two source indices and weights."""
         step = (n - 1) / (m - 1) if m > 1 else 0.0
-        c = F.col(coord).cast("double")
-        if step == 0.0:
-            lo, hi = F.lit(0), F.lit(m - 1)
-        else:
-            lo = F.greatest(F.lit(0), F.ceil((c - 1) / F.lit(step)).cast("int"))
-            hi = F.least(F.lit(m - 1), F.floor((c + 1) / F.lit(step)).cast("int"))
-        idx = F.when(hi >= lo, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
-        return F.filter(
-            F.transform(
-                idx,
-                lambda i: F.struct(i.alias("i"), (F.lit(1.0) - F.abs(i * F.lit(step) - c)).alias("w")),
-            ),
-            lambda e: e["w"] > 1e-12,
-        )
-
-    rows = df.where("valid").withColumn("__r", F.explode(footprint("row", sh, th)))
-    both = rows.withColumn("__c", F.explode(footprint("col", sw, tw)))
-    w = F.col("__r.w") * F.col("__c.w")
-    sums = both.groupBy(*keys, F.col("__r.i").alias("row"), F.col("__c.i").alias("col")).agg(
-        F.sum(w).alias("support"), *[F.sum(w * F.col(v)).alias(v) for v in values]
+        index = F.sequence(F.lit(0), F.lit(m - 1))
+
+        def pair(i: Column) -> Column:
+            at = F.when(i == m - 1, F.lit(float(n - 1) if m > 1 else 0.0)).otherwise(i * F.lit(step))
+            low = F.floor(at).cast("int")
+            return F.array(
+                F.struct(i.alias("to"), low.alias("at"), (1 - (at - low)).alias("w")),
+                F.struct(i.alias("to"), F.least(low + 1, F.lit(n - 1)).alias("at"), (at - low).alias("w")),
+            )
+
+        return F.explode(F.flatten(F.transform(index, pair))).alias(name)
+
+    cells = df.select(*keys).distinct().select(*keys, sides("__r", source[0], target[0])).select("*", sides("__c", source[1], target[1]))
+    cells = cells.select(
+        *keys, F.col("__r.to").alias("__row"), F.col("__c.to").alias("__col"), F.col("__r.at").alias("row"), F.col("__c.at").alias("col"), (F.col("__r.w") * F.col("__c.w")).alias("__w")
+    )
+    pixels = df.where("valid").select(*keys, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), *values, F.lit(1.0).alias("__on"))
+    met = cells.join(pixels, [*keys, "row", "col"], "left")
+    sums = met.groupBy(*keys, F.col("__row").alias("row"), F.col("__col").alias("col")).agg(
+        F.sum(F.col("__w") * F.coalesce("__on", F.lit(0.0))).alias("support"), *[F.sum(F.col("__w") * F.coalesce(F.col(v), F.lit(0.0))).alias(v) for v in values]
     )
-    ok = F.col("support") >= 0.5
+    ok = F.col("support") >= minimum_support
     return sums.select(
         *keys, "row", "col", "support", ok.alias("valid"),
         *[F.when(ok, F.col(v) / F.col("support")).otherwise(F.lit(0.0)).alias(v) for v in values],
@@ -387,29 +386,34 @@ def stack_factors(rows: DataFrame, gauges: DataFrame, keys: Sequence[str], facto
     return j.select(*cols)
 
 
-def farthest_points(df: DataFrame, k: int, keys: Sequence[str] = ("case_id", "window_id", "frame")) -> DataFrame:
-    """Centre-first farthest-point subset of the valid pixels of each frame.
+def farthest_points(
+    df: DataFrame, k: int, keys: Sequence[str] = ("case_id", "window_id", "frame"), shape: tuple[int, int] | None = None
+) -> DataFrame:
+    """Centre-first farthest-point subset of the valid pixels of each frame: ``rank`` 0 to k - 1.
 
-    k rounds; each round is one aggregation (max_by of the running minimum distance,
-    scan order on ties) and one join with a one-row-per-frame table.
+    The first pixel is the nearest to the centre of the image (``shape``, or the largest row and column that
+    occur, valid or not); each next one is the farthest from all chosen ones; ties in scan order.  The k rounds
+    keep one small row per frame, written down each round; distances are taken from it, so no plan grows.
+    Frames with fewer than k valid pixels give all of them.
     """
     keys = list(keys)
-    pts = df.where("valid").select(*keys, "row", "col")
-    mid = pts.groupBy(*keys).agg(
-        ((F.min("row") + F.max("row")) / 2.0).alias("mr"), ((F.min("col") + F.max("col")) / 2.0).alias("mc")
-    )
-    j = attach(pts, mid, keys)
-    off = F.pow(F.col("row") - F.col("mr"), F.lit(2.0)) + F.pow(F.col("col") - F.col("mc"), F.lit(2.0))
-    current = j.groupBy(*keys).agg(F.min(F.struct(off.alias("d"), F.col("row"), F.col("col"))).alias("pick"))
-    chosen = current.select(*keys, F.lit(0).alias("rank"), "pick.row", "pick.col")
-    state = pts.withColumn("__d", F.lit(float("inf")))
-    for i in range(1, k):
-        last = current.select(*keys, F.col("pick.row").alias("pr"), F.col("pick.col").alias("pc"))
-        state = attach(state, last, keys, salt_by=["row", "col"])
-        gap = F.pow(F.col("row") - F.col("pr"), F.lit(2.0)) + F.pow(F.col("col") - F.col("pc"), F.lit(2.0))
-        state = state.select(*keys, "row", "col", F.least(F.col("__d"), gap).alias("__d"))
-        current = state.where("__d > 0").groupBy(*keys).agg(
-            F.min(F.struct((-F.col("__d")).alias("d"), F.col("row"), F.col("col"))).alias("pick")
-        )
-        chosen = chosen.unionByName(current.select(*keys, F.lit(i).alias("rank"), "pick.row", "pick.col"))
-    return chosen
+    pts = durable(df.where("valid").select(*keys, "row", "col"))
+    if shape is None:
+        size = df.groupBy(*keys).agg((F.max("row") / 2.0).alias("mr"), (F.max("col") / 2.0).alias("mc"))
+    else:
+        size = pts.select(*keys).distinct().select(*keys, F.lit((shape[0] - 1) / 2.0).alias("mr"), F.lit((shape[1] - 1) / 2.0).alias("mc"))
+    none = F.array().cast("array<struct<row: int, col: int>>")
+    chosen = durable(size.withColumn("picks", none))
+
+    def gap(row: Column, col: Column) -> Column:
+        return F.pow(F.col("row") - row, F.lit(2.0)) + F.pow(F.col("col") - col, F.lit(2.0))
+
+    for i in range(k):
+        j = attach(pts, chosen, keys, how="inner", salt_by=["row", "col"])
+        nearest = F.array_min(F.transform("picks", lambda p: gap(p["row"], p["col"])))
+        far = gap(F.col("mr"), F.col("mc")) if i == 0 else F.when(nearest > 0, -nearest)
+        best = j.select(*keys, far.alias("__d"), F.struct(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")).alias("__at"))
+        best = best.where("__d IS NOT NULL").groupBy(*keys).agg(F.min(F.struct("__d", "__at")).alias("__b"))
+        added = F.when(F.col("__b").isNull(), F.col("picks")).otherwise(F.array_append("picks", F.col("__b.__at")))
+        chosen = durable(chosen.join(best, keys, "left").withColumn("picks", added).drop("__b"))
+    return chosen.select(*keys, F.posexplode("picks").alias("rank", "__p")).select(*keys, "rank", "__p.row", "__p.col")

@@ -18,6 +18,7 @@ from obsfuse.runtime import attach, durable, violations
 
 WINDOW = ["case_id", "window_id"]
 PIXEL = [*WINDOW, "frame", "row", "col"]
+NODE = [*WINDOW, "local", "row", "col"]
 
 
 # --- seeds ---------------------------------------------------------------------------------
@@ -99,20 +100,94 @@ class LinkConfig:
     require_target_deform: bool = False
 
 
+def pixel_links(pix: DataFrame, config: LinkConfig) -> DataFrame:
+    """The successor of every usable pixel in the next frame of its window, for all frames at once.
+
+    ``pix``: one row per pixel with its frame number ``local`` inside the window.  One equi-join of
+    neighbourhood offsets finds all candidates; a pixel has at most (2 radius + 1)^2 of them.  ``why``
+    is null where the pixel links to (``to_row``, ``to_col``).
+    """
+    sigma = config.sigma if config.sigma is not None else config.maximum_error / 3.0
+    r = config.radius
+    offsets = F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a in range(-r, r + 1) for b in range(-r, r + 1)])
+    here = pix.where("valid AND deform")
+    ahead = here.select(
+        *NODE, F.explode(offsets).alias("o"), *[(F.col(c) + F.col(f"f{c}")).alias(f"p{c}") for c in "xyz"]
+    ).withColumns({"to_local": F.col("local") + 1, "to_row": F.col("row") + F.col("o.dr"), "to_col": F.col("col") + F.col("o.dc")})
+    target = pix.where("valid").select(
+        *WINDOW, F.col("local").alias("to_local"), F.col("row").alias("to_row"), F.col("col").alias("to_col"), "x", "y", "z", F.col("deform").alias("nd")
+    )
+    near = ahead.join(target, [*WINDOW, "to_local", "to_row", "to_col"])
+    error = v3.norm(v3.sub(v3.vec(), v3.vec("p")))  # type: ignore[arg-type]
+    usable = F.col("nd") if config.require_target_deform else F.lit(True)
+    found = near.groupBy(*NODE).agg(
+        F.array_sort(F.collect_list(F.when(usable, F.struct(error.alias("error"), F.col("to_row"), F.col("to_col"))))).alias("c")
+    )
+    out = here.select(*NODE).join(found, NODE, "left")
+    out = out.withColumns({"best": F.get("c", F.lit(0)), "second": F.get("c", F.lit(1))["error"]})
+    out = out.withColumn("link", link_likelihood(F.col("best.error"), F.col("second"), sigma))
+    why = (
+        F.when(F.col("c").isNull(), "no-candidate")
+        .when(F.col("best").isNull(), "target-mask")
+        .when(F.col("best.error") > config.maximum_error, "step-error")
+        .when(F.col("link") < config.minimum_link, "low-probability")
+    )
+    return out.select(*NODE, "best.error", "best.to_row", "best.to_col", "link", why.alias("why"))
+
+
+def _chains(start: DataFrame, links: DataFrame, frames: int) -> DataFrame:
+    """``(window, track_id, local, row, col)``: the successors of every start pixel, by doubled pointers.
+
+    Round k appends to the first 2^k pixels of each chain the 2^k behind them, so ``frames`` frames take
+    log2(frames) rounds.  Chains that meet are not parted here.
+    """
+    at = start.select(*WINDOW, "track_id", "local", "row", "col")
+    jump = links.where("why IS NULL").select(*NODE, "to_row", "to_col")
+    width = 1
+    while width < frames:
+        ahead = at.join(jump, NODE).select(*WINDOW, "track_id", (F.col("local") + width).alias("local"), F.col("to_row").alias("row"), F.col("to_col").alias("col"))
+        at = durable(at.unionByName(ahead))
+        width *= 2
+        if width < frames:
+            far = jump.select(*WINDOW, (F.col("local") - width // 2).alias("local"), F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.col("to_row").alias("r2"), F.col("to_col").alias("c2"))
+            jump = durable(jump.join(far, [*WINDOW, "local", "to_row", "to_col"]).select(*NODE, F.col("r2").alias("to_row"), F.col("c2").alias("to_col")))
+    return at
+
+
+def _claims(moves: DataFrame) -> DataFrame:
+    """Moves of chains with ``loss``: the frame at which the track gave way to another one, null for never.
+
+    Several pixels may link to one; the pixel with the likeliest, then closest link keeps it, then the one
+    of the track with the least number.  A chain that gave way runs along the pixels of the other from there on,
+    so it only has to be told from the live ones where two links are exactly equal.
+    """
+    node = [*WINDOW, "local", "to_row", "to_col"]
+    ties = moves.groupBy(*node, "link", "error").agg(F.count_distinct(F.struct("row", "col")).alias("n")).where("n > 1")
+    tied, live = not ties.isEmpty(), moves
+    while True:
+        mine = F.struct((-F.col("link")).alias("l"), F.col("error"), F.col("track_id"), F.col("row"), F.col("col"))
+        claim = live.groupBy(*node).agg(F.min(mine).alias("w"))
+        judged = moves.join(claim, node).withColumn("lost", (F.col("row") != F.col("w.row")) | (F.col("col") != F.col("w.col")))
+        loss = judged.groupBy(*WINDOW, "track_id").agg(F.min(F.when(F.col("lost"), F.col("local"))).alias("loss"))
+        judged = durable(judged.drop("w", "lost").join(loss, [*WINDOW, "track_id"]))
+        now = judged.where("loss IS NULL OR local <= loss")
+        if not tied or now.drop("loss").exceptAll(live.select(now.drop("loss").columns)).isEmpty() and live.count() == now.count():
+            return judged
+        live = now.drop("loss")
+
+
 def causal_tracklets(
     samples: DataFrame, causal_stop: int, seeds: DataFrame, config: LinkConfig = LinkConfig()  # noqa: B008
 ) -> tuple[DataFrame, DataFrame]:
     """Prefix-only tracks from scene flow; returns (track rows, termination counts).
 
-    Frames are stepped in order per window; every step is an equi-join of active tracks
-    with their pixel, a neighbourhood explode joined to the next frame's pixels, and a
-    top-2 per track.  State is cut to reliable storage each step; the loop runs over the
-    frames of a window, never over rows.
+    All frames are linked in one pass; tracks are chains of these links, laid out by pointer doubling, and
+    end where another track has the better claim to a pixel.  No step depends on the number of frames but the
+    log2 rounds of the doubling.  Track numbers count the kept tracks of a window by seed row and column.
     """
-    sigma = config.sigma if config.sigma is not None else config.maximum_error / 3.0
     elig = samples.where(F.col("frame") < causal_stop)
     frames = elig.select(*WINDOW, "frame").distinct()
-    order = W.partitionBy(*WINDOW).orderBy("frame")
+    order = W.partitionBy(*WINDOW).orderBy("frame")  # one row per frame of a window
     frames = frames.withColumn("local", F.row_number().over(order) - 1)
     pix = durable(
         attach(elig, frames, [*WINDOW, "frame"], salt_by=["row", "col"]).select(
@@ -120,83 +195,44 @@ def causal_tracklets(
             F.coalesce("valid", F.lit(False)).alias("valid"), F.coalesce("deform", F.lit(False)).alias("deform"),
         )
     )
-    steps = int(frames.agg(F.max("local")).collect()[0][0] or 0)
     start = pix.where("local = 0 AND valid AND deform").join(seeds.select(*WINDOW, "row", "col"), [*WINDOW, "row", "col"])
     number = W.partitionBy(*WINDOW).orderBy("row", "col")
-    active = durable(
-        start.select(
-            *WINDOW, (F.row_number().over(number) - 1).cast("bigint").alias("track_id"), "frame", "local", "row", "col", "x", "y", "z",
-            F.lit(1.0).alias("link_probability"), F.lit(1.0).alias("association_probability"),
-        )
-    )
-    if active.isEmpty():
+    start = durable(start.select(*WINDOW, (F.row_number().over(number) - 1).cast("bigint").alias("track_id"), "local", "row", "col"))
+    if start.isEmpty():
         raise ValueError("no valid deforming seed in the first retained frame")
-    rows, reports = active, []
-    r = config.radius
-    offsets = F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a in range(-r, r + 1) for b in range(-r, r + 1)])
-    for step in range(steps):
-        here = pix.where(F.col("local") == step).select(*WINDOW, "row", "col", "fx", "fy", "fz", "valid", "deform")
-        cur = active.join(here, [*WINDOW, "row", "col"])
-        usable = cur.where("valid AND deform")
-        pred = usable.select(
-            *WINDOW, "track_id", "association_probability", F.col("row").alias("r0"), F.col("col").alias("c0"),
-            *[(F.col(c) + F.col(f"f{c}")).alias(f"p{c}") for c in "xyz"],
-        )
-        nxt = pix.where((F.col("local") == step + 1) & F.col("valid")).select(
-            *WINDOW, F.col("frame"), F.col("local"), "row", "col", "x", "y", "z", F.col("deform").alias("nd")
-        )
-        near = pred.withColumn("o", F.explode(offsets)).withColumns(
-            {"row": F.col("r0") + F.col("o.dr"), "col": F.col("c0") + F.col("o.dc")}
-        ).join(nxt, [*WINDOW, "row", "col"])
-        err = v3.norm(v3.sub(v3.vec(), v3.vec("p")))  # type: ignore[arg-type]
-        near = near.withColumn("error", err)
-        open_ = near.where("nd") if config.require_target_deform else near
-        rank = W.partitionBy(*WINDOW, "track_id").orderBy("error", "row", "col")
-        two = open_.withColumn("k", F.row_number().over(rank)).where("k <= 2")
-        best = two.groupBy(*WINDOW, "track_id").agg(
-            F.min(F.when(F.col("k") == 1, F.struct("frame", "local", "row", "col", "x", "y", "z", "error", "association_probability"))).alias("b"),
-            F.max(F.when(F.col("k") == 2, F.col("error"))).alias("second"),
-        ).select(*WINDOW, "track_id", "b.*", "second")
-        best = best.withColumn("link", link_likelihood(F.col("error"), F.col("second"), sigma))
-        ok = best.where((F.col("error") <= config.maximum_error) & (F.col("link") >= config.minimum_link))
-        claim = W.partitionBy(*WINDOW, "row", "col").orderBy(F.col("link").desc(), "error", "track_id")
-        ranked = ok.withColumn("k", F.row_number().over(claim))
-        new = durable(
-            ranked.where("k = 1").select(
-                *WINDOW, "track_id", "frame", "local", "row", "col", "x", "y", "z", F.col("link").alias("link_probability"),
-                (F.col("association_probability") * F.col("link")).alias("association_probability"),
-            )
-        )
-        seen = near.select(*WINDOW, "track_id").distinct().withColumn("s", F.lit(1))
-        has_next = nxt.select(*WINDOW).distinct().withColumn("n", F.lit(1))
-        state = (
-            active.select(*WINDOW, "track_id")
-            .join(usable.select(*WINDOW, "track_id").withColumn("u", F.lit(1)), [*WINDOW, "track_id"], "left")
-            .join(seen, [*WINDOW, "track_id"], "left")
-            .join(best.select(*WINDOW, "track_id", "error", "link"), [*WINDOW, "track_id"], "left")
-            .join(ranked.select(*WINDOW, "track_id", "k"), [*WINDOW, "track_id"], "left")
-            .join(has_next, WINDOW)
-        )
-        why = (
-            F.when(F.col("u").isNull(), "invalid-source")
-            .when(F.col("s").isNull(), "no-candidate")
-            .when(F.col("error").isNull(), "target-mask")
-            .when(F.col("error") > config.maximum_error, "step-error")
-            .when(F.col("link") < config.minimum_link, "low-probability")
-            .when(F.col("k") > 1, "collision")
-        )
-        reports.append(durable(state.select(*WINDOW, why.alias("reason")).where("reason IS NOT NULL").groupBy(*WINDOW, "reason").count()))
-        rows, active = rows.unionByName(new), new
-        if active.isEmpty():
-            break
-    length = rows.groupBy(*WINDOW, "track_id").agg(F.count(F.lit(1)).alias("length"))
-    kept = length.where(F.col("length") >= config.minimum_length)
-    short = length.where(F.col("length") < config.minimum_length).groupBy(*WINDOW).count().withColumn("reason", F.lit("short"))
-    out = rows.join(kept.select(*WINDOW, "track_id"), [*WINDOW, "track_id"], "left_semi").withColumnRenamed("local", "local_frame")
-    report = short.select(*WINDOW, "reason", "count")
-    for p in reports:
-        report = report.unionByName(p)
-    return out, report.groupBy(*WINDOW, "reason").agg(F.sum("count").alias("tracks"))
+    last = frames.groupBy(*WINDOW).agg(F.max("local").alias("last"))
+    links = durable(pixel_links(pix, config))
+    chains = _chains(start, links, int(last.agg(F.max("last")).first()[0]) + 1)
+    moves = durable(chains.join(links.where("why IS NULL").drop("why"), NODE))
+    judged = _claims(moves)
+    went = judged.where("loss IS NULL OR local < loss").select(
+        *WINDOW, "track_id", (F.col("local") + 1).alias("local"), F.col("to_row").alias("row"), F.col("to_col").alias("col"), F.col("link").alias("link_probability")
+    )
+    rows = start.withColumn("link_probability", F.lit(1.0)).unionByName(went)
+    so_far = W.partitionBy(*WINDOW, "track_id").orderBy("local")  # the frames of one track
+    whole = W.partitionBy(*WINDOW, "track_id")
+    rows = rows.withColumns({
+        "association_probability": F.exp(F.sum(F.log("link_probability")).over(so_far)), "length": F.count(F.lit(1)).over(whole), "end": F.max("local").over(whole)
+    })
+    rows = durable(rows)
+    # why tracks end: at a claim, at a pixel without successor, or with the window
+    ends = rows.where("local = end").join(links.select(*NODE, "why"), NODE, "left")
+    ends = ends.join(judged.where("local = loss").select(*WINDOW, "track_id", F.lit(True).alias("beaten")), [*WINDOW, "track_id"], "left").join(last, WINDOW)
+    usable = pix.where("valid AND deform").select(*NODE, F.lit(True).alias("usable"))
+    ends = ends.join(usable, NODE, "left")
+    reason = (
+        F.when(F.col("beaten"), "collision")
+        .when(F.col("local") == F.col("last"), None)
+        .when(F.col("usable").isNull(), "invalid-source")
+        .otherwise(F.col("why"))
+    )
+    short = F.when(F.col("length") < config.minimum_length, "short")
+    report = ends.select(*WINDOW, F.explode(F.array_compact(F.array(reason, short))).alias("reason"))
+    kept = rows.where(F.col("length") >= config.minimum_length)
+    names = kept.where("local = 0").select(*WINDOW, "track_id", (F.row_number().over(W.partitionBy(*WINDOW).orderBy("track_id")) - 1).cast("bigint").alias("number"))
+    out = kept.join(names, [*WINDOW, "track_id"]).join(pix.select(*NODE, "frame", "x", "y", "z"), NODE)
+    out = out.select(*WINDOW, F.col("number").alias("track_id"), "frame", F.col("local").alias("local_frame"), "row", "col", "x", "y", "z", "link_probability", "association_probability")
+    return out, report.groupBy(*WINDOW, "reason").agg(F.count(F.lit(1)).alias("tracks"))
 
 
 def track_probability(tracks: DataFrame, keys: Sequence[str] = (*WINDOW, "track_id")) -> DataFrame:
@@ -337,6 +373,28 @@ def joint_covariance_evidence(pairs: DataFrame, blocks: DataFrame, floor: float
     )
 
 
+def joint_link_evidence(left: DataFrame, right: DataFrame, blocks: DataFrame, config: AssociationConfig = AssociationConfig()) -> DataFrame:  # noqa: B008
+    """Candidates of :func:`candidate_scores` with ``normalized_rms`` under the joint gauge covariance.
+
+    Track rows carry case_id, window_id, world points, their conditional covariance k_* and the 3 x 7 ``jacobian`` of
+    the gauge (as :func:`stack_factors` gives them).  ``blocks`` is the covariance of all gauges, one row for each
+    ordered pair of windows: a candidate meets the blocks (left, left), (right, right) and (left, right).  Support,
+    score and ranking stay geometric; the covariance only normalises the residuals.
+    """
+    candidates = durable(candidate_scores(left, right, config))
+
+    def side(rows: DataFrame, name: str, cov: str) -> DataFrame:
+        return rows.select(
+            F.col("track_id").alias(f"{name}_id"), "case_id", F.col("window_id").alias(f"{name}_window"), "frame", *[F.col(c).alias(f"{name[0]}{c}") for c in "xyz"],
+            F.col("association_probability").alias(f"{name[0]}p"), F.col("jacobian").alias(f"j{name[0]}"), *[F.col(f"k_{s}").alias(f"{cov}_c_{s}") for s in v3.SYM],
+        )
+
+    pairs = candidates.select("left_id", "right_id").join(side(left, "left", "a"), "left_id").join(side(right, "right", "b"), ["right_id", "case_id", "frame"])
+    gap = v3.named(v3.sub(v3.vec("l"), v3.vec("r")), ["dx", "dy", "dz"])  # type: ignore[arg-type]
+    pairs = pairs.select("*", *gap, (F.col("lp") * F.col("rp")).alias("w"))
+    return candidates.join(joint_covariance_evidence(pairs, blocks).drop("frames"), ["left_id", "right_id"], "left")
+
+
 # --- nearest points --------------------------------------------------------------------------
 
 
