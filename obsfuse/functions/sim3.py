@@ -8,10 +8,11 @@ projections become column arithmetic on per-window coefficients.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Transform = tuple[float, np.ndarray, np.ndarray]
@@ -34,25 +35,42 @@ def so3_exp(w: np.ndarray) -> np.ndarray:
     return np.eye(3) + np.sin(angle) / angle * k + (1.0 - np.cos(angle)) / angle**2 * k @ k
 
 
+#: Length of the antisymmetric part below which a rotation counts as an exact half turn.
+HALF_TURN = 64.0 * np.finfo(np.float64).eps
+
+
 def so3_log(r: np.ndarray) -> np.ndarray:
-    angle = float(np.arccos(np.clip((np.trace(r) - 1.0) / 2.0, -1.0, 1.0)))
-    vee = np.array([r[2, 1] - r[1, 2], r[0, 2] - r[2, 0], r[1, 0] - r[0, 1]])
-    if angle < 1e-8:
-        return 0.5 * vee
-    if np.pi - angle < 1e-5:
-        # near a half turn the axis comes from the symmetric part, the sign from vee
-        outer = (r + np.eye(3)) / 2.0
-        k = int(np.argmax(np.diag(outer)))
-        axis = outer[:, k] / np.sqrt(max(outer[k, k], 1e-300))
-        axis = axis / np.linalg.norm(axis)
-        return angle * (axis if vee @ axis >= 0.0 else -axis)
-    return angle / (2.0 * np.sin(angle)) * vee
+    return so3_logs(r[None])[0]
+
+
+def so3_logs(r: np.ndarray) -> np.ndarray:
+    """Shortest rotation vectors of (n, 3, 3) rotations.
+
+    Close to a half turn the axis is the largest column of the symmetric part.  Its sign is that of the
+    antisymmetric part; at a half turn itself both signs give the same rotation, and the first component
+    that is not zero is positive.
+    """
+    angle = np.arccos(np.clip((np.trace(r, axis1=1, axis2=2) - 1.0) / 2.0, -1.0, 1.0))
+    vee = np.stack([r[:, 2, 1] - r[:, 1, 2], r[:, 0, 2] - r[:, 2, 0], r[:, 1, 0] - r[:, 0, 1]], axis=1)
+    plain = np.where(angle < 1e-8, 0.5, angle / np.maximum(2.0 * np.sin(angle), 1e-300))
+    out = plain[:, None] * vee
+    close = np.flatnonzero(np.pi - angle < 1e-5)
+    if len(close):
+        outer = (r[close] + np.swapaxes(r[close], 1, 2)) / 4.0 + np.eye(3) / 2.0
+        k = np.argmax(np.einsum("nii->ni", outer), axis=1)
+        axis = outer[np.arange(len(close)), :, k]
+        axis /= np.linalg.norm(axis, axis=1, keepdims=True)
+        half = np.linalg.norm(vee[close], axis=1) <= HALF_TURN
+        lead = np.take_along_axis(axis, np.argmax(np.abs(axis) > HALF_TURN, axis=1)[:, None], axis=1)[:, 0]
+        towards = np.where(half, lead, np.einsum("ni,ni->n", axis, vee[close]))
+        out[close] = np.where(half, np.pi, angle[close])[:, None] * np.where(towards < 0.0, -1.0, 1.0)[:, None] * axis
+    return out
 
 
 def right_jacobian(w: np.ndarray) -> np.ndarray:
     angle = float(np.linalg.norm(w))
     k = skew(w)
-    if angle < 1e-8:
+    if angle < 1e-6:
         return np.eye(3) - 0.5 * k + k @ k / 6.0
     a2 = angle * angle
     return np.eye(3) - (1.0 - np.cos(angle)) / a2 * k + (angle - np.sin(angle)) / (a2 * angle) * k @ k
@@ -234,3 +252,15 @@ def floor_eigenvalues(m: np.ndarray, floor: float = 1e-12) -> np.ndarray:
 def floored_inverse(m: np.ndarray, floor: float = 1e-12) -> np.ndarray:
     w, v = np.linalg.eigh(0.5 * (m + np.swapaxes(m, -1, -2)))
     return (v / np.maximum(w, floor)[..., None, :]) @ np.swapaxes(v, -1, -2)
+
+
+def rotation_vectors(df: DataFrame) -> DataFrame:
+    """``df`` with the rotation vector (wx, wy, wz) of its rotation columns r11 to r33."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            w = so3_logs(b[ROT].to_numpy(float).reshape(-1, 3, 3))
+            yield b.assign(wx=w[:, 0], wy=w[:, 1], wz=w[:, 2])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.mapInPandas(run, f"{schema}, wx double, wy double, wz double")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 import operator
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -290,24 +290,42 @@ def spatial_pairs(
 
 
 def audit_support(
-    points: DataFrame, scores: DataFrame, declared: DataFrame, keys: Sequence[str], axes: int = 3
+    points: DataFrame,
+    scores: DataFrame,
+    declared: DataFrame,
+    keys: Sequence[str],
+    axes: int = 3,
+    references: Mapping[str, DataFrame] | None = None,
+    roster: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Recount metric support from canonical row ids.
+    """Recount metric support from canonical row ids; returns (violations, mismatches).
 
-    Returns (row violations, count mismatches): score rows must reference a point row,
-    every point has exactly ``axes`` distinct axes, no duplicates, and the recounted
-    totals must equal what each arm declared.
+    Violations name a row or a pair (its row id null): ``orphan_score`` and ``orphan_<name>`` for score rows and rows
+    of ``references`` without a point, ``duplicate_point``, ``axis_roster`` for points without exactly ``axes``
+    distinct axes once each, ``missing_pair`` and ``extra_pair`` where the keys with points are not those of
+    ``roster``.  Mismatches compare the count and the sum of row ids of each key with what ``declared`` states
+    (columns declared and, if there, declared_sum).
     """
+    keys = list(keys)
     rid = [*keys, "row_id"]
-    orphan = scores.join(points.select(*rid), rid, "left_anti").select(*rid, F.lit("orphan_score").alias("problem"))
-    dup = points.groupBy(*rid).count().where("count > 1").select(*rid, F.lit("duplicate_point").alias("problem"))
+    known = points.select(*rid)
+    found = [
+        rows.select(*rid).distinct().join(known, rid, "left_anti").select(*rid, F.lit(f"orphan_{name}").alias("problem"))
+        for name, rows in {"score": scores, **(references or {})}.items()
+    ]
+    found.append(known.groupBy(*rid).count().where("count > 1").select(*rid, F.lit("duplicate_point").alias("problem")))
     per_axis = scores.groupBy(*rid, "axis").agg(F.count(F.lit(1)).alias("m"))
-    wrong = (
-        points.select(*rid).distinct()
-        .join(per_axis.groupBy(*rid).agg(F.count(F.lit(1)).alias("axes"), F.max("m").alias("m")), rid, "left")
-        .where((F.coalesce("axes", F.lit(0)) != axes) | (F.coalesce("m", F.lit(1)) > 1))
-        .select(*rid, F.lit("axis_roster").alias("problem"))
-    )
-    recount = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("counted"))
-    mismatch = recount.join(declared, list(keys), "full").where(~F.col("counted").eqNullSafe(F.col("declared")))
-    return orphan.unionByName(dup).unionByName(wrong), mismatch
+    full = per_axis.groupBy(*rid).agg(F.count(F.lit(1)).alias("axes"), F.max("m").alias("m"))
+    wrong = known.distinct().join(full, rid, "left").where((F.coalesce("axes", F.lit(0)) != axes) | (F.coalesce("m", F.lit(1)) > 1))
+    found.append(wrong.select(*rid, F.lit("axis_roster").alias("problem")))
+    recount = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("counted"), F.sum(F.col("row_id").cast("decimal(38,0)")).alias("counted_sum"))
+    if roster is not None:
+        pairs = roster.select(*keys).distinct()
+        no_row = F.lit(None).cast(points.schema["row_id"].dataType).alias("row_id")
+        found.append(pairs.join(recount, keys, "left_anti").select(*keys, no_row, F.lit("missing_pair").alias("problem")))
+        found.append(recount.join(pairs, keys, "left_anti").select(*keys, no_row, F.lit("extra_pair").alias("problem")))
+    same = F.col("counted").eqNullSafe(F.col("declared"))
+    if "declared_sum" in declared.columns:
+        same = same & F.col("counted_sum").eqNullSafe(F.col("declared_sum").cast("decimal(38,0)"))
+    mismatch = recount.join(declared, keys, "full").where(~same)
+    return functools.reduce(DataFrame.unionByName, found), mismatch

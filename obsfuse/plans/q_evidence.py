@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from obsfuse.functions import sim3
 from obsfuse.functions import vec3 as v3
 from obsfuse.operators import disagreement as dis
-from obsfuse.operators import gaussian, tracks
+from obsfuse.operators import fusion, gaussian, joins, tracks
 from obsfuse.operators import project as pr
 from obsfuse.plans import adapters as ad
-from obsfuse.plans.adapters import CASE_COLS, CASE_ROWS, SAMPLES_SQL
+from obsfuse.plans.adapters import CASE_COLS, CASE_ROWS, EST_SQL, RESID_SQL, SAMPLES_SQL, TRACKS_SQL
 from obsfuse.plans.q_models import _CAND_SQL, _CFG
 from obsfuse.plans.registry import query
+from obsfuse.runtime import fresh_folder
+from obsfuse.sources import tables
+from obsfuse.streaming import admission, incremental
 
 # --- covariance of linked windows ----------------------------------------------------------
 
@@ -330,3 +334,217 @@ FROM pp JOIN st USING (case_id, window_id, frame) WHERE status = 'ok'""",
 )
 def _(spark, sf):
     return dis.range_variances(_rays(spark, sf), None)
+
+
+# --- rotations -------------------------------------------------------------------------------------
+
+_AXIS = [("k", "CAST(e.event_id % 5 AS DOUBLE) - 2"), ("m", "CAST(e.event_id % 7 AS DOUBLE) - 3"), ("n", "CAST(e.event_id % 3 AS DOUBLE) - 1")]
+
+
+@query(
+    "rotation_log",
+    "F1",
+    "event_id:long wx:d wy:d wz:d",
+    f"""WITH a AS (SELECT event_id, {', '.join(f"{x} AS {c}" for c, x in _AXIS)}, CASE WHEN event_id % 4 < 2 THEN pi() ELSE (event_id % 100) * 0.03 END AS angle FROM events e),
+u AS (SELECT *, sqrt(k * k + m * m + n * n) AS len FROM a WHERE k <> 0 OR m <> 0 OR n <> 0),
+s AS (SELECT *, CASE WHEN event_id % 4 < 2 AND (k < 0 OR k = 0 AND m < 0 OR k = 0 AND m = 0 AND n < 0) THEN -angle ELSE angle END / len AS f FROM u)
+SELECT event_id, f * k AS wx, f * m AS wy, f * n AS wz FROM s""",
+)
+def _(spark, sf):
+    """Rotations about small whole axes; half of them half turns, exact up to rounding."""
+    e = ad.read(spark, sf, "events").select("event_id", *[(F.col("event_id") % p - q).cast("double").alias(c) for c, p, q in (("k", 5, 2), ("m", 7, 3), ("n", 3, 1))])
+    e = e.where("k <> 0 OR m <> 0 OR n <> 0")
+    length = F.sqrt(F.col("k") ** 2 + F.col("m") ** 2 + F.col("n") ** 2)
+    a = tuple(F.col(c) / length for c in "kmn")
+    half = F.col("event_id") % 4 < 2
+    angle = (F.col("event_id") % 100) * 0.03
+    c, s = F.when(half, -1.0).otherwise(F.cos(angle)), F.when(half, 0.0).otherwise(F.sin(angle))
+    cross = [[None, -a[2], a[1]], [a[2], None, -a[0]], [-a[1], a[0], None]]
+    rot = [(1 - c) * a[i] * a[j] + (c if i == j else s * cross[i][j]) for i in range(3) for j in range(3)]
+    return sim3.rotation_vectors(e.select("event_id", *v3.named(rot, sim3.ROT)))
+
+
+# --- forecasts ------------------------------------------------------------------------------------------
+
+
+def _forecasts(spark, sf):
+    t = ad.tracks(spark, sf).withColumn("case_id", F.lit("c"))
+    end = t.agg(F.min("frame")).first()[0] + 10
+    truth = t.where(F.col("window_id") == "w0").select("case_id", F.col("track_id").alias("point_id"), "frame", "x", "y", "z", (F.col("association_probability") > 0.4).alias("visible"))
+    nodes = t.where(F.col("window_id") == "w1").select("case_id", F.col("track_id").alias("node_id"), "frame", "x", "y", "z")
+    start = truth.where(F.col("frame") == end).select("case_id", "point_id", "x", "y", "z")
+    later = truth.where(F.col("frame") > end)
+    stay = later.select("case_id", "point_id", "frame").join(start, ["case_id", "point_id"])
+    moved = {"persistence": stay} | {n: tracks.anchored_rollout(start, nodes, end, offset=o).where(F.col("frame") > end) for n, o in (("rollout", True), ("association_only", False))}
+    forecasts = None
+    for name, df in moved.items():
+        df = df.select("case_id", "point_id", "frame", "x", "y", "z", F.lit(name).alias("method_id"))
+        forecasts = df if forecasts is None else forecasts.unionByName(df)
+    return tracks.forecast_comparison(later, forecasts)
+
+
+@query(
+    "forecast_comparison",
+    "A68 P25",
+    "method_id:str scope:str n:long mean:d rmse:d median:d p90:d p95:d",
+    f"""WITH {TRACKS_SQL}, e AS (SELECT min(frame) + 10 AS e FROM v_tracks), t AS (SELECT track_id AS p, frame, x, y, z, association_probability > 0.4 AS vis FROM v_tracks WHERE window_id = 'w0'),
+nd AS (SELECT track_id AS n, frame, x, y, z FROM v_tracks WHERE window_id = 'w1'), st AS (SELECT t.* FROM t, e WHERE frame = e), la AS (SELECT t.* FROM t, e WHERE frame > e), an AS (SELECT nd.* FROM nd, e WHERE frame = e),
+ne AS (SELECT st.p, arg_min(an.n, ((st.x - an.x) ** 2 + (st.y - an.y) ** 2 + (st.z - an.z) ** 2, an.n)) AS n FROM st, an GROUP BY 1),
+ro AS (SELECT ne.p, nd.frame, nd.x, nd.y, nd.z, st.x - an.x AS ox, st.y - an.y AS oy, st.z - an.z AS oz FROM ne JOIN nd USING (n) JOIN an USING (n) JOIN st ON st.p = ne.p),
+fc AS (SELECT 'persistence' AS method_id, la.p, la.frame, st.x, st.y, st.z FROM la JOIN st ON st.p = la.p
+  UNION ALL SELECT 'rollout', p, frame, x + ox, y + oy, z + oz FROM ro UNION ALL SELECT 'association_only', p, frame, x, y, z FROM ro),
+er AS (SELECT method_id, vis, sqrt((fc.x - la.x) ** 2 + (fc.y - la.y) ** 2 + (fc.z - la.z) ** 2) AS err FROM fc JOIN la ON la.p = fc.p AND la.frame = fc.frame),
+sc AS (SELECT method_id, 'all' AS scope, err FROM er UNION ALL SELECT method_id, 'visible', err FROM er WHERE vis)
+SELECT method_id, scope, count(*) AS n, avg(err) AS mean, sqrt(avg(err * err)) AS rmse, quantile_cont(err, 0.5) AS median, quantile_cont(err, 0.9) AS p90, quantile_cont(err, 0.95) AS p95 FROM sc GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    return _forecasts(spark, sf)
+
+
+# --- support audit ----------------------------------------------------------------------------------------
+
+_AUDIT = f"""WITH {RESID_SQL}, b AS (SELECT group_id, step AS row_id, valid FROM v_resid),
+pt AS (SELECT group_id, row_id FROM b WHERE valid UNION ALL SELECT group_id, row_id FROM b WHERE valid AND row_id % 97 = 0),
+sc AS (SELECT group_id, row_id, axis FROM b JOIN (VALUES ('x'), ('y'), ('z')) a(axis) ON (valid OR row_id % 50 = 1) AND NOT (axis = 'z' AND row_id % 61 = 0) UNION ALL SELECT group_id, row_id, 'x' FROM b WHERE valid AND row_id % 83 = 0),
+ep AS (SELECT group_id, row_id FROM b WHERE row_id % 10 = 0), ro AS (SELECT DISTINCT group_id FROM b WHERE group_id % 19 <> 0 UNION ALL SELECT -1),
+de AS (SELECT group_id, count(*) + CASE WHEN group_id % 23 = 0 THEN 1 ELSE 0 END AS declared, sum(row_id) + CASE WHEN group_id % 29 = 0 THEN 1 ELSE 0 END AS declared_sum FROM pt WHERE group_id % 31 <> 0 GROUP BY group_id)"""
+
+
+def _audit(spark, sf):
+    b = ad.residuals(spark, sf).select("group_id", F.col("step").alias("row_id"), "valid")
+    row, group = F.col("row_id"), F.col("group_id")
+    points = b.where("valid").withColumn("c", F.explode(F.when(row % 97 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))).select("group_id", "row_id")
+    axis = F.array(F.lit("x"), F.lit("y"), F.when(row % 61 != 0, "z"), F.when(F.col("valid") & (row % 83 == 0), "x"))
+    scores = b.where(F.col("valid") | (row % 50 == 1)).select("group_id", "row_id", F.explode(F.array_compact(axis)).alias("axis"))
+    endpoints = b.where(row % 10 == 0).select("group_id", "row_id")
+    roster = b.select("group_id").distinct().where(group % 19 != 0).union(spark.range(1).select(F.lit(-1).cast("bigint").alias("group_id")))
+    declared = points.where(group % 31 != 0).groupBy("group_id").agg(
+        (F.count(F.lit(1)) + F.when(group % 23 == 0, 1).otherwise(0)).alias("declared"), (F.sum("row_id") + F.when(group % 29 == 0, 1).otherwise(0)).alias("declared_sum")
+    )
+    return joins.audit_support(points, scores, declared, ["group_id"], 3, {"endpoint": endpoints}, roster)
+
+
+@query(
+    "support_audit",
+    "J17",
+    "group_id:long row_id:long problem:str",
+    f"""{_AUDIT} SELECT DISTINCT group_id, row_id, 'orphan_score' AS problem FROM sc WHERE (group_id, row_id) NOT IN (SELECT group_id, row_id FROM pt)
+UNION ALL SELECT DISTINCT group_id, row_id, 'orphan_endpoint' FROM ep WHERE (group_id, row_id) NOT IN (SELECT group_id, row_id FROM pt)
+UNION ALL SELECT group_id, row_id, 'duplicate_point' FROM pt GROUP BY 1, 2 HAVING count(*) > 1
+UNION ALL SELECT p.group_id, p.row_id, 'axis_roster' FROM (SELECT DISTINCT * FROM pt) p LEFT JOIN (SELECT group_id, row_id, count(*) AS n, count(DISTINCT axis) AS a FROM sc GROUP BY 1, 2) s USING (group_id, row_id) WHERE coalesce(a, 0) <> 3 OR n > a
+UNION ALL SELECT group_id, NULL, 'missing_pair' FROM ro WHERE group_id NOT IN (SELECT group_id FROM pt)
+UNION ALL SELECT DISTINCT group_id, NULL::BIGINT, 'extra_pair' FROM pt WHERE group_id NOT IN (SELECT group_id FROM ro)""",
+)
+def _(spark, sf):
+    return _audit(spark, sf)[0]
+
+
+@query(
+    "support_recount",
+    "J17",
+    "group_id:long counted:long counted_sum:long declared:long declared_sum:long",
+    f"""{_AUDIT}, c AS (SELECT group_id, count(*) AS counted, sum(row_id) AS counted_sum FROM pt GROUP BY 1)
+SELECT * FROM c FULL JOIN de USING (group_id) WHERE counted IS DISTINCT FROM declared OR counted_sum IS DISTINCT FROM declared_sum""",
+)
+def _(spark, sf):
+    return _audit(spark, sf)[1]
+
+
+# --- fused table ---------------------------------------------------------------------------------------------
+
+_AT_REST = ", ".join(f"CAST(CAST({c} AS FLOAT) AS DOUBLE) AS {c}" for c in ("x", "y", "z"))
+
+
+@query(
+    "fused_round_trip",
+    "S5 S4",
+    "case_id:str method_id:str cell:long x:d3 y:d3 z:d3 c_xx:d3 c_xy:d3 c_yy:d3 c_zz:d3 contributors:long",
+    f"""WITH {EST_SQL}, u AS (SELECT cell, avg(x) AS x, avg(y) AS y, avg(z) AS z, avg(a) + coalesce(var_pop(x), 0) AS c_xx, avg(b) + covar_pop(x, y) AS c_xy,
+  avg(c) + coalesce(var_pop(y), 0) AS c_yy, avg(e) + coalesce(var_pop(z), 0) AS c_zz, count(*) AS contributors FROM v_est GROUP BY 1),
+i AS (SELECT *, c / (a * c - b * b) AS pa, -b / (a * c - b * b) AS pb, a / (a * c - b * b) AS pc, 1.0 / e AS pe FROM v_est),
+s AS (SELECT cell, count(*) AS contributors, sum(pa) AS ia, sum(pb) AS ib, sum(pc) AS ic, sum(pe) AS ize, sum(pa * x + pb * y) AS sx, sum(pb * x + pc * y) AS sy, sum(pe * z) AS sz FROM i GROUP BY 1),
+p AS (SELECT cell, (ic * sx - ib * sy) / (ia * ic - ib * ib) AS x, (ia * sy - ib * sx) / (ia * ic - ib * ib) AS y, sz / ize AS z, contributors FROM s)
+SELECT 'c' || CAST(cell % 5 AS VARCHAR) AS case_id, 'mean' AS method_id, cell, {_AT_REST}, {', '.join(f"CAST(CAST({c} AS FLOAT) AS DOUBLE) AS {c}" for c in ("c_xx", "c_xy", "c_yy", "c_zz"))}, contributors FROM u
+UNION ALL SELECT 'c' || CAST(cell % 5 AS VARCHAR), 'information', cell, {_AT_REST}, NULL, NULL, NULL, NULL, contributors FROM p""",
+)
+def _(spark, sf):
+    """One method is written twice, two cases of it a third time; the other is read without its covariances."""
+    est, path = ad.estimates(spark, sf), f"{fresh_folder(spark, 'fused')}/t"
+
+    def placed(df):
+        return df.select(
+            F.concat(F.lit("c"), (F.col("cell") % 5).cast("string")).alias("case_id"), F.lit(0).cast("bigint").alias("frame"), F.col("cell").cast("int").alias("row"), F.lit(0).alias("col"),
+            "x", "y", "z", *[f"c_{s}" for s in v3.SYM], "contributors",
+        )
+
+    mean = placed(fusion.fuse_uniform(est, ["cell"]))
+    tables.write_fused(mean.withColumn("x", F.lit(0.0)), path, "mean", "uniform")
+    tables.write_fused(mean, path, "mean", "uniform")
+    tables.write_fused(placed(fusion.fuse_precision(est, ["cell"])), path, "information", "precision")
+    tables.write_fused(mean.where("case_id IN ('c1', 'c3')"), path, "mean", "uniform")
+    both = tables.read_fused(spark, path, ["mean"]).unionByName(tables.read_fused(spark, path, ["information"], covariance=False))
+    return both.withColumn("cell", F.col("row").cast("bigint"))
+
+
+# --- streams ----------------------------------------------------------------------------------------------------
+
+
+def _identity_updates(c):
+    n, turn = F.length("text"), F.col("turn")
+
+    def window(k):
+        return F.concat(F.lit("w"), (turn + k).cast("string"))
+
+    more = F.array_compact(F.array(F.when(n % 4 == 0, window(-2)), F.when(n % 11 == 0, window(-1)), F.when(n % 13 == 0, window(3))))
+    sources = F.when(turn == 0, F.array().cast("array<string>")).otherwise(F.concat(F.array(window(-1)), more))
+    stop = turn * 10 - F.when(n % 17 == 0, 25).otherwise(0)
+    return c.select(
+        F.col("conv_id").cast("string").alias("stream_id"), F.concat_ws(":", "conv_id", "turn").alias("update_id"), turn.alias("position"),
+        F.when(n % 9 == 0, window(-1)).otherwise(window(0)).alias("target"), sources.alias("sources"),
+        F.transform(sources, lambda s, i: stop + F.when((n % 6 == 0) & (i == 1), 1).otherwise(0)).alias("stops"), F.sha2("text", 256).alias("content_hash"),
+    )
+
+
+_IDENTITY = """WITH RECURSIVE n AS (SELECT CAST(conv_id AS VARCHAR) AS stream_id, concat_ws(':', conv_id, turn) AS update_id, turn AS position, length(text) AS n, sha256(text) AS content FROM conversations),
+b AS (SELECT *, 'w' || CASE WHEN n % 9 = 0 THEN position - 1 ELSE position END AS target, CASE WHEN position = 0 THEN []::VARCHAR[] ELSE list_filter(['w' || (position - 1), CASE WHEN n % 4 = 0 THEN 'w' || (position - 2) END,
+  CASE WHEN n % 11 = 0 THEN 'w' || (position - 1) END, CASE WHEN n % 13 = 0 THEN 'w' || (position + 3) END], lambda x: x IS NOT NULL) END AS sources, position * 10 - CASE WHEN n % 17 = 0 THEN 25 ELSE 0 END AS stop FROM n),
+o AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY position, update_id) AS i FROM b),
+w AS (SELECT stream_id, 0::BIGINT AS i, []::VARCHAR[] AS known, NULL::BIGINT AS last, NULL::VARCHAR AS chain, NULL::VARCHAR AS update_id, NULL::VARCHAR AS target, NULL::BIGINT AS position, NULL::VARCHAR AS reason, NULL::BIGINT AS hypotheses FROM (SELECT DISTINCT stream_id FROM o)
+  UNION ALL SELECT stream_id, i, CASE WHEN reason IS NULL THEN list_append(known, target) ELSE known END, CASE WHEN reason IS NULL AND len(sources) > 0 THEN stop ELSE last END,
+    CASE WHEN reason IS NULL THEN sha256(coalesce(chain, '') || '|' || content) ELSE chain END, update_id, target, position, reason, CASE WHEN reason IS NULL THEN len(sources) END FROM (
+    SELECT o.*, w.known, w.last, w.chain, CASE WHEN len(known) = 0 AND len(sources) = 0 THEN NULL WHEN list_contains(known, o.target) THEN 'target-already-admitted' WHEN len(sources) = 0 THEN 'no-association'
+      WHEN len(list_distinct(sources)) <> len(sources) THEN 'repeated-source' WHEN NOT list_has_all(known, sources) THEN 'source-not-admitted' WHEN n % 6 = 0 AND len(sources) > 1 THEN 'causal-stop-differs'
+      WHEN stop < w.last THEN 'causal-stop-decreases' END AS reason FROM w JOIN o ON o.stream_id = w.stream_id AND o.i = w.i + 1))
+SELECT stream_id, update_id, target, position, reason IS NULL AS admitted, reason, hypotheses, CASE WHEN reason IS NULL THEN chain END AS chain_id FROM w WHERE i > 0"""
+
+
+@query("identity_stream", "R4", "stream_id:str update_id:str target:str position:long admitted:bool reason:str hypotheses:long chain_id:str", _IDENTITY)
+def _(spark, sf):
+    """Two runs over one checkpoint: the first turns of all conversations, then the others."""
+    table, folder = ad.read(spark, sf, "conversations"), fresh_folder(spark, "identity")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    for part in ("turn < 3", "turn >= 3"):
+        table.where(part).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(table.schema).parquet(f"{folder}/in")
+        incremental.run_available(admission.admit_identities(_identity_updates(stream)), f"{folder}/out")
+    return spark.read.parquet(f"{folder}/out")
+
+
+@query(
+    "stream_late_rows",
+    "R2",
+    "event_type:str kept:long late:long kept_value:d4 late_value:d4",
+    """WITH m AS (SELECT max(ts) - INTERVAL 9 DAY AS mark FROM events WHERE event_id % 3 <> 0), e AS (SELECT event_type, value, event_id % 3 = 0 AND ts < mark AS late FROM events, m)
+SELECT event_type, sum(CASE WHEN late THEN 0 ELSE 1 END) AS kept, sum(CASE WHEN late THEN 1 ELSE 0 END) AS late, sum(CASE WHEN late THEN 0.0 ELSE value END) AS kept_value, sum(CASE WHEN late THEN value ELSE 0.0 END) AS late_value FROM e GROUP BY 1""",
+)
+def _(spark, sf):
+    """A second arrival holds rows of all days; those behind the watermark of the first are late."""
+    table, folder = ad.read(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")), fresh_folder(spark, "late")
+    for part in ("event_id % 3 <> 0", "event_id % 3 = 0"):
+        table.where(part).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(table.schema).parquet(f"{folder}/in")
+        incremental.causal_rows(stream, f"{folder}/out", delay="9 days")
+    rows, late = spark.read.parquet(f"{folder}/out/rows"), F.col("late")
+    return rows.groupBy("event_type").agg(
+        F.count_if(~late).alias("kept"), F.count_if(late).alias("late"), F.sum(F.when(late, 0.0).otherwise(F.col("value"))).alias("kept_value"), F.sum(F.when(late, F.col("value")).otherwise(0.0)).alias("late_value")
+    )

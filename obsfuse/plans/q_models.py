@@ -741,7 +741,7 @@ def _sink(spark, name):
 
 @query(
     "stream_window_counts",
-    "R10 R2",
+    "R10",
     "start:long event_type:str n:long total:d4",
     """WITH w AS (SELECT event_type, value, unnest(range(epoch_us(ts) // 86400000000 - 2, epoch_us(ts) // 86400000000 + 1)) AS start FROM events)
 SELECT start, event_type, count(*) AS n, sum(value) AS total FROM w GROUP BY 1, 2""",

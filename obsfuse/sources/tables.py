@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ SEMANTICS = {
     "precision": ("information-sum", "independence"),
     "covariance_intersection": ("conservative-bound", "unknown-correlation"),
 }
+#: Columns that say what a covariance of the fused table means.
+SIGNATURE = ["fusion_method", "covariance_semantics", "correlation_assumption"]
 
 
 def write_truth(df: DataFrame, path: str) -> None:
@@ -36,11 +39,18 @@ _DENSE = ["x", "y", "z", *[f"c_{s}" for s in SYM], "fx", "fy", "fz", *[f"f_{s}"
 def write_fused(df: DataFrame, path: str, method_id: str, fusion_method: str, include_covariance: bool = True) -> None:
     """Float32 at rest, packed covariance, and the dependence semantics as columns.
 
-    A second run replaces the (case, method) partitions that it writes and leaves the others.
+    A second run replaces the (case, method) partitions that it writes and leaves the others; a method
+    that the table holds with other semantics is refused before anything is written.
     """
     if fusion_method not in SEMANTICS:
         raise ValueError(f"unknown fusion method {fusion_method!r}")
     meaning, assumption = SEMANTICS[fusion_method]
+    try:
+        known = df.sparkSession.read.parquet(path).where(F.col("method_id") == method_id)
+    except AnalysisException:  # no table yet
+        known = None
+    if known is not None:
+        violations(known.where(F.col("fusion_method") != fusion_method).select("method_id", "fusion_method"), "method changed its covariance semantics")
     out = df.withColumn("method_id", F.lit(method_id))
     if "valid" not in out.columns:
         out = out.withColumn("valid", F.lit(True))
@@ -56,15 +66,19 @@ def write_fused(df: DataFrame, path: str, method_id: str, fusion_method: str, in
     ).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("case_id", "method_id").parquet(path)
 
 
-def read_fused(spark: SparkSession, path: str, methods: Sequence[str] | None = None) -> DataFrame:
-    """Fused rows as doubles; one method must have one semantic signature."""
+def read_fused(spark: SparkSession, path: str, methods: Sequence[str] | None = None, covariance: bool = True) -> DataFrame:
+    """Fused rows as doubles; one method must have one semantic signature.
+
+    Without ``covariance`` the packed covariances are not read; their columns are null.
+    """
     df = spark.read.parquet(path)
     if methods is not None:
         df = df.where(F.col("method_id").isin(*methods))
-    sig = df.select("method_id", "fusion_method", "covariance_semantics", "correlation_assumption").distinct()
-    violations(sig.groupBy("method_id").count().where("count > 1"), "method changed its covariance semantics")
-    rows = df.drop("fusion_method", "covariance_semantics", "correlation_assumption")
-    return schemas.conform(rows.withColumn("case_id", F.col("case_id").cast("string")), schemas.FUSED)
+    sig = df.groupBy("method_id").agg(F.min(F.struct(*SIGNATURE)).alias("a"), F.max(F.struct(*SIGNATURE)).alias("b"))
+    violations(sig.where("a <> b").select("method_id"), "method changed its covariance semantics")
+    packed = [] if covariance else [f"{p}_{s}" for p in "cf" for s in SYM]
+    rows = df.drop(*SIGNATURE, *packed).withColumn("case_id", F.col("case_id").cast("string"))
+    return schemas.conform(rows, schemas.FUSED, tuple(packed))
 
 
 def write_observations(rows: DataFrame, groups: DataFrame, path: str) -> None:

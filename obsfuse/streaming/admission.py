@@ -168,6 +168,68 @@ def admit_batch(updates: DataFrame, rule: str = "interval") -> DataFrame:
     return updates.groupBy("stream_id").applyInPandas(run, OUTPUT)
 
 
+IDENTITY = (
+    "stream_id string, update_id string, target string, position bigint, admitted boolean, reason string, hypotheses bigint, chain_id string"
+)
+
+
+class IdentityAdmission(StatefulProcessor):
+    """Updates that each add one window, linked from windows of the stream that were admitted before.
+
+    The admitted windows are a map state with their causal stops, one entry each, so an update touches only
+    the entries that it names, however many there are.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.windows = handle.getMapState("windows", "window string", "stop bigint")
+        self.head = handle.getValueState("head", "chain string, stop bigint")
+
+    def _refusal(self, target: str, sources: list[str], stops: list[int], begun: bool, last: int | None) -> str | None:
+        if not begun and not sources:
+            return None  # the root window
+        if begun and self.windows.containsKey((target,)):
+            return "target-already-admitted"
+        if not sources:
+            return "no-association"
+        if len(set(sources)) != len(sources):
+            return "repeated-source"
+        if not begun or not all(self.windows.containsKey((s,)) for s in sources):
+            return "source-not-admitted"
+        if len(set(stops)) != 1:
+            return "causal-stop-differs"
+        if last is not None and stops[0] < last:
+            return "causal-stop-decreases"
+        return None
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803, ANN001
+        chain, last = self.head.get() if self.head.exists() else (None, None)
+        begun, out = self.head.exists(), []
+        for row in pd.concat(list(rows)).sort_values(["position", "update_id"]).to_dict("records"):
+            sources, stops = (list(row[c]) if row[c] is not None else [] for c in ("sources", "stops"))
+            why = self._refusal(row["target"], sources, [int(s) for s in stops], begun, last)
+            if why is None:
+                last = int(stops[0]) if sources else last
+                chain, begun = chain_hash(chain, str(row["content_hash"])), True
+                self.windows.updateValue((row["target"],), (last,))
+                self.head.update((chain, last))
+            admitted = why is None
+            out.append((row["stream_id"], row["update_id"], row["target"], row["position"], admitted, why, len(sources) if admitted else None, chain if admitted else None))
+        yield pd.DataFrame(out, columns=[c.strip().split()[0] for c in IDENTITY.split(",")])
+
+    def close(self) -> None:
+        pass
+
+
+def admit_identities(updates: DataFrame) -> DataFrame:
+    """Streaming admission of identity hypotheses, one verdict per update.
+
+    ``updates``: stream_id, update_id, position, target (the new window), sources and stops (the windows it is
+    linked from, with their causal stops), content_hash.  The first update without sources opens a stream.  Rows of
+    one micro-batch are judged by position; ids that were admitted are never rewritten.
+    """
+    return updates.groupBy("stream_id").transformWithStateInPandas(IdentityAdmission(), outputStructType=IDENTITY, outputMode="Append", timeMode="None")
+
+
 def split_admission(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(admitted, quarantine)."""
     return judged.where("admitted"), judged.where("NOT admitted")

@@ -27,9 +27,26 @@ def run_updates(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoin
     return q
 
 
-def causal_watermark(df: DataFrame, time: str = "ts", delay: str = "0 seconds") -> DataFrame:
-    """Event-time watermark; exact refusal of late intervals is done by admission."""
-    return df.withWatermark(time, delay)
+def causal_rows(stream: DataFrame, path: str, time: str = "ts", delay: str = "0 seconds") -> StreamingQuery:
+    """Drain the available input into ``path``, with rows behind the causal watermark told apart.
+
+    The watermark of a micro-batch is the latest ``time`` of all batches before it, less ``delay``; a row earlier
+    than that is late.  Every row is written once, with ``late`` and its ``epoch``; rows that were written are never
+    changed by what comes later.  Each batch also writes its latest time, from which the next ones take their
+    watermark, so a repeated batch or a restart from the checkpoint gives the same rows.
+    """
+
+    def sink(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        latest = F.max(F.col(time)).alias("latest")
+        mark = None
+        if epoch > 0:
+            mark = spark.read.parquet(f"{path}/marks").where(F.col("epoch") < epoch).agg((F.max("latest") - F.expr(f"INTERVAL {delay}")).alias("m")).first()["m"]
+        late = F.lit(False) if mark is None else F.coalesce(F.col(time) < F.lit(mark), F.lit(False))
+        batch.withColumn("late", late).write.mode("overwrite").parquet(f"{path}/rows/epoch={epoch}")
+        spark.read.parquet(f"{path}/rows/epoch={epoch}").agg(latest).write.mode("overwrite").parquet(f"{path}/marks/epoch={epoch}")
+
+    return run_updates(stream, sink, f"{path}/checkpoint", "append")
 
 
 def overlapping_windows(df: DataFrame, size: str, stride: str, keys: Sequence[str], aggs: Sequence[Column], time: str = "ts") -> DataFrame:
