@@ -11,24 +11,35 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from obsfuse.operators.ranking import subsample
-from obsfuse.runtime import attach, violations
+from obsfuse.runtime import attach, durable, maybe_broadcast, within_limit
 
 CELL = ["case_id", "frame", "row", "col"]
 
 
+def window_spans(samples: DataFrame) -> DataFrame:
+    """First and last frame of every window."""
+    return samples.groupBy("case_id", "window_id").agg(F.min("frame").alias("start_frame"), F.max("frame").alias("stop_frame"))
+
+
 def window_order(samples: DataFrame) -> DataFrame:
     """Canonical window order per case: (start, stop, id); one row per window."""
-    spans = samples.groupBy("case_id", "window_id").agg(
-        F.min("frame").alias("start_frame"), F.max("frame").alias("stop_frame")
-    )
-    w = W.partitionBy("case_id").orderBy("start_frame", "stop_frame", "window_id")
-    return spans.withColumn("position", F.row_number().over(w) - 1)
+    w = W.partitionBy("case_id").orderBy(*PLACE)
+    return window_spans(samples).withColumn("position", F.row_number().over(w) - 1)
+
+
+#: Canonical place of a window inside its case, as a value that compares.
+PLACE = ["start_frame", "stop_frame", "window_id"]
 
 
 def _placed(samples: DataFrame, rows: DataFrame) -> DataFrame:
-    """``rows`` with the canonical ``position`` of their window."""
-    order = window_order(samples).select("case_id", "window_id", "position")
-    return attach(rows, order, ["case_id", "window_id"], how="inner")
+    """``rows`` with the canonical place of their window as a struct.
+
+    The table of windows is small next to the samples; it is written once and broadcast where its size allows.
+    """
+    spans = durable(window_spans(samples).select("case_id", "window_id", F.struct(*PLACE).alias("place")))
+    if within_limit(spans):
+        return rows.join(F.broadcast(spans), ["case_id", "window_id"])
+    return attach(rows, spans, ["case_id", "window_id"], how="inner")
 
 
 def overlap_correspondences(
@@ -45,8 +56,8 @@ def overlap_correspondences(
     ``max_correspondences`` asks for a seeded sample per edge.
     """
     v = _placed(samples, samples.where("valid"))
-    a = v.select(*CELL, F.col("window_id").alias("reference_id"), F.col("position").alias("__rp"), *[F.col(c).alias(f"p{c}") for c in "xyz"])
-    b = v.select(*CELL, F.col("window_id").alias("moving_id"), F.col("position").alias("__mp"), *[F.col(c).alias(f"s{c}") for c in "xyz"])
+    a = v.select(*CELL, F.col("window_id").alias("reference_id"), F.col("place").alias("__rp"), *[F.col(c).alias(f"p{c}") for c in "xyz"])
+    b = v.select(*CELL, F.col("window_id").alias("moving_id"), F.col("place").alias("__mp"), *[F.col(c).alias(f"s{c}") for c in "xyz"])
     pairs = a.join(b, CELL).where("__rp < __mp").drop("__rp", "__mp")
     tile = (
         F.col("frame") * F.lit(1 << 32)
@@ -63,8 +74,8 @@ def overlap_correspondences(
 def all_edges(samples: DataFrame) -> DataFrame:
     """Every pair of windows of a case, in canonical order, with at least one common frame."""
     wf = _placed(samples, samples.select("case_id", "window_id", "frame").distinct())
-    a = wf.withColumnsRenamed({"window_id": "reference_id", "position": "__rp"})
-    b = wf.withColumnsRenamed({"window_id": "moving_id", "position": "__mp"})
+    a = wf.withColumnsRenamed({"window_id": "reference_id", "place": "__rp"})
+    b = wf.withColumnsRenamed({"window_id": "moving_id", "place": "__mp"})
     return (
         a.join(b, ["case_id", "frame"])
         .where("__rp < __mp")
@@ -73,24 +84,35 @@ def all_edges(samples: DataFrame) -> DataFrame:
     )
 
 
+def common_rows(truth: DataFrame, predictions: DataFrame, values: Sequence[str] = ("x", "y", "z"), keys: Sequence[str] = CELL, flag: str = "valid") -> DataFrame:
+    """Prediction rows with their truth ``t*`` on the cells that are valid in the truth and in every method of the case.
+
+    Truth and predictions meet in one aggregation by cell, which collects the few methods of a cell; the number of
+    methods of a case is counted from all its rows, valid or not, and joined as a small table.
+    """
+    keys = list(keys)
+    roster = durable(predictions.groupBy(keys[0]).agg(F.countDistinct("method_id").alias("__methods")))
+    row = F.struct("method_id", *values)
+    none = F.lit(None).cast(predictions.select(row.alias("r")).schema["r"].dataType)
+    p = predictions.where(flag).select(*keys, row.alias("__p"), *[F.lit(None).cast("double").alias(f"t{v}") for v in values], F.lit(False).alias("__t"))
+    t = truth.where(flag).select(*keys, none.alias("__p"), *[F.col(v).cast("double").alias(f"t{v}") for v in values], F.lit(True).alias("__t"))
+    cells = p.unionByName(t).groupBy(*keys).agg(F.collect_list("__p").alias("__rows"), *[F.max(f"t{v}").alias(f"t{v}") for v in values], F.bool_or("__t").alias("__t"))
+    cells = cells.where("__t").join(maybe_broadcast(roster), keys[0])
+    full = cells.where(F.size(F.array_distinct(F.transform("__rows", lambda r: r["method_id"]))) == F.col("__methods"))
+    return full.select(*keys, F.inline("__rows"), *[f"t{v}" for v in values])
+
+
 def common_support(
     truth: DataFrame, predictions: DataFrame, keys: Sequence[str] = CELL, flag: str = "valid"
 ) -> DataFrame:
-    """Cells valid in the truth and in every registered method of the case.
-
-    One aggregation instead of an N-way join; also returns per-cell support counts.
-    """
-    case = keys[0]
-    roster = predictions.groupBy(case).agg(F.countDistinct("method_id").alias("methods"))
-    seen = (
-        predictions.where(flag)
-        .select(*keys, "method_id")
-        .distinct()
-        .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("supporting"))
-    )
-    ok = seen.join(roster, case).where(F.col("supporting") == F.col("methods"))
-    return truth.where(flag).select(*keys).join(ok.select(*keys), list(keys), "left_semi")
+    """Cells valid in the truth and in every registered method of the case; one aggregation instead of an N-way join."""
+    keys = list(keys)
+    roster = durable(predictions.groupBy(keys[0]).agg(F.countDistinct("method_id").alias("__methods")))
+    p = predictions.where(flag).select(*keys, "method_id")
+    t = truth.where(flag).select(*keys, F.lit(None).cast("string").alias("method_id"))
+    cells = p.unionByName(t).groupBy(*keys).agg(F.collect_set("method_id").alias("__m"), F.bool_or(F.col("method_id").isNull()).alias("__t"))
+    cells = cells.where("__t").join(maybe_broadcast(roster), keys[0])
+    return cells.where(F.size("__m") == F.col("__methods")).select(*keys)
 
 
 def support_retention(truth: DataFrame, predictions: DataFrame, support: DataFrame) -> DataFrame:
@@ -236,23 +258,36 @@ def interval_admission(streams: DataFrame) -> DataFrame:
 def triangle_cycles(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """One row per cycle (a <- b), (b <- c), (a <- c) of directed edges.
 
-    The two-hop join explodes at hub nodes, so it starts from the long edge (a, c) and
-    reaches b through the a side, then checks (b, c) as an equi-join on both ends:
-    every intermediate row is (edge, neighbour of a).
+    Two edges are first joined at the node of the triangle that has the fewest neighbours, then the third one is an
+    equi-join on both ends.  At such a node only edges to nodes with at least as many neighbours count, so hubs have
+    few of them, and the rows between the joins stay below a multiple of edges^1.5 whatever the degrees.
     """
     keys = list(keys)
     carried = [c for c in edges.columns if c not in {*keys, "reference", "moving"}]
+    edges = edges.where("reference != moving")
+    ends = edges.select(*keys, F.explode(F.array("reference", "moving")).alias("node"))
+    degree = durable(ends.groupBy(*keys, "node").agg(F.count(F.lit(1)).alias("degree")))
+
+    def known(df: DataFrame, end: str) -> DataFrame:
+        return attach(df, degree.withColumnsRenamed({"node": end, "degree": f"__{end}"}), [*keys, end], how="inner", salt_by=["reference", "moving"])
+
+    edges = known(known(edges, "reference"), "moving")
+    first = F.struct(F.col("__reference"), F.col("reference")) < F.struct(F.col("__moving"), F.col("moving"))
+    edges = durable(edges.withColumn("__low", first).drop("__reference", "__moving"))
 
-    def side(prefix: str, ref: str, mov: str) -> DataFrame:
-        return edges.select(
+    def side(prefix: str, ref: str, mov: str, low: str | None = None) -> DataFrame:
+        rows = edges if low is None else edges.where(F.col("__low") == (low == ref))
+        return rows.select(
             *keys,
             F.col("reference").alias(ref),
             F.col("moving").alias(mov),
             *[F.col(c).alias(f"{prefix}_{c}") for c in carried],
         )
 
-    ab, bc, ac = side("ab", "a", "b"), side("bc", "b", "c"), side("ac", "a", "c")
-    return ac.join(ab, [*keys, "a"]).where("b != c").join(bc, [*keys, "b", "c"])
+    at_a = side("ac", "a", "c", "a").join(side("ab", "a", "b", "a"), [*keys, "a"]).where("b != c").join(side("bc", "b", "c"), [*keys, "b", "c"])
+    at_b = side("ab", "a", "b", "b").join(side("bc", "b", "c", "b"), [*keys, "b"]).where("a != c").join(side("ac", "a", "c"), [*keys, "a", "c"])
+    at_c = side("ac", "a", "c", "c").join(side("bc", "b", "c", "c"), [*keys, "c"]).where("a != b").join(side("ab", "a", "b"), [*keys, "a", "b"])
+    return at_a.unionByName(at_b).unionByName(at_c)
 
 
 def spatial_pairs(

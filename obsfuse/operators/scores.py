@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from obsfuse.functions import vec3 as v3
 from obsfuse.operators import ranking as rk
-from obsfuse.runtime import attach, null_safe_on
+from obsfuse.runtime import attach, durable, maybe_broadcast, null_safe_on
 
 KEY = ["case_id", "frame", "row", "col"]
 EPS = 2.220446049250313e-16
@@ -160,18 +160,18 @@ def frame_rmse(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def seam_rmse(df: DataFrame, boundaries: DataFrame, keys: Sequence[str]) -> DataFrame:
     """RMS of error(b) - error(b - 1) on pixels valid in both, b a boundary frame.
 
-    ``boundaries`` has (case_id, frame); the previous frame is reached with an
-    equi-join on frame - 1, so no window spans a whole sequence.
+    ``boundaries`` has (case_id, frame) and is a small table.  Both frames of a seam are aggregated by (boundary,
+    pixel), so a row is moved once for each seam that it touches and frames away from all seams not at all.
     """
     e = v3.sub(v3.vec(), v3.vec("t"))
-    base = df.select(*keys, "frame", "row", "col", *v3.named(e, ["ex", "ey", "ez"]))
-    at = base.join(boundaries.select("case_id", "frame").distinct(), ["case_id", "frame"], "left_semi")
-    prev = base.select(
-        *keys, (F.col("frame") + 1).alias("frame"), "row", "col",
-        *[F.col(f"e{c}").alias(f"b{c}") for c in "xyz"],
-    )
-    jump = at.join(prev, [*keys, "frame", "row", "col"])
-    g = v3.sub(v3.vec("e"), v3.vec("b"))
+    at = boundaries.select("case_id", F.col("frame").alias("__at")).distinct()
+    sides = at.select("case_id", "__at", F.explode(F.array(F.lit(0), F.lit(1))).alias("__back")).withColumn("frame", F.col("__at") - F.col("__back"))
+    base = df.select(*keys, "frame", "row", "col", *v3.named(e, ["ex", "ey", "ez"])).join(maybe_broadcast(durable(sides)), ["case_id", "frame"])
+    near = F.col("__back") == 0
+    jump = base.groupBy(*keys, "__at", "row", "col").agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(F.when(near, F.col(f"e{c}")).otherwise(-F.col(f"e{c}"))).alias(f"g{c}") for c in "xyz"]
+    ).where("n = 2")
+    g = v3.vec("g")
     return jump.groupBy(*keys).agg(
         F.sqrt(F.avg(v3.dot(g, g))).alias("seam_rmse"), F.count(F.lit(1)).alias("seam_points")
     )
@@ -180,7 +180,10 @@ def seam_rmse(df: DataFrame, boundaries: DataFrame, keys: Sequence[str]) -> Data
 def sequence_scorecard(
     df: DataFrame, keys: Sequence[str], boundaries: DataFrame | None = None
 ) -> DataFrame:
-    """Metric RMSE, frame-balanced RMSE, endpoint RMSE, drift slope and counts."""
+    """Metric RMSE, frame-balanced RMSE, endpoint RMSE, drift slope and counts.
+
+    With predicted and true flow (f*, tf*) also their mean end-point error.
+    """
     keys = list(keys)
     frames = frame_rmse(df, keys)
     out = frames.groupBy(*keys).agg(
@@ -193,6 +196,8 @@ def sequence_scorecard(
     )
     if boundaries is not None:
         out = out.join(seam_rmse(df, boundaries, keys), keys, "left")
+    if {"fx", "tfx"} <= set(df.columns):
+        out = out.join(flow_epe(df, keys), keys, "left")
     return out
 
 

@@ -236,17 +236,11 @@ ARMS_SQL = """v_arms AS (
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
-    """Directed edges a <- b with a log scale, an RMS and a support count."""
+    """Edges between numbered nodes, from the larger number to the smaller, with a log scale, an RMS and a support count."""
     li = read(spark, sf, "lineitem")
     return (
-        li.select(
-            (F.col("l_suppkey") % 40).alias("reference"),
-            (F.col("l_partkey") % 40).alias("moving"),
-            "l_extendedprice",
-            "l_quantity",
-        )
-        .where("reference < moving")
-        .groupBy("reference", "moving")
+        li.where("l_suppkey <> l_partkey")
+        .groupBy(F.least("l_suppkey", "l_partkey").alias("reference"), F.greatest("l_suppkey", "l_partkey").alias("moving"))
         .agg(
             F.log(F.min("l_extendedprice") / 1000.0).alias("log_scale"),
             F.min("l_quantity").alias("rms"),
@@ -256,9 +250,9 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 EDGES_SQL = """v_edges AS (
-  SELECT l_suppkey % 40 AS reference, l_partkey % 40 AS moving,
+  SELECT least(l_suppkey, l_partkey) AS reference, greatest(l_suppkey, l_partkey) AS moving,
          ln(min(l_extendedprice) / 1000.0) AS log_scale, min(l_quantity) AS rms, count(*) AS n
-  FROM lineitem WHERE l_suppkey % 40 < l_partkey % 40 GROUP BY 1, 2)"""
+  FROM lineitem WHERE l_suppkey <> l_partkey GROUP BY 1, 2)"""
 
 
 # --- tracks ----------------------------------------------------------------------------------

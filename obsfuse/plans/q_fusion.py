@@ -235,18 +235,18 @@ def _(spark, sf):
 
 
 def _methods(spark, sf):
-    """Two methods per cell: uniform and precision style averages of the windows."""
+    """Two methods per cell, from all windows: the average, and the lowest values, which do not hold where they are far off."""
     s = ad.samples(spark, sf).where("valid")
-    key = ["case_id", "frame", "row", "col"]
-    even = s.groupBy(*key).agg(*[F.avg(c).alias(c) for c in "xyz"]).withColumn("method_id", F.lit("mean"))
-    low = s.where("window_id <> 'w3'").groupBy(*key).agg(*[F.min(c).alias(c) for c in "xyz"]).withColumn("method_id", F.lit("low"))
-    return even.unionByName(low).withColumn("valid", F.lit(True))
+    both = s.groupBy("case_id", "frame", "row", "col").agg(*[F.avg(c).alias(f"m{c}") for c in "xyz"], *[F.min(c).alias(f"l{c}") for c in "xyz"])
+    mean = F.struct(F.lit("mean").alias("method_id"), F.lit(True).alias("valid"), *[F.col(f"m{c}").alias(c) for c in "xyz"])
+    low = F.struct(F.lit("low").alias("method_id"), (F.col("lx") - F.col("col") <= 2.5).alias("valid"), *[F.col(f"l{c}").alias(c) for c in "xyz"])
+    return both.select("case_id", "frame", "row", "col", F.inline(F.array(mean, low)))
 
 
 _METH = f"""{SAMPLES_SQL}, {TRUTH_SQL}, m AS (
   SELECT case_id, frame, "row", col, 'mean' AS method_id, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM v_samples WHERE valid GROUP BY 1, 2, 3, 4
   UNION ALL
-  SELECT case_id, frame, "row", col, 'low', min(x), min(y), min(z) FROM v_samples WHERE valid AND window_id <> 'w3' GROUP BY 1, 2, 3, 4),
+  SELECT case_id, frame, "row", col, 'low', min(x), min(y), min(z) FROM v_samples WHERE valid GROUP BY 1, 2, 3, 4 HAVING min(x) - col <= 2.5),
 sup AS (SELECT case_id, frame, "row", col FROM m GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT method_id) = 2),
 common AS (SELECT t.case_id, t.frame, t."row", t.col FROM v_truth t JOIN sup USING (case_id, frame, "row", col) WHERE t.valid),
 j AS (SELECT m.*, t.x AS px, t.y AS py, t.z AS pz FROM m JOIN v_truth t USING (case_id, frame, "row", col)
@@ -274,8 +274,7 @@ def _(spark, sf):
 
 
 def _matched(spark, sf):
-    m, t = _methods(spark, sf), ad.truth(spark, sf)
-    return scores.matched(m, t, joins.common_support(t, m))
+    return joins.common_rows(ad.truth(spark, sf), _methods(spark, sf))
 
 
 _CARD = "rmse:d frame_balanced_rmse:d endpoint_rmse:d drift_slope:d points:long frames:long"
@@ -296,7 +295,7 @@ SELECT * FROM c LEFT JOIN sm USING (case_id, method_id)""",
 )
 def _(spark, sf):
     j = _matched(spark, sf)
-    boundaries = j.where(F.col("frame").isin(3, 5)).select("case_id", "frame").distinct()
+    boundaries = ad.samples(spark, sf).where(F.col("frame").isin(3, 5)).select("case_id", "frame").distinct()
     return scores.sequence_scorecard(j, ["case_id", "method_id"], boundaries)
 
 

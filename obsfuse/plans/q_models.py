@@ -718,13 +718,12 @@ def _(spark, sf):
 @query(
     "persistent_identities",
     "J11",
-    "case_id:str frame:long row:long col:long window_id:str",
-    f"""WITH {SAMPLES_SQL}, k AS (SELECT case_id, frame, "row", col FROM v_samples WHERE window_id IN ('w0', 'w1') GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT window_id) = 2)
-SELECT s.case_id, s.frame, s."row", s.col, s.window_id FROM v_samples s SEMI JOIN k USING (case_id, frame, "row", col) WHERE window_id IN ('w0', 'w1')""",
+    "case_id:str row:long col:long window_id:str frame:long",
+    f"""WITH {SAMPLES_SQL}, k AS (SELECT case_id, "row", col FROM v_samples GROUP BY 1, 2, 3 HAVING count(DISTINCT window_id) = (SELECT count(DISTINCT window_id) FROM v_samples))
+SELECT s.case_id, s."row", s.col, s.window_id, s.frame FROM v_samples s SEMI JOIN k USING (case_id, "row", col)""",
 )
 def _(spark, sf):
-    s = ad.samples(spark, sf).where(F.col("window_id").isin("w0", "w1"))
-    return joins.persistent_identities(s, ["case_id", "frame", "row", "col"], "window_id", [])
+    return joins.persistent_identities(ad.samples(spark, sf), ["case_id", "row", "col"], "window_id", [])
 
 
 # --- streams ---------------------------------------------------------------------------------------
