@@ -84,34 +84,40 @@ def all_edges(samples: DataFrame) -> DataFrame:
     )
 
 
-def common_rows(truth: DataFrame, predictions: DataFrame, values: Sequence[str] = ("x", "y", "z"), keys: Sequence[str] = CELL, flag: str = "valid") -> DataFrame:
+def _with_methods(cells: DataFrame, predictions: DataFrame, case: str, methods: int | None) -> DataFrame:
+    if methods is not None:
+        return cells.withColumn("__methods", F.lit(methods))
+    roster = durable(predictions.groupBy(case).agg(F.countDistinct("method_id").alias("__methods")))
+    return cells.join(maybe_broadcast(roster), case)
+
+
+def common_rows(truth: DataFrame, predictions: DataFrame, values: Sequence[str] = ("x", "y", "z"), keys: Sequence[str] = CELL, flag: str = "valid", methods: int | None = None) -> DataFrame:
     """Prediction rows with their truth ``t*`` on the cells that are valid in the truth and in every method of the case.
 
     Truth and predictions meet in one aggregation by cell, which collects the few methods of a cell; the number of
-    methods of a case is counted from all its rows, valid or not, and joined as a small table.
+    methods of a case is counted from all its rows, valid or not, and joined as a small table, unless ``methods`` states
+    that each case has so many.
     """
     keys = list(keys)
-    roster = durable(predictions.groupBy(keys[0]).agg(F.countDistinct("method_id").alias("__methods")))
     row = F.struct("method_id", *values)
     none = F.lit(None).cast(predictions.select(row.alias("r")).schema["r"].dataType)
     p = predictions.where(flag).select(*keys, row.alias("__p"), *[F.lit(None).cast("double").alias(f"t{v}") for v in values], F.lit(False).alias("__t"))
     t = truth.where(flag).select(*keys, none.alias("__p"), *[F.col(v).cast("double").alias(f"t{v}") for v in values], F.lit(True).alias("__t"))
     cells = p.unionByName(t).groupBy(*keys).agg(F.collect_list("__p").alias("__rows"), *[F.max(f"t{v}").alias(f"t{v}") for v in values], F.bool_or("__t").alias("__t"))
-    cells = cells.where("__t").join(maybe_broadcast(roster), keys[0])
+    cells = _with_methods(cells.where("__t"), predictions, keys[0], methods)
     full = cells.where(F.size(F.array_distinct(F.transform("__rows", lambda r: r["method_id"]))) == F.col("__methods"))
     return full.select(*keys, F.inline("__rows"), *[f"t{v}" for v in values])
 
 
 def common_support(
-    truth: DataFrame, predictions: DataFrame, keys: Sequence[str] = CELL, flag: str = "valid"
+    truth: DataFrame, predictions: DataFrame, keys: Sequence[str] = CELL, flag: str = "valid", methods: int | None = None
 ) -> DataFrame:
     """Cells valid in the truth and in every registered method of the case; one aggregation instead of an N-way join."""
     keys = list(keys)
-    roster = durable(predictions.groupBy(keys[0]).agg(F.countDistinct("method_id").alias("__methods")))
     p = predictions.where(flag).select(*keys, "method_id")
     t = truth.where(flag).select(*keys, F.lit(None).cast("string").alias("method_id"))
     cells = p.unionByName(t).groupBy(*keys).agg(F.collect_set("method_id").alias("__m"), F.bool_or(F.col("method_id").isNull()).alias("__t"))
-    cells = cells.where("__t").join(maybe_broadcast(roster), keys[0])
+    cells = _with_methods(cells.where("__t"), predictions, keys[0], methods)
     return cells.where(F.size("__m") == F.col("__methods")).select(*keys)
 
 

@@ -68,23 +68,36 @@ EST_SQL = """v_est AS (
 def samples(spark: SparkSession, sf: str) -> DataFrame:
     """Overlapping windows over a (frame, row, col) grid, one similarity per window."""
     k = F.col("l_orderkey")
+    # numbers as keys and in the aggregates, so that rows are hashed and not sorted
+    flag = F.when(F.col("l_returnflag") > "N", 2).when(F.col("l_returnflag") == "N", 1).otherwise(0)
     g = (
         read(spark, sf, "lineitem")
         .groupBy(
-            F.concat(F.lit("c"), F.floor(k / CASE_SPAN).cast("string")).alias("case_id"),
-            F.concat(F.lit("w"), (F.col("l_suppkey") % 4).cast("string")).alias("window_id"),
+            k.alias("k"),
+            (F.col("l_suppkey") % 4).alias("window"),
             F.col("l_linenumber").cast("bigint").alias("frame"),
-            F.floor((k % CASE_SPAN) / CASE_COLS).cast("int").alias("row"),
-            (k % CASE_COLS).cast("int").alias("col"),
         )
         .agg(
             F.min("l_quantity").alias("q"),
             F.min("l_discount").alias("s"),
             F.min("l_tax").alias("t"),
-            F.max("l_returnflag").alias("f"),
+            F.max(flag).alias("f"),
         )
     )
-    w = F.substring("window_id", 2, 1).cast("double")
+    k = F.col("k")
+    g = g.select(
+        F.concat(F.lit("c"), F.floor(k / CASE_SPAN).cast("string")).alias("case_id"),
+        F.concat(F.lit("w"), F.col("window").cast("string")).alias("window_id"),
+        "frame",
+        F.floor((k % CASE_SPAN) / CASE_COLS).cast("int").alias("row"),
+        (k % CASE_COLS).cast("int").alias("col"),
+        F.col("window").cast("double").alias("w"),
+        "q",
+        "s",
+        "t",
+        "f",
+    )
+    w = F.col("w")
     k_ = _d(1) + w * 0.1
     return g.select(
         "case_id",
@@ -95,7 +108,7 @@ def samples(spark: SparkSession, sf: str) -> DataFrame:
         (k_ * F.col("col") + w + F.col("q") / 47.0).alias("x"),
         (k_ * F.col("row") - w + F.col("s") * 31.0 / 7.0).alias("y"),
         (k_ * (_d(10) + F.col("frame") * 2.0) + F.col("t") * 29.0 / 7.0).alias("z"),
-        (F.col("f") != "N").alias("valid"),
+        (F.col("f") != 1).alias("valid"),
     )
 
 

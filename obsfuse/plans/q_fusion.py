@@ -256,7 +256,7 @@ e AS (SELECT *, (x - px) ** 2 + (y - py) ** 2 + (z - pz) ** 2 AS sq FROM j)"""
 
 @query("common_support", "J4", "case_id:str frame:long row:long col:long", f"WITH {_METH} SELECT * FROM common")
 def _(spark, sf):
-    return joins.common_support(ad.truth(spark, sf), _methods(spark, sf))
+    return joins.common_support(ad.truth(spark, sf), _methods(spark, sf), methods=2)
 
 
 @query(
@@ -270,11 +270,11 @@ SELECT *, common_rows / native_rows AS retention FROM nat JOIN com USING (case_i
 )
 def _(spark, sf):
     m, t = _methods(spark, sf), ad.truth(spark, sf)
-    return joins.support_retention(t, m, joins.common_support(t, m))
+    return joins.support_retention(t, m, joins.common_support(t, m, methods=2))
 
 
 def _matched(spark, sf):
-    return joins.common_rows(ad.truth(spark, sf), _methods(spark, sf))
+    return joins.common_rows(ad.truth(spark, sf), _methods(spark, sf), methods=2)
 
 
 _CARD = "rmse:d frame_balanced_rmse:d endpoint_rmse:d drift_slope:d points:long frames:long"
