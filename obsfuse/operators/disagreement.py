@@ -315,9 +315,9 @@ def flow_displacement(samples: DataFrame, keys: Sequence[str] = ("case_id", "win
     disp, flow = v3.sub(v3.vec("n"), v3.vec()), v3.vec("f")
     nd, nf = v3.norm(disp), v3.norm(flow)  # type: ignore[arg-type]
     gap = v3.norm(v3.sub(disp, flow))  # type: ignore[arg-type]
-    both = nd + nf
-    rel = F.when(both > 0, gap / both).otherwise(F.lit(0.0))
-    cos = F.when((nd > 0) & (nf > 0), v3.dot(disp, flow) / (nd * nf)).otherwise(F.lit(1.0))  # type: ignore[arg-type]
+    both, eps = nd + nf, F.lit(2.220446049250313e-16)
+    rel = F.when(both > eps, gap / both).otherwise(F.lit(0.0))
+    cos = F.when((nd > eps) & (nf > eps), v3.dot(disp, flow) / (nd * nf)).otherwise(F.lit(1.0))  # type: ignore[arg-type]
     cos = F.least(F.greatest(cos, F.lit(-1.0)), F.lit(1.0))
     return j.select(
         *cell, rel.alias("relative_gap"), (F.lit(0.5) * (1 - cos)).alias("angular_gap"), F.log1p(rel).alias("log_gap")
