@@ -6,9 +6,11 @@ The join is exact (up to collisions of 64-bit hashes) and runs in these steps:
 2. two sets of similarity s or more share all but a part (1 - s) of each other's tokens, so
    a class with more than that many tokens that no other class has is without partner. Tokens
    are counted on a fixed share of the hash range, which is enough to see that;
-3. the classes left over are put into blocks by their smallest hash, under three orders one after
-   the other, and each block that still has several components is joined by a signature tree
-   (`signature_tree.py`);
+3. the classes left over are put into blocks by their smallest hash and size, under three orders one
+   after the other, and each block that still has several components is joined by a signature tree
+   (`signature_tree.py`). A class is in one block of an order. Bounds of sizes, and the cuts of blocks
+   that are too large for one tree, lie elsewhere in every order, so what one order parts, the next
+   one brings together; this step need not be complete;
 4. with the components of step 3, blocks are formed again by the tokens of each class's prefix
    (rarest first: linked classes have a common one), those with a single component go, and trees
    over the bitmaps alone list the pairs in different components that may be similar; these are
@@ -31,9 +33,9 @@ from pyspark.sql import functions as F
 from obsfuse.llm.components import components
 from obsfuse.llm.shingles import shingle_sets
 from obsfuse.llm.signature_tree import Groups, bitmap, bitmap_bits, similar, tree_candidates, tree_links
-from obsfuse.llm.store import kept, likely, long_list, mixed, split_likely, texts, utf8
+from obsfuse.llm.store import forgotten, kept, likely, long_list, mixed, split_likely, texts, utf8
 
-#: Tokens that one tree may hold; larger blocks are cut and their cuts meet in pairs.
+#: Tokens that one tree may hold; larger blocks are cut.
 BLOCK_TOKENS = 2_000_000
 #: Rows of a group of blocks that are not cut.
 BUCKET_ROWS = 4096
@@ -87,7 +89,7 @@ def near_duplicates(
                 low = s & _LOW
                 low = low[low < limit]
                 token.append(low)
-                owner.append(np.full(len(low), set_key(s) & int(_LOW), np.int64))
+                owner.append(np.full(len(low), set_key(s), np.int64))
                 if len(token) == 256:
                     yield _pairs(token, owner)
                     token, owner = [], []
@@ -112,8 +114,7 @@ def near_duplicates(
     )
     own = counts.where("owner IS NOT NULL").select("owner", "own")
     left = (
-        classes.withColumn("owner", F.col("key").bitwiseAND(F.lit(low)))
-        .join(own, "owner", "left")
+        classes.join(own.withColumnRenamed("owner", "key"), "key", "left")
         .select("doc_id", "n", "key", F.coalesce("own", F.lit(0)).alias("own"))
         .where(f"own < {spare}")
     )
@@ -141,8 +142,10 @@ def near_duplicates(
         if known is not None:
             narrow = narrow.join(known.withColumnRenamed("node", "key"), "key", "left")
         root = F.lit(None) if known is None else F.col("root")
-        found = kept(_block_links(narrow.withColumn("root", F.coalesce(root, "key")), members, num, den))
-        links = found if links is None else kept(links.union(found))
+        dealt = _dealt_once(narrow.withColumn("root", F.coalesce(root, "key")), num, den, k)
+        found = kept(_block_links(dealt, members, num, den))
+        older, links = links, found if links is None else kept(links.union(found))
+        forgotten(dealt, older)
         known = components(links)
 
     # step 4: blocks by the prefix tokens, for what step 3 has not connected
@@ -172,6 +175,7 @@ def near_duplicates(
     posted = members.select("key", "map").join(prefix.select("key", F.slice("posts", 1, 8).alias("posts")), "key")
     near = kept(_block_candidates(dealt.join(kinds, "block"), posted, num, den))
     more = kept(_verified(near, members, num, den))
+    forgotten(near, prefix, counts)
     roots = known if more.isEmpty() else components(links.union(more))
 
     named = classes.join(roots.withColumnRenamed("node", "key"), "key", "left")
@@ -225,6 +229,25 @@ def _dealt(narrow: DataFrame, num: int, den: int) -> DataFrame:
     return dealt.withColumn("bucket", F.when(F.col("cuts") == 1, F.pmod(mark, F.lit(buckets))).otherwise(mark)).drop("cuts")
 
 
+def _dealt_once(narrow: DataFrame, num: int, den: int, order: int) -> DataFrame:
+    """``narrow(block, key, n, root)`` by block, two size steps and one cut; blocks of one root go.
+
+    A range of sizes is two steps wide and begins a third of that later in each order, so sizes of one
+    step are within one range of some order.
+    """
+    step = F.lit(0)
+    if num < den:
+        step = F.floor(F.log(F.col("n").cast("double")) / F.lit(2 * float(np.log(den / num))) + F.lit(order / len(_SEEDS)))
+    rows = narrow.select("block", "key", "n", "root", step.alias("step"))
+    whole = rows.groupBy("block", "step").agg(F.sum("n").alias("total"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    whole = whole.where("lo <> hi").select("block", "step", F.ceil(F.col("total") / BLOCK_TOKENS).cast("int").alias("cuts"))
+    cut = F.pmod(F.xxhash64("key", F.lit(order)), F.col("cuts")).cast("int")
+    dealt = kept(rows.join(whole, ["block", "step"]).select("block", "step", "cuts", cut.alias("i"), F.lit(0).alias("j"), "key", "n", "root"))
+    buckets = dealt.count() // BUCKET_ROWS + 1
+    mark = F.xxhash64("block", "step")
+    return dealt.withColumn("bucket", F.when(F.col("cuts") == 1, F.pmod(mark, F.lit(buckets))).otherwise(mark)).drop("cuts")
+
+
 def _needed(members: DataFrame, dealt: DataFrame, columns: list[str]) -> DataFrame:
     """The members whose key may be in ``dealt``; the others' tokens are not shuffled."""
     return likely(members, dealt, "key").where("__likely").select("key", *columns)
@@ -252,8 +275,8 @@ def _star(keys: np.ndarray, pairs: list[tuple[int, int]]) -> list[tuple[int, int
     return [(int(keys[ends[r]]), int(keys[e])) for r, e in zip(roots.tolist(), ends.tolist(), strict=True) if ends[r] != e]
 
 
-def _block_links(narrow: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
-    """Links ``(a, b)`` that connect all similar sets of each block; at most one for a member."""
+def _block_links(dealt: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
+    """Links ``(a, b)`` that connect all similar sets of each cut of a block; at most one for a member."""
 
     def linked(part: pd.DataFrame) -> pd.DataFrame:
         sets = [np.asarray(t, np.int64).view(np.uint64) for t in part["tokens"]]
@@ -262,7 +285,6 @@ def _block_links(narrow: DataFrame, members: DataFrame, num: int, den: int) -> D
             found += _star(keys[rows], tree_links([sets[r] for r in rows], roots[rows], num, den))
         return pd.DataFrame({"a": [x for x, _ in found], "b": [x for _, x in found]}, dtype="int64")
 
-    dealt = _dealt(narrow, num, den)
     return dealt.join(_needed(members, dealt, ["tokens"]), "key").groupBy(*_GROUP).applyInPandas(linked, "a bigint, b bigint")
 
 

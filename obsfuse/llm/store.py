@@ -28,6 +28,15 @@ def kept(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forgotten(*tables: DataFrame | None) -> None:
+    """Delete tables that `kept` has written and that nothing reads any more."""
+    for table in tables:
+        for path in {file.rsplit("/", 1)[0] for file in (table.inputFiles() if table is not None else [])}:
+            if "/kept-" in path:
+                where = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, text)`` only, a null text as the empty one; every other column is left behind."""
     return docs.select(

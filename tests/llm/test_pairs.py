@@ -134,3 +134,32 @@ def test_lines_equal_brute_force(spark, least):
             assert r.text is None and r.n_lines is None and r.n_removed is None
         else:
             assert (r.text, r.n_lines, r.n_removed) == want[r.doc_id, text[r.doc_id]]
+
+
+def test_owners_are_whole_keys(spark, monkeypatch):
+    """Classes whose keys agree in their low bits are still told apart when tokens are counted."""
+    plain = jaccard_join.set_key
+    monkeypatch.setattr(jaccard_join, "set_key", lambda tokens: (plain(tokens) & ~((1 << 48) - 1)) | (plain(tokens) & 3))
+    data = rows()
+    got = jaccard_join.near_duplicates(spark.createDataFrame(data, SCHEMA)).collect()
+    want = brute_components(data)
+    assert all((r.n_shingles, r.component_id) == want[r.doc_id] for r in got if r.doc_id is not None)
+
+
+def test_blocks_of_many_cuts(spark, monkeypatch):
+    """Groups of copies that lie in many cuts, each smaller than the group, come out whole."""
+    import random
+
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    data = []
+    for i in range(60):
+        words = list(base)
+        for _ in range(i % 3):
+            words[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        data.append((i, " ".join(words), "en", "s", 1, 0.5, "own"))
+    data += [(100 + i, " ".join(base[: 60 + i * 5]), "en", "s", 1, 0.5, "own") for i in range(13)]  # sizes over several steps
+    monkeypatch.setattr(jaccard_join, "BLOCK_TOKENS", 700)
+    got = jaccard_join.near_duplicates(spark.createDataFrame(data, SCHEMA)).collect()
+    want = brute_components(data)
+    assert all((r.n_shingles, r.component_id) == want[r.doc_id] for r in got)
