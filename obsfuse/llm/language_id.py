@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from obsfuse.llm.store import kept, slices, texts, utf8
+from obsfuse.runtime import maybe_broadcast
 
 #: Texts of no known language.
 UNKNOWN = "und"
@@ -174,9 +175,9 @@ def fit_languages(
     rows = rows.where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
     # about twice as many as wanted by a bound on the hash, then exactly the smallest ones
     keyed = rows.select("doc_id", "lang", F.xxhash64("doc_id", F.lit("sample")).alias("h"))
-    size = keyed.groupBy("lang").agg(F.count("*").alias("n"))
+    size = kept(keyed.groupBy("lang").agg(F.count("*").alias("n")))
     share = (F.col("h") / F.lit(2.0**64) + 0.5) * F.col("n") <= 2 * sample + 64
-    near = keyed.join(size, "lang").where(share)
+    near = keyed.join(maybe_broadcast(size), "lang").where(share)  # one row for each language, so few rows are dealt by it
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
     chosen = kept(near.withColumn("place", place).where(F.col("place") <= sample).select("doc_id").distinct())
     languages = sorted(r["lang"] for r in size.select("lang").collect())  # one row for each language
