@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from obsfuse.operators.ranking import subsample
-from obsfuse.runtime import attach, durable, maybe_broadcast, within_limit
+from obsfuse.runtime import attach, durable, maybe_broadcast, violations, within_limit
 
 CELL = ["case_id", "frame", "row", "col"]
 
