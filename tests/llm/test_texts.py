@@ -148,6 +148,42 @@ def test_pii_keeps_base_spans_and_adds_likely_ones(spark, docs, data):
     assert pii.find_pii(docs.limit(0), pii.fit_finder(docs.limit(0))).count() == 0
 
 
+def test_pii_adds_written_forms_and_leaves_codes(spark):
+    rng = random.Random(16)
+    train = []
+    for i in range(600):
+        address = f"{rng.choice(words(rng, 3))}.{rng.randrange(90)}@{rng.choice(['mail.', ''])}example.{rng.choice(['org', 'net'])}"
+        phone = f"+{rng.randrange(1, 99)} ({rng.randrange(100, 999)}) 555-{rng.randrange(1000, 9999)}"
+        noise = rng.choice([f"AB-{rng.randrange(1000, 9999)}-{rng.randrange(10**4, 10**5)}", str(rng.randrange(10**15, 10**16)), f"x{rng.randrange(10**8)}y"])
+        train.append((i, " ".join([*words(rng, 4), rng.choice([address, phone]), *words(rng, 3), noise, "end"]), "en", "s", 1, 0.0, ""))
+    table = spark.createDataFrame(train, SCHEMA)
+    finder = pii.fit_finder(table.union(table))  # repeated rows count once
+    assert finder.threshold == pii.fit_finder(table).threshold
+
+    def added(text: str) -> str:
+        return pii.joined(finder.added([text], [pii.base_spans(text)])[0])
+
+    assert added("mail jane.doe (at) example (dot) org now") == "email:5:36"
+    assert added("to jane [at] mail.example.org. Next day") == "email:3:29"
+    assert added("call 487 555 7209 today") == "phone:5:17"
+    assert added("the (487) 555-7209 one") == "phone:4:18"
+    for clean in ("order AB-4411-20871 shipped", "at 2021-03-04 12:30 then", "x 4111 1111 1111 1112 y", "meet (at) home. Then", "1998 2003", "", "no 999.1.2.3.4 x"):
+        assert added(clean) == "", clean
+    long = "call 487 555 7209 and a@b.org or +1 (487) 555-7209; " * 4000
+    (r,) = pii.find_pii(spark.createDataFrame([(1, long)], "doc_id long, text string"), finder).collect()
+    assert len(r.base) == 8000 and len(r.spans) == 12000
+    assert r.redacted == "call [PHONE] and [EMAIL] or [PHONE]; " * 4000
+
+
+def test_calibrated_threshold():
+    s, y, w = np.array([0.1, 0.2, 0.3, 0.6, 0.7, 0.8, 0.8]), np.array([0, 1, 0, 0, 1, 1, 1.0]), np.ones(7)
+    at = pii.calibrated_threshold(s, y, w * 9, 0.9)
+    assert 0.6 < at < 0.7
+    assert pii.calibrated_threshold(s, y, w, 0.9) == 2.0  # three examples prove too little
+    assert pii.calibrated_threshold(s[:0], y[:0], w[:0], 0.9) == 2.0
+    assert pii.calibrated_threshold(s, y * 0, w, 0.9) == 2.0
+
+
 def test_boosted_trees_learn_an_interaction():
     rng = np.random.default_rng(1)
     x = rng.random((3000, 4))
