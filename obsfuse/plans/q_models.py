@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from obsfuse.functions import sim3
 from obsfuse.functions import vec3 as v3
-from obsfuse.operators import align, fusion, gauges, gaussian, identity, joins, regress, support, tracks, transport
+from obsfuse.operators import align, fusion, gauge_trees, gauges, gaussian, identity, joins, regress, support, tracks, transport
 from obsfuse.operators import disagreement as dis
 from obsfuse.operators import project as pr
 from obsfuse.plans import adapters as ad
@@ -240,7 +240,66 @@ def _(spark, sf):
 
 @query("gauge_tree", "G2 T2", "case_id:str window_id:str parent_id:str scale:d tx:d")
 def _(spark, sf):
-    return gauges.joint_tree(_edges(spark, sf)[2])
+    return gauge_trees.tree_gauges(_edges(spark, sf)[2])
+
+
+_TREE = f"""{EDGES_SQL}, e AS (SELECT *, exp(log_scale / 50) AS s, rms / 100.0 AS t, n * 1e-4 AS vs, (1 + n % 3) * 1e-3 AS vt FROM v_edges),
+par AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY moving ORDER BY n DESC, rms, reference) AS k FROM e) WHERE k = 1),
+node AS (SELECT reference AS w FROM e UNION SELECT moving FROM e),
+g(w, parent, root, depth, s, t) AS (SELECT w, CAST(NULL AS BIGINT), w, 0, CAST(1 AS DOUBLE), CAST(0 AS DOUBLE) FROM node WHERE w NOT IN (SELECT moving FROM par)
+  UNION ALL SELECT p.moving, p.reference, g.root, g.depth + 1, g.s * p.s, g.s * p.t + g.t FROM par p JOIN g ON p.reference = g.w),
+a(w, e, up) AS (SELECT w, w, 0 FROM node UNION ALL SELECT a.w, p.reference, a.up + 1 FROM a JOIN par p ON p.moving = a.e)"""
+
+
+def _number_edges(spark, sf):
+    """The numbered graph as fitted edges: a scale, a shift along x, and a diagonal covariance."""
+    e = ad.edges(spark, sf)
+    turn = {c: F.lit(1.0 if c in {"r11", "r22", "r33"} else 0.0) for c in sim3.ROT}
+    sizes = [F.col("n") * 1e-4, *[F.lit(1e-4)] * 3, *[(1 + F.col("n") % 3) * 1e-3] * 3]
+    cov = F.array(*[sizes[i] if i == j else F.lit(0.0) for i in range(7) for j in range(7)])
+    return e.select(
+        F.lit("all").alias("case_id"), F.col("reference").alias("reference_id"), F.col("moving").alias("moving_id"), F.col("reference").alias("reference_position"),
+        F.col("moving").alias("moving_position"), F.lit("ok").alias("status"), "n", "rms", F.exp(F.col("log_scale") / 50).alias("scale"),
+        *[v.alias(c) for c, v in turn.items()], (F.col("rms") / 100.0).cast("double").alias("tx"), F.lit(0.0).alias("ty"), F.lit(0.0).alias("tz"), cov.alias("cov"),
+    )
+
+
+@query(
+    "tree_composition", "G2 T2", "window_id:long parent_id:long root_id:long depth:long scale:d tx:d status:str",
+    f"""WITH RECURSIVE {_TREE} SELECT w AS window_id, parent AS parent_id, root AS root_id, depth, s AS scale, t AS tx,
+CASE WHEN root = (SELECT min(w) FROM node) THEN 'ok' WHEN depth = 0 THEN 'no-causal-overlap' ELSE 'detached' END AS status FROM g""",
+)
+def _(spark, sf):
+    return gauge_trees.tree_gauges(_number_edges(spark, sf))
+
+
+@query(
+    "tree_covariances", "G2 F6", "window_id:long steps:long scale_variance:d8 x_variance:d8",
+    f"""WITH RECURSIVE {_TREE} SELECT i.w AS window_id, max(a.up) AS steps, sum(CASE WHEN p.moving IS NULL THEN 1e-10 ELSE p.vs END) AS scale_variance,
+sum(CASE WHEN p.moving IS NULL THEN 1e-10 * (1 + i.t * i.t) ELSE (i.t - o.t) * (i.t - o.t) * p.vs + u.s * u.s * p.vt END) AS x_variance
+FROM a JOIN g i ON i.w = a.w JOIN g o ON o.w = a.e LEFT JOIN par p ON p.moving = a.e LEFT JOIN g u ON u.w = p.reference GROUP BY i.w""",
+)
+def _(spark, sf):
+    tree = gauge_trees.tree_gauges(_number_edges(spark, sf))
+    solved = gauge_trees.tree_covariances(tree, gauge_trees.ancestors(tree))
+    return solved.select("window_id", F.col("depth").alias("steps"), F.col("cov")[0].alias("scale_variance"), F.col("cov")[32].alias("x_variance"))
+
+
+@query(
+    "tree_blocks", "G2 G8 A41", "window_i:long window_j:long scale_covariance:d8 x_covariance:d8",
+    f"""WITH RECURSIVE {_TREE} SELECT v.reference AS window_i, v.moving AS window_j, sum(CASE WHEN p.moving IS NULL THEN 1e-10 ELSE p.vs END) AS scale_covariance,
+sum(CASE WHEN p.moving IS NULL THEN 1e-10 * (1 + i.t * j.t) ELSE (i.t - o.t) * (j.t - o.t) * p.vs + u.s * u.s * p.vt END) AS x_covariance
+FROM v_edges v JOIN g i ON i.w = v.reference JOIN g j ON j.w = v.moving JOIN a ON a.w = v.reference JOIN a b ON b.w = v.moving AND b.e = a.e
+JOIN g o ON o.w = a.e LEFT JOIN par p ON p.moving = a.e LEFT JOIN g u ON u.w = p.reference GROUP BY v.reference, v.moving""",
+)
+def _(spark, sf):
+    edges = _number_edges(spark, sf)
+    tree = gauge_trees.tree_gauges(edges)
+    paths = gauge_trees.ancestors(tree)
+    solved = durable(gauge_trees.tree_covariances(tree, paths))
+    pairs = edges.select("case_id", F.col("reference_id").alias("window_i"), F.col("moving_id").alias("window_j"))
+    b = gauge_trees.tree_blocks(solved, paths, pairs)
+    return b.select("window_i", "window_j", F.col("block")[0].alias("scale_covariance"), F.col("block")[32].alias("x_covariance"))
 
 
 @query("gauge_graph", "G4", "case_id:str window_id:str scale:d tx:d")
