@@ -10,10 +10,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from obsfuse.operators import ranking as rk
+from obsfuse.runtime import attach, durable
 
 #: normal-consistency factors of the MAD and the inter-quartile range; fixed values.
 MAD_SCALE, IQR_SCALE = 1.4826022185056018, 1.3489795003921634
 
+#: most centres of `source_cells` (bounds the broadcast), and the room left for rounding in distance bounds.
+CENTRES, SLACK = 4096, 1e-9
+
 
 def unit_embeddings(rows: DataFrame, size: int, levels: Sequence[float] = (0.1, 0.5, 0.9), unit: str = "unit_id") -> DataFrame:
     """Per unit: exact quantile levels of every feature, feature-major, plus row count."""
@@ -44,29 +48,70 @@ def robust_scale(embeddings: DataFrame, absolute_floor: float = 1e-6, relative_f
     return p.select(F.col("p.c").alias("center"), F.col("p.s").alias("scale"), F.col("p.lo").alias("lo"), F.col("p.hi").alias("hi"))
 
 
+def _distance(a: Column, b: Column, scale: Column) -> Column:
+    z = F.zip_with(F.zip_with(a, b, lambda x, y: x - y), scale, lambda d, s: d / s)
+    return F.sqrt(F.aggregate(z, F.lit(0.0), lambda acc, v: acc + v * v) / F.size(a))
+
+
+def source_cells(sources: DataFrame, scale: DataFrame, block: int = 2048) -> tuple[DataFrame, DataFrame]:
+    """Sources around centres: (one row of cells with centre, radius, size and parts; sources packed by cell and part).
+
+    Centres are the sources with the smallest hash, at most ``CENTRES`` of them.  A cell of many sources (near
+    or equal ones) has several parts, so no packed array holds much more than ``block`` units.
+    """
+    cells = min(CENTRES, max(1, math.ceil(sources.count() / block)))
+    chosen = sources.orderBy(F.xxhash64("unit_id"), "unit_id").limit(cells)
+    centres = chosen.agg(F.array_sort(F.collect_list(F.struct("unit_id", F.col("embedding").alias("centre")))).alias("__p"))
+    centres = centres.crossJoin(scale.select(F.col("scale").alias("__scale")))  # two one-row tables
+    away = F.transform("__p", lambda p: _distance(F.col("embedding"), p["centre"], F.col("__scale")))
+    homes = durable(
+        sources.crossJoin(F.broadcast(centres)).withColumn("__away", away)
+        .select("unit_id", "embedding", F.array_min("__away").alias("__d"), (F.array_position("__away", F.array_min("__away")) - 1).alias("__b"))
+    )
+    sizes = homes.groupBy("__b").agg(F.max("__d").alias("radius"), F.count(F.lit(1)).alias("n"))
+    table = sizes.crossJoin(F.broadcast(centres)).select(
+        F.struct("__b", F.col("__p")[F.col("__b").cast("int")]["centre"].alias("centre"), "radius", "n", F.ceil(F.col("n") / block).alias("parts")).alias("c"), "__scale"
+    )
+    table = table.groupBy().agg(F.array_sort(F.collect_list("c")).alias("__cells"), F.first("__scale").alias("__scale"))  # at most CENTRES entries
+    parts = sizes.select("__b", F.ceil(F.col("n") / block).alias("parts"))
+    packed = homes.join(F.broadcast(parts), "__b")  # at most CENTRES rows
+    packed = packed.withColumn("__part", F.pmod(F.xxhash64("unit_id", F.lit("part")), F.col("parts")))
+    return table, packed.groupBy("__b", "__part").agg(F.collect_list(F.struct("unit_id", "embedding")).alias("__s"))
+
+
+def cell_visits(targets: DataFrame, table: DataFrame, k: int) -> DataFrame:
+    """A row per target and cell part that may hold one of its ``k`` nearest sources.
+
+    The k-th distance is at most the bound at which cells, nearest far side first, hold ``k`` sources; a
+    cell whose near side lies beyond it is not visited.
+    """
+    t = targets.crossJoin(F.broadcast(table))
+    near = F.transform(
+        "__cells",
+        lambda c: F.struct((_distance(F.col("embedding"), c["centre"], F.col("__scale")) + c["radius"]).alias("far"), c["n"].alias("n"), c["__b"].alias("__b"), c["radius"].alias("radius"), c["parts"].alias("parts")),
+    )
+    t = t.withColumn("__near", F.array_sort(near))
+    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("far"))
+    bound = F.aggregate("__near", start, lambda a, c: F.when(a["n"] >= k, a).otherwise(F.struct((a["n"] + c["n"]).alias("n"), c["far"].alias("far"))))
+    t = t.withColumn("__bound", bound["far"] * (1 + SLACK) + SLACK)
+    t = t.select(*targets.columns, "__scale", F.explode(F.filter("__near", lambda c: c["far"] - 2 * c["radius"] <= F.col("__bound"))).alias("c"))
+    return t.select(*targets.columns, "__scale", F.col("c.__b").alias("__b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("c.parts") - 1)).alias("__part"))
+
+
 def nearest_units(
     targets: DataFrame, sources: DataFrame, scale: DataFrame, k: int, exclude_self: bool = False, block: int = 2048
 ) -> DataFrame:
     """k nearest source units per target by RMS standardised distance, ties by id.
 
-    Sources are packed into blocks of about ``block`` units; a target visits every block,
-    keeps the block's k best, and a final top-k merges the blocks.  Exact for any number
-    of sources; no target-source pair is ever a row.
+    Sources lie in cells around centres (`source_cells`); a target visits the cells that the triangle
+    inequality leaves (`cell_visits`), keeps the k best of each part, and a final top-k merges
+    them.  Exact for any number of sources; no target-source pair is ever a row.
     """
-    n = sources.count()
-    blocks = max(1, math.ceil(n / block))
-    packed = sources.groupBy(F.pmod(F.xxhash64("unit_id"), F.lit(blocks)).alias("__b")).agg(
-        F.collect_list(F.struct("unit_id", "embedding")).alias("__s")
+    table, packed = source_cells(sources, scale, block)
+    j = attach(cell_visits(targets, table, k + int(exclude_self)), packed, ["__b", "__part"], "inner", salt=8, salt_by=["unit_id"])
+    pairs = F.transform(
+        F.col("__s"), lambda s: F.struct(_distance(s["embedding"], F.col("embedding"), F.col("__scale")).alias("distance"), s["unit_id"].alias("source_id"))
     )
-    t = targets.crossJoin(F.broadcast(scale.select(F.col("scale").alias("__scale"))))
-    t = t.withColumn("__b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-    j = t.join(packed, "__b")
-
-    def distance(e: Column) -> Column:
-        z = F.zip_with(F.zip_with(e, F.col("embedding"), lambda a, b: a - b), F.col("__scale"), lambda d, s: d / s)
-        return F.sqrt(F.aggregate(z, F.lit(0.0), lambda acc, v: acc + v * v) / F.size("embedding"))
-
-    pairs = F.transform(F.col("__s"), lambda s: F.struct(distance(s["embedding"]).alias("distance"), s["unit_id"].alias("source_id")))
     if exclude_self:
         pairs = F.filter(pairs, lambda p: p["source_id"] != F.col("unit_id"))
     best = j.select("unit_id", F.explode(F.slice(F.array_sort(pairs), 1, k)).alias("p")).select(
@@ -89,13 +134,14 @@ def evaluate_transport(targets: DataFrame, model: dict[str, DataFrame], k: int,
     """Per target: score, p-value (1 + #source >= score)/(M + 1), support, feature distances."""
     near = nearest_units(targets, model["sources"], model["scale"], k)
     score = near.groupBy("unit_id").agg(F.avg("distance").alias("score"))
-    # one sorted array of source scores; a unit count, not a row count
-    ranked = model["scores"].agg(F.array_sort(F.collect_list("score")).alias("__scores"))
-    j = score.crossJoin(F.broadcast(ranked)).crossJoin(F.broadcast(model["threshold"].select("threshold")))
-    above = F.size(F.filter("__scores", lambda s: s >= F.col("score")))
+    # sources at or above a score, from running counts over the distinct scores of both sides
+    both = model["scores"].select("score", F.lit(1).alias("m")).unionByName(score.select("score", F.lit(0).alias("m")))
+    ranked = rk.with_running(both.groupBy("score").agg(F.sum("m").alias("m")), [], ["score"], {"cum": F.col("m")})
+    ranked = ranked.select("score", (F.col("cum_total") - F.col("cum") + F.col("m")).alias("__above"), F.col("cum_total").alias("__all"))
+    j = attach(score, ranked, ["score"], "inner", salt_by=["unit_id"]).crossJoin(F.broadcast(model["threshold"].select("threshold")))
     j = j.select(
         "unit_id", "score", "threshold",
-        ((1 + above) / (F.size("__scores") + 1)).alias("p_value"),
+        ((1 + F.col("__above")) / (F.col("__all") + 1)).alias("p_value"),
         (F.col("score") <= F.col("threshold")).alias("supported"),
     )
     t = targets.select("unit_id", F.col("embedding").alias("te"), "rows")
