@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import math
 import operator
 from collections.abc import Mapping, Sequence
 
@@ -165,22 +166,31 @@ def paired_arms(
     return good, bad
 
 
+#: values of a dimension that `roster_completeness` packs into one array.
+ROSTER_BLOCK = 4096
+
+
 def roster_completeness(actual: DataFrame, dims: Sequence[Sequence[str]]) -> DataFrame:
     """Missing and duplicated key combinations of a rectangular table.
 
     ``dims`` are column groups, e.g. ``[["group_id", "case_id"], ["arm_id"]]``.  The
-    expected roster is the product of the distinct values of each group; all but the
-    first group are short lists (arms, candidates, seeds) attached as one array, so
-    the plan has no product join over large sides.
+    expected roster is the product of the distinct values of each group.  Only values
+    of the first group that lack a combination are expanded; the other groups are
+    attached as arrays of about ``ROSTER_BLOCK`` values, by a salted join on the block.
     """
     first, *rest = [list(d) for d in dims]
     keys = first + [c for d in rest for c in d]
-    expected = actual.select(*first).distinct()
-    for d in rest:
-        values = actual.select(F.struct(*d).alias("v")).distinct().agg(F.array_sort(F.collect_list("v")).alias("vs"))
-        expected = expected.crossJoin(F.broadcast(values)).withColumn("v", F.explode("vs"))
-        expected = expected.select(*[c for c in expected.columns if c not in {"v", "vs"}], *[F.col(f"v.{c}").alias(c) for c in d])
     counted = actual.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    lists = [actual.select(F.struct(*d).alias("v")).distinct() for d in rest]
+    sizes = [v.count() for v in lists]
+    expected = counted.groupBy(*first).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") < math.prod(sizes)).drop("__n")
+    for d, values, size in zip(rest, lists, sizes, strict=True):
+        blocks = max(1, math.ceil(size / ROSTER_BLOCK))
+        packed = values.groupBy(F.pmod(F.xxhash64("v"), F.lit(blocks)).alias("__b")).agg(F.collect_list("v").alias("__vs"))
+        expected = expected.withColumn("__b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+        done = [c for c in expected.columns if c != "__b"]
+        expected = attach(expected, packed, ["__b"], "inner", salt_by=first).select(*done, F.explode("__vs").alias("__v"))
+        expected = expected.select(*done, *[F.col(f"__v.{c}").alias(c) for c in d])
     missing = expected.join(counted, keys, "left_anti").select(*keys, F.lit("missing").alias("problem"))
     extra = counted.where("n > 1").select(*keys, F.lit("duplicate").alias("problem"))
     return missing.unionByName(extra)

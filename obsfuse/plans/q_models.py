@@ -553,9 +553,10 @@ def _(spark, sf):
 
 # --- units ---------------------------------------------------------------------------------------
 
-_EMB = """r AS (SELECT label AS unit_id, unnest(range(0, 64)) AS f, unnest(CAST(embedding[1:64] AS DOUBLE[])) AS v FROM embeddings),
+_UNITS = """r AS (SELECT label AS unit_id, unnest(range(0, 64)) AS f, unnest(CAST(embedding[1:64] AS DOUBLE[])) AS v FROM embeddings),
 q AS (SELECT unit_id, f, count(*) AS n, quantile_cont(v, 0.1) AS q0, quantile_cont(v, 0.5) AS q1, quantile_cont(v, 0.9) AS q2 FROM r GROUP BY 1, 2),
-l AS (SELECT unit_id, 3 * f AS i, q0 AS v, n FROM q UNION ALL SELECT unit_id, 3 * f + 1, q1, n FROM q UNION ALL SELECT unit_id, 3 * f + 2, q2, n FROM q),
+l AS (SELECT unit_id, 3 * f AS i, q0 AS v, n FROM q UNION ALL SELECT unit_id, 3 * f + 1, q1, n FROM q UNION ALL SELECT unit_id, 3 * f + 2, q2, n FROM q)"""
+_EMB = f"""{_UNITS},
 c AS (SELECT i, median(v) AS med, quantile_cont(v, 0.25) AS a, quantile_cont(v, 0.75) AS b, max(abs(v)) AS pk FROM l GROUP BY 1),
 md AS (SELECT l.i, median(abs(v - med)) AS mad FROM l JOIN c ON l.i = c.i GROUP BY 1),
 s AS (SELECT c.i, greatest(1.4826022185056018 * mad, (b - a) / 1.3489795003921634, 1e-6 + 1e-3 * greatest(abs(med), pk, 1)) AS scale FROM c JOIN md ON c.i = md.i),
@@ -583,7 +584,22 @@ def _(spark, sf):
     return transport.fit_transport(_embeddings(spark, sf), 3)["scores"]
 
 
-@query("transport_evaluation", "A55", "unit_id:long score:d threshold:d p_value:d supported:bool distance_0:d outside_0:d")
+@query(
+    "transport_evaluation", "A55", "unit_id:long score:d threshold:d p_value:d supported:bool distance_0:d outside_0:d",
+    f"""WITH {_UNITS}, m AS (SELECT * FROM l WHERE unit_id % 3 <> 0),
+c AS (SELECT i, median(v) AS med, quantile_cont(v, 0.25) AS a, quantile_cont(v, 0.75) AS b, max(abs(v)) AS pk, min(v) AS lo, max(v) AS hi FROM m GROUP BY 1),
+md AS (SELECT m.i, median(abs(v - med)) AS mad FROM m JOIN c ON m.i = c.i GROUP BY 1),
+s AS (SELECT c.i, lo, hi, greatest(1.4826022185056018 * mad, (b - a) / 1.3489795003921634, 1e-6 + 1e-3 * greatest(abs(med), pk, 1)) AS scale FROM c JOIN md ON c.i = md.i),
+z AS (SELECT t.unit_id, o.unit_id AS source_id, t.i, ((t.v - o.v) / scale) ** 2 AS z2 FROM l t JOIN m o ON t.i = o.i JOIN s ON s.i = t.i WHERE t.unit_id <> o.unit_id),
+d AS (SELECT unit_id, source_id, sqrt(avg(z2)) AS distance, avg(z2) FILTER (i < 3) AS first_z FROM z GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY distance, source_id) AS rank FROM d),
+sc AS (SELECT unit_id, avg(distance) AS score, sqrt(avg(first_z)) AS distance_0 FROM k WHERE rank <= 2 GROUP BY 1),
+cal AS (SELECT score, row_number() OVER (ORDER BY score) AS o, count(*) OVER () AS n FROM sc WHERE unit_id % 3 <> 0),
+th AS (SELECT score AS threshold FROM cal WHERE o = least(n, CAST(ceil((n + 1) * CAST(0.9 AS DOUBLE)) AS BIGINT))),
+od AS (SELECT l.unit_id, max(greatest(lo - v, v - hi, 0) / scale) AS outside_0 FROM l JOIN s ON l.i = s.i WHERE l.i < 3 GROUP BY 1)
+SELECT sc.unit_id, score, threshold, (1 + (SELECT count(*) FROM cal WHERE cal.score >= sc.score)) / CAST(1 + (SELECT count(*) FROM cal) AS DOUBLE) AS p_value,
+score <= threshold AS supported, distance_0, outside_0 FROM sc JOIN od ON od.unit_id = sc.unit_id CROSS JOIN th WHERE sc.unit_id % 3 = 0""",
+)
 def _(spark, sf):
     e = _embeddings(spark, sf)
     model = transport.fit_transport(e.where("unit_id % 3 <> 0"), 2)
