@@ -1,10 +1,11 @@
-"""Exact top-k search by inner product with vector-approximation files.
-
-Every vector is stored twice: as the numbers of its quantisation cells (one byte for each
-dimension) and exactly. A query scans the cells, which bound each score from both sides, and then
-reads exact vectors in the order of their upper bounds until the k-th best score is at least the
-next bound. Vectors and queries lie in blocks, each pair of blocks is one group, and the best k of
-every block are merged; neither all vectors nor all queries meet in one task.
+"""Exact top-k search by inner product with a vector-approximation file.
+
+The file holds one byte for each dimension of a vector, the number of its quantisation cell, beside
+the vector itself, and is written once. A search scans the bytes alone, which bound each score from
+both sides, in blocks of rows and of queries. Only what the k-th best lower bound of a query leaves
+is looked at again: exact vectors are read for the k highest upper bounds first, and then for every
+other row whose upper bound reaches the k-th of those scores, so that no unread row can be among the
+best.
 """
 
 from __future__ import annotations
@@ -16,12 +17,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block of vectors and of a block of queries.
-VECTORS, QUERIES = 16384, 2048
+from obsfuse.llm.store import kept
+from obsfuse.runtime import violations
+
+#: Rows of a block of the file and of a block of queries.
+VECTORS, QUERIES = 65536, 8192
 #: Cells of a dimension.
-CELLS = 64
-#: Exact vectors that are read at once.
-READ = 64
+CELLS = 32
+#: Bounds that a task holds at once.
+BOUNDS = 1 << 22
 
 
 def usable(vector: Column) -> Column:
@@ -30,40 +34,133 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.coalesce(finite, F.lit(False))
 
 
-class ApproximationFile:
-    """Cells and exact vectors of one block; bounds of inner products from the cells alone."""
+def _matrix(column: pd.Series, size: int) -> np.ndarray:
+    out = np.zeros((len(column), size))
+    for i, v in enumerate(column):
+        out[i, : len(v)] = v
+    return out
 
-    def __init__(self, vectors: np.ndarray, ids: np.ndarray) -> None:
-        self.vectors, self.ids = vectors, ids
-        low, high = vectors.min(axis=0), vectors.max(axis=0)
-        self.width = np.maximum(np.ceil((high - low + 1) / CELLS), 1.0)  # whole numbers: bounds are exact
-        self.low = low
-        self.cells = ((vectors - low) // self.width).astype(np.uint8)
 
-    def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds of all scores; a cell holds whole numbers from its start to start + width - 1."""
-        start = self.cells * self.width + self.low
-        base, reach = queries @ start.T, queries * (self.width - 1)
+def without_surplus(rows: DataFrame, k: int) -> DataFrame:
+    """``rows(id, v)`` without copies that no list of ``k`` can hold.
+
+    Equal vectors have equal scores, so only the ``k + 1`` smallest ids of a vector (one may be the
+    query's own) and ``k`` repeats of each can be listed. Both ranks are limited before rows move.
+    """
+    repeat = F.row_number().over(Window.partitionBy("id", "v").orderBy(F.lit(0)))
+    rows = rows.withColumn("n", repeat).where(F.col("n") <= k).drop("n")
+    return rows.withColumn("n", F.dense_rank().over(Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= k + 1).drop("n")
+
+
+class Grid:
+    """Start and width of the cells of each dimension: whole numbers, so that bounds are exact."""
+
+    def __init__(self, low: np.ndarray, high: np.ndarray, cells: int = CELLS) -> None:
+        self.low, self.width = low, np.maximum(np.ceil((high - low + 1) / cells), 1.0)
+
+    @classmethod
+    def of(cls, rows: DataFrame, cells: int = CELLS) -> Grid:
+        """The grid over all rows; one row for each dimension comes to the driver."""
+        seen = rows.select(F.posexplode("v").alias("at", "x")).groupBy("at")
+        seen = seen.agg(F.min("x").alias("low"), F.max("x").alias("high")).orderBy("at").collect()
+        shortest = rows.agg(F.min(F.size("v"))).first()[0] or 0  # behind the end of a vector it has zeros
+        low = np.array([min(r.low, 0.0) if r["at"] >= shortest else r.low for r in seen])
+        return cls(low, np.array([max(r.high, 0.0) if r["at"] >= shortest else r.high for r in seen]), cells)
+
+    def quantised(self, vectors: np.ndarray) -> np.ndarray:
+        return ((vectors - self.low) // self.width).astype(np.uint8)
+
+    def bounds(self, cells: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds of all scores; a cell holds the whole numbers from its start to start + width - 1."""
+        weight = queries * self.width
+        # single precision where all partial sums are whole numbers below 2**24
+        small = len(weight) and np.abs(weight).sum(axis=1).max(initial=0) * 256 < 2**24
+        base = (weight.astype(np.float32) @ cells.T.astype(np.float32)).astype(float) if small else weight @ cells.T.astype(float)
+        base += (queries @ self.low)[:, None]
+        reach = queries * (self.width - 1)
         return base + np.minimum(reach, 0).sum(axis=1)[:, None], base + np.maximum(reach, 0).sum(axis=1)[:, None]
 
-    def top(self, queries: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each query its number, and ids and scores of the best ``k`` rows with another id than its own."""
-        for first in range(0, len(queries), 128):  # bounds the matrices
-            part = queries[first : first + 128]
-            lower, upper = self.bounds(part)
-            for q in range(len(part)):
-                others = np.flatnonzero(self.ids != own[first + q])
-                lo, hi = lower[q, others], upper[q, others]
-                if len(others) > k:  # rows below the k-th lower bound cannot be among the best
-                    others, hi = (x[hi >= np.partition(lo, len(lo) - k)[len(lo) - k]] for x in (others, hi))
-                order = np.argsort(-hi, kind="stable")
-                best, score, at = np.zeros(0, np.int64), np.zeros(0), 0
-                while at < len(order) and (len(best) < k or score[-1] <= hi[order[at]]):
-                    read = others[order[at : at + READ]]
-                    best, score = np.append(best, self.ids[read]), np.append(score, self.vectors[read] @ part[q])
-                    keep = np.lexsort((best, -score))[:k]
-                    best, score, at = best[keep], score[keep], at + READ
-                yield first + q, best, score
+
+def approximation_file(rows: DataFrame, grid: Grid) -> DataFrame:
+    """``(key, id, cells, v)`` of ``rows(id, v)``, written as Parquet: a number, the cell bytes, the vector."""
+
+    def written(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            cells = grid.quantised(_matrix(batch["v"], len(grid.low)))
+            yield batch.assign(cells=[c.tobytes() for c in cells])[["key", "id", "cells", "v"]]
+
+    numbered = rows.withColumn("key", F.monotonically_increasing_id())
+    return kept(numbered.mapInPandas(written, "key bigint, id bigint, cells binary, v array<double>"))
+
+
+def scan(file: DataFrame, asked: DataFrame, grid: Grid, k: int) -> DataFrame:
+    """``(query, key, lower, upper)``: rows of another id that the bytes of their block leave for a query.
+
+    A block of the file meets each block of queries; a row stays where its upper bound reaches the
+    ``k``-th lower bound of its block.
+    """
+    blocks, parts = (int(t.count() // size + 1) for t, size in ((file, VECTORS), (asked, QUERIES)))
+
+    def dealt(column: str, number: int) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(number))
+
+    def every(number: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(number - 1).cast("bigint")))
+
+    here = file.select("key", "id", "cells", dealt("key", blocks).alias("block"), every(parts).alias("part"))
+    there = asked.select("query", "id", "v", dealt("query", parts).alias("part"), every(blocks).alias("block"))
+
+    def scanned(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found: list[tuple[np.ndarray, ...]] = []
+        if len(left) and len(right):
+            cells = np.frombuffer(b"".join(left["cells"]), np.uint8).reshape(len(left), len(grid.low))
+            keys, ids, own = left["key"].to_numpy(), left["id"].to_numpy(), right["id"].to_numpy()
+            step = max(1, BOUNDS // len(left))
+            for first in range(0, len(right), step):
+                part = right.iloc[first : first + step]
+                lower, upper = grid.bounds(cells, _matrix(part["v"], len(grid.low)))
+                same = ids[None, :] == own[first : first + step, None]
+                lower[same], upper[same] = -np.inf, -np.inf
+                least = np.partition(lower, len(left) - k, axis=1)[:, len(left) - k] if len(left) > k else np.full(len(part), -np.inf)
+                q, at = np.nonzero((upper >= least[:, None]) & ~same)
+                found.append((part["query"].to_numpy()[q], keys[at], lower[q, at], upper[q, at]))
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] or [np.zeros(0, np.int64)] * 4
+        return pd.DataFrame(dict(zip(("query", "key", "lower", "upper"), (c.astype(np.int64) for c in columns), strict=True)))
+
+    near = here.groupBy("block", "part").cogroup(there.groupBy("block", "part"))
+    return near.applyInPandas(scanned, "query bigint, key bigint, lower bigint, upper bigint")
+
+
+def _read(wanted: DataFrame, file: DataFrame, asked: DataFrame) -> DataFrame:
+    """Exact scores of ``wanted(query, key)``."""
+    rows = wanted.select("query", "key").join(file.select("key", F.col("id").alias("vec_id"), "v"), "key")
+    rows = rows.join(asked.select("query", F.col("id").alias("query_id"), F.col("v").alias("q")), "query")
+    product = F.zip_with("v", "q", lambda a, b: F.coalesce(a, F.lit(0.0)) * F.coalesce(b, F.lit(0.0)))
+    score = F.aggregate(product, F.lit(0.0), lambda s, x: s + x).cast("bigint")
+    return rows.select("query", "query_id", "vec_id", score.alias("score"))
+
+
+def _kth(rows: DataFrame, column: str, k: int) -> DataFrame:
+    """``(query, least)``: the ``k``-th largest value of the queries that have as many."""
+    order = Window.partitionBy("query").orderBy(F.desc(column))
+    ranked = rows.select("query", column, F.row_number().over(order).alias("n")).where(F.col("n") <= k)
+    return ranked.where(F.col("n") == k).select("query", F.col(column).alias("least"))
+
+
+def exact_reads(bounds: DataFrame, file: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """``(query, query_id, vec_id, score)`` of the rows that ``bounds`` does not rule out, in two steps by upper bound."""
+
+    def reach(rows: DataFrame, least: DataFrame) -> DataFrame:
+        out = rows.join(least, "query", "left").where(F.col("least").isNull() | (F.col("upper") >= F.col("least")))
+        return out.drop("least")
+
+    left = reach(bounds, _kth(bounds, "lower", k))
+    order = Window.partitionBy("query").orderBy(F.desc("upper"), "key")
+    left = kept(left.withColumn("n", F.row_number().over(order)))
+    first = kept(_read(left.where(F.col("n") <= k), file, asked))
+    # a query without k rows in the first step has no others
+    rest = reach(left.where(F.col("n") > k), _kth(first, "score", k))
+    return first.unionByName(_read(rest, file, asked))
 
 
 def top_k(
@@ -72,10 +169,11 @@ def top_k(
     """``(query_id, rank, vec_id, score)``: the ``k`` largest inner products of each query with all vectors of
     another id, ties to the smaller id; all of them if there are fewer.
 
-    Both tables hold an id and an array of whole numbers (as doubles below 2**25, so that products
-    are exact); shorter vectors count as followed by zeros. Rows with a null id, a null vector or a
-    null or non-finite component take no part; repeated rows are candidates of their own. Other
-    columns are not read; an empty table gives no rows.
+    Both tables hold an id and an array of whole numbers as doubles; shorter vectors count as
+    followed by zeros. Vectors with fractions, or so large that a score might reach 2**53, raise.
+    Rows with a null id, a null vector or a null or non-finite component take no part; repeated
+    rows are candidates of their own, queries of one id share one list. Other columns are not read;
+    an empty table gives no rows.
     """
 
     def rows(table: DataFrame) -> DataFrame:
@@ -83,31 +181,14 @@ def top_k(
         return out.where(F.col("id").isNotNull() & usable(F.col("v")))
 
     base, asked = rows(vectors), rows(queries)
-    counts = [t.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first() for t in (base, asked)]
-    blocks, parts = (int(c["n"] // size + 1) for c, size in zip(counts, (VECTORS, QUERIES), strict=True))
-    size = max(c["d"] or 0 for c in counts)
-    here = base.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)))
-    here = here.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    there = asked.withColumn("part", F.pmod(F.xxhash64("id", "v"), F.lit(parts)))
-    there = there.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-    here, there = (t.select(F.col("block").cast("bigint"), F.col("part").cast("bigint"), "id", "v") for t in (here, there))
-
-    def matrix(column: pd.Series) -> np.ndarray:
-        out = np.zeros((len(column), size))
-        for i, v in enumerate(column):
-            out[i, : len(v)] = v
-        return out
-
-    def searched(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found: list[pd.DataFrame] = []
-        if len(left) and len(right):
-            file, own = ApproximationFile(matrix(left["v"]), left["id"].to_numpy()), right["id"].to_numpy()
-            for q, ids, score in file.top(matrix(right["v"]), own, k):
-                found.append(pd.DataFrame({"query_id": own[q], "vec_id": ids, "score": score.astype(np.int64)}))
-        empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        return pd.concat(found) if found else empty
-
-    near = here.groupBy("block", "part").cogroup(there.groupBy("block", "part"))
-    near = near.applyInPandas(searched, "query_id bigint, vec_id bigint, score bigint")
+    largest = [t.agg(F.max(F.size("v")).alias("d"), F.max(F.array_max(F.transform("v", F.abs))).alias("x")).first() for t in (base, asked)]
+    if max(t.d or 0 for t in largest) * (largest[0].x or 0) * (largest[1].x or 0) >= 2**53:
+        raise ValueError("scores of these vectors are not exact as doubles")
+    for table in (base, asked):
+        violations(table.where(F.exists("v", lambda x: x != F.floor(x))).select("id"), "vector with fractions")
+    grid = Grid.of(base.unionByName(asked))
+    file = approximation_file(without_surplus(base, k), grid)
+    asked = kept(asked.withColumn("query", F.monotonically_increasing_id()))
+    scored = exact_reads(kept(scan(file, asked, grid, k)), file, asked, k)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

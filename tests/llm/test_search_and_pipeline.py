@@ -6,6 +6,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 from common import rows, words
+from pyspark.sql import functions as F
 
 from obsfuse.llm import queries, vector_search
 
@@ -67,3 +68,25 @@ def test_pipeline(spark, tmp_path):
     pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {p.doc_id for p in pieces if p.doc_id is not None} == set(ids)
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_few_exact_vectors_are_read(spark):
+    rng = np.random.default_rng(5)
+    data = [(i, [float(x) for x in np.floor(8 * rng.standard_normal(32))]) for i in range(3000)]
+    data += [(5000 + i, data[3][1]) for i in range(300)] + [(9000, data[4][1])] * 50
+    base = spark.createDataFrame(data, "id long, v array<double>")
+    left = vector_search.without_surplus(base, 5)
+    assert {r["id"] for r in left.where("id >= 5000").collect()} == {5000, 5001, 5002, 5003, 5004, 9000}
+    assert left.where("id = 9000").count() == 5
+    grid = vector_search.Grid.of(left, 16)
+    file = vector_search.approximation_file(left, grid)
+    asked = file.where("id % 100 = 0").select(F.col("key").alias("query"), "id", "v")
+    read = vector_search.exact_reads(vector_search.scan(file, asked, grid, 5), file, asked, 5)
+    assert read.count() < 0.2 * file.count() * asked.count()
+
+
+def test_fractions_and_large_vectors_are_refused(spark):
+    for bad in (0.5, 2.0**40):
+        table = spark.createDataFrame([(0, [1.0, bad]), (20, [2.0, 1.0])], "vec_id long, embedding array<double>")
+        with pytest.raises(ValueError, match="fractions|exact"):
+            vector_search.top_k(table, table)
