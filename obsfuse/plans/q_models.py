@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from obsfuse.functions import sim3
 from obsfuse.functions import vec3 as v3
-from obsfuse.operators import align, fusion, gauge_trees, gauges, gaussian, identity, joins, regress, support, tracks, transport
+from obsfuse.operators import align, fusion, gauge_trees, gauges, gaussian, identity, joins, regress, support, tracks, transport, update_logs
 from obsfuse.operators import disagreement as dis
 from obsfuse.operators import project as pr
 from obsfuse.plans import adapters as ad
@@ -884,7 +884,7 @@ _ADMIT_SIG = "stream_id:str update_id:str start:long stop:long admitted:bool rea
 
 @query("batch_admission", "R1", _ADMIT_SIG, _ADMIT)
 def _(spark, sf):
-    return admission.admit_batch(_updates(spark, sf))
+    return update_logs.admit_log(_updates(spark, sf))
 
 
 @query("stream_admission", "R1", _ADMIT_SIG, _ADMIT)
@@ -934,9 +934,21 @@ def _(spark, sf):
     return incremental.bind_complete(_bindings(e, False), _bindings(e, True))
 
 
-@query("bias_admission", "R5", "stream_id:str update_id:str admitted:bool row_start:long row_stop:long")
+@query(
+    "bias_admission",
+    "R5",
+    "stream_id:str update_id:str admitted:bool reason:str row_start:long row_stop:long",
+    """WITH RECURSIVE u AS (SELECT CAST(conv_id AS VARCHAR) AS stream_id, concat_ws(':', conv_id, turn) AS update_id, coalesce(length(text), 0) AS size,
+   turn + CASE WHEN length(text) % 7 = 0 THEN 1 ELSE 0 END AS start, turn + 1 + CASE WHEN length(text) % 7 = 0 THEN 1 ELSE 0 END AS stop FROM conversations),
+o AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY start, stop, update_id) AS i FROM u),
+w AS (SELECT o.*, true AS admitted, stop AS last, size AS total FROM o WHERE i = 1
+  UNION ALL SELECT o.*, o.start >= w.last, CASE WHEN o.start >= w.last THEN o.stop ELSE w.last END, w.total + CASE WHEN o.start >= w.last THEN o.size ELSE 0 END
+  FROM w JOIN o ON o.stream_id = w.stream_id AND o.i = w.i + 1)
+SELECT stream_id, update_id, admitted, CASE WHEN NOT admitted THEN 'overlaps-retained' END AS reason,
+  CASE WHEN admitted THEN total - size END AS row_start, CASE WHEN admitted THEN total END AS row_stop FROM w""",
+)
 def _(spark, sf):
-    return admission.admit_batch(_updates(spark, sf), "bias")
+    return update_logs.admit_log(_updates(spark, sf), "bias")
 
 
 @query(
