@@ -7,15 +7,20 @@ distinct shingles.
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from obsfuse.llm.store import texts
+from obsfuse.llm.store import kept, likely, texts
 
 #: Hashes in a sketch: standard error of a resemblance at most 1 / (2 * sqrt(K)).
 K = 128
 #: Sketches that one step of a merge holds together.
 MERGE = 256
+#: Quantiles of the ids at which ranges begin; ranges have parts of their own, so this bounds no part.
+RANGES = 1000
 
 
 def sketch(text: Column, k: int = K, width: int = 5) -> Column:
@@ -86,32 +91,67 @@ def merged(parts: DataFrame, key: str, column: str = "sketch", k: int = K) -> Da
     return rows.groupBy("key").agg(joined).select(F.col("key").alias(key), F.col("s").alias(column))
 
 
+def _ranges(docs: DataFrame, chars_per_task: int) -> DataFrame:
+    """``docs`` with ``range`` and ``part``, both ascending in the order by id (nulls first), then ``hash``.
+
+    At most about ``2 * RANGES`` ranges are cut at quantiles of the ids. Each has as many parts as it takes for
+    about ``chars_per_task`` code points in a part: ids are dealt by their place between the ends of their range,
+    an id that fills whole ranges, and null ids, by the hash of the text.
+    """
+    ids = F.col("doc_id")
+    size = docs.agg(F.sum(F.length("text")).alias("n"), F.count("*").alias("rows"), F.count(ids).alias("ids"), F.min(ids).alias("lo"), F.max(ids).alias("hi")).first()
+    parts = (size["n"] or 0) // chars_per_task + 1
+    number = min(parts, RANGES)
+    each = -(-parts // number)
+    shares = [i / number for i in range(1, number)]
+    cuts = docs.agg(F.percentile_approx("doc_id", shares, 20 * number)).first()[0] if shares and size["ids"] else []
+    # (start, parts, dealt by hash); the first one holds null ids
+    table = [(0, -(-parts * (size["rows"] - size["ids"]) // max(1, size["rows"])) or 1, True)]
+    if size["ids"]:
+        often = Counter(cuts)
+        ends = {size["lo"]: each} | {v + 1: each for v, n in often.items() if n > 1 and v < size["hi"]} | {v: n * each for v, n in often.items()}
+        table += [(v, n, often[v] > 1) for v, n in sorted(ends.items())]
+    start, count, hashed = (np.array(c, np.int64) for c in zip(*table, strict=True))
+    stop = np.append(start[1:], min((size["hi"] or 0) + 1, (1 << 63) - 1))
+    before = np.cumsum(count) - count
+    at = F.size(F.filter(F.lit(start[1:]), lambda c: c <= ids)) if size["ids"] else F.lit(0)
+
+    def of(values: np.ndarray) -> Column:
+        return F.element_at(F.lit(values), F.col("range") + 1)
+
+    low, high = of(start).cast("double"), of(stop).cast("double")
+    share = F.when(of(hashed) == 1, F.col("hash").cast("double") / F.lit(2.0**64) + F.lit(0.5)).otherwise((ids.cast("double") - low) / F.greatest(high - low, F.lit(1.0)))
+    piece = F.least(F.floor(share * of(count)), of(count) - 1)
+    return docs.withColumn("range", at).withColumn("part", of(before) + piece)
+
+
 def with_next(docs: DataFrame, chars_per_task: int = 4 << 20) -> tuple[DataFrame, Window]:
     """Rows of ``docs(doc_id, text)`` with ``part``, ``wrap`` and ``guest``, and the window in which the
     next row is the next document by ascending id (null ids first, equal ids by the text's hash; after
     the last: the first).
 
-    Ids are dealt out in ranges of about ``chars_per_task`` code points. The first row of a range is
-    also a guest of the range before it, and the very first one of the last range; guests are to be
-    dropped behind the window.
+    Rows are dealt out in parts of about ``chars_per_task`` code points, whatever their number. The first row of
+    a part is also a guest of the last part before it that has rows, and the very first one of the last part; guests are
+    to be dropped behind the window. Only the rows that become guests are read again.
     """
-    size = docs.agg(F.sum(F.length("text")).alias("n"), F.count("doc_id").alias("ids"), F.count("*").alias("rows"), F.min("doc_id").alias("first")).first()
-    parts = int(min(10_000, (size["n"] or 0) // chars_per_task + 1, max(1, size["ids"])))
-    shares = [i / parts for i in range(1, parts)]
-    cuts = docs.agg(F.percentile_approx("doc_id", shares, 20 * parts)).first()[0] if shares else None
-    cuts = sorted(set(cuts or []))  # at most 10,000 ids, each the first of its range
-    first = None if size["ids"] < size["rows"] else size["first"]
-    known = F.array(*map(F.lit, cuts)).cast("array<bigint>")
-    part = F.size(F.filter(known, lambda c: c <= F.col("doc_id")))
-
-    def visit(there: Column, wrap: int, guest: bool) -> Column:
-        return F.struct(there.cast("int").alias("part"), F.lit(wrap).alias("wrap"), F.lit(guest).alias("guest"))
-
-    visits = [F.array(visit(part, 0, False)), F.when(F.array_contains(known, F.col("doc_id")), F.array(visit(part - 1, 0, True)))]
-    visits.append(F.when(F.col("doc_id").eqNullSafe(F.lit(first)), F.array(visit(F.lit(len(cuts)), 1, True))))
-    none = F.array().cast("array<struct<part: int, wrap: int, guest: boolean>>")
-    rows = docs.select("doc_id", "text", F.explode(F.concat(*[F.coalesce(v, none) for v in visits])).alias("v"))
-    rows = rows.select("doc_id", "text", "v.*")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    docs = _ranges(docs, chars_per_task).withColumn("mark", F.xxhash64("doc_id", "hash"))
+    firsts = docs.groupBy("range", "part").agg(F.min(F.struct("doc_id", "hash", "mark")).alias("first"))
+    firsts = kept(firsts.select("range", "part", F.col("first.doc_id").alias("id"), F.col("first.hash").alias("h"), "first.mark"))
+    held = sorted(firsts.groupBy("range").agg(F.max("part").alias("last")).collect())  # a row for each range
+    last = held[-1]["last"] if held else 0
+    ahead = {r["range"]: p["last"] for p, r in zip(held, held[1:], strict=False)}
+    known = np.full(held[-1]["range"] + 1 if held else 1, last, np.int64)
+    for r, p in ahead.items():
+        known[r] = p
+    inside = F.lag("part").over(Window.partitionBy("range").orderBy("part"))
+    first_of_all = inside.isNull() & (F.col("range") == (held[0]["range"] if held else 0))
+    hosts = firsts.select("id", "h", "mark", F.coalesce(inside, F.element_at(F.lit(known), F.col("range") + 1)).alias("part"), first_of_all.cast("int").alias("wrap"))
+    guests = likely(docs, firsts, "mark").where("__likely").select("doc_id", "text", "hash", "mark")
+    same = guests["mark"].eqNullSafe(hosts["mark"]) & guests["hash"].eqNullSafe(hosts["h"]) & guests["doc_id"].eqNullSafe(hosts["id"])
+    guests = guests.join(hosts, same).groupBy("part", "wrap").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    rows = docs.select("doc_id", "text", "part", F.lit(0).alias("wrap"), F.lit(False).alias("guest"))
+    rows = rows.unionByName(guests.withColumn("guest", F.lit(True)))
     return rows, Window.partitionBy("part").orderBy("wrap", F.asc_nulls_first("doc_id"), F.xxhash64("text"))
 
 
