@@ -108,7 +108,8 @@ def scan(file: DataFrame, asked: DataFrame, grid: Grid, k: int) -> DataFrame:
         return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(number - 1).cast("bigint")))
 
     here = file.select("key", "id", "cells", dealt("key", blocks).alias("block"), every(parts).alias("part"))
-    there = asked.select("query", "id", "v", dealt("query", parts).alias("part"), every(blocks).alias("block"))
+    # columns of their own names and numbers: the queries may be rows of the same file
+    there = asked.select(*[F.col(c).alias(c) for c in ("query", "id", "v")], dealt("query", parts).alias("part"), every(blocks).alias("block"))
 
     def scanned(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[np.ndarray, ...]] = []
