@@ -9,6 +9,7 @@ from obsfuse.operators import bootstrap, calibrate, conformal, groups, joins, sc
 from obsfuse.plans import adapters as ad
 from obsfuse.plans.adapters import ARMS_SQL, RESID_SQL
 from obsfuse.plans.registry import query
+from obsfuse.runtime import durable
 
 # --- calibration ------------------------------------------------------------------------
 
@@ -480,9 +481,9 @@ def _(spark, sf):
 
 
 def _query_rows(spark, sf):
-    a = ad.arms(spark, sf).groupBy("group_id", "arm_id").agg(
+    a = durable(ad.arms(spark, sf).groupBy("group_id", "arm_id").agg(
         (F.avg("metric") / 9.0).alias("rmse"), F.sum("correct").alias("k"), F.avg("correct").alias("cov")
-    )
+    ))
     fb = a.where("arm_id = 'O'").select("group_id", F.col("rmse").alias("fr"))
     j = a.join(fb, "group_id")
     acc = (F.col("k") % 4 != 0) & (F.col("arm_id") != "O")
