@@ -6,6 +6,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -166,40 +168,66 @@ def resample_grid(
 ) -> DataFrame:
     """Mask-aware bilinear resampling: bilinear(mask value) / bilinear(mask), for every cell of the target grid.
 
-    Each target cell of each key gathers its four weighted neighbours in one equi-join.  A cell is valid where the
-    support is at least ``minimum_support``; the values of the others are 0.
+    The valid pixels of a key meet in bands of target rows, so only they are shuffled, most of them once; each band
+    gathers the four weighted neighbours of its cells from its own pixels.  A cell is valid where the support is at
+    least ``minimum_support``; the values of the others are 0.
     """
-    keys = list(keys)
-
-    def sides(name: str, n: int, m: int) -> Column:
-        """Target indices of one axis, each with its two source indices and weights."""
-        step = (n - 1) / (m - 1) if m > 1 else 0.0
-        index = F.sequence(F.lit(0), F.lit(m - 1))
-
-        def pair(i: Column) -> Column:
-            at = F.when(i == m - 1, F.lit(float(n - 1) if m > 1 else 0.0)).otherwise(i * F.lit(step))
-            low = F.floor(at).cast("int")
-            return F.array(
-                F.struct(i.alias("to"), low.alias("at"), (1 - (at - low)).alias("w")),
-                F.struct(i.alias("to"), F.least(low + 1, F.lit(n - 1)).alias("at"), (at - low).alias("w")),
-            )
-
-        return F.explode(F.flatten(F.transform(index, pair))).alias(name)
-
-    cells = df.select(*keys).distinct().select(*keys, sides("__r", source[0], target[0])).select("*", sides("__c", source[1], target[1]))
-    cells = cells.select(
-        *keys, F.col("__r.to").alias("__row"), F.col("__c.to").alias("__col"), F.col("__r.at").alias("row"), F.col("__c.at").alias("col"), (F.col("__r.w") * F.col("__c.w")).alias("__w")
-    )
-    pixels = df.where("valid").select(*keys, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), *values, F.lit(1.0).alias("__on"))
-    met = cells.join(pixels, [*keys, "row", "col"], "left")
-    sums = met.groupBy(*keys, F.col("__row").alias("row"), F.col("__col").alias("col")).agg(
-        F.sum(F.col("__w") * F.coalesce("__on", F.lit(0.0))).alias("support"), *[F.sum(F.col("__w") * F.coalesce(F.col(v), F.lit(0.0))).alias(v) for v in values]
+    keys, values = list(keys), list(values)
+    (n, width), (m, _) = source, target
+    (rl, rh, rw), (cl, ch, cw) = (_sides(a, b) for a, b in zip(source, target, strict=True))
+    height = max(1, BAND_CELLS // max(source[1], target[1]))
+    bands = -(-m // height)
+    table = [sorted({i // height for i in range(m) if s in (rl[i], rh[i])}) for s in range(n)]
+    lookup = F.array(*[F.array(*[F.lit(b) for b in bs]).cast("array<int>") for bs in table])
+    none = F.lit(None)
+    pixels = df.where("valid").where(F.col("row").between(0, n - 1) & F.col("col").between(0, width - 1)).select(
+        *keys, F.explode(lookup[F.col("row").cast("int")]).alias("__band"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"),
+        *[F.coalesce(F.col(v).cast("double"), F.lit(0.0)).alias(v) for v in values],
     )
-    ok = F.col("support") >= minimum_support
-    return sums.select(
-        *keys, "row", "col", "support", ok.alias("valid"),
-        *[F.when(ok, F.col(v) / F.col("support")).otherwise(F.lit(0.0)).alias(v) for v in values],
+    every = df.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("__band")).select(
+        "*", none.cast("int").alias("row"), none.cast("int").alias("col"), *[none.cast("double").alias(v) for v in values]
     )
+    kinds = {f.name: f.dataType.simpleString() for f in df.select(*keys).schema.fields}
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "row int, col int, support double, valid boolean", *[f"`{v}` double" for v in values]])
+
+    def run(group: pa.Table) -> pa.Table:
+        band = group["__band"][0].as_py()
+        to = np.arange(band * height, min(m, band * height + height))
+        first = rl[to].min()
+        rows = rh[to].max() - first + 1
+        here = group.filter(pc.is_valid(group["row"]))
+        at = (here["row"].to_numpy() - first) * width + here["col"].to_numpy()
+
+        def bilinear(weights: np.ndarray | None) -> np.ndarray:
+            grid = np.bincount(at, weights, rows * width).astype(float).reshape(rows, width)
+            total = np.zeros((len(to), len(cl)))
+            for r, wr in ((rl[to], 1 - rw[to]), (rh[to], rw[to])):
+                for c, wc in ((cl, 1 - cw), (ch, cw)):
+                    total += np.outer(wr, wc) * grid[np.ix_(r - first, c)]
+            return total.ravel()
+
+        support = bilinear(None)
+        ok = support >= minimum_support
+        size = len(support)
+        out = {k: pa.repeat(group[k][0], size) for k in keys}
+        out |= {"row": np.repeat(to, len(cl)).astype(np.int32), "col": np.tile(np.arange(len(cl), dtype=np.int32), len(to)), "support": support, "valid": ok}
+        for v in values:
+            out[v] = np.where(ok, bilinear(here[v].to_numpy()) / np.where(ok, support, 1.0), 0.0)
+        return pa.table(out)
+
+    return pixels.unionByName(every).groupBy(*keys, "__band").applyInArrow(run, schema)
+
+
+#: cells of one row of bands that :func:`resample_grid` handles at once.
+BAND_CELLS = 65_536
+
+
+def _sides(n: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each target index of one axis its two source indices and the weight of the second."""
+    at = np.arange(m) * ((n - 1) / (m - 1) if m > 1 else 0.0)
+    at[m - 1] = float(n - 1) if m > 1 else 0.0
+    low = np.floor(at).astype(np.int64)
+    return low, np.minimum(low + 1, n - 1), at - low
 
 
 def resample_mask(df: DataFrame, source: tuple[int, int], target: tuple[int, int], keys: Sequence[str]) -> DataFrame:

@@ -204,6 +204,14 @@ def test_resampling_covers_the_grid_and_cuts_at_half_support(spark, target):
             assert r.v == (pytest.approx((w * src).sum() / w.sum()) if r.valid else 0.0)
 
 
+def test_resampling_shuffles_pixels_and_not_cells(spark):
+    df = spark.createDataFrame([(f, r, c, 1.0, r % 2 == 0) for f in range(3) for r in range(40) for c in range(50)] + [(9, 0, 0, 1.0, False)], "f int, row int, col int, v double, valid boolean")
+    out = project.resample_grid(df, (40, 50), (55, 60), ["v"], ["f"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan  # cells gather their neighbours inside a band
+    assert out.count() == 4 * 55 * 60 and out.where("f = 9 AND support = 0 AND NOT valid").count() == 55 * 60
+
+
 # --- ranges ------------------------------------------------------------------------------------------
 
 
