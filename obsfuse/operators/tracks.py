@@ -103,21 +103,28 @@ class LinkConfig:
 def pixel_links(pix: DataFrame, config: LinkConfig) -> DataFrame:
     """The successor of every usable pixel in the next frame of its window, for all frames at once.
 
-    ``pix``: one row per pixel with its frame number ``local`` inside the window.  One equi-join of
-    neighbourhood offsets finds all candidates; a pixel has at most (2 radius + 1)^2 of them.  ``why``
+    ``pix``: one row per pixel with its frame number ``local`` inside the window.  Pixels meet their candidates in
+    square tiles: a pixel of the next frame goes to every tile that it can be reached from, and the join tells the
+    distance on both axes.  So each pixel is shuffled once, a target twice or thrice, whatever the radius.  ``why``
     is null where the pixel links to (``to_row``, ``to_col``).
     """
     sigma = config.sigma if config.sigma is not None else config.maximum_error / 3.0
     r = config.radius
-    offsets = F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a in range(-r, r + 1) for b in range(-r, r + 1)])
+    side = max(4, 4 * r)
+
+    def tile(c: Column) -> Column:
+        return F.floor(c / F.lit(side)).cast("int")
+
     here = pix.where("valid AND deform")
     ahead = here.select(
-        *NODE, F.explode(offsets).alias("o"), *[(F.col(c) + F.col(f"f{c}")).alias(f"p{c}") for c in "xyz"]
-    ).withColumns({"to_local": F.col("local") + 1, "to_row": F.col("row") + F.col("o.dr"), "to_col": F.col("col") + F.col("o.dc")})
+        *NODE, *[(F.col(c) + F.col(f"f{c}")).alias(f"p{c}") for c in "xyz"], (F.col("local") + 1).alias("to_local"), tile(F.col("row")).alias("__tr"), tile(F.col("col")).alias("__tc")
+    )
     target = pix.where("valid").select(
         *WINDOW, F.col("local").alias("to_local"), F.col("row").alias("to_row"), F.col("col").alias("to_col"), "x", "y", "z", F.col("deform").alias("nd")
     )
-    near = ahead.join(target, [*WINDOW, "to_local", "to_row", "to_col"])
+    target = target.select("*", F.explode(F.sequence(tile(F.col("to_row") - r), tile(F.col("to_row") + r))).alias("__tr"))
+    target = target.select("*", F.explode(F.sequence(tile(F.col("to_col") - r), tile(F.col("to_col") + r))).alias("__tc"))
+    near = ahead.join(target, [*WINDOW, "to_local", "__tr", "__tc"]).where((F.abs(F.col("to_row") - F.col("row")) <= r) & (F.abs(F.col("to_col") - F.col("col")) <= r))
     error = v3.norm(v3.sub(v3.vec(), v3.vec("p")))  # type: ignore[arg-type]
     usable = F.col("nd") if config.require_target_deform else F.lit(True)
     found = near.groupBy(*NODE).agg(

@@ -212,6 +212,22 @@ def test_resampling_shuffles_pixels_and_not_cells(spark):
     assert out.count() == 4 * 55 * 60 and out.where("f = 9 AND support = 0 AND NOT valid").count() == 55 * 60
 
 
+def test_links_meet_in_tiles_and_not_by_every_offset(spark):
+    rng = np.random.default_rng(8)
+    rows = [("c", "w", f, r, c, *rng.random(3).tolist(), bool(rng.random() > 0.2), bool(rng.random() > 0.2)) for f in range(2) for r in range(14) for c in range(17) if rng.random() > 0.3]
+    names = ["case_id", "window_id", "local", "row", "col", "x", "y", "z", "valid", "deform"]
+    pix = spark.createDataFrame(rows, "case_id string, window_id string, local int, row int, col int, x double, y double, z double, valid boolean, deform boolean")
+    out = tracks.pixel_links(pix.withColumns({f"f{c}": F.lit(0.1) for c in "xyz"}), tracks.LinkConfig(radius=3, maximum_error=1.0, minimum_link=0.0))
+    generated = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate" in line]
+    assert generated and all("sequence" in line for line in generated)
+    data = [dict(zip(names, r, strict=True)) for r in rows]
+    for got in out.where("local = 0").collect():
+        here = next(d for d in data if (d["local"], d["row"], d["col"]) == (0, got.row, got.col))
+        near = [d for d in data if d["local"] == 1 and d["valid"] and abs(d["row"] - got.row) <= 3 and abs(d["col"] - got.col) <= 3]
+        found = sorted((float(np.sqrt(sum((d[c] - here[c] - 0.1) ** 2 for c in "xyz"))), d["row"], d["col"]) for d in near)
+        assert (got.to_row, got.to_col) == ((found[0][1], found[0][2]) if found else (None, None))
+
+
 # --- ranges ------------------------------------------------------------------------------------------
 
 
