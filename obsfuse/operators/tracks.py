@@ -557,10 +557,12 @@ def joint_link_evidence(left: DataFrame, right: DataFrame, blocks: DataFrame, co
 
 
 def nearest_points(
-    sources: DataFrame, targets: DataFrame, keys: Sequence[str], source_id: str = "point_id", target_id: str = "point_id", cell: float | None = None
+    sources: DataFrame, targets: DataFrame, keys: Sequence[str], source_id: str = "point_id", target_id: str = "point_id", cell: float | None = None, squared: bool = False
 ) -> DataFrame:
     """Exact nearest target (distance, then id) of every source point within its key.
 
+    With ``squared`` targets are ranked by their squared distance: roots of different squares may be equal.
+
     Expanding grid: a hit found among the 27 neighbour cells is final when its distance
     does not exceed the cell size, because every other point is farther.  Unresolved
     points go to the next round with a four times larger cell; a final round compares
@@ -578,7 +580,9 @@ def nearest_points(
     todo, done = durable(s.join(t.select(*keys).distinct(), keys, "left_semi")), None
     offsets = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)])
     d = v3.sub(v3.vec("s"), v3.vec("t"))
-    dist = v3.norm(d)  # type: ignore[arg-type]
+    square = v3.dot(d, d)  # type: ignore[arg-type]
+    rank = square if squared else F.sqrt(square)
+    dist = F.sqrt("m.rank") if squared else F.col("m.rank")
     h = cell
     while True:
         g = {f"g{c}": F.floor(F.col(f"s{c}") / F.lit(h)).cast("bigint") for c in "xyz"}
@@ -586,8 +590,8 @@ def nearest_points(
         a = a.withColumns({"gx": F.col("gx") + F.col("o.a"), "gy": F.col("gy") + F.col("o.b"), "gz": F.col("gz") + F.col("o.c")}).drop("o")
         b = t.withColumns({f"g{c}": F.floor(F.col(f"t{c}") / F.lit(h)).cast("bigint") for c in "xyz"})
         hit = a.join(b, [*keys, "gx", "gy", "gz"]).groupBy(*keys, "source_id").agg(
-            F.min(F.struct(dist.alias("distance"), F.col("target_id"))).alias("m")
-        ).select(*keys, "source_id", "m.distance", "m.target_id")
+            F.min(F.struct(rank.alias("rank"), F.col("target_id"))).alias("m")
+        ).select(*keys, "source_id", dist.alias("distance"), "m.target_id")
         sure = durable(hit.where(F.col("distance") <= h))
         done = sure if done is None else done.unionByName(sure)
         todo = durable(todo.join(sure.select(*keys, "source_id"), [*keys, "source_id"], "left_anti"))
@@ -601,16 +605,13 @@ def nearest_points(
         F.collect_list(F.struct("target_id", "tx", "ty", "tz")).alias("ts")
     )
     rest = todo.join(blocks, keys)
-    best = F.array_min(
-        F.transform(
-            "ts",
-            lambda p: F.struct(
-                F.sqrt(sum(((F.col(f"s{c}") - p[f"t{c}"]) ** 2 for c in "xyz"), F.lit(0.0))).alias("distance"), p["target_id"].alias("target_id")
-            ),
-        )
-    )
-    far = rest.select(*keys, "source_id", best.alias("m")).groupBy(*keys, "source_id").agg(F.min("m").alias("m"))
-    return done.unionByName(far.select(*keys, "source_id", "m.distance", "m.target_id"))
+
+    def measure(p: Column) -> Column:
+        square = sum(((F.col(f"s{c}") - p[f"t{c}"]) ** 2 for c in "xyz"), F.lit(0.0))
+        return F.struct((square if squared else F.sqrt(square)).alias("rank"), p["target_id"].alias("target_id"))
+
+    far = rest.select(*keys, "source_id", F.array_min(F.transform("ts", measure)).alias("m")).groupBy(*keys, "source_id").agg(F.min("m").alias("m"))
+    return done.unionByName(far.select(*keys, "source_id", dist.alias("distance"), "m.target_id"))
 
 
 def point_set_metrics(a: DataFrame, b: DataFrame, keys: Sequence[str], near: Sequence[float] = (0.01, 0.02)) -> DataFrame:
@@ -640,7 +641,7 @@ def anchored_rollout(
     """
     keys = list(keys)
     at = nodes.where(F.col("frame") == endpoint)
-    near = nearest_points(points, at, keys, "point_id", "node_id")
+    near = nearest_points(points, at, keys, "point_id", "node_id", squared=True)
     base = at.select(*keys, F.col("node_id").alias("target_id"), *[F.col(c).alias(f"n{c}") for c in "xyz"])
     own = points.select(*keys, F.col("point_id").alias("source_id"), "x", "y", "z")
     off = near.join(base, [*keys, "target_id"]).join(own, [*keys, "source_id"])
