@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from obsfuse.operators import tracks
+from obsfuse.operators import joins, tracks
 
 CFG = tracks.AssociationConfig(distance=1.0, distance_scale=0.7, minimum_support=0.3)
 
@@ -42,3 +42,12 @@ def test_links_of_the_best_pairs_equal_links_of_all(spark):
     assert some.count() < every.count()
     got, want = (sorted(map(str, tracks.mutual_links(c, CFG).collect())) for c in (some, every))
     assert got == want and got
+
+
+def test_gated_pairs_of_crowded_tracks_are_not_shuffled(spark):
+    left, right = _tracks(spark, 0, 30, 5), _tracks(spark, 100, 25, 6)
+    got = tracks.gated_pairs(left, right, 1.0)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    known = [df.where("track_id IS NOT NULL") for df in (left, right)]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, joins.spatial_pairs(*known, 1.0).collect()))
