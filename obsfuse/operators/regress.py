@@ -33,10 +33,14 @@ class Standardiser:
 
 def group_weights(df: DataFrame, group: str = "group_id", name: str = "w") -> DataFrame:
     """1 / (G n_g): every group carries the same total weight."""
+    return attach(df, _shares(df, group, name), [group])
+
+
+def _shares(df: DataFrame, group: str, name: str) -> DataFrame:
+    """The weight of one row of each group."""
     counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
     total = counts.agg(F.count(F.lit(1)).alias("__g"))
-    per = counts.crossJoin(F.broadcast(total)).select(group, (F.lit(1.0) / (F.col("__g") * F.col("__n"))).alias(name))
-    return attach(df, per, [group])
+    return counts.crossJoin(F.broadcast(total)).select(group, (F.lit(1.0) / (F.col("__g") * F.col("__n"))).alias(name))
 
 
 def standardise(df: DataFrame, size: int, features: str = "features", weight: str = "w") -> Standardiser:
@@ -183,9 +187,13 @@ class ChoiceModel:
 
 
 def example_weights(df: DataFrame) -> DataFrame:
-    """1 / (G examples_g) on every candidate row of an example."""
-    ex = df.select("group_id", "example_id").distinct()
-    return attach(df, group_weights(ex).drop("group_id"), ["example_id"], how="inner")
+    """1 / (G examples_g) on every candidate row of an example.
+
+    An example lies in one group, so the weight is attached by group, not by example.
+    """
+    rows = df.where("example_id IS NOT NULL")
+    ex = rows.select("group_id", "example_id").distinct()
+    return attach(rows, _shares(ex, "group_id", "w"), ["group_id"])
 
 
 def fit_choice(
@@ -206,7 +214,7 @@ def fit_choice(
     wide = rows.select("example_id", "w", "is_true", *[c.alias(f"x{i}") for i, c in enumerate(x)])
     true = wide.where("is_true").select("example_id", *[F.col(f"x{i}").alias(f"t{i}") for i in range(d)])
     # candidates relative to the true one: the softmax and all moments only need these
-    data = durable(attach(wide, true, ["example_id"], how="inner").select("example_id", "w", *[(F.col(f"x{i}") - F.col(f"t{i}")).alias(f"d{i}") for i in range(d)]))
+    data = durable(attach(wide, true, ["example_id"], how="inner", salt=4, merge=True).select("example_id", "w", *[(F.col(f"x{i}") - F.col(f"t{i}")).alias(f"d{i}") for i in range(d)]))
     cols = [F.col(f"d{i}") for i in range(d)]
     tri = [(i, j) for i in range(d) for j in range(i, d)]
 
@@ -242,9 +250,9 @@ def fit_choice(
 def choice_probabilities(df: DataFrame, model: ChoiceModel) -> DataFrame:
     l = df.withColumn("__l", model.logit())  # noqa: E741
     top = l.groupBy("example_id").agg(F.max("__l").alias("__top"))
-    e = attach(l, top, ["example_id"]).withColumn("__e", F.exp(F.col("__l") - F.col("__top")))
+    e = attach(l, top, ["example_id"], salt=4, merge=True).withColumn("__e", F.exp(F.col("__l") - F.col("__top")))
     total = e.groupBy("example_id").agg(F.sum("__e").alias("__s"))
-    return attach(e, total, ["example_id"]).withColumn("probability", F.col("__e") / F.col("__s")).select(*df.columns, "probability")
+    return attach(e, total, ["example_id"], salt=4, merge=True).withColumn("probability", F.col("__e") / F.col("__s")).select(*df.columns, "probability")
 
 
 def cross_fit_choice(df: DataFrame, size: int, folds: int = 4, ridge: float = 1e-3) -> DataFrame:
