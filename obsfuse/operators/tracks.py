@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -305,11 +306,12 @@ def _track_layers(ids: np.ndarray, frames: np.ndarray, cols: list[np.ndarray], l
     return out
 
 
-def _pair_blocks(left: DataFrame, right: DataFrame, config: AssociationConfig, n: int, m: int, best: bool) -> DataFrame:
+def _pair_blocks(left: DataFrame, right: DataFrame, config: AssociationConfig, n: int, m: int, best: bool, gauge_blocks: DataFrame | None = None) -> DataFrame:
     """Scores of all gated pairs, compared in blocks of tracks: every pair of tracks meets in exactly one task.
 
     Rows are copied once for each block of the other side, pairs are never shuffled.  With ``best`` only pairs stay that
-    are among the two best of a track (equal scores included) within their block.
+    are among the two best of a track (equal scores included) within their block.  With ``gauge_blocks`` rows carry what
+    :func:`joint_link_evidence` takes, and pairs get their ``normalized_rms``.
     """
     parts = [max(-(-k // PAIR_TRACKS), min(10, -(-k // 256)), 1) for k in (n, m)]
     cols = ["x", "y", "z", "association_probability"]
@@ -317,15 +319,21 @@ def _pair_blocks(left: DataFrame, right: DataFrame, config: AssociationConfig, n
     def side(df: DataFrame, own: int, is_left: bool) -> DataFrame:
         mine = F.pmod(F.xxhash64("track_id"), F.lit(parts[own])).cast("int")
         other = F.explode(F.sequence(F.lit(0), F.lit(parts[1 - own] - 1)))
-        rows = df.where("track_id IS NOT NULL AND frame IS NOT NULL").select(F.lit(is_left).alias("__left"), "track_id", "frame", *[F.col(c).cast("double").alias(c) for c in cols], mine.alias("__m")).select("*", other.alias("__o"))
+        more = [] if gauge_blocks is None else ["case_id", "window_id", F.col("window_id").alias("__with"), F.concat("jacobian", F.array(*[f"k_{s}" for s in v3.SYM])).alias("__joint")]
+        rows = df.where("track_id IS NOT NULL AND frame IS NOT NULL").select(F.lit(is_left).alias("__left"), "track_id", "frame", *[F.col(c).cast("double").alias(c) for c in cols], *more, mine.alias("__m")).select("*", other.alias("__o"))
         names = ("__i", "__j") if is_left else ("__j", "__i")
         return rows.withColumnsRenamed(dict(zip(("__m", "__o"), names, strict=True)))
 
     kind = left.schema["track_id"].dataType.simpleString()
     schema = f"left_id {kind}, right_id {kind}, shared_frames bigint, support double, maximum_distance double, rms double, score double"
+    judged = gauge_blocks is not None
+    if judged:
+        schema += ", normalized_rms double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)).sort_by("track_id")
+        table = pa.Table.from_batches(list(batches))
+        gauge = table.filter(pc.is_null(table["__left"]))
+        table = table.filter(pc.is_valid(table["__left"])).sort_by("track_id")
         frames = table["frame"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
         isl = table["__left"].to_numpy()
         sides = []
@@ -335,6 +343,7 @@ def _pair_blocks(left: DataFrame, right: DataFrame, config: AssociationConfig, n
             values = [part[c].to_numpy().astype(float) for c in cols]
             sides.append((code.dictionary, code.indices.to_numpy(zero_copy_only=False), frames[sel], values))
         (lid, lc, lf, lv), (rid, rc, rf, rv) = sides
+        evidence = None if not judged else _Evidence(*[table.filter(pa.array(sel)) for sel in (isl, ~isl)], gauge, sides)
         rights = [(c, min(c + PAIR_BLOCK, len(rid))) for c in range(0, len(rid), PAIR_BLOCK)]
         right_layers = [_track_layers(rc, rf, rv, *r) for r in rights]
         for lo in range(0, len(lid), PAIR_BLOCK):
@@ -345,13 +354,118 @@ def _pair_blocks(left: DataFrame, right: DataFrame, config: AssociationConfig, n
                 if not len(found[0]):
                     continue
                 i, j, *values = found
+                if evidence is not None:
+                    values.append(evidence.of(lo, hi, c0, c1, i, j))
                 yield pa.RecordBatch.from_arrays([lid.take(pa.array(lo + i)), rid.take(pa.array(c0 + j)), *[v if isinstance(v, pa.Array) else pa.array(v) for v in values]], schema_names)
 
-    schema_names = ["left_id", "right_id", "shared_frames", "support", "maximum_distance", "rms", "score"]
+    schema_names = [part.split()[0] for part in schema.split(", ")]
     both = side(left, 0, True).unionByName(side(right, 1, False))
+    if gauge_blocks is not None:
+        at = [F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias(c) for c, k in zip(("__i", "__j"), parts, strict=True)]
+        known = gauge_blocks.select("case_id", F.col("window_i").alias("window_id"), F.col("window_j").alias("__with"), F.col("block").alias("__joint"))
+        both = both.unionByName(known.select("*", at[0]).select("*", at[1]), allowMissingColumns=True)
     return both.groupBy("__i", "__j").applyInArrow(run, schema)
 
 
+class _Evidence:
+    """Normalised RMS of pairs of tracks in a block under the covariance of their gauges, by frames.
+
+    The parts of a residual's covariance that one side gives are computed once for each row, those of both sides from
+    the left Jacobian times the shared gauge block.  Rows whose windows have no such block count nowhere.
+    """
+
+    def __init__(self, left: pa.Table, right: pa.Table, gauge: pa.Table, sides: list, floor: float = 1e-12) -> None:
+        self.floor, self.sides = floor, []
+        names = [gauge[c].to_pylist() for c in ("case_id", "window_id", "__with")]
+        values = np.array(gauge["__joint"].to_pylist(), float).reshape(-1, 7, 7)
+        self.blocks = dict(zip(zip(*names, strict=True), values, strict=True))
+        sym, upper = [0, 1, 2, 1, 3, 4, 2, 4, 5], [0, 1, 2, 4, 5, 8]
+        for table, (_, code, frame, cols) in zip((left, right), sides, strict=True):
+            flat = table["__joint"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, 27)
+            jac, spread = flat[:, :21].reshape(-1, 3, 7), flat[:, 21:][:, sym].reshape(-1, 3, 3)
+            places = list(zip(table["case_id"].to_pylist(), table["window_id"].to_pylist(), strict=True))
+            known = {p: k for k, p in enumerate(dict.fromkeys(places))}
+            place = np.array([known[p] for p in places], dtype=np.int64)
+            for (case, window), k in known.items():
+                own = self.blocks.get((case, window, window))
+                rows = place == k
+                spread[rows] = np.nan if own is None else spread[rows] + jac[rows] @ own @ np.swapaxes(jac[rows], 1, 2)
+            order = np.lexsort((frame, code))
+            again = np.zeros(len(code), dtype=np.int64)  # rows of one track and frame lie in layers of their own
+            for i in np.flatnonzero((np.diff(code[order]) == 0) & (np.diff(frame[order]) == 0)) + 1:
+                again[order[i]] = again[order[i - 1]] + 1
+            self.sides.append((code, frame, again, np.stack(cols[:3], axis=1), cols[3], spread.reshape(-1, 9)[:, upper], jac, place, list(known)))
+        self.turned: dict = {}
+
+    def _layers(self, side: int, lo: int, hi: int) -> dict:
+        code, frame, again = self.sides[side][:3]
+        out: dict = {}
+        mine = np.flatnonzero((code >= lo) & (code < hi))
+        for key in np.unique(np.stack([frame[mine], again[mine]], axis=1), axis=0).tolist():
+            rows = mine[(frame[mine] == key[0]) & (again[mine] == key[1])]
+            at = np.full(hi - lo, -1, dtype=np.int64)
+            at[code[rows] - lo] = rows
+            out.setdefault(key[0], []).append(at)
+        return out
+
+    def of(self, lo: int, hi: int, c0: int, c1: int, i: np.ndarray, j: np.ndarray) -> pa.Array:
+        here, there = self._layers(0, lo, hi), self._layers(1, c0, c1)
+        meets = [(a, b) for f in sorted(here.keys() & there.keys()) for a in here[f] for b in there[f]]
+        top, total, some = np.zeros(len(i)), np.zeros(len(i)), np.zeros(len(i), dtype=bool)
+        for start in range(0, len(i), 32_768):
+            s = slice(start, start + 32_768)
+            for a, b in meets:
+                x, y = a[i[s]], b[j[s]]
+                k = np.flatnonzero((x >= 0) & (y >= 0))
+                w, q = self._rows(x[k], y[k])
+                fine, k = ~np.isnan(w), start + k
+                total[k[fine]] += w[fine]
+                fine &= ~np.isnan(q)
+                top[k[fine]] += (w * q)[fine]
+                some[k[fine]] = True
+        none = ~some | (total == 0)
+        return pa.array(np.sqrt(np.divide(top, total, out=np.zeros(len(i)), where=~none)), mask=none)
+
+    def _rows(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weight and normalised squared residual of pairs of rows; a pair without its gauge blocks has no weight."""
+        (_, _, _, lp, lw, ls, lj, lk, lnames), (_, _, _, rp, rw, rs, rj, rk, rnames) = self.sides
+        w, q = np.full(len(x), np.nan), np.full(len(x), np.nan)
+        both = lk[x] * len(rnames) + rk[y]
+        for at in np.unique(both).tolist():
+            (case, one), (other_case, two) = lnames[at // len(rnames)], rnames[at % len(rnames)]
+            block = self.blocks.get((case, one, two))
+            if case != other_case or block is None or not {(case, one, one), (case, two, two)} <= self.blocks.keys():
+                continue
+            if at not in self.turned:
+                self.turned[at] = lj @ block
+            k = np.flatnonzero(both == at)
+            a, b = self.turned[at][x[k]], rj[y[k]]
+            xx, xy, xz, yy, yz, zz = ls[x[k]].T + rs[y[k]].T
+
+            def cross(m: int, n: int, a: np.ndarray = a, b: np.ndarray = b) -> np.ndarray:
+                return np.einsum("ij,ij->i", a[:, m], b[:, n])
+
+            xx, yy, zz = (v - 2 * cross(m, m) + self.floor for m, v in enumerate((xx, yy, zz)))
+            xy, xz, yz = (v - cross(m, n) - cross(n, m) for (m, n), v in (((0, 1), xy), ((0, 2), xz), ((1, 2), yz)))
+            d = lp[x[k]] - rp[y[k]]
+            e, f, g = d.T
+            c0, c1, c2 = yy * zz - yz * yz, xz * yz - xy * zz, xy * yz - xz * yy
+            c3, c4, c5 = xx * zz - xz * xz, xy * xz - xx * yz, xx * yy - xy * xy
+            det = xx * c0 + xy * c1 + xz * c2
+            bad = ~((xx > 0) & (c5 > 0) & (det > 1e-6 * (np.abs(xx + yy + zz) / 3) ** 3))
+            value = (c0 * e * e + c3 * f * f + c5 * g * g + 2 * (c1 * e * f + c2 * e * g + c4 * f * g)) / np.where(bad, 1.0, det) / 3.0
+            if bad.any():  # nearly singular: by eigenvalues, not below the floor
+                full = np.stack([xx, xy, xz, xy, yy, yz, xz, yz, zz], axis=1)[bad].reshape(-1, 3, 3)
+                sound = np.isfinite(full).all(axis=(1, 2))
+                size, axes = np.linalg.eigh(full[sound])
+                turned = np.einsum("nji,nj->ni", axes, d[bad][sound])
+                part = np.full(len(full), np.nan)
+                part[sound] = (turned * turned / np.maximum(size, self.floor)).sum(axis=1) / 3.0
+                value[bad] = part
+            w[k], q[k] = lw[x[k]] * rw[y[k]], value
+        return w, q
+
+
 def _compare(here: dict, there: dict, n: int, m: int, config: AssociationConfig, best: bool) -> tuple[np.ndarray, ...]:
     """Gated pairs of two blocks of tracks with their sums over shared frames."""
     limit = config.distance * config.distance
@@ -547,6 +661,9 @@ def joint_link_evidence(left: DataFrame, right: DataFrame, blocks: DataFrame, co
     ordered pair of windows: a candidate meets the blocks (left, left), (right, right) and (left, right).  Support,
     score and ranking stay geometric; the covariance only normalises the residuals.
     """
+    crowded, n, m = _crowded(left, right, config.distance) if config.distance is not None else (False, 0, 0)
+    if crowded and config.maximum_pairs is None:
+        return _pair_blocks(left, right, config, n, m, False, blocks)
     candidates = durable(candidate_scores(left, right, config))
 
     def side(rows: DataFrame, name: str, cov: str) -> DataFrame:
