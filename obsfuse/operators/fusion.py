@@ -184,6 +184,31 @@ def quadratic_step(weights: np.ndarray, gain: np.ndarray, curve: np.ndarray) ->
         free = np.delete(free, found.argmin())
 
 
+def _weight_sums(packed: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Rows, the sum of log det M, of all tr(M^-1 I_k) and of tr(M^-1 I_k M^-1 I_l), from packed informations."""
+    info = packed[:, :, [0, 1, 2, 1, 3, 4, 2, 4, 5]].reshape(len(packed), len(w), 3, 3)
+    mix = np.einsum("k,nkij->nij", w, info)
+    ratio = np.linalg.solve(mix[:, None], info)
+    curve = np.einsum("nkij,nlji->kl", ratio, ratio)
+    return np.concatenate([[len(packed), np.linalg.slogdet(mix)[1].sum()], np.einsum("nkii->k", ratio), curve.ravel()])
+
+
+def _next_weights(w: np.ndarray, base: np.ndarray, best: float, sums: np.ndarray, tolerance: float) -> tuple[np.ndarray, np.ndarray, float, bool]:
+    """Weights, base, value and whether they are settled after one step; one that does not raise the value is halved."""
+    k = len(w)
+    value, gain, curve = sums[1] / sums[0], sums[2 : 2 + k] / sums[0], sums[2 + k :].reshape(k, k) / sums[0]
+    if value < best - 1e-13:
+        close = bool(np.abs(w - base).max() <= tolerance)
+        return (base if close else (w + base) / 2), base, best, close
+    # at the optimum no contributor's gain is above the dimension
+    settled = bool(gain.max() <= 3.0 + tolerance)
+    return (w if settled else quadratic_step(w, gain, curve)), w, value, settled
+
+
+def _packed_information() -> Column:
+    return F.flatten(F.transform("members", lambda m: F.array(*[m[i] for i in INFO])))
+
+
 def _curvature(cells: DataFrame, groups: Sequence[str]) -> DataFrame:
     """Per group the number of rows, and sums of log det M, of all tr(M^-1 I_k) and tr(M^-1 I_k M^-1 I_l)."""
     types = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
@@ -193,27 +218,59 @@ def _curvature(cells: DataFrame, groups: Sequence[str]) -> DataFrame:
         for b in batches:
             for _, rows in b.groupby(b["spot"], sort=False):
                 w = np.asarray(rows["weights"].iloc[0], float)
-                packed = np.array(rows["i"].tolist(), float).reshape(len(rows), len(w), 6)
-                info = packed[:, :, [0, 1, 2, 1, 3, 4, 2, 4, 5]].reshape(len(rows), len(w), 3, 3)
-                mix = np.einsum("k,nkij->nij", w, info)
-                ratio = np.linalg.solve(mix[:, None], info)
-                curve = np.einsum("nkij,nlji->kl", ratio, ratio)
-                parts = np.concatenate([[len(rows), np.linalg.slogdet(mix)[1].sum()], np.einsum("nkii->k", ratio), curve.ravel()])
+                parts = _weight_sums(np.array(rows["i"].tolist(), float).reshape(len(rows), len(w), 6), w)
                 out = pd.DataFrame({"at": np.arange(len(parts), dtype=np.int32), "part": parts})
                 for g in groups:
                     out[g] = [rows[g].iloc[0]] * len(out)
                 yield out[[*groups, "at", "part"]]
 
-    flat = F.flatten(F.transform("members", lambda m: F.array(*[m[i] for i in INFO]))).alias("i")
+    flat = _packed_information().alias("i")
     spot = F.xxhash64(*groups).alias("spot")
     parts = cells.select(*groups, "weights", spot, flat).mapInPandas(partial, schema)
     sums = parts.groupBy(*groups, "at").agg(F.sum("part").alias("part"))
     return sums.groupBy(*groups).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda s: s["part"]).alias("sums"))
 
 
+#: cells of a group whose weights are found in one task.
+GROUP_CELLS = 20_000
+
+
 def nway_weights(cells: DataFrame, groups: Sequence[str], iterations: int = 40, tolerance: float = 1e-9) -> DataFrame:
     """Generalised CI weights for three or more contributors, from all rows of each group.
 
+    Groups of up to ``GROUP_CELLS`` rows are solved in one pass, each in one task; larger ones by rounds over all of them.
+    """
+    groups = list(groups)
+    sizes = cells.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"))
+    large = durable(sizes.where(F.col("n") > GROUP_CELLS).select(*groups))
+    if large.isEmpty():
+        return _grouped_weights(cells, groups, iterations, tolerance)
+    # few beside the cells: each has more than GROUP_CELLS of them
+    small, rest = (cells.join(F.broadcast(large), groups, how) for how in ("left_anti", "left_semi"))
+    return _grouped_weights(small, groups, iterations, tolerance).unionByName(_spread_weights(rest, groups, iterations, tolerance))
+
+
+def _grouped_weights(cells: DataFrame, groups: list[str], iterations: int, tolerance: float) -> DataFrame:
+    """:func:`nway_weights` of groups that fit one task."""
+    types = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
+    schema = ", ".join(f"`{g}` {types[g]}" for g in groups) + ", weights array<double>"
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        packed = np.array(rows["i"].tolist(), float).reshape(len(rows), -1, 6)
+        base = w = np.full(packed.shape[1], 1.0 / packed.shape[1])
+        value, settled = -np.inf, False
+        for _ in range(iterations):
+            w, base, value, settled = _next_weights(w, base, value, _weight_sums(packed, w), tolerance)
+            if settled:
+                break
+        return pd.DataFrame({**{g: [rows[g].iloc[0]] for g in groups}, "weights": [w if settled else base]})
+
+    return cells.select(*groups, _packed_information().alias("i")).groupBy(*groups).applyInPandas(solve, schema)
+
+
+def _spread_weights(cells: DataFrame, groups: Sequence[str], iterations: int, tolerance: float) -> DataFrame:
+    """:func:`nway_weights` of groups of any size.
+
     Every round is one aggregation of value, gradient and curvature over the rows and one small
     problem for each group; a step that does not raise the mean log determinant is halved. Groups
     whose gradient shows an optimum leave the loop.
@@ -228,16 +285,8 @@ def nway_weights(cells: DataFrame, groups: Sequence[str], iterations: int = 40,
             rows = []
             for r in b.to_dict("records"):
                 w, base, sums = np.asarray(r["weights"], float), np.asarray(r["base"], float), np.asarray(r["sums"], float)
-                k = len(w)
-                value, gain, curve = sums[1] / sums[0], sums[2 : 2 + k] / sums[0], sums[2 + k :].reshape(k, k) / sums[0]
-                head = {g: r[g] for g in groups}
-                if value < r["value"] - 1e-13:
-                    close = np.abs(w - base).max() <= tolerance
-                    rows.append({**head, "weights": base if close else (w + base) / 2, "base": base, "value": r["value"], "settled": close})
-                    continue
-                # at the optimum no contributor's gain is above the dimension
-                settled = gain.max() <= 3.0 + tolerance
-                rows.append({**head, "weights": w if settled else quadratic_step(w, gain, curve), "base": w, "value": value, "settled": settled})
+                w, base, value, settled = _next_weights(w, base, r["value"], sums, tolerance)
+                rows.append({**{g: r[g] for g in groups}, "weights": w, "base": base, "value": value, "settled": settled})
             yield pd.DataFrame(rows, columns=[*groups, "weights", "base", "value", "settled"])
 
     start = F.expr("array_repeat(1D / size(pattern), size(pattern))")
