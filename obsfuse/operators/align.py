@@ -425,7 +425,7 @@ def metric_anchor(samples: DataFrame, truth: DataFrame, fit_end: int, **options)
     key = ["case_id", "frame", "row", "col"]
     t = truth.where("valid").where(F.col("frame") < fit_end).select(*key, *[F.col(c).alias(f"p{c}") for c in "xyz"])
     p = samples.where("valid").select(*key, "window_id", *[F.col(c).alias(f"s{c}") for c in "xyz"])
-    return fit_edges_distributed(p.join(t, key), ["case_id", "window_id"], **options)
+    return fit_whole_edges(p.join(t, key), ["case_id", "window_id"], **options)
 
 
 def two_point_scale(anchors: DataFrame, keys: Sequence[str] = ("case_id", "window_id")) -> DataFrame:
