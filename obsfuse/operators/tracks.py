@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import math
+import operator
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -12,11 +15,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from obsfuse.functions import vec3 as v3
 from obsfuse.operators.joins import spatial_pairs
 from obsfuse.operators.project import link_likelihood
-from obsfuse.runtime import attach, durable, violations
+from obsfuse.runtime import attach, durable, maybe_broadcast, violations
 
 WINDOW = ["case_id", "window_id"]
 PIXEL = [*WINDOW, "frame", "row", "col"]
@@ -681,62 +685,156 @@ def joint_link_evidence(left: DataFrame, right: DataFrame, blocks: DataFrame, co
 # --- nearest points --------------------------------------------------------------------------
 
 
+#: Sources of one tile that a task compares at once; a tile with more of them is copied.
+_TILE_SOURCES = 65_536
+
+
 def nearest_points(
-    sources: DataFrame, targets: DataFrame, keys: Sequence[str], source_id: str = "point_id", target_id: str = "point_id", cell: float | None = None, squared: bool = False
+    sources: DataFrame, targets: DataFrame, keys: Sequence[str], source_id: str = "point_id", target_id: str = "point_id", tile: int = 2048, squared: bool = False
 ) -> DataFrame:
     """Exact nearest target (distance, then id) of every source point within its key.
 
     With ``squared`` targets are ranked by their squared distance: roots of different squares may be equal.
 
-    Expanding grid: a hit found among the 27 neighbour cells is final when its distance
-    does not exceed the cell size, because every other point is farther.  Unresolved
-    points go to the next round with a four times larger cell; a final round compares
-    what is left with its whole key through per-key blocks, so the search is exact.
+    The places of a key's targets are cut into tiles of at most ``tile`` (more above 32 million places, so that the
+    boxes of all tiles stay a small table), along their widest side.  A source meets the tile whose box is nearest, then
+    only the tiles whose box is no farther than what it found.  A source without finite coordinates, or whose key has no
+    target with them, gets the smallest id.
     """
     keys = list(keys)
-    s = sources.select(*keys, F.col(source_id).alias("source_id"), *[F.col(c).alias(f"s{c}") for c in "xyz"])
-    t = durable(targets.select(*keys, F.col(target_id).alias("target_id"), *[F.col(c).alias(f"t{c}") for c in "xyz"]))
-    box = t.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[(F.max(f"t{c}") - F.min(f"t{c}")).alias(f"w{c}") for c in "xyz"])
-    if cell is None:
-        vol = F.greatest(F.col("wx"), F.lit(1e-9)) * F.greatest(F.col("wy"), F.lit(1e-9)) * F.greatest(F.col("wz"), F.lit(1e-9))
-        guess = box.agg(F.avg(F.pow(vol / F.col("n"), F.lit(1.0 / 3.0))).alias("h")).collect()[0]["h"]
-        cell = float(guess or 1.0)
-    wide = box.agg(F.max(F.greatest("wx", "wy", "wz")).alias("w")).collect()[0]["w"]
-    todo, done = durable(s.join(t.select(*keys).distinct(), keys, "left_semi")), None
-    offsets = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)])
-    d = v3.sub(v3.vec("s"), v3.vec("t"))
-    square = v3.dot(d, d)  # type: ignore[arg-type]
-    rank = square if squared else F.sqrt(square)
-    dist = F.sqrt("m.rank") if squared else F.col("m.rank")
-    h = cell
+
+    def finite(side: str) -> Column:
+        return functools.reduce(operator.and_, [F.coalesce(F.abs(F.col(f"{side}{c}")) < F.lit(math.inf), F.lit(False)) for c in "xyz"])
+
+    def rank(a: list[Column], b: list[Column]) -> Column:
+        square = sum(((p - q) * (p - q) for p, q in zip(a, b, strict=True)), F.lit(0.0))
+        return square if squared else F.sqrt(square)
+
+    s = sources.select(*keys, F.col(source_id).alias("source_id"), *[F.col(c).cast("double").alias(f"s{c}") for c in "xyz"])
+    t = durable(targets.select(*keys, F.col(target_id).alias("target_id"), *[F.col(c).cast("double").alias(f"t{c}") for c in "xyz"]).dropna(subset=keys))
+    known = durable(t.groupBy(*keys).agg(F.min(F.struct("target_id", "tx", "ty", "tz")).alias("first"), F.count(F.when(finite("t"), 1)).alias("n")))
+    places, boxes = _tiles(t.where(finite("t")).groupBy(*keys, "tx", "ty", "tz").agg(F.min("target_id").alias("target_id")), keys, tile)
+    s = s.join(maybe_broadcast(known), keys)
+    plain = finite("s") & (F.col("n") > 0)
+    odd = s.where(~plain).select(*keys, "source_id", rank([F.col(f"s{c}") for c in "xyz"], [F.col(f"first.t{c}") for c in "xyz"]).alias("rank"), "first.target_id")
+
+    columns = [*keys, "source_id", "sx", "sy", "sz"]
+    numbers = {key: i for i, key in enumerate(boxes)}
+    fields = [s.schema[k] for k in keys]
+    table = s.sparkSession.createDataFrame([(*key, i) for key, i in numbers.items()], StructType([*fields, StructField("number", LongType())]))
+    start = s.where(plain).select(*columns).join(F.broadcast(table), keys, "left").withColumns({"tile": F.lit(0).cast("long"), "rank": F.lit(None).cast("double")})
+    visits = _visits(list(boxes.values()), squared)
+    first = durable(_meet_tiles(durable(start.mapInArrow(visits, start.schema)), places, keys, squared))
+    more = first.where("number IS NOT NULL").drop("target_id").select(*start.columns)
+    found = first.unionByName(_meet_tiles(durable(more.mapInArrow(visits, start.schema)), places, keys, squared))
+    found = found.groupBy(*keys, "source_id").agg(F.min(F.struct("rank", "target_id")).alias("m")).select(*keys, "source_id", "m.rank", "m.target_id")
+    return found.unionByName(odd).select(*keys, "source_id", (F.sqrt("rank") if squared else F.col("rank")).alias("distance"), "target_id")
+
+
+def _tiles(places: DataFrame, keys: list[str], tile: int) -> tuple[DataFrame, dict[tuple, tuple[np.ndarray, ...]]]:
+    """``places`` with their ``tile``, and tiles with their boxes of each key that has several.
+
+    A tile with too many places is cut at up to 16 quantiles of its widest side, and half way along it, until none is left.
+    """
+    places = durable(places.withColumn("tile", F.lit(0).cast("long")))
+    size = max(tile, -(-places.count() // 16_384))
+    side = [F.min(f"t{c}").alias(f"low_{c}") for c in "xyz"] + [F.max(f"t{c}").alias(f"high_{c}") for c in "xyz"]
     while True:
-        g = {f"g{c}": F.floor(F.col(f"s{c}") / F.lit(h)).cast("bigint") for c in "xyz"}
-        a = todo.withColumns(g).withColumn("o", F.explode(offsets))
-        a = a.withColumns({"gx": F.col("gx") + F.col("o.a"), "gy": F.col("gy") + F.col("o.b"), "gz": F.col("gz") + F.col("o.c")}).drop("o")
-        b = t.withColumns({f"g{c}": F.floor(F.col(f"t{c}") / F.lit(h)).cast("bigint") for c in "xyz"})
-        hit = a.join(b, [*keys, "gx", "gy", "gz"]).groupBy(*keys, "source_id").agg(
-            F.min(F.struct(rank.alias("rank"), F.col("target_id"))).alias("m")
-        ).select(*keys, "source_id", dist.alias("distance"), "m.target_id")
-        sure = durable(hit.where(F.col("distance") <= h))
-        done = sure if done is None else done.unionByName(sure)
-        todo = durable(todo.join(sure.select(*keys, "source_id"), [*keys, "source_id"], "left_anti"))
-        if todo.isEmpty():
-            return done
-        if h > 4 * float(wide or 0.0):
+        crowded = places.groupBy(*keys, "tile").agg(F.count(F.lit(1)).alias("n"), *side, *[F.percentile_approx(f"t{c}", [i / 16 for i in range(1, 16)]).alias(f"q_{c}") for c in "xyz"])
+        crowded = crowded.where(F.col("n") > size)
+        wide = F.greatest(*[F.col(f"high_{c}") - F.col(f"low_{c}") for c in "xyz"])
+        axis = F.when(F.col("high_x") - F.col("low_x") == wide, "x").when(F.col("high_y") - F.col("low_y") == wide, "y").otherwise("z")
+        low, high, q = (_of_axis(F.col("axis"), name) for name in ("low_", "high_", "q_"))
+        middle = low / 2 + high / 2
+        ways = F.least(F.lit(16), F.ceil(F.col("n") / F.lit(size)))
+        some = F.transform(F.sequence(F.lit(1), ways - 1), lambda i: F.element_at(q, F.least(F.lit(15), F.greatest(F.lit(1), F.round(i * 16 / ways)).cast("int"))))
+        cuts = F.array_distinct(F.concat(some, F.array(F.when(middle < high, middle).otherwise(low))))
+        cut = durable(crowded.withColumn("axis", axis).select(*keys, "tile", "axis", cuts.alias("cuts")))
+        if cut.isEmpty():
             break
-        h *= 4.0
-    # left over: points far outside the target box; one target block at a time per key
-    blocks = t.groupBy(*keys, F.pmod(F.xxhash64("target_id"), F.lit(64)).alias("blk")).agg(
-        F.collect_list(F.struct("target_id", "tx", "ty", "tz")).alias("ts")
-    )
-    rest = todo.join(blocks, keys)
+        # equal hashes would only make one tile of two
+        part = F.size(F.filter("cuts", lambda c: c < _of_axis(F.col("axis"), "t")))
+        places = places.join(F.broadcast(cut), [*keys, "tile"], "left").withColumn("tile", F.when(F.col("cuts").isNull(), F.col("tile")).otherwise(F.xxhash64("tile", part)))
+        places = durable(places.drop("axis", "cuts"))
+    boxes: dict[tuple, list[tuple]] = {}
+    for r in places.where("tile <> 0").groupBy(*keys, "tile").agg(*side).collect():
+        boxes.setdefault(tuple(r[: len(keys)]), []).append(tuple(r[len(keys) :]))
+    return places, {k: (np.array([b[0] for b in v], np.int64), np.array([b[1:4] for b in v]), np.array([b[4:] for b in v])) for k, v in boxes.items()}
 
-    def measure(p: Column) -> Column:
-        square = sum(((F.col(f"s{c}") - p[f"t{c}"]) ** 2 for c in "xyz"), F.lit(0.0))
-        return F.struct((square if squared else F.sqrt(square)).alias("rank"), p["target_id"].alias("target_id"))
 
-    far = rest.select(*keys, "source_id", F.array_min(F.transform("ts", measure)).alias("m")).groupBy(*keys, "source_id").agg(F.min("m").alias("m"))
-    return done.unionByName(far.select(*keys, "source_id", dist.alias("distance"), "m.target_id"))
+def _of_axis(axis: Column, prefix: str) -> Column:
+    return F.when(axis == "x", F.col(f"{prefix}x")).when(axis == "y", F.col(f"{prefix}y")).otherwise(F.col(f"{prefix}z"))
+
+
+def _visits(boxes: list[tuple[np.ndarray, ...]], squared: bool):
+    """Rows of sources with the tile to visit: without a rank the nearest one, with a rank all others that may hold a better target."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            number = batch["number"].fill_null(-1).to_numpy(zero_copy_only=False)
+            rank = batch["rank"].to_numpy(zero_copy_only=False).astype(float)
+            point = np.column_stack([batch[f"s{c}"].to_numpy(zero_copy_only=False) for c in "xyz"])
+            small = np.flatnonzero(number < 0)
+            rows, tiles = [small], [np.zeros(len(small), np.int64)]
+            for i in np.unique(number[number >= 0]):
+                own, low, high = boxes[i]
+                of = np.flatnonzero(number == i)
+                step = max(1, 1_000_000 // len(own))
+                for at in range(0, len(of), step):
+                    k = of[at : at + step]
+                    gap = sum(np.maximum(np.maximum(low[:, c] - point[k, c, None], point[k, c, None] - high[:, c]), 0.0) ** 2 for c in range(3))
+                    near = gap.argmin(axis=1)
+                    seen = ~np.isnan(rank[k])
+                    bound = rank[k] if squared else rank[k] ** 2
+                    with np.errstate(invalid="ignore"):
+                        visit = gap <= (bound * (1 + 1e-12) + 1e-300)[:, None]
+                    visit[~seen] = False
+                    visit[np.arange(len(k)), near] = ~seen
+                    r, c = np.nonzero(visit)
+                    rows.append(k[r])
+                    tiles.append(own[c])
+            out = batch.take(pa.array(np.concatenate(rows), pa.int64()))
+            out = out.set_column(out.schema.get_field_index("tile"), "tile", pa.array(np.concatenate(tiles), pa.int64()))
+            out = out.set_column(out.schema.get_field_index("rank"), "rank", pa.nulls(out.num_rows, pa.float64()))
+            for at in range(0, out.num_rows, 10_000):
+                yield out.slice(at, 10_000)
+
+    return run
+
+
+def _meet_tiles(visits: DataFrame, places: DataFrame, keys: list[str], squared: bool) -> DataFrame:
+    """The nearest target of each visiting source in its tile, as ``rank`` and ``target_id``."""
+    many = visits.groupBy(*keys, "tile").agg(F.ceil(F.count(F.lit(1)) / F.lit(_TILE_SOURCES)).cast("int").alias("parts")).where("parts > 1")
+    many = F.broadcast(durable(many))
+    left = visits.join(many, [*keys, "tile"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("source_id", "sx", "sy", "sz"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
+    right = places.join(many, [*keys, "tile"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1))).drop("parts")
+    schema = StructType([*visits.schema.fields, StructField("target_id", places.schema["target_id"].dataType)])
+
+    def run(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        if not mine.num_rows or not theirs.num_rows:
+            return pa.table({f.name: mine[f.name][:0] if f.name != "target_id" else theirs["target_id"][:0] for f in schema})
+        theirs = theirs.sort_by("target_id")
+        x, y, z = (theirs[f"t{c}"].to_numpy() for c in "xyz")
+        at = [mine[f"s{c}"].to_numpy()[:, None] for c in "xyz"]
+        best, rank = np.empty(mine.num_rows, np.int64), np.empty(mine.num_rows)
+        step = max(1, 131_072 // len(x))
+        for k in range(0, mine.num_rows, step):
+            e = slice(k, k + step)
+            d = at[0][e] - x
+            d *= d
+            for other, c in ((at[1], y), (at[2], z)):
+                g = other[e] - c
+                g *= g
+                d += g
+            if not squared:
+                np.sqrt(d, out=d)
+            best[e] = d.argmin(axis=1)
+            rank[e] = d[np.arange(len(d)), best[e]]
+        new = {"rank": pa.array(rank), "target_id": theirs["target_id"].take(pa.array(best))}
+        return pa.table({f.name: new.get(f.name, mine[f.name] if f.name in mine.column_names else None) for f in schema})
+
+    by = [*keys, "tile", "part"]
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, schema)
 
 
 def point_set_metrics(a: DataFrame, b: DataFrame, keys: Sequence[str], near: Sequence[float] = (0.01, 0.02)) -> DataFrame:
@@ -744,7 +842,7 @@ def point_set_metrics(a: DataFrame, b: DataFrame, keys: Sequence[str], near: Seq
     from obsfuse.operators.ranking import exact_quantiles
 
     keys = list(keys)
-    ab, ba = nearest_points(a, b, keys), nearest_points(b, a, keys)
+    ab, ba = durable(nearest_points(a, b, keys)), nearest_points(b, a, keys)
     f = ab.groupBy(*keys).agg(
         F.avg("distance").alias("forward_mean"), F.count(F.lit(1)).alias("points"),
         *[F.avg(F.when(F.col("distance") <= n, 1.0).otherwise(0.0)).alias(f"coverage_{i}") for i, n in enumerate(near)],
