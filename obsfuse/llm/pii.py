@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from obsfuse.llm.boosting import Trees, fit_trees
-from obsfuse.llm.store import text_batches, texts
+from obsfuse.llm.boosting import Trees, codes, fit_counted
+from obsfuse.llm.store import kept, text_batches, texts
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -182,7 +182,7 @@ def rewritten(kind: int, s: str) -> tuple[list[str], list[tuple[str, int]]]:
         code, d = "-".join(near), digits[-7:]
         day = f"20{d[:2]}-0{d[2]}-1{d[3]}"
         codes = [(f"{letters}{code}", len(letters)) for letters in ("AB-", "X/", "no_")]
-        return forms, codes + [(c, 0) for c in (day, f"{day} 1{d[4]}", f"1{d[4]}.0{d[2]}.20{d[:2]}", f"20{d[:2]}-20{d[2:4]}", f"19{d[:2]} 20{d[2:4]}", f"978-{d[0]}-{d[1:3]}-{d[:6]}-{d[6]}")]
+        return forms, codes + [(c, 0) for c in (day, f"{day} 1{d[4]}", f"1{d[4]}.0{d[2]}.20{d[:2]}", f"20{d[:2]}-20{d[2:4]}", f"19{d[:2]} 20{d[2:4]}", f"{d[:3]}.{'.'.join(d[3:])}", f"978-{d[0]}-{d[1:3]}-{d[:6]}-{d[6]}")]
     return [], []
 
 
@@ -282,45 +282,58 @@ def calibrated_threshold(score: np.ndarray, label: np.ndarray, weight: np.ndarra
     return float(1 / (1 + np.exp(-(odds[first] + odds[first - 1]) / 2))) if first else float(values[0])
 
 
-def fit_finder(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 4096, precision: float = 0.9, per_row: int = 256
-) -> Finder:
-    """Fit on the examples of at most ``sample`` rows that hold a digit or ``@``, those with the smallest hash of id
-    and text, equal ones once, and of each at most ``per_row`` examples, taken at even distances.
+def example_cells(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(code, label, test, weight)``: the distinct `examples` of all rows, in bins, with the sum of their weights.
 
-    A third of the rows, by another hash, calibrates the scores and takes no part in the trees. A kind
-    without enough positive examples there to reach ``precision`` adds nothing.
+    Equal rows (id and text) count once.  ``test`` holds for a third of the rows, by a hash.
     """
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, of = [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
+            ids, found = [], []
+            for h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 every = examples(text)
-                every = every if len(every) <= per_row else [every[k * len(every) // per_row] for k in range(per_row)]
-                found += every
-                of += [i] * len(every)
-            ids = batch.column(0).take(pa.array(of, pa.int64()))
-            number = [pa.array([e[k] for e in found], pa.float64()) for k in (1, 2)]
-            x = pa.array([[float(v) for v in e[0]] for e in found], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([ids, *number, x], ["h", "label", "weight", "x"])
-
-    rows = texts(docs, id_col, text_col).where("doc_id IS NOT NULL AND rlike(text, '[0-9@]')")
-    rows = rows.select(F.xxhash64("doc_id", "text").alias("h"), "text")
-    chosen = rows.select("h").orderBy("h").limit(sample).distinct()  # bounds the broadcast
-    rows = rows.join(F.broadcast(chosen), "h", "left_semi").dropDuplicates(["h"])
-    listed_rows = rows.mapInArrow(listed, "h bigint, label double, weight double, x array<double>")
-    known = listed_rows.withColumn("test", F.pmod(F.xxhash64("h", F.lit("test")), F.lit(3)) == 0).toPandas()
-    if known.empty:
-        return Finder(Trees(3), (2.0,) * len(KINDS))
-    known["order"] = [tuple(v) for v in known["x"]]
-    known = known.sort_values(["h", "order", "label", "weight"])
-    x, y, w = np.array(known["order"].tolist(), float), known["label"].to_numpy(float), known["weight"].to_numpy(float)
-    test = known["test"].to_numpy(bool)
-    trees = fit_trees(x[~test], y[~test], weight=w[~test])
-    score = trees.score(x)
-    kinds = [(x[:, k] == 1) & test for k in range(len(KINDS))]
-    return Finder(trees, tuple(calibrated_threshold(score[m], y[m], w[m], precision) for m in kinds))
+                if not every:
+                    continue
+                sums: dict[tuple[bytes, float], float] = {}
+                for code, (_, label, weight) in zip(codes(np.array([e[0] for e in every], float)), every, strict=True):
+                    key = code.tobytes(), label
+                    sums[key] = sums.get(key, 0.0) + weight
+                ids.append(h)
+                found.append([{"code": c, "label": y, "weight": w} for (c, y), w in sums.items()])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.list_(cell))], ["h", "cells"])
+
+    cell = pa.struct([("code", pa.binary()), ("label", pa.float64()), ("weight", pa.float64())])
+    rows = texts(docs, id_col, text_col).where("rlike(text, '[0-9@]')").select(F.xxhash64("doc_id", "text").alias("h"), "text")
+    once = rows.mapInArrow(listed, "h bigint, cells array<struct<code: binary, label: double, weight: double>>").dropDuplicates(["h"])
+    test = F.pmod(F.xxhash64("h", F.lit("test")), F.lit(3)) == 0
+    return once.select(test.alias("test"), F.inline("cells")).groupBy("code", "label", "test").agg(F.sum("weight").alias("weight"))
+
+
+def fit_finder(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", precision: float = 0.9) -> Finder:
+    """Fit on the examples of all rows, equal rows once.
+
+    A third of the rows, by another hash, calibrates the scores and takes no part in the trees; scores are told apart
+    there by 1/1024 of their log-odds.  A kind without enough positive examples to reach ``precision`` adds nothing.
+    """
+    cells = kept(example_cells(docs, id_col, text_col))
+    trees = fit_counted(cells.where("NOT test"), len(span_features("", (0, 0, 0))))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = np.array([list(c) for c in batch.column("code").to_pylist()], float)
+                step = np.rint(np.clip(trees.odds(x), -30, 30) * 1024).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x[:, : len(KINDS)].argmax(axis=1)), pa.array(step), batch.column("label"), batch.column("weight")], ["kind", "step", "label", "weight"])
+
+    known = cells.where("test").mapInArrow(scored, "kind bigint, step bigint, label double, weight double")
+    known = known.groupBy("kind", "step", "label").agg(F.sum("weight").alias("weight")).toPandas()
+    limits = []
+    for k in range(len(KINDS)):
+        of = known[known["kind"] == k]
+        score = 1 / (1 + np.exp(-of["step"].to_numpy(float) / 1024))
+        limits.append(calibrated_threshold(score, of["label"].to_numpy(float), of["weight"].to_numpy(float), precision))
+    return Finder(trees, tuple(limits))
 
 
 def joined(spans: list[Span]) -> str:
