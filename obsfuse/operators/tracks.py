@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 import operator
 from collections.abc import Iterator, Sequence
@@ -25,6 +26,8 @@ from obsfuse.runtime import attach, durable, maybe_broadcast, violations
 WINDOW = ["case_id", "window_id"]
 PIXEL = [*WINDOW, "frame", "row", "col"]
 NODE = [*WINDOW, "local", "row", "col"]
+#: Pixels of the largest image whose cells `spatial_seeds` takes in one group.
+GROUP_PIXELS = 65_536
 
 
 # --- seeds ---------------------------------------------------------------------------------
@@ -44,7 +47,7 @@ def spatial_seeds(
 
     ``df`` holds the admissible pixels of the seed frame.  Regular: every stride-th pixel,
     optionally the first few per cell.  Stratified: in each cell anchors (centre first)
-    take their nearest unused pixel in turn; a cell is a bounded piece of one image.
+    take their nearest unused pixel in turn; a group is a small image or a cell, a bounded piece of a large one.
     """
     keys = list(keys)
     gr, gc = min(height, grid[0]), min(width, grid[1])
@@ -72,25 +75,31 @@ def spatial_seeds(
     types = {f.name: f.dataType.simpleString() for f in pix.schema.fields}
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", row int, col int, cell_id int"
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf["cell_row"].iloc[0]), int(pdf["cell_col"].iloc[0])
-        pts = pdf.sort_values(["row", "col"])[["row", "col"]].to_numpy()
-        free = np.ones(len(pts), dtype=bool)
+    def pick(table: pa.Table) -> pa.Table:
+        # the rows of a group in scan order of each cell: the first minimum is the tie rule
+        spot = np.column_stack([table.column(c).to_numpy() for c in ("cell_id", "row", "col")]).astype(np.int64)
+        spot = spot[np.lexsort(spot.T[::-1])]
+        starts = np.flatnonzero(np.diff(spot[:, 0], prepend=-1))
         out = []
-        for r in anchors(int(rb[i]), int(rb[i + 1])):
-            for c in anchors(int(cb[j]), int(cb[j + 1])):
-                if not free.any() or (maximum_per_cell is not None and len(out) >= maximum_per_cell):
+        for pts in np.split(spot, starts[1:]):
+            i, j = divmod(int(pts[0, 0]), gc)
+            # squares up to the largest image are exact; a pixel that was taken is beyond all of them
+            left, found = len(pts), 0
+            taken = np.zeros(len(pts))
+            for r, c in itertools.product(anchors(int(rb[i]), int(rb[i + 1])), anchors(int(cb[j]), int(cb[j + 1]))):
+                if not left or (maximum_per_cell is not None and found >= maximum_per_cell):
                     break
-                d = ((pts[:, 0] - r) ** 2 + (pts[:, 1] - c) ** 2).astype(float)
-                d[~free] = np.inf
-                k = int(np.argmin(d))  # rows are in scan order, so the first minimum is the tie rule
-                free[k] = False
+                k = int(np.argmin((pts[:, 1] - r) ** 2 + (pts[:, 2] - c) ** 2 + taken))
+                taken[k] = np.inf
+                left, found = left - 1, found + 1
                 out.append(pts[k])
-        a = np.array(out).reshape(-1, 2)
-        res = pd.DataFrame({k: [pdf[k].iloc[0]] * len(a) for k in keys})
-        return res.assign(row=a[:, 0], col=a[:, 1], cell_id=int(pdf["cell_id"].iloc[0]))
+        rows = np.array(out, dtype=np.int64).reshape(-1, 3)
+        names = [table.column(k).take(pa.array(np.zeros(len(rows), dtype=np.int64))) for k in keys]
+        return pa.table([*names, *[pa.array(rows[:, n].astype(np.int32)) for n in (1, 2, 0)]], names=[*keys, "row", "col", "cell_id"])
 
-    return pix.groupBy(*keys, "cell_id").applyInPandas(pick, schema)
+    # small images are one group, so that a group is worth its call; pieces of larger ones are
+    group = keys if height * width <= GROUP_PIXELS else [*keys, "cell_id"]
+    return pix.select(*keys, "row", "col", "cell_id").groupBy(*group).applyInArrow(pick, schema)
 
 
 # --- causal linking -----------------------------------------------------------------------------
