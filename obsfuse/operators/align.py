@@ -14,10 +14,11 @@ the sums of z r by cluster the score covariance. The two forms share these sums:
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -156,19 +157,19 @@ def fit_points(
         raise FitError("the iteration limit was reached")
     active = w > ACTIVE
     t = (local[0], local[1], local[2] - local[0] * (local[1] @ centre))
-    pull = np.einsum("n,na,ni->nai", w, z, r)[active]
+    pull = ((w[:, None] * z)[:, :, None] * r[:, None, :])[active]
+    flat = pull.reshape(-1, 12)
     meat, count = None, 0
     if clusters is not None:
         names, of = np.unique(clusters[ok][active], return_inverse=True)
         count = len(names)
         if count <= 7 and fallback == "error":
             raise FitError("less than eight clusters")
-        each = np.zeros((count, 4, 3))
-        np.add.at(each, of, pull)
+        each = np.stack([np.bincount(of, column, count) for column in flat.T], axis=1).reshape(count, 4, 3)
         score = np.einsum("cai,aik->ck", each, _centred_basis(t, centre))
         meat = score.T @ score
     sums = {
-        "gram": (z.T * w) @ z, "points": np.einsum("nai,nbj->aibj", pull, pull), "meat": meat, "clusters": count,
+        "gram": (z.T * w) @ z, "points": (flat.T @ flat).reshape(4, 3, 4, 3), "meat": meat, "clusters": count,
         "square": float(w @ norm**2), "weight": w.sum(), "active": active.sum(), "inliers": (norm <= cut).sum(), "n": len(src),
     }
     return finished(t, centre, sums) | {"iterations": iteration}
@@ -184,23 +185,63 @@ def fit_edges(pairs: DataFrame, keys: Sequence[str], most: int | None = None, se
     from obsfuse.operators.ranking import subsample
 
     keys = list(keys)
-    types = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
-    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", " + FIT_COLUMNS
+    schema = f"{_types(pairs, keys)}, {FIT_COLUMNS}"
     clustered = "cluster" in pairs.columns
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["px", "py", "pz", "sx", "sy", "sz"])
-        src, dst = pdf[["sx", "sy", "sz"]].to_numpy(float), pdf[["px", "py", "pz"]].to_numpy(float)
-        try:
-            row = fit_points(src, dst, clusters=pdf["cluster"].to_numpy() if clustered else None, **options)
-        except (FitError, np.linalg.LinAlgError) as error:
-            row = dict.fromkeys(FIT_NAMES) | {"n": len(pdf), "status": str(error)}
-        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, **row}])[[*keys, *FIT_NAMES]]
+    def run(table: pa.Table) -> pa.Table:
+        src, dst, (clusters,) = _ordered(table, ["cluster"] if clustered else [None])
+        return _fit_rows(table, keys, [_fit_or_status(src, dst, clusters, **options)])
 
     if most is not None:
         pairs = subsample(pairs, keys, [c for c in ("frame", "row", "col") if c in pairs.columns], most, seed)
     need = [*keys, "sx", "sy", "sz", "px", "py", "pz", *(["cluster"] if clustered else [])]
-    return pairs.select(*dict.fromkeys(need)).groupBy(*keys).applyInPandas(run, schema)
+    return pairs.select(*dict.fromkeys(need)).groupBy(*keys).applyInArrow(run, schema)
+
+
+def _ordered(table: pa.Table, extra: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray | None]]:
+    """Source points, target points and ``extra`` columns of a group, in an order that the shuffle does not change."""
+    points = [table.column(c).to_numpy().astype(float) for c in ("px", "py", "pz", "sx", "sy", "sz")]
+    order = np.lexsort(points[::-1])
+    both = np.column_stack(points)[order]
+    return both[:, 3:], both[:, :3], [None if c is None else table.column(c).to_numpy()[order] for c in extra]
+
+
+def _fit_or_status(src: np.ndarray, dst: np.ndarray, clusters: np.ndarray | None, **options) -> dict:  # noqa: ANN003
+    try:
+        return fit_points(src, dst, clusters=clusters, **options)
+    except (FitError, np.linalg.LinAlgError) as error:
+        return dict.fromkeys(FIT_NAMES) | {"n": len(src), "status": str(error)}
+
+
+def _fit_rows(table: pa.Table, keys: Sequence[str], rows: list[dict], more: Mapping[str, pa.Array] | None = None) -> pa.Table:
+    """Fits of one group as a table: its keys, ``more`` columns, then the columns of a fit."""
+    first = pa.array(np.zeros(len(rows), dtype=np.int64))
+    columns = {k: table.column(k).take(first) for k in keys} | dict(more or {})
+    kinds = {"cov": pa.list_(pa.float64()), "n": pa.int64(), "clusters": pa.int64(), "iterations": pa.int32(), "covariance_method": pa.string(), "status": pa.string()}
+    return pa.table(columns | {c: pa.array([r[c] for r in rows], kinds.get(c, pa.float64())) for c in FIT_NAMES})
+
+
+def fit_held_folds(pairs: DataFrame, keys: Sequence[str], folds: int, draw: Column, **options) -> DataFrame:  # noqa: ANN003
+    """For each key and each of its folds a fit on the clusters of all other folds; a key in one group.
+
+    The clusters of a key take its folds in turn by (``draw``, cluster), as in `disagreement.fold_assignment`. So a pair
+    is shuffled once, not once for each fold that it trains. Keys with one cluster have no rows.
+    """
+    keys = list(keys)
+
+    def run(table: pa.Table) -> pa.Table:
+        src, dst, (clusters, draws) = _ordered(table, ["cluster", "__draw"])
+        names, at, of = np.unique(clusters, return_index=True, return_inverse=True)
+        count = min(folds, len(names))
+        turn = np.empty(len(names), dtype=np.int64)
+        turn[np.lexsort((names, draws[at]))] = np.arange(len(names))
+        fold = (turn % count)[of]
+        held = range(count) if count > 1 else []
+        rows = [_fit_or_status(src[fold != f], dst[fold != f], clusters[fold != f], **options) for f in held]
+        return _fit_rows(table, keys, rows, {"held_fold": pa.array(list(held), pa.int32())})
+
+    need = [*keys, "sx", "sy", "sz", "px", "py", "pz", "cluster", draw.alias("__draw")]
+    return pairs.select(*need).groupBy(*keys).applyInArrow(run, f"{_types(pairs, keys)}, held_fold int, {FIT_COLUMNS}")
 
 
 def _z() -> list[Column]:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -96,7 +96,7 @@ def fold_assignment(pairs: DataFrame, folds: int = 4, seed: int = 0) -> DataFram
     """
     clusters = pairs.select(*EDGE, "cluster").distinct()
     w = W.partitionBy(*EDGE)
-    draw = F.xxhash64(F.lit(seed), *[F.col(c) for c in EDGE], F.col("cluster"))
+    draw = _fold_draw(seed)
     k = F.least(F.lit(folds), F.count(F.lit(1)).over(w))
     return clusters.select(
         *EDGE,
@@ -106,6 +106,10 @@ def fold_assignment(pairs: DataFrame, folds: int = 4, seed: int = 0) -> DataFram
     )
 
 
+def _fold_draw(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), *[F.col(c) for c in EDGE], F.col("cluster"))
+
+
 def cross_fitted_disagreement(
     pairs: DataFrame,
     folds: int = 4,
@@ -116,14 +120,22 @@ def cross_fitted_disagreement(
     Returns (evidence, report).  A fold whose training set cannot be fitted is skipped;
     its cells simply receive no evidence.
     """
-    from obsfuse.operators.align import fit_whole_edges
+    from obsfuse.operators import align
 
-    plan = fold_assignment(pairs, folds, seed)
+    # one row for each cluster: the folds and the sizes of the edges come from it
+    clusters = durable(pairs.groupBy(*EDGE, "cluster").agg(F.count(F.lit(1)).alias("n")))
+    plan = fold_assignment(clusters, folds, seed)
     tagged = attach(pairs, plan, [*EDGE, "cluster"], how="inner", salt_by=["frame", "row", "col"])
     usable = tagged.where("fold_count >= 2")
-    held = F.explode(F.sequence(F.lit(0), F.col("fold_count").cast("int") - 1)).alias("held_fold")
-    training = usable.select("*", held).where("fold != held_fold")
-    fits = durable(fit_whole_edges(training, [*EDGE, "held_fold"]))
+    large = durable(clusters.groupBy(*EDGE).agg(F.sum("n").alias("n")).where(F.col("n") > align.GROUP_PAIRS).select(*EDGE))
+    if large.isEmpty():
+        fits = align.fit_held_folds(pairs, EDGE, folds, _fold_draw(seed))
+    else:
+        small = pairs.join(F.broadcast(large), EDGE, "left_anti")
+        held = F.explode(F.sequence(F.lit(0), F.col("fold_count").cast("int") - 1)).alias("held_fold")
+        training = usable.join(F.broadcast(large), EDGE, "left_semi").select("*", held).where("fold != held_fold")
+        fits = align.fit_held_folds(small, EDGE, folds, _fold_draw(seed)).unionByName(align.fit_whole_edges(training, [*EDGE, "held_fold"]))
+    fits = durable(fits)
     good = fits.where("status = 'ok'").select(*EDGE, F.col("held_fold").alias("fold"), *sim3.GAUGE_COLUMNS)
     scored = attach(usable, good, [*EDGE, "fold"], how="inner", salt_by=["frame", "row", "col"])
     evidence = accumulate(pair_disagreement(scored))
