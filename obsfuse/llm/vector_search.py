@@ -14,6 +14,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,11 +95,25 @@ def approximation_file(rows: DataFrame, grid: Grid) -> DataFrame:
     return kept(numbered.mapInPandas(written, "key bigint, id bigint, cells binary, v array<double>"))
 
 
+def _left_of_block(cells: np.ndarray, keys: np.ndarray, ids: np.ndarray, asked: pa.Table, grid: Grid, k: int) -> Iterator[pa.RecordBatch]:
+    """What a block of the file leaves for a block of queries, ``BOUNDS`` bounds at a time: nothing is held beyond them."""
+    step = max(1, BOUNDS // max(len(cells), 1))
+    for first in range(0, asked.num_rows if len(cells) else 0, step):
+        part = asked.slice(first, step).to_pandas()
+        lower, upper = grid.bounds(cells, _matrix(part["v"], len(grid.low)))
+        same = ids[None, :] == part["id"].to_numpy()[:, None]
+        lower[same], upper[same] = -np.inf, -np.inf
+        least = np.partition(lower, len(keys) - k, axis=1)[:, len(keys) - k] if len(keys) > k else np.full(len(part), -np.inf)
+        q, at = np.nonzero((upper >= least[:, None]) & ~same)
+        columns = (part["query"].to_numpy()[q], keys[at], lower[q, at], upper[q, at])
+        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["query", "key", "lower", "upper"])
+
+
 def scan(file: DataFrame, asked: DataFrame, grid: Grid, k: int) -> DataFrame:
     """``(query, key, lower, upper)``: rows of another id that the bytes of their block leave for a query.
 
     A block of the file meets each block of queries; a row stays where its upper bound reaches the
-    ``k``-th lower bound of its block.
+    ``k``-th lower bound of its block. What is left leaves the task as it is found.
     """
     blocks, parts = (int(t.count() // size + 1) for t, size in ((file, VECTORS), (asked, QUERIES)))
 
@@ -111,25 +127,14 @@ def scan(file: DataFrame, asked: DataFrame, grid: Grid, k: int) -> DataFrame:
     # columns of their own names and numbers: the queries may be rows of the same file
     there = asked.select(*[F.col(c).alias(c) for c in ("query", "id", "v")], dealt("query", parts).alias("part"), every(blocks).alias("block"))
 
-    def scanned(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple[np.ndarray, ...]] = []
-        if len(left) and len(right):
-            cells = np.frombuffer(b"".join(left["cells"]), np.uint8).reshape(len(left), len(grid.low))
-            keys, ids, own = left["key"].to_numpy(), left["id"].to_numpy(), right["id"].to_numpy()
-            step = max(1, BOUNDS // len(left))
-            for first in range(0, len(right), step):
-                part = right.iloc[first : first + step]
-                lower, upper = grid.bounds(cells, _matrix(part["v"], len(grid.low)))
-                same = ids[None, :] == own[first : first + step, None]
-                lower[same], upper[same] = -np.inf, -np.inf
-                least = np.partition(lower, len(left) - k, axis=1)[:, len(left) - k] if len(left) > k else np.full(len(part), -np.inf)
-                q, at = np.nonzero((upper >= least[:, None]) & ~same)
-                found.append((part["query"].to_numpy()[q], keys[at], lower[q, at], upper[q, at]))
-        columns = [np.concatenate(c) for c in zip(*found, strict=True)] or [np.zeros(0, np.int64)] * 4
-        return pd.DataFrame(dict(zip(("query", "key", "lower", "upper"), (c.astype(np.int64) for c in columns), strict=True)))
-
-    near = here.groupBy("block", "part").cogroup(there.groupBy("block", "part"))
-    return near.applyInPandas(scanned, "query bigint, key bigint, lower bigint, upper bigint")
+    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        left, right = table.filter(pc.is_valid(table["key"])), table.filter(pc.is_valid(table["query"]))
+        cells = np.frombuffer(b"".join(left["cells"].to_pylist()), np.uint8).reshape(left.num_rows, len(grid.low))
+        yield from _left_of_block(cells, left["key"].to_numpy(), left["id"].to_numpy(), right.select(["query", "id", "v"]), grid, k)
+
+    both = here.unionByName(there, allowMissingColumns=True)
+    return both.groupBy("block", "part").applyInArrow(scanned, "query bigint, key bigint, lower bigint, upper bigint")
 
 
 def _read(wanted: DataFrame, file: DataFrame, asked: DataFrame) -> DataFrame:
