@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from obsfuse.functions import sim3
 from obsfuse.functions import vec3 as v3
 from obsfuse.operators.ranking import exact_quantiles
-from obsfuse.runtime import attach, durable
+from obsfuse.runtime import attach, attach_few, durable, maybe_broadcast, placed
 
 CELL = ["case_id", "frame", "row", "col"]
 EDGE = ["case_id", "reference_id", "moving_id"]
@@ -85,7 +85,7 @@ def accumulate(scored: DataFrame) -> DataFrame:
 def accumulate_disagreement(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """Disagreement evidence per window cell from fitted edges."""
     cols = [*EDGE, *sim3.GAUGE_COLUMNS]
-    joined = attach(pairs, edges.select(*cols), EDGE, how="inner", salt_by=["frame", "row", "col"])
+    joined = attach_few(pairs, durable(edges.select(*cols)), EDGE, how="inner", salt_by=["frame", "row", "col"])
     return accumulate(pair_disagreement(joined))
 
 
@@ -258,19 +258,37 @@ def prior_reliability(df: DataFrame, minimum: float = 0.05, name: str = "prior_r
     return df.withColumn(name, F.least(F.greatest(value, F.lit(minimum)), F.lit(1.0)))
 
 
-def reliability_features(df: DataFrame) -> DataFrame:
+#: Distance of two rows of pixels on the line on which neighbours are counted.
+_LINE = 1 << 32
+
+
+def _neighbours(frame: Sequence[str]) -> Column:
+    """Rows of the 3 x 3 pixels around a row: three ranges on the line of pixels of its frame, which is sorted once."""
+    line = W.partitionBy(*frame).orderBy(F.col("row").cast("bigint") * _LINE + F.col("col"))
+    return sum((F.count(F.lit(1)).over(line.rangeBetween(at * _LINE - 1, at * _LINE + 1)) for at in (-1, 1)), F.count(F.lit(1)).over(line.rangeBetween(-1, 1)))
+
+
+def reliability_features(df: DataFrame, windows: DataFrame | None = None) -> DataFrame:
     """Seven source-only features per valid sample.
 
-    ``df`` is the output of :func:`point_variances`; flow columns are optional.
-    Medians are exact per window, the 3x3 neighbour count is a 9-way shifted equi-join.
+    ``df`` is the output of :func:`point_variances`; flow columns are optional.  Medians are exact per window, the 3 x 3
+    neighbours are counted in sorted frames.  The samples are read once and written with what a frame knows;
+    ``windows`` are rows that give the windows and their frames, where there are fewer than the samples.
     """
     key = ["case_id", "window_id"]
     cell = [*key, "frame", "row", "col"]
     total = F.col("var_par") + 2 * F.col("var_lat")
-    base = df.withColumn("__total", total)
-    valid = base.where("valid")
+    known = F.when(F.greatest(*[F.col(c).isNull().cast("int") for c in cell]) == 0, _neighbours([*key, "frame"]))
+    norm = F.col("par_mean") / F.greatest(F.col("var_par"), F.lit(1e-15)) + F.col("lat_mean") / F.greatest(
+        F.col("var_lat"), F.lit(1e-15)
+    )
+    flow = [c for c in ("fx", "fy", "fz", "deform") if c in df.columns]
+    valid = df.where("valid").select(
+        *cell, *flow, total.alias("__total"), known.alias("__neighbours"), (F.col("overlaps") > 0).alias("__seen"), norm.alias("__norm")
+    )
+    valid = placed(valid)  # read by the medians and by the rows
     med = exact_quantiles(valid, key, "__total", {"__var_scale": 0.5}).drop("n")
-    frames = df.select(*key, "frame").distinct()
+    frames = (df if windows is None else windows).select(*key, "frame").distinct()
     fw = W.partitionBy(*key).orderBy("frame")
     span = W.partitionBy(*key)
     t = F.count(F.lit(1)).over(span).cast("double")
@@ -279,17 +297,9 @@ def reliability_features(df: DataFrame) -> DataFrame:
         F.lit(1.0) - F.least(i, t - 1 - i) / F.greatest((t - 1) / 2.0, F.lit(1.0))
     )
     edges = frames.select(*key, "frame", edge.alias("temporal_edge"))
-    offsets = F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    around = valid.select(*key, "frame", "row", "col", F.explode(offsets).alias("o")).groupBy(
-        *key, "frame", (F.col("row") + F.col("o.dr")).alias("row"), (F.col("col") + F.col("o.dc")).alias("col")
-    ).agg(F.count(F.lit(1)).alias("__neighbours"))
-    j = valid.join(around, cell, "left")
-    j = attach(j, edges, [*key, "frame"], salt_by=["row", "col"])
-    j = attach(j, med, key, salt_by=["frame", "row", "col"])
+    j = attach_few(valid, durable(edges), [*key, "frame"], salt_by=["row", "col"])
+    j = attach_few(j, durable(med), key, salt_by=["frame", "row", "col"])
     tiny = F.lit(2.2250738585072014e-308)
-    norm = F.col("par_mean") / F.greatest(F.col("var_par"), F.lit(1e-15)) + F.col("lat_mean") / F.greatest(
-        F.col("var_lat"), F.lit(1e-15)
-    )
     if "fx" in df.columns:
         flow = v3.norm(v3.vec("f"))
         deform = F.coalesce(F.col("deform"), F.lit(False))
@@ -302,8 +312,8 @@ def reliability_features(df: DataFrame) -> DataFrame:
         has_flow = log_flow = F.lit(0.0)
     return j.select(
         *cell,
-        F.when(F.col("overlaps") > 0, F.lit(1.0)).otherwise(F.lit(0.0)).alias("has_overlap"),
-        F.when(F.col("overlaps") > 0, F.log1p(F.greatest(norm, F.lit(0.0)))).otherwise(F.lit(0.0)).alias("log_disagreement"),
+        F.when(F.col("__seen"), F.lit(1.0)).otherwise(F.lit(0.0)).alias("has_overlap"),
+        F.when(F.col("__seen"), F.log1p(F.greatest(F.col("__norm"), F.lit(0.0)))).otherwise(F.lit(0.0)).alias("log_disagreement"),
         F.least(F.greatest(F.col("temporal_edge"), F.lit(0.0)), F.lit(1.0)).alias("temporal_edge"),
         F.log(F.greatest(F.col("__total") / F.greatest(F.col("__var_scale"), tiny), tiny)).alias("log_relative_variance"),
         has_flow.alias("has_flow"),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from obsfuse.functions import sim3
 from obsfuse.functions import vec3 as v3
-from obsfuse.operators.ranking import exact_quantiles
+from obsfuse.operators.ranking import window_median
 from obsfuse.runtime import attach, durable, violations
 
 TINY = 2.2250738585072014e-308
@@ -112,7 +112,7 @@ def tile_argmax(df: DataFrame, stride: int, fixed_grid: bool = False, digits: in
     """Best-scoring row per stride x stride tile of every frame, scan order on ties.
 
     Score = reliability (1 + (depth / median)^2) median variance / variance; medians are
-    per frame.  ``digits`` rounds the score before ranking so engines that sum in a
+    per frame, which is sorted in one task: rows that lie together by frame are not moved.  ``digits`` rounds the score before ranking so engines that sum in a
     different order agree on ties.  A tile holds at most stride^2 rows.
     """
     valid = df.where("valid")
@@ -120,10 +120,7 @@ def tile_argmax(df: DataFrame, stride: int, fixed_grid: bool = False, digits: in
         return valid.where((F.col("row") % stride == 0) & (F.col("col") % stride == 0))
     frame = ["case_id", "window_id", "frame"]
     base = valid.withColumns({"__depth": v3.norm(v3.vec()), "__var": F.col("var_par") + 2 * F.col("var_lat")})
-    med = exact_quantiles(base, frame, "__depth", {"__md": 0.5}).drop("n").join(
-        exact_quantiles(base, frame, "__var", {"__mv": 0.5}).drop("n"), frame
-    )
-    j = attach(base, med, frame, salt_by=["row", "col"])
+    j = window_median(window_median(base, frame, "__depth", "__md"), frame, "__var", "__mv")
     score = (
         F.col("prior_reliability")
         * (1 + F.pow(F.col("__depth") / F.greatest("__md", F.lit(TINY)), F.lit(2.0)))
