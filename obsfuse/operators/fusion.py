@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from obsfuse.functions import sim3
 from obsfuse.functions import vec3 as v3
-from obsfuse.runtime import attach, durable
+from obsfuse.runtime import attach, attach_few, durable, placed
 
 INFO = [f"i_{s}" for s in v3.SYM]
 MEAN = ["x", "y", "z"]
@@ -33,20 +33,15 @@ def information(df: DataFrame) -> DataFrame:
     """Add the six information entries of the packed covariance.
 
     Well-conditioned rows use the closed form; the few others go through an
-    eigenvalue floor of 1e-12 in Arrow batches.
+    eigenvalue floor of 1e-12.  Rows stay where they are.
     """
-    out = df.schema.simpleString()[7:-1] + "," + ",".join(f"{c}:double" for c in INFO)
-    bad = F.coalesce(v3.ill_conditioned(v3.sym()), F.lit(True))
-
-    def floored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            c = b[COV].to_numpy(dtype=float)
-            full = c[:, [0, 1, 2, 1, 3, 4, 2, 4, 5]].reshape(-1, 3, 3)
-            inv = sim3.floored_inverse(full) if len(full) else full
-            yield b.assign(**{n: inv[:, i, j] for n, (i, j) in zip(INFO, sim3._SYM, strict=True)})
-
-    regular = v3.with_inverse(df.where(~bad), "c_", "i_")
-    return regular.unionByName(df.where(bad).mapInPandas(floored, out))
+    staged = df.withColumn("__bad", F.coalesce(v3.ill_conditioned(v3.sym()), F.lit(True)))
+    # the closed form sees the identity in place of the others
+    safe = {f"__c_{s}": F.when(F.col("__bad"), F.lit(1.0 if s[0] == s[1] else 0.0)).otherwise(F.col(f"c_{s}")) for s in v3.SYM}
+    staged = staged.withColumns({**safe, "__floored": F.when(F.col("__bad"), v3.floored_inverse(v3.sym()))})
+    both = v3.with_inverse(staged, "__c_", "__i_")
+    info = {f"i_{s}": F.when(F.col("__bad"), F.col("__floored")[k]).otherwise(F.col(f"__i_{s}")) for k, s in enumerate(v3.SYM)}
+    return both.select(*df.columns, *[c.alias(n) for n, c in info.items()])
 
 
 def _finish(info_sums: DataFrame, keys: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
@@ -307,15 +302,23 @@ def fuse_covariance_intersection(
     est: DataFrame,
     keys: Sequence[str],
     frame_keys: Sequence[str] = (),
+    written: bool = False,
 ) -> DataFrame:
-    """CI with one weight vector per (frame, contributor pattern), from all rows of the pattern."""
+    """CI with one weight vector per (frame, contributor pattern), from all rows of the pattern.
+
+    The cells are read by the weights and by the final pass; where ``est`` is a ``written`` table, whose rows of a cell lie
+    together, they are made from it each time.  Cells of one contributor meet no weights.
+    """
     frame_keys = list(frame_keys)
-    cells = durable(_with_pattern(est, keys))  # read by the weights and by the final pass
+    cells = _with_pattern(est, keys)
+    cells = cells if written else placed(_slim(cells))
     groups = [*frame_keys, "pattern"]
     two = pair_weights(cells.where(F.size("members") == 2), groups)
     many = nway_weights(cells.where(F.size("members") > 2), groups)
-    weights = two.unionByName(many)
-    joined = attach(cells, weights, groups, salt_by=list(keys))
+    weights = durable(two.unionByName(many))
+    single = cells.where(F.size("members") == 1).select(*keys, F.col("members")[0].alias("__m"))
+    alone = single.select(*keys, *[F.col(f"__m.{n}").alias(n) for n in (*MEAN, *COV)], F.lit(1).alias("contributors"), F.array(F.lit(1.0)).alias("weights"))
+    joined = attach_few(cells.where(F.size("members") > 1), weights, groups, salt_by=list(keys))
     one = F.array(F.lit(1.0))
     rows = joined.select(
         *keys,
@@ -325,7 +328,20 @@ def fuse_covariance_intersection(
         *_information_sums(F.col("w")),
         F.array_sort(F.collect_list(F.struct("contributor", "w"))).alias("cw"),
     )
-    return _finish(weighted, keys, [F.transform("cw", lambda e: e["w"]).alias("weights")])
+    return alone.unionByName(_finish(weighted, keys, [F.transform("cw", lambda e: e["w"]).alias("weights")]))
+
+
+def _slim(cells: DataFrame) -> DataFrame:
+    """Cells without what is never read again: the information of an only member, the covariances of several."""
+    none, single = F.lit(None).cast("double"), F.size("members") == 1
+
+    def kept(m: Column) -> Column:
+        return F.struct(
+            m["contributor"].alias("contributor"), *[m[n].alias(n) for n in MEAN],
+            *[F.when(single, m[n]).otherwise(none).alias(n) for n in COV], *[F.when(single, none).otherwise(m[n]).alias(n) for n in INFO],
+        )
+
+    return cells.withColumn("members", F.transform("members", kept))
 
 
 def fuse_ci_pointwise(est: DataFrame, keys: Sequence[str], grid_size: int = 21) -> DataFrame:
@@ -395,27 +411,42 @@ def world_estimates(
     Samples carry ``ray`` columns rx, ry, rz and variances ``var_par``/``var_lat``;
     gauges carry scale, rotation, translation and a 7x7 ``cov``.
     """
+    return estimates_of(world_parts(samples, gauges, keys, flow))
+
+
+def world_parts(
+    samples: DataFrame, gauges: DataFrame, keys: Sequence[str] = ("case_id",), flow: bool = False, more: Sequence[str] = ()
+) -> DataFrame:
+    """What :func:`world_estimates` adds up: mean w*, ray u*, its variances vp and vl, and the gauge's covariance g_*.
+
+    ``more`` are other variances of the samples, which are carried to the common frame under their own names.
+    """
     cell = [c for c in ("case_id", "frame", "row", "col") if c in samples.columns]
     value = ["fx", "fy", "fz"] if flow else ["x", "y", "z"]
-    need = samples.select(*cell, "window_id", *_solid(*value, "rx", "ry", "rz", "var_par", "var_lat"))
-    g = with_polynomials(gauges, [*keys, "window_id"], not flow)
-    j = attach(need, g, [*keys, "window_id"], how="inner", salt_by=cell[1:])
+    need = samples.select(*cell, "window_id", *_solid(*value, "rx", "ry", "rz", "var_par", "var_lat", *more))
+    g = durable(with_polynomials(gauges, [*keys, "window_id"], not flow))
+    j = attach_few(need, g, [*keys, "window_id"], how="inner", salt_by=cell[1:])
     rot, s = sim3.rot_columns(), F.col("scale")
     local: v3.Vec = tuple(F.col(c) for c in value)  # type: ignore[assignment]
     world = v3.scale(s, v3.mat_vec(rot, local)) if flow else v3.apply_similarity(s, rot, sim3.t_columns(), local)
     ray = tuple(F.col(c) for c in ("rx", "ry", "rz"))
     turned = v3.mat_vec(rot, ray)  # type: ignore[arg-type]
-    staged = j.select(
+    return j.select(
         *cell, F.col("window_id").alias("contributor"), *v3.named(world, ["wx", "wy", "wz"]), *v3.named(turned, ["ux", "uy", "uz"]),
-        (s * s * F.col("var_par")).alias("vp"), (s * s * F.col("var_lat")).alias("vl"),
+        (s * s * F.col("var_par")).alias("vp"), (s * s * F.col("var_lat")).alias("vl"), *[(s * s * F.col(c)).alias(c) for c in more],
         *[c.alias(f"g_{n}") for n, c in zip(v3.SYM, sim3.gauge_covariance_columns(local), strict=True)],
     )
+
+
+def estimates_of(parts: DataFrame, along: str = "vp", across: str = "vl", gauge: bool = True) -> DataFrame:
+    """Estimates from :func:`world_parts`, with the variances ``along`` and ``across`` the ray, with or without the gauge's covariance."""
+    cell = [c for c in ("case_id", "frame", "row", "col") if c in parts.columns]
     u = tuple(F.col(f"u{a}") for a in "xyz")
-    base = v3.structured(F.col("vp"), F.col("vl"), u)  # type: ignore[arg-type]
-    return staged.select(
+    base = v3.structured(F.col(along), F.col(across), u)  # type: ignore[arg-type]
+    return parts.select(
         *cell, "contributor",
         *[F.col(f"w{a}").alias(a) for a in "xyz"],
-        *[(c + F.col(f"g_{n}")).alias(f"c_{n}") for n, c in zip(v3.SYM, base, strict=True)],
+        *[(c + F.col(f"g_{n}") if gauge else c).alias(f"c_{n}") for n, c in zip(v3.SYM, base, strict=True)],
     )
 
 
@@ -429,7 +460,7 @@ def fuse_windows(
     """
     keys = ["case_id", "frame", "row", "col"]
     options = {"frame_keys": ["case_id", "frame"]} if method == "covariance_intersection" else {}
-    world = durable(world_estimates(samples.where("valid"), gauges))  # scanned once per conditioning branch
+    world = world_estimates(samples.where("valid"), gauges)
     points = fuse(world, keys, method, **options).drop("weights")
     if "fx" not in samples.columns:
         return points
