@@ -175,12 +175,17 @@ def fit_points(
     return finished(t, centre, sums) | {"iterations": iteration}
 
 
-def fit_edges(pairs: DataFrame, keys: Sequence[str], most: int | None = None, seed: int = 0, **options) -> DataFrame:  # noqa: ANN003
+#: status of an edge that has more pairs than a group may hold.
+LARGE = "large"
+
+
+def fit_edges(pairs: DataFrame, keys: Sequence[str], most: int | None = None, seed: int = 0, limit: int | None = None, **options) -> DataFrame:  # noqa: ANN003
     """One robust fit per key, a key in one group.  Failures become a ``status`` row, never a silent fit.
 
     ``most`` is the number of pairs that a fit uses (a seeded sample of each key; the pairs
     themselves stay whole for whatever else reads them). Without it the caller vouches for the
-    size of the groups; :func:`fit_edges_distributed` needs no bound.
+    size of the groups, or gives a ``limit``: a key with more pairs is not fitted and has the status ``LARGE``;
+    :func:`fit_edges_distributed` needs no bound.
     """
     from obsfuse.operators.ranking import subsample
 
@@ -188,9 +193,18 @@ def fit_edges(pairs: DataFrame, keys: Sequence[str], most: int | None = None, se
     schema = f"{_types(pairs, keys)}, {FIT_COLUMNS}"
     clustered = "cluster" in pairs.columns
 
-    def run(table: pa.Table) -> pa.Table:
-        src, dst, (clusters,) = _ordered(table, ["cluster"] if clustered else [None])
-        return _fit_rows(table, keys, [_fit_or_status(src, dst, clusters, **options)])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            n += batch.num_rows
+            held = [*held, batch] if limit is None or n <= limit else [*held, batch][:1]
+        table = pa.Table.from_batches(held)
+        if limit is not None and n > limit:
+            fit = dict.fromkeys(FIT_NAMES) | {"n": n, "status": LARGE}
+        else:
+            src, dst, (clusters,) = _ordered(table, ["cluster"] if clustered else [None])
+            fit = _fit_or_status(src, dst, clusters, **options)
+        yield from _fit_rows(table, keys, [fit]).to_batches()
 
     if most is not None:
         pairs = subsample(pairs, keys, [c for c in ("frame", "row", "col") if c in pairs.columns], most, seed)
@@ -347,16 +361,18 @@ def fit_edges_distributed(
 
 
 def fit_whole_edges(pairs: DataFrame, keys: Sequence[str], **options) -> DataFrame:  # noqa: ANN003
-    """One robust fit per key on all its pairs: in one group up to ``GROUP_PAIRS``, by sums above."""
+    """One robust fit per key on all its pairs: in one group up to ``GROUP_PAIRS``, by sums above.
+
+    The pairs are read once unless an edge has more of them: such a group only says so, and holds no more than a first fit does.
+    """
     keys = list(keys)
-    sizes = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    large = durable(sizes.where(F.col("n") > GROUP_PAIRS).select(*keys))
+    fits = durable(fit_edges(pairs, keys, limit=GROUP_PAIRS, **options))
+    large = fits.where(F.col("status") == LARGE).select(*keys)
     if large.isEmpty():
-        return fit_edges(pairs, keys, **options)
+        return fits
     # one row for each large edge: few beside the pairs
-    small = pairs.join(F.broadcast(large), keys, "left_anti")
     rest = pairs.join(F.broadcast(large), keys, "left_semi")
-    return fit_edges(small, keys, **options).unionByName(fit_edges_distributed(rest, keys, **options))
+    return fits.where(F.col("status") != LARGE).unionByName(fit_edges_distributed(rest, keys, **options))
 
 
 def _pairs_of(schema: str) -> list[tuple[str, str]]:

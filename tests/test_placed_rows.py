@@ -53,3 +53,21 @@ def test_tiles_and_neighbours(spark, samples):
     for r in dis.reliability_features(rows).collect():
         around = sum((r.case_id, r.window_id, r.frame, r.row + i, r.col + j) in there for i in (-1, 0, 1) for j in (-1, 0, 1))
         assert r.validity_deficit == pytest.approx(1 - around / 9)
+
+
+def test_pairs_are_read_once_for_their_fits(spark, monkeypatch):
+    """Edges with more pairs than a group may hold say so themselves: no count of the pairs goes ahead."""
+    from obsfuse.operators import align
+
+    pairs = spark.range(600).selectExpr("'c' AS case_id", "'w0' AS reference_id", "if(id < 500, 'w1', 'w2') AS moving_id", "id % 9 AS cluster", *[f"sin(id * {i + 2}) AS p{c}" for i, c in enumerate("xyz")])
+    pairs = pairs.selectExpr("*", "2 * px + 1 AS sx", "2 * py AS sy", "2 * pz AS sz")
+    keys = ["case_id", "reference_id", "moving_id"]
+    monkeypatch.setattr(align, "GROUP_PAIRS", 200)
+    monkeypatch.setattr(align, "fit_edges_distributed", lambda rest, keys, **o: align.fit_edges(rest, keys, **o).withColumn("iterations", F.lit(-rest.count())))
+    got = {r.moving_id: r for r in align.fit_whole_edges(pairs, keys).collect()}
+    assert {k: (r.status, r.n) for k, r in got.items()} == {"w1": ("ok", 500), "w2": ("ok", 100)}
+    assert got["w1"].iterations == -500 and got["w2"].iterations >= 0
+    monkeypatch.setattr(align, "GROUP_PAIRS", 1000)
+    monkeypatch.setattr(type(pairs), "groupBy", (lambda real: lambda self, *c: real(self.select("*", F.lit(seen.append(1)).alias("__")).drop("__"), *c))(type(pairs).groupBy))
+    seen: list = []
+    assert align.fit_whole_edges(pairs, keys).count() == 2 and len(seen) == 1
