@@ -319,12 +319,15 @@ def _track_layers(ids: np.ndarray, frames: np.ndarray, cols: list[np.ndarray], l
     return out
 
 
-def _pair_blocks(left: DataFrame, right: DataFrame, config: AssociationConfig, n: int, m: int, best: bool, gauge_blocks: DataFrame | None = None) -> DataFrame:
+def _pair_blocks(
+    left: DataFrame, right: DataFrame, config: AssociationConfig, n: int, m: int, best: bool, gauge_blocks: DataFrame | None = None, packed: bool = False
+) -> DataFrame:
     """Scores of all gated pairs, compared in blocks of tracks: every pair of tracks meets in exactly one task.
 
     Rows are copied once for each block of the other side, pairs are never shuffled.  With ``best`` only pairs stay that
     are among the two best of a track (equal scores included) within their block.  With ``gauge_blocks`` rows carry what
-    :func:`joint_link_evidence` takes, and pairs get their ``normalized_rms``.
+    :func:`joint_link_evidence` takes, and pairs get their ``normalized_rms``.  ``packed`` gives them as arrays, one row for
+    each left track and block compared, without the score and the largest distance.
     """
     parts = [max(-(-k // PAIR_TRACKS), min(10, -(-k // 256)), 1) for k in (n, m)]
     cols = ["x", "y", "z", "association_probability"]
@@ -342,6 +345,9 @@ def _pair_blocks(left: DataFrame, right: DataFrame, config: AssociationConfig, n
     judged = gauge_blocks is not None
     if judged:
         schema += ", normalized_rms double"
+    if packed:
+        schema = schema.replace(", maximum_distance double", "").replace(", score double", "")
+        schema = ", ".join(f"{c} {t}" if c == "left_id" else f"{c} array<{t}>" for c, t in (part.split() for part in schema.split(", ")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))
@@ -369,7 +375,15 @@ def _pair_blocks(left: DataFrame, right: DataFrame, config: AssociationConfig, n
                 i, j, *values = found
                 if evidence is not None:
                     values.append(evidence.of(lo, hi, c0, c1, i, j))
-                yield pa.RecordBatch.from_arrays([lid.take(pa.array(lo + i)), rid.take(pa.array(c0 + j)), *[v if isinstance(v, pa.Array) else pa.array(v) for v in values]], schema_names)
+                values = [v if isinstance(v, pa.Array) else pa.array(v) for v in values]
+                if packed:  # pairs come in the order of their left tracks
+                    del values[4], values[2]
+                    starts = np.flatnonzero(np.diff(i, prepend=-1))
+                    ends = pa.array(np.append(starts, len(i)).astype(np.int32))
+                    lists = [pa.ListArray.from_arrays(ends, v) for v in (rid.take(pa.array(c0 + j)), *values)]
+                    yield pa.RecordBatch.from_arrays([lid.take(pa.array(lo + i[starts])), *lists], schema_names)
+                else:
+                    yield pa.RecordBatch.from_arrays([lid.take(pa.array(lo + i)), rid.take(pa.array(c0 + j)), *values], schema_names)
 
     schema_names = [part.split()[0] for part in schema.split(", ")]
     both = side(left, 0, True).unionByName(side(right, 1, False))
@@ -518,7 +532,7 @@ def _compare(here: dict, there: dict, n: int, m: int, config: AssociationConfig,
     sound = gate & (support > 0)
     rms = np.full((n, m), np.nan)
     np.sqrt(np.divide(wd2, support, out=rms, where=sound), out=rms, where=sound)
-    score = np.minimum(1.0, support / config.minimum_support) * np.exp(-0.5 * (rms / config.distance_scale) ** 2)
+    score = _score(support, rms, config)
     if best:
         able = np.where(sound & (shared >= config.minimum_shared_frames), score, -1.0)
         kept = np.zeros((n, m), dtype=bool)
@@ -533,6 +547,10 @@ def _compare(here: dict, there: dict, n: int, m: int, config: AssociationConfig,
     return i, j, *values, *[pa.array(v[i, j], mask=null) for v in (rms, score)]
 
 
+def _score(support: np.ndarray, rms: np.ndarray, config: AssociationConfig) -> np.ndarray:
+    return np.minimum(1.0, support / config.minimum_support) * np.exp(-0.5 * (rms / config.distance_scale) ** 2)
+
+
 def candidate_scores(left: DataFrame, right: DataFrame, config: AssociationConfig = AssociationConfig(), best: bool = False) -> DataFrame:  # noqa: B008
     """Score every spatially gated pair over all its shared frames (world coordinates).
 
@@ -691,6 +709,43 @@ def joint_link_evidence(left: DataFrame, right: DataFrame, blocks: DataFrame, co
     return candidates.join(joint_covariance_evidence(pairs, blocks).drop("frames"), ["left_id", "right_id"], "left")
 
 
+#: pairs of tracks whose candidates may meet in one task to be ranked.
+RANKED_PAIRS = 1 << 23
+
+
+def ranked_link_evidence(
+    left: DataFrame, right: DataFrame, blocks: DataFrame, config: AssociationConfig = AssociationConfig(), digits: int = 9  # noqa: B008
+) -> DataFrame:
+    """:func:`joint_link_evidence` with ``place``: 1 for the candidate of a left track with the highest score, rounded to ``digits``; the smaller right id on ties; without ``maximum_distance``.
+
+    Candidates from blocks of tracks go to their ranks as one row of arrays for each left track and block, without the score, which
+    follows from support and RMS; a task gets at most ``RANKED_PAIRS`` of them, so none is sorted on disk.
+    """
+    crowded, n, m = _crowded(left, right, config.distance) if config.distance is not None else (False, 0, 0)
+    if not (crowded and config.maximum_pairs is None):
+        order = W.partitionBy("left_id").orderBy(F.round("score", digits).desc(), "right_id")
+        return joint_link_evidence(left, right, blocks, config).drop("maximum_distance").withColumn("place", F.row_number().over(order))
+    packed = _pair_blocks(left, right, config, n, m, False, blocks, packed=True)
+    one, two = (df.schema["track_id"].dataType.simpleString() for df in (left, right))
+    schema = f"left_id {one}, right_id {two}, shared_frames bigint, support double, rms double, score double, normalized_rms double, place bigint"
+    names = [part.split()[0] for part in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).combine_chunks()
+        values = {c: table[c].combine_chunks().flatten() for c in table.column_names if c != "left_id"}
+        support, rms = (np.asarray(values[c].to_numpy(zero_copy_only=False), float) for c in ("support", "rms"))
+        values["score"] = pa.array(_score(support, rms, config), mask=pc.is_null(values["rms"]).to_numpy(zero_copy_only=False))
+        found = pa.table(values)
+        order = pa.table({"score": pc.round(found["score"], digits), "right_id": found["right_id"]})
+        found = found.take(pc.sort_indices(order, [("score", "descending"), ("right_id", "ascending")], null_placement="at_end"))
+        here = pa.nulls(found.num_rows, table.schema.field("left_id").type).fill_null(table["left_id"][0])
+        found = found.append_column("left_id", here).append_column("place", pa.array(np.arange(1, found.num_rows + 1)))
+        yield from found.select(names).to_batches(max_chunksize=100_000)
+
+    parts = max(-(-n * m // RANKED_PAIRS), left.sparkSession.sparkContext.defaultParallelism)
+    return packed.repartition(parts, "left_id").groupBy("left_id").applyInArrow(run, schema)
+
+
 # --- nearest points --------------------------------------------------------------------------
 
 

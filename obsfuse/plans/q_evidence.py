@@ -73,9 +73,7 @@ SELECT sc.*, normalized_rms, row_number() OVER (PARTITION BY left_id ORDER BY ro
 def _(spark, sf):
     rows = _gauge_rows(ad.tracks(spark, sf).withColumn("case_id", F.lit("c")))
     blocks = _gauge_blocks(rows, ["case_id"])
-    out = tracks.joint_link_evidence(rows.where("window_id = 'w0'"), rows.where("window_id = 'w1'"), blocks, _CFG)
-    place = tracks.W.partitionBy("left_id").orderBy(F.round("score", 9).desc(), "right_id")  # the candidates of one track
-    return out.withColumn("place", F.row_number().over(place))
+    return tracks.ranked_link_evidence(rows.where("window_id = 'w0'"), rows.where("window_id = 'w1'"), blocks, _CFG)
 
 
 _SEEN = """s AS (SELECT *, 0.5 + ("row" + col) % 10 / 20.0 AS association_probability FROM v_samples WHERE valid)"""
