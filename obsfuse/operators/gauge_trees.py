@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 
 from obsfuse.functions import sim3
 from obsfuse.operators.gauges import START, parent_edges
-from obsfuse.runtime import attach, durable
+from obsfuse.runtime import attach, attach_few, durable
 
 _KEY = ["case_id", "window_id"]
 _ALL = range(49)
+#: copies of a table of windows that is joined to windows, paths or pairs: a window that many of these share is spread over as many tasks.
+SALT = 4
 
 
 def _composed(outer: str, inner: str) -> list[Column]:
@@ -53,14 +55,14 @@ def tree_gauges(edges: DataFrame) -> DataFrame:
     hops, moving = durable(hops.withColumn("done", F.col("depth") == 0)), True
     while moving:
         ahead = hops.select("case_id", F.col("root_id").alias("next_id"), F.col("depth").alias("more"), F.col("window_id").alias("root_id"), *[F.col(c).alias(f"up_{c}") for c in sim3.GAUGE_COLUMNS])
-        step = attach(hops.where("NOT done"), ahead, ["case_id", "root_id"], "inner", salt_by=_KEY)
+        step = attach(hops.where("NOT done"), ahead, ["case_id", "root_id"], "inner", salt=SALT, salt_by=_KEY)
         step = step.select(*_KEY, F.col("next_id").alias("root_id"), (F.col("depth") + F.col("more")).alias("depth"), *_composed("up_", ""), (F.col("more") == 0).alias("done"))
         hops = durable(hops.where("done").unionByName(step))
         moving = not hops.where("NOT done").isEmpty()
-    first = windows.groupBy("case_id").agg(F.min_by("window_id", "position").alias("first_id"))
+    first = start.groupBy("case_id").agg(F.min_by("window_id", "position").alias("first_id"))
     out = attach(hops.drop("done").join(start.select(*_KEY, "position", "parent_id", "edge_cov"), _KEY), first, ["case_id"], salt_by=_KEY)
     status = F.when(F.col("root_id") == F.col("first_id"), "ok").when(F.col("depth") == 0, "no-causal-overlap").otherwise("detached")
-    return out.withColumn("status", status).drop("first_id")
+    return durable(out.withColumn("status", status).drop("first_id"))  # read by paths, steps and sums
 
 
 def ancestors(tree: DataFrame) -> DataFrame:
@@ -69,7 +71,7 @@ def ancestors(tree: DataFrame) -> DataFrame:
     reach, last = 1, known
     while not last.isEmpty():  # last: the pairs at exactly ``reach`` steps
         above = known.select("case_id", F.col("window_id").alias("ancestor_id"), F.col("ancestor_id").alias("next_id"), F.col("steps").alias("more"))
-        more = attach(last, above, ["case_id", "ancestor_id"], "inner", salt_by=_KEY)
+        more = attach(last, above, ["case_id", "ancestor_id"], "inner", salt=SALT, salt_by=_KEY)
         more = more.select(*_KEY, F.col("next_id").alias("ancestor_id"), (F.col("steps") + F.col("more")).alias("steps"))
         known = durable(known.unionByName(more))
         reach *= 2
@@ -113,7 +115,7 @@ def _edge_steps(tree: DataFrame) -> DataFrame:
     """``(case, window, step)``: the covariance that a window's own edge adds (a root: the start covariance)."""
     edge = tree.select(*_KEY, "parent_id", "edge_cov", *sim3.GAUGE_COLUMNS)
     up = tree.select("case_id", F.col("window_id").alias("parent_id"), *[F.col(c).alias(f"p_{c}") for c in sim3.GAUGE_COLUMNS])
-    joined = attach(edge.where("parent_id IS NOT NULL"), up, ["case_id", "parent_id"], "inner", salt_by=_KEY)
+    joined = attach(edge.where("parent_id IS NOT NULL"), up, ["case_id", "parent_id"], "inner", salt=SALT, salt_by=_KEY)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -141,8 +143,8 @@ def tree_covariances(tree: DataFrame, paths: DataFrame) -> DataFrame:
     """
     at = tree.select("case_id", F.col("window_id").alias("ancestor_id"), *[F.col(c).alias(f"a_{c}") for c in sim3.GAUGE_COLUMNS])
     at = at.join(_edge_steps(tree).withColumnRenamed("window_id", "ancestor_id"), ["case_id", "ancestor_id"])
-    rows = attach(paths, at, ["case_id", "ancestor_id"], "inner", salt_by=[*_KEY, "ancestor_id"])
-    rows = attach(rows, tree.select(*_KEY, *sim3.GAUGE_COLUMNS), _KEY, "inner", salt_by=[*_KEY, "ancestor_id"])
+    rows = attach(paths, tree.select(*_KEY, *sim3.GAUGE_COLUMNS), _KEY, "inner", salt=SALT, salt_by=[*_KEY, "ancestor_id"])
+    rows = attach(rows, at, ["case_id", "ancestor_id"], "inner", salt=SALT, salt_by=[*_KEY, "ancestor_id"])  # the wide rows come last
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -164,14 +166,20 @@ def tree_blocks(solved: DataFrame, paths: DataFrame, pairs: DataFrame) -> DataFr
     covariance carried to both.  Pairs below different roots have no block.  ``solved`` is from
     `tree_covariances`; the blocks feed `gaussian.gauge_query` and `tracks.joint_link_evidence`.
     """
-    up = {s: paths.select("case_id", F.col("window_id").alias(f"window_{s}"), "ancestor_id", F.col("steps").alias(f"steps_{s}")) for s in "ij"}
-    wanted = pairs.select("case_id", "window_i", "window_j").distinct()
-    meet = attach(wanted, up["i"], ["case_id", "window_i"], "inner")
-    meet = meet.join(up["j"], ["case_id", "window_j", "ancestor_id"])
-    meet = meet.groupBy("case_id", "window_i", "window_j").agg(F.min_by("ancestor_id", "steps_i").alias("ancestor_id"))
-    for name, key, extra in (("a_", "ancestor_id", ["cov"]), ("i_", "window_i", []), ("j_", "window_j", [])):
-        side = solved.select("case_id", F.col("window_id").alias(key), *extra, *[F.col(c).alias(f"{name}{c}") for c in sim3.GAUGE_COLUMNS])
-        meet = attach(meet, side, ["case_id", key], "inner", salt_by=["window_i", "window_j"])
+    # a window's path is one array, from itself upwards, so a pair stays one row and moves once for each of its ends
+    path = F.transform(F.array_sort(F.collect_list(F.struct("steps", "ancestor_id"))), lambda s: s["ancestor_id"])
+    ends = durable(solved.select(*_KEY, *sim3.GAUGE_COLUMNS).join(paths.groupBy(*_KEY).agg(path.alias("path")), _KEY))
+    meet = pairs.select("case_id", "window_i", "window_j").distinct()
+    for s in "ij":
+        side = ends.select("case_id", F.col("window_id").alias(f"window_{s}"), F.col("path").alias(f"path_{s}"), *[F.col(c).alias(f"{s}_{c}") for c in sim3.GAUGE_COLUMNS])
+        meet = attach(meet, side, ["case_id", f"window_{s}"], "inner", salt=SALT, salt_by=["window_i", "window_j"])
+    meet = meet.withColumn("ancestor_id", F.get(F.array_intersect("path_i", "path_j"), F.lit(0))).drop("path_i", "path_j")
+    # two windows meet in one that has others below it, unless they are one and the same
+    above = solved.where("parent_id IS NOT NULL").select("case_id", F.col("parent_id").alias("window_id"))
+    same = pairs.where("window_i = window_j").select("case_id", F.col("window_i").alias("window_id"))
+    tops = solved.select(*_KEY, "cov", *sim3.GAUGE_COLUMNS).join(above.unionByName(same).distinct(), _KEY, "left_semi")
+    tops = tops.select("case_id", F.col("window_id").alias("ancestor_id"), "cov", *[F.col(c).alias(f"a_{c}") for c in sim3.GAUGE_COLUMNS])
+    meet = attach_few(meet.where("ancestor_id IS NOT NULL"), durable(tops), ["case_id", "ancestor_id"], "inner", salt_by=["window_i", "window_j"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

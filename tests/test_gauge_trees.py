@@ -92,3 +92,31 @@ def test_no_edges(spark):
     edges = spark.createDataFrame(pd.DataFrame(random_edges(np.random.default_rng(1), "a", 3))).limit(0)
     tree = gt.tree_gauges(edges)
     assert tree.count() == 0 and gt.tree_covariances(tree, gt.ancestors(tree)).count() == 0
+
+
+def test_pairs_of_windows_stay_single_rows(spark, monkeypatch):
+    """The paths of a pair meet as arrays: no plan of the blocks groups pairs by their ancestors, and only windows with others below are copied wide."""
+    from obsfuse.functions import sim3 as s3
+
+    good = [("c", f"w{j // 2 if j > 1 else 0}", f"w{j}", j // 2 if j > 1 else 0, j, "ok", 5, 0.1, 1.01, *np.eye(3).ravel().tolist(), 0.1 * j, 0.0, 0.0, (np.eye(7) * 1e-3).ravel().tolist()) for j in range(1, 30)]
+    names = "case_id string, reference_id string, moving_id string, reference_position long, moving_position long, status string, n long, rms double, scale double, "
+    edges = spark.createDataFrame(good, names + ", ".join(f"{c} double" for c in (*s3.ROT, "tx", "ty", "tz")) + ", cov array<double>")
+    tree = gt.tree_gauges(edges)
+    paths = gt.ancestors(tree)
+    solved = gt.tree_covariances(tree, paths).localCheckpoint()
+    pairs = spark.createDataFrame([("c", f"w{i}", f"w{j}") for i in range(30) for j in range(30)], "case_id string, window_i string, window_j string")
+    wide = []
+    real = gt.attach_few
+    monkeypatch.setattr(gt, "attach_few", lambda f, s, *a, **k: wide.append((f, s)) or real(f, s, *a, **k))
+    blocks = {(r.window_i, r.window_j): np.array(r.block).reshape(7, 7) for r in gt.tree_blocks(solved, paths, pairs).collect()}
+    ((meet, tops),) = wide
+    plan = meet._jdf.queryExecution().optimizedPlan().toString()
+    assert "min_by" not in plan and meet.count() == 900 == len(blocks)
+    assert tops.count() == 30  # the pairs of a window with itself ask for all
+    covs = {r.window_id: np.array(r["cov"]).reshape(7, 7) for r in solved.collect()}
+    for (i, j), block in blocks.items():
+        np.testing.assert_allclose(block, blocks[j, i].T, atol=1e-12)
+        if i == j:
+            np.testing.assert_allclose(block, covs[i], atol=1e-12)
+    wide.clear()
+    assert gt.tree_blocks(solved, paths, pairs.where("window_i <> window_j")).count() == 870 and wide[0][1].count() == 15
